@@ -60,7 +60,11 @@ def _uniform(*parts: str) -> str:
 
 
 def _meet(seed: int, level: int) -> str:
-    """SQL for one group: fold its units, by hash order; a unit is (h, u, w, p), u what the caller carries."""
+    """SQL for one group: fold its units; a unit is (o, h, u, w, p), u what the caller carries.
+
+    They meet by falling size, then hash: a long document takes up the mass of shorter ones until it is whole, and what
+    is left over at the end of a group is rarely a long one.
+    """
     met = f"""
       transform(array(named_struct('a', acc.cur, 'b', x, 'r', x.w / acc.cur.w,
                                    'u', {_uniform("acc.cur.h", "x.h", str(seed), str(level))})), v ->
@@ -74,9 +78,9 @@ def _meet(seed: int, level: int) -> str:
                      THEN IF(1D - m.v.a.p <= m.v.b.p * m.v.r, greatest(0D, m.v.b.p - (1D - m.v.a.p) / m.v.r), 0D)
                      ELSE IF(m.v.a.p <= (1D - m.v.b.p) * m.v.r, least(1D, m.v.b.p + m.v.a.p / m.v.r), 1D) END)), z ->
       IF(z.pa IN (0D, 1D),
-         named_struct('cur', named_struct('h', z.b.h, 'u', z.b.u, 'w', z.b.w, 'p', z.pb),
+         named_struct('cur', named_struct('o', z.b.o, 'h', z.b.h, 'u', z.b.u, 'w', z.b.w, 'p', z.pb),
                       'done', concat(acc.done, array(named_struct('u', z.a.u, 'bit', CAST(z.pa AS INT))))),
-         named_struct('cur', named_struct('h', z.a.h, 'u', z.a.u, 'w', z.a.w, 'p', z.pa),
+         named_struct('cur', named_struct('o', z.a.o, 'h', z.a.h, 'u', z.a.u, 'w', z.a.w, 'p', z.pa),
                       'done', concat(acc.done, array(named_struct('u', z.b.u, 'bit', CAST(z.pb AS INT))))))
       )[0])[0])[0]"""
     whole = """named_struct('cur', x, 'done', concat(acc.done, array(named_struct('u', acc.cur.u, 'bit', CAST(acc.cur.p AS INT)))))"""
@@ -100,7 +104,7 @@ def round_classes(classes: DataFrame, seed: int = 17) -> DataFrame:
     units = materialize(units, "mix-classes")
     carried = [c for c in units.columns if c not in ("p", "h")]
     settled = units.where("p = 0").select(*carried)
-    level = units.where("p > 0").select(F.col("source").alias("s"), (F.col("h").bitwiseAND((1 << 62) - 1)).alias("b"), F.struct("h", F.struct(*carried).alias("u"), F.col("size").cast("double").alias("w"), "p").alias("unit"))
+    level = units.where("p > 0").select(F.col("source").alias("s"), (F.col("h").bitwiseAND((1 << 62) - 1)).alias("b"), F.struct((-F.col("size")).alias("o"), "h", F.struct(*carried).alias("u"), F.col("size").cast("double").alias("w"), "p").alias("unit"))
     count = level.count()
     bits = 0
     while (1 << bits) * FAN < count:
