@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import count_words, table
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_templates
+
+    found = line_templates.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_kept").cast("long").alias("n_kept"))
+
+
 def op2_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -51,5 +58,5 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_pivotal, op3_token_files, op6_pack_bin_slack, op8_simhash_trie, op10_language_mixture)}
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_mix_pivotal, op3_token_files, op6_pack_bin_slack, op8_simhash_trie, op10_language_mixture)}
 SQL: dict[str, str] = {}

@@ -64,19 +64,19 @@ def fold_bits(hashes: pa.Array) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long), one row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
+    """(doc_id long, the long columns ``keep``, fp long), one row for each row of ``docs``."""
     words, hashes = shingle_hashes(F.col("__t"), shingle)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("__t")).select("doc_id", words.alias("__w")).select("doc_id", hashes.alias("h"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), *keep, docs[text_col].alias("__t")).select("doc_id", *keep, words.alias("__w")).select("doc_id", *keep, hashes.alias("h"))
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             for lo in range(0, n, 1024):
                 part = batch.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fold_bits(part.column(1)))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fold_bits(part.column(part.num_columns - 1)))], names=["doc_id", *keep, "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *keep, "fp")))
 
 
 def _bits(x: str, lo: int, hi: int) -> str:
@@ -165,3 +165,19 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(groups, "root").select(F.col("fp").alias("__fp"), "component_id")
     return marked.join(named, marked["fp"] == F.col("__fp")).select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with its columns: that with the smallest id, then text hash.
+
+    Texts do not move: documents join, by id and text hash, the few bytes that say which of them stay. Documents that are
+    equal in id and text are one document here and all stay; a component in which all ids are null keeps one text hash.
+    """
+    key = F.xxhash64(F.col(text_col))
+    tagged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("__key", F.xxhash64("text"))
+    marked = materialize(fingerprints(tagged.select("doc_id", "text", "__key"), shingle, keep=("__key",)), "simhash")
+    distinct = materialize(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")), "simhash-fps")
+    roots = components(links(distinct.select("fp"), distance))
+    rooted = distinct.join(roots, distinct["fp"] == roots["v"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.__key").alias("__k"))
+    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__d")) & (key == F.col("__k")), "left_semi")
