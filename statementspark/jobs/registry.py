@@ -1,0 +1,4 @@
+"""Every query by name, and the SQL that says the same."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
