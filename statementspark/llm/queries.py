@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import count_words, table
+from .common import count_words, materialize, table
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,13 @@ def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hamming
+
+    coded = materialize(hamming.codes(table(spark, sf_dir, "embeddings")), "mih-coded")
+    return hamming.search(coded, coded.where("id % 50 = 0"))
+
+
 def op6_pack_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +76,13 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    found = html_text.extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -78,5 +92,5 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op2_mix_pivotal, op3_token_files, op4_markov_secrets, op6_pack_bin_slack, op7_decision_list, op8_simhash_trie, op10_language_mixture)}
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_mix_pivotal, op3_token_files, op4_markov_secrets, op5_multi_index_hashing, op6_pack_bin_slack, op7_decision_list, op8_simhash_trie, op9_text_to_tag, op10_language_mixture)}
 SQL: dict[str, str] = {}
