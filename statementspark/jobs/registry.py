@@ -1,4 +1,526 @@
 """Every query by name, and the SQL that says the same."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed, rules, scalars
+from ..operators import categorize as C
+from ..operators import insights as I
+from ..operators import merchant, proof, review
+from ..sources import statements, stores
+from . import ledger as L
+from . import oracle as O
+from .oracle import ALL, ANNOTATED, BASE, INCOME, LEDGER, SPEND, hit, q
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+ACCOUNT = ("account_id",)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merchant.annotate(L.ledger(spark, sf_dir))
+
+
+def categorized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.categorize(L.ledger(spark, sf_dir), L.overrides(spark), L.cache(spark), rules.load_rules(spark))
+
+
+# Scalars, each on narrations or amounts of the whole ledger.
+
+
+@query(f"{BASE} SELECT o_orderkey, {O.channel('description')} AS channel FROM ledger")
+def detect_channel(spark, sf_dir):
+    return L.ledger(spark, sf_dir).select("o_orderkey", scalars.detect_channel(F.col("description")).alias("channel"))
+
+
+@query(f"{BASE} SELECT o_orderkey, nullif(lower(regexp_extract(description, {q(fixed.VPA)}, 0)), '') AS vpa FROM ledger")
+def extract_vpa(spark, sf_dir):
+    return L.ledger(spark, sf_dir).select("o_orderkey", scalars.extract_vpa(F.col("description")).alias("vpa"))
+
+
+@query(f"{BASE} SELECT o_orderkey, {O.canonical('description')} AS canonical FROM ledger")
+def canonical_merchant(spark, sf_dir):
+    return L.ledger(spark, sf_dir).select("o_orderkey", scalars.canonical_merchant(F.col("description")).alias("canonical"))
+
+
+@query(f"{BASE} SELECT o_orderkey, {O.key('description')} AS made_key FROM ledger")
+def make_key(spark, sf_dir):
+    return L.ledger(spark, sf_dir).select("o_orderkey", scalars.make_key(F.col("description")).alias("made_key"))
+
+
+@query(f"{BASE}, t AS (SELECT o_orderkey, unnest(string_split_regex(upper(trim(description)), '[\\s/-]+')) AS token FROM ledger) SELECT o_orderkey, token, {O.noise('token')} AS noise FROM t")
+def is_noise_token(spark, sf_dir):
+    rows = L.ledger(spark, sf_dir).select("o_orderkey", F.explode(F.split(F.upper(F.trim("description")), r"[\s/-]+")).alias("token"))
+    return rows.select("o_orderkey", "token", scalars.is_noise_token(F.col("token")).alias("noise"))
+
+
+@query(f"{BASE} SELECT o_orderkey, {O.phrase('upper(description)')} AS phrase FROM ledger")
+def clean_phrase(spark, sf_dir):
+    return L.ledger(spark, sf_dir).select("o_orderkey", scalars.clean_phrase(F.upper("description")).alias("phrase"))
+
+
+@query(f"{BASE} SELECT o_orderkey, {O.display('description')} AS display FROM ledger")
+def display_name(spark, sf_dir):
+    return L.ledger(spark, sf_dir).select("o_orderkey", scalars.display_name(F.col("description")).alias("display"))
+
+
+_SHAPES = "CASE seq % 5 WHEN 0 THEN {m} WHEN 1 THEN '(' || {m} || ')' WHEN 2 THEN 'Rs. ' || {m} || ' Cr' WHEN 3 THEN '-' || {m} ELSE 'NIL' END".format(m=L._money("(debit + credit)"))
+
+
+@query(
+    f"{BASE}, t AS (SELECT o_orderkey, {_SHAPES} AS raw FROM ledger), n AS (SELECT *, replace(regexp_extract(trim(raw), {q(fixed.AMOUNT)}, 1), ',', '') AS x FROM t)"
+    " SELECT o_orderkey, CASE WHEN raw LIKE '(%)' THEN -abs(try_cast(nullif(x, '') AS DOUBLE)) ELSE try_cast(nullif(x, '') AS DOUBLE) END AS amount FROM n"
+)
+def clean_amount(spark, sf_dir):
+    return L.ledger(spark, sf_dir).select("o_orderkey", scalars.clean_amount(F.expr(_SHAPES)).alias("amount"))
+
+
+_FILE_DATE = L._DATE
+
+
+@query(f"{BASE} SELECT o_orderkey, date FROM ledger")
+def parse_dates(spark, sf_dir):
+    rows = L.ledger(spark, sf_dir).select("o_orderkey", "source_file", F.expr(_FILE_DATE).alias("date_text"))
+    return statements.parse_dates(rows).select("o_orderkey", "date")
+
+
+@query(f"{BASE} SELECT o_orderkey, description AS body FROM ledger")
+def strip_value_date(spark, sf_dir):
+    rows = L.ledger(spark, sf_dir)
+    shown = F.concat("description", F.lit(" "), F.date_format("date", "dd/MM/yyyy"))
+    return rows.select("o_orderkey", scalars.strip_value_date(shown, F.col("date")).alias("body"))
+
+
+@query(f"{BASE} SELECT o_orderkey, {hit('lower(description)', fixed.BOILERPLATE)} AS boilerplate FROM ledger")
+def is_boilerplate(spark, sf_dir):
+    return L.ledger(spark, sf_dir).select("o_orderkey", scalars.is_boilerplate(F.col("description")).alias("boilerplate"))
+
+
+_W = "CAST(CAST(round_even(abs(balance), 0) AS BIGINT) AS VARCHAR)"
+
+
+@query(
+    f"{BASE}, w AS (SELECT *, {_W} AS w FROM ledger), h AS (SELECT *, CASE WHEN length(w) > 3 THEN w[1:length(w) - 3] ELSE '' END AS h FROM w)"
+    " SELECT o_orderkey, CASE WHEN balance < 0 THEN '-' ELSE '' END || '₹' || CASE WHEN h = '' THEN w ELSE"
+    " (CASE WHEN length(h) > 4 THEN h[1:length(h) - 4] || ',' ELSE '' END) || (CASE WHEN length(h) > 2 THEN h[greatest(1, length(h) - 3):length(h) - 2] || ',' ELSE '' END) || h[greatest(1, length(h) - 1):] || ',' || w[length(w) - 2:] END AS shown FROM h"
+)
+def rupees(spark, sf_dir):
+    return L.ledger(spark, sf_dir).select("o_orderkey", scalars.rupees(F.col("balance")).alias("shown"))
+
+
+@query(
+    f"{BASE}, m AS (SELECT o_orderkey, balance, abs(balance) AS m FROM ledger) SELECT o_orderkey, CASE WHEN balance < 0 THEN '-' ELSE '' END || '₹' ||"
+    " CASE WHEN m >= 1e7 THEN printf('%.2f', round_even(m / 1e7, 2)) || 'Cr' WHEN m >= 1e5 THEN printf('%.2f', round_even(m / 1e5, 2)) || 'L' WHEN m >= 1e3 THEN printf('%.1f', round_even(m / 1e3, 1)) || 'k' ELSE printf('%.0f', round_even(m, 0)) END AS shown FROM m"
+)
+def compact(spark, sf_dir):
+    return L.ledger(spark, sf_dir).select("o_orderkey", scalars.compact(F.col("balance")).alias("shown"))
+
+
+# Merchants and categories.
+
+
+@query(f"{BASE}, {ANNOTATED} SELECT o_orderkey, merchant, merchant_key, channel, vpa FROM annotated")
+def annotate(spark, sf_dir):
+    return annotated(spark, sf_dir).select("o_orderkey", "merchant", "merchant_key", "channel", "vpa")
+
+
+@query(f"{ALL} SELECT merchant_key, description, rule_category AS category, specificity FROM matched")
+def match_rules(spark, sf_dir):
+    return C.match_rules(annotated(spark, sf_dir), rules.load_rules(spark))
+
+
+@query(f"{ALL} SELECT o_orderkey, merchant_key, category, category_source, confidence FROM categorized")
+def categorize(spark, sf_dir):
+    return categorized(spark, sf_dir).select("o_orderkey", "merchant_key", "category", "category_source", "confidence")
+
+
+_PENDING = f"{ALL}, pending AS (SELECT merchant_key, merchant, description AS narration, channel, CASE WHEN credit > 0 THEN 'credit' ELSE 'debit' END AS direction, debit + credit AS amount FROM (SELECT *, row_number() OVER (PARTITION BY merchant_key ORDER BY debit + credit DESC, date, source_file, seq) AS n FROM categorized WHERE category = 'Uncategorised') WHERE n = 1)"
+
+
+@query(f"{_PENDING} SELECT * FROM pending")
+def pending_merchants(spark, sf_dir):
+    return C.pending_merchants(categorized(spark, sf_dir))
+
+
+@query(f"{_PENDING} SELECT CAST(floor((row_number() OVER (ORDER BY amount DESC, merchant_key) - 1) / 40) AS BIGINT) AS batch, merchant_key, merchant, narration, channel, direction FROM pending ORDER BY amount DESC, merchant_key LIMIT 400")
+def batch_merchants(spark, sf_dir):
+    return C.batch_merchants(C.pending_merchants(categorized(spark, sf_dir)))
+
+
+_VALID = f"{_PENDING}, valid AS (SELECT l.* FROM labels l WHERE category IN {O._in(fixed.CATEGORIES[:-1])} AND merchant_key IN (SELECT merchant_key FROM pending))"
+
+
+@query(f"{_VALID} SELECT merchant_key, category, display, confidence, model FROM valid")
+def validate_labels(spark, sf_dir):
+    return C.validate_labels(L.labels(spark), C.pending_merchants(categorized(spark, sf_dir)))
+
+
+_LABELLED = "CASE WHEN c.category = 'Uncategorised' AND v.category IS NOT NULL THEN {} ELSE {} END"
+
+
+@query(f"{_VALID} SELECT o_orderkey, {_LABELLED.format('v.category', 'c.category')} AS category, {_LABELLED.format(q('llm'), 'c.category_source')} AS category_source, {_LABELLED.format('coalesce(v.confidence, 0.8)', 'c.confidence')} AS confidence FROM categorized c LEFT JOIN valid v ON c.merchant_key = v.merchant_key")
+def apply_labels(spark, sf_dir):
+    rows = categorized(spark, sf_dir)
+    valid = C.validate_labels(L.labels(spark), C.pending_merchants(rows))
+    return C.apply_labels(rows, valid).select("o_orderkey", "category", "category_source", "confidence")
+
+
+@query(f"{_VALID}, new AS (SELECT {O.key('merchant_key')} AS merchant_key, category, coalesce(nullif(display, ''), merchant_key) AS display, round(confidence, 3) AS confidence, model FROM valid) SELECT * FROM new UNION ALL SELECT * FROM cache WHERE merchant_key NOT IN (SELECT merchant_key FROM new)")
+def remember(spark, sf_dir):
+    return C.remember(L.cache(spark), C.validate_labels(L.labels(spark), C.pending_merchants(categorized(spark, sf_dir))))
+
+
+_EDITS = "SELECT merchant_key, CASE WHEN max(account_id) % 3 = 0 THEN 'Uncategorised' ELSE 'Shopping' END AS category, max(seq) AS seq FROM {} WHERE account_id % 2 = 0 GROUP BY merchant_key"
+
+
+@query(f"{ALL}, edits AS ({_EDITS.format('categorized')}), last AS (SELECT {O.key('merchant_key')} AS merchant_key, arg_max(category, seq) AS category FROM edits GROUP BY 1) SELECT merchant_key, category FROM overrides WHERE merchant_key NOT IN (SELECT merchant_key FROM last) UNION ALL SELECT merchant_key, category FROM last WHERE category <> 'Uncategorised'")
+def set_overrides(spark, sf_dir):
+    edits = spark.sql(_EDITS.format("{rows}"), rows=annotated(spark, sf_dir))
+    return C.set_overrides(L.overrides(spark), edits)
+
+
+_LABEL = "CASE category_source " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in fixed.SOURCE_LABELS.items()) + " ELSE category_source END"
+
+
+@query(f"{ALL} SELECT o_orderkey, {_LABEL} || CASE WHEN category_source IN ('cache', 'llm') AND k.model <> '' THEN ' (' || split_part(k.model, '-', 1) || ')' ELSE '' END AS decided_by FROM categorized c LEFT JOIN (SELECT merchant_key AS mk, model FROM cache) k ON c.merchant_key = k.mk")
+def decided_by_labels(spark, sf_dir):
+    return C.decided_by_labels(categorized(spark, sf_dir), L.cache(spark)).select("o_orderkey", "decided_by")
+
+
+@query(f"{ALL} SELECT account_id, count(*) AS rows, count(*) FILTER (category <> 'Uncategorised') AS rows_categorised, round(sum(debit + credit), 2) AS value, round(coalesce(sum(debit + credit) FILTER (category <> 'Uncategorised'), 0), 2) AS value_categorised, round(count(*) FILTER (category <> 'Uncategorised') / count(*), 6) AS row_rate, round(round(coalesce(sum(debit + credit) FILTER (category <> 'Uncategorised'), 0), 2) / round(sum(debit + credit), 2), 6) AS value_rate FROM categorized GROUP BY account_id")
+def coverage(spark, sf_dir):
+    return C.coverage(categorized(spark, sf_dir), ACCOUNT)
+
+
+# Rollups.
+
+
+@query(f"{ALL} SELECT o_orderkey, debit, category FROM categorized WHERE {SPEND}")
+def spending(spark, sf_dir):
+    return I.spending(categorized(spark, sf_dir)).select("o_orderkey", "debit", "category")
+
+
+@query(f"{ALL} SELECT o_orderkey, credit, category FROM categorized WHERE {INCOME}")
+def income(spark, sf_dir):
+    return I.income(categorized(spark, sf_dir)).select("o_orderkey", "credit", "category")
+
+
+START, END = "1997-01-01", "1999-06-30"
+_IN = f"date BETWEEN DATE '{START}' AND DATE '{END}'"
+
+
+@query(f"{BASE} SELECT o_orderkey, date FROM ledger WHERE {_IN}")
+def filter_period(spark, sf_dir):
+    return I.filter_period(L.ledger(spark, sf_dir), START, END).select("o_orderkey", "date")
+
+
+_SPAN = "SELECT account_id, min(date) AS start, max(date) AS \"end\", CAST(max(date) - min(date) + 1 AS INT) AS span_days FROM ledger GROUP BY account_id"
+
+
+@query(f"{BASE} {_SPAN}")
+def statement_span(spark, sf_dir):
+    return I.statement_span(L.ledger(spark, sf_dir), ACCOUNT)
+
+
+@query(f"{BASE}, s AS ({_SPAN}) SELECT account_id, CASE WHEN span_days > 6 * 30.44 THEN greatest(CAST(\"end\" - INTERVAL 6 MONTH AS DATE) + 1, start) ELSE start END AS start, \"end\" FROM s")
+def resolve_period(spark, sf_dir):
+    return I.resolve_period(L.ledger(spark, sf_dir), 6, ACCOUNT)
+
+
+_BYCAT = f"SELECT category, round(sum(debit), 2) AS amount, count(*) AS transactions FROM categorized WHERE {SPEND} GROUP BY category"
+
+
+@query(f"{ALL}, g AS ({_BYCAT}) SELECT *, round(amount / sum(amount) OVER (), 6) AS share FROM g")
+def by_category(spark, sf_dir):
+    return I.by_category(categorized(spark, sf_dir))
+
+
+_MONTH = "CAST(date_trunc('month', date) AS DATE)"
+
+
+@query(f"{ALL}, g AS (SELECT category, round(sum(debit), 2) AS a FROM categorized WHERE {SPEND} GROUP BY category), r AS (SELECT category, CASE WHEN row_number() OVER (ORDER BY a DESC, category) <= 7 THEN category ELSE 'Other' END AS bucket FROM g), c AS (SELECT {_MONTH} AS month, bucket, round(sum(debit), 2) AS amount FROM categorized JOIN r USING (category) WHERE {SPEND} GROUP BY ALL) SELECT m.month, b.bucket, coalesce(c.amount, 0) AS amount FROM (SELECT DISTINCT month FROM c) m CROSS JOIN (SELECT DISTINCT bucket FROM c) b LEFT JOIN c ON c.month = m.month AND c.bucket = b.bucket")
+def by_month(spark, sf_dir):
+    return I.by_month(categorized(spark, sf_dir))
+
+
+@query(f"{ALL} SELECT account_id, {_MONTH} AS month, round(coalesce(sum(credit) FILTER ({INCOME}), 0), 2) AS income, round(coalesce(sum(debit) FILTER ({SPEND}), 0), 2) AS spend, round(round(coalesce(sum(credit) FILTER ({INCOME}), 0), 2) - round(coalesce(sum(debit) FILTER ({SPEND}), 0), 2), 2) AS net FROM categorized GROUP BY ALL")
+def monthly_totals(spark, sf_dir):
+    return I.monthly_totals(categorized(spark, sf_dir), keys=ACCOUNT)
+
+
+@query(f"{ALL}, n AS (SELECT merchant_key, merchant, category, count(*) AS k FROM categorized WHERE {SPEND} GROUP BY ALL), m AS (SELECT merchant_key, merchant, category FROM n QUALIFY row_number() OVER (PARTITION BY merchant_key, merchant ORDER BY k DESC, category) = 1), s AS (SELECT merchant_key, merchant, round(sum(debit), 2) AS amount, count(*) AS transactions FROM categorized WHERE {SPEND} GROUP BY ALL) SELECT s.*, m.category FROM s JOIN m USING (merchant_key, merchant) ORDER BY amount DESC, merchant_key, merchant LIMIT 15")
+def top_merchants(spark, sf_dir):
+    return I.top_merchants(categorized(spark, sf_dir))
+
+
+@query(f"{ALL}, d AS (SELECT account_id, date, round(sum(debit), 2) AS amount FROM categorized WHERE {SPEND} GROUP BY ALL), s AS (SELECT account_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d GROUP BY account_id), f AS (SELECT s.account_id, s.date, coalesce(amount, 0) AS amount FROM s LEFT JOIN d ON d.account_id = s.account_id AND d.date = s.date) SELECT *, round(avg(amount) OVER (PARTITION BY account_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS rolling FROM f")
+def daily(spark, sf_dir):
+    return I.daily(categorized(spark, sf_dir), keys=ACCOUNT)
+
+
+def _head(rows: str, per: str) -> str:
+    return (
+        f"SELECT account_id, round(coalesce(sum(credit) FILTER ({INCOME}), 0), 2) AS money_in, round(coalesce(sum(debit) FILTER ({SPEND}), 0), 2) AS money_out, round(sum(debit) - coalesce(sum(debit) FILTER ({SPEND}), 0), 2) AS excluded,"
+        f' count(*) AS transactions, count(DISTINCT date_trunc(\'month\', date)) AS months, min(date) AS start, max(date) AS "end", round(round(coalesce(sum(credit) FILTER ({INCOME}), 0), 2) - round(coalesce(sum(debit) FILTER ({SPEND}), 0), 2), 2) AS net,'
+        f" round(round(coalesce(sum(debit) FILTER ({SPEND}), 0), 2) / {per}, 2) AS monthly_burn FROM {rows} GROUP BY account_id"
+    )
+
+
+def _largest(rows: str) -> str:
+    return f"SELECT account_id, merchant AS largest_merchant, debit AS largest_amount, date AS largest_date, category AS largest_category FROM {rows} WHERE {SPEND} QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY debit DESC, date, seq) = 1"
+
+
+@query(f"{ALL}, h AS ({_head('categorized', 'greatest(1, count(DISTINCT date_trunc(' + q('month') + ', date)))')}), l AS ({_largest('categorized')}) SELECT h.*, largest_merchant, largest_amount, largest_date, largest_category FROM h LEFT JOIN l USING (account_id)")
+def headline(spark, sf_dir):
+    return I.headline(categorized(spark, sf_dir), keys=ACCOUNT)
+
+
+_BALANCES = (
+    f"SELECT account_id, count(DISTINCT source_file) AS files, arg_max(balance, (date, seq)) FILTER (balance IS NOT NULL AND {_IN}) AS c, arg_max(balance, (date, seq)) FILTER (balance IS NOT NULL AND date < DATE '{START}') AS e,"
+    f" arg_min(balance - credit + debit, (date, seq)) FILTER (balance IS NOT NULL AND {_IN}) AS u FROM {{}} GROUP BY account_id"
+)
+_BALSEL = "round(CASE WHEN c IS NOT NULL THEN coalesce(e, u) END, 2) AS opening_balance, round(c, 2) AS closing_balance, round(round(c, 2) - round(CASE WHEN c IS NOT NULL THEN coalesce(e, u) END, 2), 2) AS balance_change"
+BROKEN_SQL = L.BROKEN.replace("{ledger}", "ledger")
+
+
+@query(f"{BASE}, broken AS ({BROKEN_SQL}), b AS ({_BALANCES.format('broken')}) SELECT account_id, {_BALSEL} FROM b")
+def period_balances(spark, sf_dir):
+    return I.period_balances(L.broken(spark, sf_dir), START, END, ACCOUNT)
+
+
+@query(
+    f"{ALL}, v AS (SELECT * FROM categorized WHERE {_IN}), h AS ({_head('v', '((DATE ' + q(END) + ' - DATE ' + q(START) + ' + 1) / 30.44)')}), l AS ({_largest('v')}), b AS ({_BALANCES.format('categorized')}),"
+    f" n AS (SELECT account_id, count(*) AS total FROM categorized GROUP BY 1), k AS (SELECT account_id, count(*) FILTER (credit > 0) AS credits, count(*) FILTER (debit > 0) AS debits FROM v GROUP BY 1)"
+    f" SELECT h.*, largest_merchant, largest_amount, largest_date, largest_category, CAST(DATE '{END}' - DATE '{START}' + 1 AS INT) AS days, credits, debits, total, {_BALSEL} FROM h LEFT JOIN l USING (account_id) JOIN b USING (account_id) JOIN n USING (account_id) JOIN k USING (account_id)"
+)
+def period_summary(spark, sf_dir):
+    return I.period_summary(categorized(spark, sf_dir), START, END, keys=ACCOUNT)
+
+
+RECURRING = "WITH recur AS (" + L.RECURRING.replace("{day}", L.DUCK_DAY).replace("{customer}", "customer") + ")"
+_CADENCE = "CASE " + " ".join(f"WHEN g BETWEEN {a} AND {b} THEN '{c}'" for c, a, b in fixed.CADENCES) + " END"
+_RECUR = (
+    f"{RECURRING}, gaps AS (SELECT *, date - lag(date) OVER (PARTITION BY account_id, merchant_key ORDER BY date) AS gap FROM recur WHERE debit > 0 AND category <> 'Cash Withdrawal'),"
+    " a AS (SELECT account_id, merchant_key, merchant, min(category) AS category, median(debit) AS m, min(debit) AS lo, max(debit) AS hi, median(gap) AS g, min(gap) AS g0, max(gap) AS g1, count(*) AS occurrences, round(sum(debit), 2) AS total, max(date) AS last_paid FROM gaps GROUP BY ALL),"
+    f" r AS (SELECT account_id, merchant_key, merchant, category, round(m, 2) AS typical_amount, {_CADENCE} AS cadence, occurrences, total, last_paid, last_paid + CAST(round_even(g, 0) AS INT) AS next_expected FROM a"
+    " WHERE occurrences >= 3 AND m > 0 AND greatest(hi - m, m - lo) / m <= 0.15 AND greatest(g1 - g, g - g0) <= greatest(5, g * 0.35))"
+)
+
+
+@query(f"{_RECUR} SELECT * FROM r WHERE cadence IS NOT NULL")
+def detect_recurring(spark, sf_dir):
+    return I.detect_recurring(L.recurring(spark, sf_dir), keys=ACCOUNT)
+
+
+_FACTOR = "CASE cadence " + " ".join(f"WHEN '{c}' THEN {x}" for c, x in fixed.PER_MONTH.items()) + " END"
+_NOT = O._in(fixed.NOT_SPENDING)
+
+
+@query(f"{_RECUR} SELECT round(coalesce(sum(typical_amount * {_FACTOR}) FILTER (category NOT IN {_NOT}), 0), 2) AS per_month, count(*) FILTER (category IN {_NOT}) AS committed, round(round(coalesce(sum(typical_amount * {_FACTOR}) FILTER (category NOT IN {_NOT}), 0), 2) * 12, 2) AS per_year FROM r WHERE cadence IS NOT NULL")
+def recurring_run_rate(spark, sf_dir):
+    return I.recurring_run_rate(I.detect_recurring(L.recurring(spark, sf_dir), keys=ACCOUNT))
+
+
+@query(f"{ALL} SELECT account_id, category, round(sum(debit), 2) AS amount, category IN {_NOT} AS not_spending FROM categorized GROUP BY ALL")
+def category_totals(spark, sf_dir):
+    return I.category_totals(categorized(spark, sf_dir), ACCOUNT)
+
+
+# Review.
+
+
+@query(f"{ALL} SELECT o_orderkey, category, confidence FROM categorized WHERE category = 'Uncategorised' OR (confidence < 0.7 AND category_source <> 'override')")
+def needs_review(spark, sf_dir):
+    return review.needs_review(categorized(spark, sf_dir)).select("o_orderkey", "category", "confidence")
+
+
+@query(f"{ALL} SELECT account_id, count(*) FILTER ((category = 'Uncategorised' OR (confidence < 0.7 AND category_source <> 'override')) AND NOT {_IN}) AS elsewhere FROM categorized GROUP BY account_id")
+def review_elsewhere(spark, sf_dir):
+    return review.review_elsewhere(categorized(spark, sf_dir), START, END, keys=ACCOUNT)
+
+
+_FILTER = "category IN ('Shopping', 'Groceries') AND (regexp_matches(lower(merchant), 'big|flip.*net') OR regexp_matches(lower(description), 'big|flip.*net')) AND debit + credit >= 50000"
+
+
+def _filtered(spark, sf_dir):
+    return review.apply_filters(categorized(spark, sf_dir), ["Shopping", "Groceries"], "big|flip.*net", 50000)
+
+
+@query(f"{ALL} SELECT o_orderkey, merchant, category FROM categorized WHERE {_FILTER}")
+def apply_filters(spark, sf_dir):
+    return _filtered(spark, sf_dir).select("o_orderkey", "merchant", "category")
+
+
+@query(f"{ALL} SELECT count(*) AS transactions, round(coalesce(sum(debit), 0), 2) AS debit, round(coalesce(sum(credit), 0), 2) AS credit FROM categorized WHERE {_FILTER}")
+def filtered_totals(spark, sf_dir):
+    return I.filtered_totals(_filtered(spark, sf_dir))
+
+
+@query(f"{BASE} SELECT o_orderkey, debit + credit AS amount, CASE WHEN debit > 0 THEN 'Out' ELSE 'In' END AS direction FROM ledger")
+def with_amount_direction(spark, sf_dir):
+    return review.with_amount_direction(L.ledger(spark, sf_dir)).select("o_orderkey", "amount", "direction")
+
+
+@query(f"{BASE} SELECT o_orderkey, debit, credit FROM ledger")
+def sort_transactions(spark, sf_dir):
+    return review.sort_transactions(L.ledger(spark, sf_dir), "amount", False).select("o_orderkey", "debit", "credit")
+
+
+@query(f"{BASE} SELECT account_id, seq, description FROM ledger ORDER BY account_id, seq LIMIT 200")
+def preview(spark, sf_dir):
+    return review.preview(L.ledger(spark, sf_dir)).select("account_id", "seq", "description")
+
+
+@query(f"{ALL} SELECT date, description, merchant, category, channel, CASE WHEN debit > 0 THEN 'Out' ELSE 'In' END AS direction, debit, credit, balance, {_LABEL} || CASE WHEN category_source IN ('cache', 'llm') AND k.model <> '' THEN ' (' || split_part(k.model, '-', 1) || ')' ELSE '' END AS category_source, confidence, source_file FROM categorized c LEFT JOIN (SELECT merchant_key AS mk, model FROM cache) k ON c.merchant_key = k.mk")
+def export_transactions(spark, sf_dir):
+    return stores.export_columns(C.decided_by_labels(categorized(spark, sf_dir), L.cache(spark)))
+
+
+# Proof.
+
+_BROKEN = f"{BASE}, broken AS ({BROKEN_SQL})"
+_PROVED = f"{_BROKEN}, p AS (SELECT *, lag(balance) OVER w AS b, CAST(row_number() OVER w - 1 AS INT) AS row_no FROM broken WINDOW w AS (PARTITION BY source_file ORDER BY seq)), proved AS (SELECT *, CASE WHEN row_no = 0 THEN balance IS NOT NULL ELSE coalesce(abs((balance - b) - (credit - debit)) <= 0.02, true) END AS reconciled FROM p)"
+
+
+@query(f"{_PROVED} SELECT o_orderkey, row_no, reconciled FROM proved")
+def reconcile(spark, sf_dir):
+    return proof.reconcile(L.broken(spark, sf_dir)).select("o_orderkey", "row_no", "reconciled")
+
+
+_REPORT = (
+    f"{_PROVED}, a AS (SELECT source_file, count(*) AS rows_total, count(*) FILTER (reconciled) AS good, count(balance) >= 2 AS has_balance, count(*) FILTER (NOT reconciled) AS bad, array_to_string(list(row_no ORDER BY row_no) FILTER (NOT reconciled), ',') AS nos FROM proved GROUP BY 1),"
+    " report AS (SELECT source_file, rows_total, CASE WHEN has_balance THEN good ELSE 0 END AS rows_reconciled, CASE WHEN has_balance THEN coalesce(nos, '') ELSE '' END AS unreconciled_rows, has_balance, has_balance AND bad = 0 AS reconciled, CASE WHEN has_balance THEN round(good / rows_total, 6) ELSE 0 END AS reconciliation_rate,"
+    " CASE WHEN NOT has_balance THEN rows_total || ' rows parsed (no balance column — cannot verify)' WHEN bad = 0 THEN 'Reconciled ' || good || '/' || rows_total || ' rows' ELSE 'Reconciled ' || good || '/' || rows_total || ' rows — ' || bad || ' row(s) do not add up' END AS summary FROM a)"
+)
+
+
+def _report(spark, sf_dir):
+    return proof.parse_report(proof.reconcile(L.broken(spark, sf_dir)))
+
+
+@query(f"{_REPORT} SELECT * FROM report")
+def parse_report(spark, sf_dir):
+    return _report(spark, sf_dir).withColumn("unreconciled_rows", F.array_join("unreconciled_rows", ","))
+
+
+@query(f"{_REPORT} SELECT CAST(sum(rows_total) AS BIGINT) AS rows_total, CAST(sum(rows_reconciled) AS BIGINT) AS rows_reconciled, bool_and(reconciled) AS all_reconciled, bool_or(has_balance) AS any_balance, count(*) FILTER (NOT reconciled) AS problem_files FROM report")
+def trust_summary(spark, sf_dir):
+    return proof.trust_summary(_report(spark, sf_dir))
+
+
+@query(f"{_REPORT}, c AS (SELECT source_file, 1 AS strategy_no, rows_total, reconciliation_rate FROM report UNION ALL SELECT source_file, 2, rows_total - 1, 0.9 FROM report) SELECT * FROM c WHERE rows_total >= 2 QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY reconciliation_rate DESC, rows_total DESC, strategy_no) = 1")
+def pick_best_parse(spark, sf_dir):
+    report = _report(spark, sf_dir)
+    one = report.select("source_file", F.lit(1).alias("strategy_no"), "rows_total", "reconciliation_rate")
+    two = report.select("source_file", F.lit(2).alias("strategy_no"), (F.col("rows_total") - 1).alias("rows_total"), F.lit(0.9).alias("reconciliation_rate"))
+    return proof.pick_best_parse(one.unionByName(two))
+
+
+@query(
+    f"{_BROKEN}, p AS (SELECT *, last_value(balance IGNORE NULLS) OVER (PARTITION BY source_file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, debit + credit AS a FROM broken),"
+    " k AS (SELECT *, ambiguous AND balance IS NOT NULL AND p IS NOT NULL AS known, CASE WHEN abs(balance - p + a) <= 0.02 THEN true WHEN abs(balance - p - a) <= 0.02 THEN false ELSE balance - p < 0 END AS out FROM p)"
+    " SELECT o_orderkey, CASE WHEN known THEN CASE WHEN out THEN a ELSE 0 END ELSE debit END AS debit, CASE WHEN known THEN CASE WHEN out THEN 0 ELSE a END ELSE credit END AS credit FROM k"
+)
+def direction_from_balance(spark, sf_dir):
+    return proof.direction_from_balance(L.broken(spark, sf_dir)).select("o_orderkey", "debit", "credit")
+
+
+@query(f"{BASE}, c AS (SELECT account_id, count(*) AS n, count(*) FILTER (s < 0) AS back, count(*) FILTER (s > 0) AS ahead FROM (SELECT account_id, date - lag(date) OVER (PARTITION BY account_id ORDER BY CASE WHEN account_id % 5 = 0 THEN -seq ELSE seq END) AS s FROM ledger) GROUP BY 1) SELECT o_orderkey, CASE WHEN (account_id % 5 = 0) = (n >= 3 AND back > ahead) THEN seq ELSE n + 1 - seq END AS seq FROM ledger JOIN c USING (account_id)")
+def ensure_chronological(spark, sf_dir):
+    rows = L.ledger(spark, sf_dir).withColumn("line_no", F.when(F.col("account_id") % 5 == 0, -F.col("seq")).otherwise(F.col("seq"))).drop("seq")
+    return proof.ensure_chronological(rows).select("o_orderkey", "seq")
+
+
+OVERLAP_SQL = L.OVERLAP.replace("{ledger}", "ledger")
+
+
+@query(f"{BASE}, o AS ({OVERLAP_SQL}) SELECT account_id, source_file, date, description, debit, credit, balance FROM o QUALIFY row_number() OVER (PARTITION BY account_id, date, description, debit, credit, balance ORDER BY source_file, seq) = 1")
+def combine(spark, sf_dir):
+    return proof.combine(L.overlap(spark, sf_dir), ACCOUNT).select("account_id", "source_file", "date", "description", "debit", "credit", "balance")
+
+
+@query(f"{BASE}, o AS (SELECT * FROM ledger UNION ALL SELECT * REPLACE (seq + 1000 AS seq) FROM ledger WHERE o_orderkey % 3 = 0 UNION ALL SELECT * REPLACE (0 AS debit, 0 AS credit) FROM ledger WHERE o_orderkey % 7 = 0) SELECT source_file, date, description, debit, credit, balance FROM o WHERE debit > 0 OR credit > 0 QUALIFY row_number() OVER (PARTITION BY source_file, date, description, debit, credit, balance ORDER BY seq) = 1")
+def finalize(spark, sf_dir):
+    rows = L.ledger(spark, sf_dir)
+    again = rows.where("o_orderkey % 3 = 0").withColumn("seq", F.col("seq") + 1000)
+    still = rows.where("o_orderkey % 7 = 0").withColumns({"debit": F.lit(0.0), "credit": F.lit(0.0)})
+    return proof.finalize(rows.unionByName(again).unionByName(still)).select("source_file", "date", "description", "debit", "credit", "balance")
+
+
+_JUNKED = "CASE o_orderkey % 11 WHEN 0 THEN 'Opening Balance' WHEN 1 THEN 'Page 3' WHEN 2 THEN 'B/F' ELSE description END"
+
+
+@query(f"{BASE} SELECT o_orderkey FROM ledger WHERE NOT {hit(f'lower(trim({_JUNKED}))', fixed.JUNK)} AND o_orderkey % 17 <> 0")
+def drop_non_transactions(spark, sf_dir):
+    rows = L.ledger(spark, sf_dir).withColumns({"description": F.expr(_JUNKED), "date": F.when(F.col("o_orderkey") % 17 != 0, F.col("date"))})
+    return proof.drop_non_transactions(rows).select("o_orderkey")
+
+
+# Ingest: statements rendered from the ledger, read back.
+
+_SQUEEZED = "trim(regexp_replace(description, '\\s+', ' ', 'g'))"
+
+
+@query(f"{BASE} SELECT DISTINCT source_file, CASE account_id % 4 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN ';' ELSE '|' END AS delimiter FROM ledger")
+def sniff_delimiter(spark, sf_dir):
+    return statements.sniff_delimiter(L.lines(spark, sf_dir))
+
+
+@query(f"{BASE} SELECT DISTINCT source_file, 3 AS header_line, CASE account_id % 3 WHEN 0 THEN 'balance=6,credit=5,date=3,debit=4,description=1' WHEN 1 THEN 'amount=3,balance=5,date=1,description=2,drcr=4' ELSE 'balance=6,date=1,description=3,drcr=5' END AS mapping FROM ledger")
+def find_header(spark, sf_dir):
+    lines = L.lines(spark, sf_dir)
+    found = statements.find_header(statements.split_cells(lines, statements.sniff_delimiter(lines)))
+    pairs = F.array_sort(F.transform(F.map_entries("mapping"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return found.select("source_file", "header_line", F.array_join(pairs, ",").alias("mapping"))
+
+
+@query(f"{BASE} SELECT source_file, seq, date, {_SQUEEZED} AS description, debit, credit, balance FROM ledger")
+def ingest(spark, sf_dir):
+    rows, _ = statements.ingest_lines(L.lines(spark, sf_dir))
+    return rows.select("source_file", "seq", "date", "description", "debit", "credit", "balance")
+
+
+_WRAPPED = "CASE WHEN length(description) > 44 THEN substr(description, 1, 40) || ' ' || substr(description, 41) ELSE substr(description, 1, 40) END"
+
+
+@query(f"{BASE} SELECT source_file, date, {_SQUEEZED.replace('description', _WRAPPED)} AS description, round(debit + credit, 2) AS amount, round(abs(balance), 2) AS balance FROM ledger")
+def parse_text_statement(spark, sf_dir):
+    rows = statements.parse_text_statement(L.text_lines(spark, sf_dir))
+    return rows.select("source_file", "date", "description", F.round(F.col("debit") + F.col("credit"), 2).alias("amount"), "balance")
+
+
+@query(f"WITH rules AS ({O.RULES}) SELECT pattern, category, specificity, priority, kind FROM rules, (SELECT count(*) AS n FROM ({LEDGER}) AS l) AS c WHERE n > 0")
+def load_rules(spark, sf_dir):
+    n = L.ledger(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    return rules.load_rules(spark).join(F.broadcast(n), F.col("n") > 0).drop("n")
+
+
+_CUSTOM = "SELECT DISTINCT 'Own ' || CAST(account_id % 5 AS STRING) AS name FROM {} UNION SELECT 'Travel'"
+
+
+@query(f"{BASE} SELECT name FROM ({_CUSTOM.format('ledger')}) WHERE name NOT IN {O._in(fixed.CATEGORIES)} UNION ALL SELECT unnest({O._list(fixed.CATEGORIES)}) AS name")
+def all_categories(spark, sf_dir):
+    return stores.all_categories(spark.sql(_CUSTOM.format("{rows}"), rows=L.ledger(spark, sf_dir))).select("name")
+
+
+@query(f"{BASE} SELECT name FROM ({_CUSTOM.format('ledger')}) UNION ALL SELECT 'Pets' AS name")
+def add_category(spark, sf_dir):
+    custom = spark.sql(_CUSTOM.format("{rows}"), rows=L.ledger(spark, sf_dir))
+    return stores.add_category(stores.add_category(custom, " Pets "), "own 1")
+
+
