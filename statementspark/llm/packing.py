@@ -4,9 +4,9 @@ Each task packs what it reads and keeps a pool of pieces. A document longer than
 pieces, which are sequences of their own, and a rest. For each window a bitset subset-sum dynamic programme runs
 over the pool's remaining lengths with their counts, longest first, and keeps the reachable sums after each
 length; backtracking through those bitsets gives how many pieces of each length fill the window closest to
-the capacity. The longest piece of the pool always goes into the window, so none waits for ever. At the end of the
-task, when a window can no longer be filled, the next piece is cut to fit; the very last rest is cut into
-powers of two, which need no padding.
+the capacity. The longest piece of the pool always goes into the window, so none waits for ever. Where no set of whole
+pieces fills a window, the longest piece left is cut to fit; the very last rest of a task is cut into powers of
+two, which need no padding.
 
 No row leaves its task: there is no shuffle, no group and no key that could be hot. State is one pool of at most
 ``pool`` + one batch of pieces.
@@ -107,22 +107,27 @@ class Packer:
         chosen = best_fill({k: len(v) for k, v in self.pool.items()}, self.capacity)
         return [self._take(size) for size in sorted(chosen, reverse=True) for _ in range(chosen[size])]
 
+    def _full_window(self) -> tuple[list, int]:
+        """A window and the slack left in it: where nothing fits whole, the longest piece is cut to fill it."""
+        pieces = self._window()
+        slack = self.capacity - sum(len(p[2]) for p in pieces)
+        while slack and self.waiting:
+            doc, start, ids, total = self._take(max(self.pool))
+            pieces.append((doc, start, ids[:slack], total))
+            if len(ids) > slack:
+                self.pool[len(ids) - slack].append((doc, start + slack, ids[slack:], total))
+                self.waiting += 1
+            slack -= min(slack, len(ids))
+        return pieces, slack
+
     def drain(self, least: int) -> None:
-        """Fill windows while more than ``least`` pieces wait."""
-        while self.waiting > least:
-            self._place(self._window())
+        """Fill windows while more than ``least`` pieces wait and they hold more than one window."""
+        while self.waiting > least and sum(k * len(v) for k, v in self.pool.items()) >= self.capacity:
+            self._place(self._full_window()[0])
 
     def finish(self) -> None:
         while self.waiting:
-            pieces = self._window()
-            slack = self.capacity - sum(len(p[2]) for p in pieces)
-            while slack and self.waiting:  # nothing left fits whole: cut one piece to fill the window
-                doc, start, ids, total = self._take(max(self.pool))
-                pieces.append((doc, start, ids[:slack], total))
-                if len(ids) > slack:
-                    self.pool[len(ids) - slack].append((doc, start + slack, ids[slack:], total))
-                    self.waiting += 1
-                slack -= min(slack, len(ids))
+            pieces, slack = self._full_window()
             if not slack:
                 self._place(pieces)
                 continue
