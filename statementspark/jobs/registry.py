@@ -489,7 +489,11 @@ def find_header(spark, sf_dir):
     return found.select("source_file", "header_line", F.array_join(pairs, ",").alias("mapping"))
 
 
-@query(f"{BASE} SELECT source_file, seq, date, {_SQUEEZED} AS description, debit, credit, balance FROM ledger")
+# A signed column under a flag's header needs three values to be told from a flag; shorter files are errors.
+_READABLE = "account_id % 3 <> 2 OR account_id IN (SELECT account_id FROM ledger GROUP BY 1 HAVING count(*) >= 3)"
+
+
+@query(f"{BASE} SELECT source_file, seq, date, {_SQUEEZED} AS description, debit, credit, balance FROM ledger WHERE {_READABLE}")
 def ingest(spark, sf_dir):
     rows, _ = statements.ingest_lines(L.lines(spark, sf_dir))
     return rows.select("source_file", "seq", "date", "description", "debit", "credit", "balance")
@@ -498,6 +502,12 @@ def ingest(spark, sf_dir):
 _WRAPPED = "CASE WHEN length(description) > 44 THEN substr(description, 1, 40) || ' ' || substr(description, 41) ELSE substr(description, 1, 40) END"
 
 
+@query(f"{BASE} SELECT DISTINCT 'parse' AS kind, source_file FROM ledger WHERE NOT ({_READABLE})")
+def ingest_errors(spark, sf_dir):
+    _, errors = statements.ingest_lines(L.lines(spark, sf_dir))
+    return errors.select("kind", "source_file")
+
+
 @query(f"{BASE} SELECT source_file, date, {_SQUEEZED.replace('description', _WRAPPED)} AS description, round(debit + credit, 2) AS amount, round(abs(balance), 2) AS balance FROM ledger")
 def parse_text_statement(spark, sf_dir):
     rows = statements.parse_text_statement(L.text_lines(spark, sf_dir))
