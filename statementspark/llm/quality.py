@@ -147,7 +147,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rules: int =
             best, at = max((_gain(bad, good, p, n), -k) for k, (_, p, n) in enumerate(tests))
             if best <= 1e-9:
                 break
-            rule.append(tests[-at][0])
+            name, sign, limit = tests[-at][0]
+            # Halfway to the next value seen: the same rows are covered, and unseen ones are judged by the nearer side.
+            above = rows.where(left & F.col("grow") & holds(rule, columns) & (columns[name] > limit)).agg(F.min(columns[name])).first()[0]
+            rule.append((name, sign, limit if above is None else (limit + above) / 2))
         if not rule:
             break
         covered = [holds(rule[: k + 1], columns) for k in range(len(rule))]
