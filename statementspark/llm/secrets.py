@@ -36,6 +36,7 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])(?=[A-Za-z+/_=-]*+[0-9])[
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{8,}"
 SAMPLE = 4000
 MARGIN = 14.0
+BACK_OFF = 200.0
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 NONE = f"CAST(array() AS {SPAN})"
@@ -82,17 +83,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float] | None:
     rows = docs.select(F.col("doc_id"), F.col("text")).where("text IS NOT NULL")
     order = [F.xxhash64("doc_id"), F.xxhash64("text")]
     hit = F.col("text").rlike(ASSIGN) | F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX)
-    secret = rows.where(hit).orderBy(*order).limit(sample).select(F.explode(base_spans(F.col("text"))).alias("s")).select(F.col("s.value").alias("token"))
-    plain = rows.orderBy(*order).limit(sample).withColumn("base", base_spans(F.col("text")))
+    # Only hashes are ranked, never texts; the chosen ones are at most ``sample`` pairs, a side of proven size.
+    keyed = rows.select("text", *[c.alias(n) for c, n in zip(order, ("__a", "__b"), strict=True)])
+    first = lambda some: F.broadcast(some.select("__a", "__b").orderBy("__a", "__b").limit(sample).distinct())
+    secret = keyed.join(first(keyed.where(hit)), ["__a", "__b"], "left_semi").select(F.explode(base_spans(F.col("text"))).alias("s")).select(F.col("s.value").alias("token"))
+    plain = keyed.join(first(keyed), ["__a", "__b"], "left_semi").select("text", base_spans(F.col("text")).alias("base"))
     plain = plain.select(F.explode(F.array_except(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)), F.transform("base", lambda b: b["value"]))).alias("token"))
     good, bad = _steps(secret.where(F.length("token") > 1)), _steps(plain)
     if not good or not bad:
         return None
 
     def logs(counts: dict) -> list[float]:
+        """Steps, backed off to how common the second character is, so that unseen steps are judged by that."""
+        single = [sum(counts.get((a, b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET]
+        single = [x / sum(single) for x in single]
         out = []
         for a in ALPHABET:
-            row = [counts.get((a, b), 0) + 0.5 for b in ALPHABET]
+            row = [counts.get((a, b), 0) + BACK_OFF * p for b, p in zip(ALPHABET, single, strict=True)]
             out += [math.log(x / sum(row)) for x in row]
         return out
 
