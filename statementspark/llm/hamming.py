@@ -67,24 +67,27 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     segment = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.expr(_segment("code", s)).alias("v")) for s in range(SEGMENTS)]))
     index = materialize(distinct.select("code", "ids", segment.alias("x")).select("x.s", "x.v", "code", "ids"), "mih-index")
     asked = materialize(queries.select("id", "code").distinct(), "mih-queries")
-    open_ = asked.select(F.col("code").alias("q")).distinct()
+    # ``bound``: the k-th distance so far; nothing farther can enter the answer.
+    open_ = asked.select(F.col("code").alias("q"), F.lit(BITS).alias("bound")).distinct()
     best = None
     parts = F.array(*[F.bit_count(F.expr(_segment("x", s))) for s in range(SEGMENTS)])
     for radius in range(WIDTH + 1):
         probe = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.expr(_segment("q", s)).alias("at")) for s in range(SEGMENTS)]))
-        probes = open_.select("q", probe.alias("p")).select("q", "p.s", "p.at", F.explode(F.lit(_masks(radius))).alias("m"))
-        probes = probes.select("q", "s", F.col("at").bitwiseXOR(F.col("m")).alias("v"))
+        probes = open_.select("q", "bound", probe.alias("p")).select("q", "bound", "p.s", "p.at", F.explode(F.lit(_masks(radius))).alias("m"))
+        probes = probes.select("q", "bound", "s", F.col("at").bitwiseXOR(F.col("m")).alias("v"))
         found = probes.join(index, ["s", "v"]).withColumn("x", F.col("q").bitwiseXOR(F.col("code")))
         # The first segment with the fewest differing bits speaks for the pair.
-        found = found.where(parts[F.col("s")] == F.array_min(parts)).where(F.array_position(parts, F.array_min(parts)) == F.col("s") + 1)
+        found = found.where(parts[F.col("s")] == F.array_min(parts)).where(F.array_position(parts, F.array_min(parts)) == F.col("s") + 1).where(F.bit_count("x") <= F.col("bound"))
         rows = found.select("q", F.bit_count("x").alias("d"), F.explode("ids").alias("id"))
         if best is not None:
             rows = rows.unionByName(best)
         top = F.row_number().over(Window.partitionBy("q").orderBy("d", "id")) <= most
         best = materialize(rows.withColumn("top", top).where("top").drop("top"), "mih-best")
         sure = SEGMENTS * (radius + 1) - 1
-        closed = best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).where(((F.col("n") >= most) & (F.col("d") <= sure)) | (F.col("n") >= total))
-        open_ = materialize(asked.select(F.col("code").alias("q")).distinct().join(closed, "q", "left_anti"), "mih-open")
+        state = best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d"))
+        closed = ((F.col("n") >= most) & (F.col("d") <= sure)) | (F.col("n") >= total)
+        state = open_.select("q").join(state, "q", "left").where(~F.coalesce(closed, F.lit(False)))
+        open_ = materialize(state.select("q", F.when(F.col("n") >= most, F.col("d")).otherwise(F.lit(BITS)).alias("bound")), "mih-open")
         if open_.isEmpty():
             break
     answers = asked.join(best, asked["code"] == best["q"]).where(asked["id"] != best["id"])
