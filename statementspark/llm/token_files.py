@@ -60,8 +60,8 @@ class Model:
         self.seen: list[np.ndarray] = []
         self.step = 0
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.cand1, self.sure1 = np.zeros(alphabet, np.int32), np.zeros(alphabet, np.int8)
-        self.cand2, self.sure2 = np.zeros(1 << MIX_BITS, np.int32), np.zeros(1 << MIX_BITS, np.int8)
+        # A slot holds candidate << 3 | confidence.
+        self.slots1, self.slots2 = np.zeros(alphabet, np.int64), np.zeros(1 << MIX_BITS, np.int64)
         self.hits2, self.hits1, self.miss = np.ones(64, np.int64), np.ones(64, np.int64), np.full(64, 2, np.int64)
 
     def predict(self, n: int):
@@ -71,14 +71,15 @@ class Model:
                 self.count += GAIN * np.bincount(np.concatenate(self.seen), minlength=self.alphabet)
                 self.seen = []
             np.cumsum(self.count, out=self.cum[1:])
+            self.freq = self.count.copy()
         self.step += 1
         self.h1 = self.last[:n]
         self.h2 = ((self.last[:n] * 0x9E3779B1 + self.before[:n] * 0x85EBCA77) >> 8) & ((1 << MIX_BITS) - 1)
-        self.c1, self.c2 = self.cand1[self.h1], self.cand2[self.h2]
-        self.k1, self.k2 = self.sure1[self.h1], self.sure2[self.h2]
+        self.p1, self.p2 = self.slots1[self.h1], self.slots2[self.h2]
+        self.c1, self.c2 = self.p1 >> 3, self.p2 >> 3
+        self.k1, self.k2 = self.p1 & 7, self.p2 & 7
         same = (self.c1 == self.c2) & (self.k2 > 0)
-        k1 = np.where(same, 0, self.k1)
-        self.cell = (self.k2.astype(np.int64) << 3) | k1
+        self.cell = (self.k2 << 3) | np.where(same, 0, self.k1)
         total = self.cum[-1]
         miss = self.miss
         weight2 = np.minimum(total * self.hits2 // miss, total * RATIO) * (np.arange(64) >= 8)
@@ -92,22 +93,25 @@ class Model:
         self.hits2 += np.bincount(cell[hit2], minlength=64)
         self.hits1 += np.bincount(cell[hit1 & ~hit2], minlength=64)
         self.miss += np.bincount(cell[~(hit1 | hit2)], minlength=64)
-        for hit, k, h, sure, cand in ((hit1, self.k1, self.h1, self.sure1, self.cand1), (hit2, self.k2, self.h2, self.sure2, self.cand2)):
-            gone = ~hit & (k <= 1)
-            cand[h[gone]] = ids[gone]
-            sure[h] = np.where(hit, np.minimum(k + 1, SURE), np.where(gone, 1, k >> 1))
+        fresh = ids << 3 | 1
+        for hit, p, k, h, slots in ((hit1, self.p1, self.k1, self.h1, self.slots1), (hit2, self.p2, self.k2, self.h2, self.slots2)):
+            slots[h] = np.where(hit, np.where(k < SURE, p + 1, p), np.where(k <= 1, fresh, p - k + (k >> 1)))
         self.seen.append(ids)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
 
-def _shift(low: np.ndarray, size: np.ndarray):
-    """Which lanes must put out or take in a word now; ranges that lie across a border are cut."""
-    near = (low ^ (low + size)) < TOP
-    small = ~near & (size < BOT)
-    if small.any():
-        size[small] = (~low[small] + U(1)) & (BOT - U(1))
-    return np.flatnonzero(near | small)
+def _shift(low: np.ndarray, size: np.ndarray, lanes: np.ndarray | None = None) -> np.ndarray:
+    """Which lanes (of ``lanes``) must put out or take in a word now; ranges that lie across a border are cut."""
+    a, b = (low, size) if lanes is None else (low[lanes], size[lanes])
+    near = (a ^ (a + b)) < TOP
+    small = b < BOT
+    now = np.flatnonzero(near | small)
+    out = now if lanes is None else lanes[now]
+    cut = out[small[now] & ~near[now]]
+    if len(cut):
+        size[cut] = (~low[cut] + U(1)) & (BOT - U(1))
+    return out
 
 
 def encode_ids(ids: np.ndarray, alphabet: int, lanes: int = LANES) -> list[np.ndarray]:
@@ -120,16 +124,18 @@ def encode_ids(ids: np.ndarray, alphabet: int, lanes: int = LANES) -> list[np.nd
         x = ids[t::steps].astype(np.int64)  # lane k holds ids k * steps to (k + 1) * steps
         n = len(x)
         c2, s2, c1, s1, total = model.predict(n)
-        freq = model.count_at(x) + s2 * (x == c2) + s1 * (x == c1)
+        freq = model.freq[x] + s2 * (x == c2) + s1 * (x == c1)
         start = model.cum[x] + s2 * ((c2 < x) & (c2 >= 0)) + s1 * ((c1 < x) & (c1 >= 0))
         part = size[:n] // (total + s2 + s1).astype(U)
         low[:n] += part * start.astype(U)
         size[:n] = part * freq.astype(U)
-        while len(out := _shift(low, size)):
+        out = _shift(low, size)
+        while len(out):
             words.append((low[out] >> U(48)).astype(np.uint16))
             owners.append(out)
             low[out] <<= S16
             size[out] <<= S16
+            out = _shift(low, size, out)
         model.update(x)
     for _ in range(4):
         words.append((low >> U(48)).astype(np.uint16))
@@ -162,33 +168,29 @@ def decode_ids(words: np.ndarray, sizes: np.ndarray, count: int, alphabet: int)
         has1 = c1 >= 0
         safe1 = np.where(has1, c1, 0)
         at1 = model.cum[safe1] + s2 * (c2 < safe1)
-        end2, end1 = at2 + model.count_at(c2) + s2, at1 + model.count_at(safe1) + s1
+        end2, end1 = at2 + model.freq[c2] + s2, at1 + model.freq[safe1] + s1
         is2, is1 = (v >= at2) & (v < end2), has1 & (v >= at1) & (v < end1)
-        plain = v - s2 * (v >= end2) - s1 * (has1 & (v >= end1))
-        x = np.searchsorted(model.cum, plain, side="right") - 1
-        x = np.where(is2, c2, np.where(is1, safe1, x))
-        x = np.minimum(x, alphabet - 1).astype(np.int64)
-        freq = model.count_at(x) + s2 * (x == c2) + s1 * (x == c1)
+        x = np.where(is2, c2, safe1).astype(np.int64)
+        rest = np.flatnonzero(~(is2 | is1))  # only what no candidate claims is looked up in order 0
+        r = v[rest]
+        plain = r - s2[rest] * (r >= end2[rest]) - s1[rest] * (has1[rest] & (r >= end1[rest]))
+        x[rest] = np.minimum(np.searchsorted(model.cum, plain, side="right") - 1, alphabet - 1)
+        freq = model.freq[x] + s2 * (x == c2) + s1 * (x == c1)
         start = model.cum[x] + s2 * (c2 < x) + s1 * ((c1 < x) & has1)
         low[:n] += part * start.astype(U)
         size[:n] = part * freq.astype(U)
-        while len(need := _shift(low, size)):
+        need = _shift(low, size)
+        while len(need):
             low[need] <<= S16
             size[need] <<= S16
             code[need] = (code[need] << S16) | words[np.minimum(at[need], last)]
             at[need] += 1
+            need = _shift(low, size, need)
         out[t::steps] = x
         model.update(x)
     return out
 
 
-def _count_at(self: Model, x: np.ndarray) -> np.ndarray:
-    return self.cum[x + 1] - self.cum[x]
-
-
-Model.count_at = _count_at
-
-
 def encode_block(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, alphabet: int, lanes: int = LANES) -> bytes:
     lanes = max(1, min(lanes, len(ids) // 16))
     keys = np.array([x or 0 for x in doc_ids], "<i8")
