@@ -32,7 +32,7 @@ from .common import materialize, words_of
 DISTANCE = 3
 SHINGLE = 3
 #: Depths at which a walk stops to prune; the last is the whole fingerprint.
-DEPTHS = (16, 24, 32, 40, 48, 64)
+DEPTHS = (16, 24, 32, 64)
 
 
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
@@ -129,7 +129,8 @@ def _masks(width: int, budget: int) -> list[int]:
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """All pairs (a, b), a < b, of distinct ``fp`` values that differ in at most ``distance`` bits."""
-    walks = [_walk(fps, distance, distance // 2, swap) for swap in (False, True)]
+    # Each walk is written by itself: one plan at a time for the driver to hold and compile.
+    walks = [materialize(_walk(fps, distance, distance // 2, swap), "simhash-links") for swap in (False, True)]
     return walks[0].unionByName(walks[1]).distinct()
 
 
