@@ -6,7 +6,8 @@ next stage's documents. All but the last return the columns of ``documents``.
 * language ID drops documents in which no language is found: null texts and texts without a letter.
 * line dedup drops the repeats of lines that fit a recurring template; the first stays, and so does every document
   that has a line left.
-* near-duplicate removal keeps the document with the smallest id of each component of SimHash links.
+* near-duplicate removal keeps the document with the smallest id of each component of SimHash links and of
+  links between texts with a Jaccard similarity of 0.8 or more in their 5-word shingles.
 * mixing repeats or leaves out documents so that sources come near their target weights.
 * packing returns the pieces of all documents with their places in sequences.
 """
@@ -18,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statementspark.llm import langid, line_templates, mixing, packing, simhash
+from statementspark.llm import langid, line_templates, mixing, near_copies, packing, simhash
 from statementspark.llm.common import count_words, materialize, table
 
 
@@ -35,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return simhash.keep_first(docs, similarity=near_copies.SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import materialize, words_of
 
 DISTANCE = 3
@@ -168,9 +169,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return marked.join(named, marked["fp"] == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One document of each component, with its columns: that with the smallest id, then text hash.
 
+    With ``similarity``, documents whose sets of word shingles are so similar are linked too, however many bits differ.
+
     Texts do not move: documents join, by id and text hash, the few bytes that say which of them stay. Documents that are
     equal in id and text are one document here and all stay; a component in which all ids are null keeps one text hash.
     """
@@ -178,7 +181,11 @@ def keep_first(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE
     tagged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("__key", F.xxhash64("text"))
     marked = materialize(fingerprints(tagged.select("doc_id", "text", "__key"), shingle, keep=("__key",)), "simhash")
     distinct = materialize(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")), "simhash-fps")
-    roots = components(links(distinct.select("fp"), distance))
+    found = links(distinct.select("fp"), distance)
+    if similarity is not None:
+        near = near_copies.links(tagged.select(F.col("__key").alias("key"), "text"), marked.select(F.col("__key").alias("key"), "fp"), similarity)
+        found = found.unionByName(near)
+    roots = components(found)
     rooted = distinct.join(roots, distinct["fp"] == roots["v"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
     stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.__key").alias("__k"))
     return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__d")) & (key == F.col("__k")), "left_semi")
