@@ -12,7 +12,8 @@ line), so a leaf with a third of all lines spans many tasks, and a task clusters
 time; equal templates from different tasks are summed by key. What comes back to the documents is a list of line
 numbers; their texts are shuffled only once, for that join.
 
-Null text: no lines, stays null. Lines with fewer than ``min_words`` words are never dropped. Null ids sort first. Rows equal
+Null text: no lines, stays null. Lines with fewer than ``min_words`` words are templates by themselves: only equal masked lines
+recur, and of lines of fields alone only those whose numbers are equal too. Blank lines are never dropped. Null ids sort first. Rows equal
 in id and text are one document. A document may lose all its lines; its text is then empty. Empty table: no rows.
 Other columns pass through whatever their names.
 """
@@ -36,10 +37,12 @@ FIELD = "<*>"
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def masked_lines(text) -> F.Column:
-    """Lines with variable fields masked and white space squeezed, in order."""
+def masked_lines(text, min_words: int = MIN_WORDS) -> F.Column:
+    """Lines with variable fields masked and white space squeezed, in order; a short line of fields alone stays as it is."""
+    fields = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+){{1,{max(1, min_words - 1)}}}$"
+    short = lambda x: x.rlike(fields) if min_words > 1 else F.lit(False)
     # Most lines hold no digit; finding that out is far cheaper than masking.
-    masked = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, VARIABLE, FIELD)).otherwise(x)
+    masked = lambda x: F.when(~x.rlike("[0-9]") | short(x), x).otherwise(F.regexp_replace(x, VARIABLE, FIELD))
     return F.transform(F.split(text, "\n"), lambda x: F.btrim(masked(x), F.lit(WS_CHARS)))
 
 
@@ -113,9 +116,10 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WO
     ``key`` is the hash of the masked line and ``tid`` that of the leaf and template; (first_d, first_h) is the document
     that keeps the template's first occurrence.
     """
-    lines = docs.select("d", "h", F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line"))
-    lines = lines.select("d", "h", F.xxhash64("line").alias("key"), F.split("line", WS).alias("w")).where(F.size("w") >= min_words)
-    leaf = F.xxhash64(F.size("w"), *[F.get("w", F.lit(k)) for k in range(depth)])
+    lines = docs.select("d", "h", F.explode(F.array_distinct(masked_lines(F.col("text"), min_words))).alias("line"))
+    lines = lines.where("line <> ''").select("d", "h", F.xxhash64("line").alias("key"), F.split("line", WS).alias("w"))
+    # A short line is a leaf of its own: only equal ones meet.
+    leaf = F.when(F.size("w") < min_words, F.xxhash64(F.lit(-1), "key")).otherwise(F.xxhash64(F.size("w"), *[F.get("w", F.lit(k)) for k in range(depth)]))
     lines = lines.select(leaf.alias("leaf"), "key", _codes(F.col("w")).alias("codes"), "d", "h")
     distinct = lines.groupBy("leaf", "key").agg(F.first("codes").alias("codes"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("d", "h")).alias("first"))
     distinct = distinct.select("leaf", "codes", "key", "docs", F.col("first.d").alias("d"), F.col("first.h").alias("h"))
@@ -142,7 +146,7 @@ def dedup_lines(
     """``docs`` with ``text`` less its repeated lines, and the counts ``n_lines`` and ``n_kept``."""
     keyed = docs.select(docs[id_col].cast("long").alias("d"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text"))
     found = templates(keyed, min_docs, min_words, similarity, depth, node)
-    places = keyed.select("d", "h", F.posexplode(F.transform(masked_lines(F.col("text")), lambda x: F.xxhash64(x))).alias("p", "key"))
+    places = keyed.select("d", "h", F.posexplode(F.transform(masked_lines(F.col("text"), min_words), lambda x: F.xxhash64(x))).alias("p", "key"))
     hits = places.join(found, "key").select("d", "h", F.struct("tid", "p", (F.col("d").eqNullSafe(F.col("first_d")) & (F.col("h") == F.col("first_h"))).alias("own")).alias("x"))
     lists = hits.groupBy("d", "h").agg(F.sort_array(F.array_distinct(F.collect_list("x"))).alias("x"))
     keep_one = lambda x, i: x["own"] & ((i == 0) | (F.get("x", i - 1)["tid"] != x["tid"]))

@@ -53,3 +53,8 @@ def test_nodes_are_bounded_and_batches_may_cut_a_leaf(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sum(v[2] for k, v in got.items() if k < 100) in (1, 2)
+
+
+def test_short_lines_recur_only_when_equal(spark):
+    got = run(spark, [(1, "All rights reserved.\nPage 3\n\n17", 0, ""), (2, "All rights reserved.\nPage 4\n\n18", 0, ""), (3, "All rights waived.\n17\n", 0, "")])
+    assert [got[k][0] for k in (1, 2, 3)] == ["All rights reserved.\nPage 3\n\n17", "\n18", "All rights waived.\n"]
