@@ -9,7 +9,8 @@ boilerplate goes, and the one text that is repeated is not lost.
 **At scale.** Documents give each distinct masked line once; lines are counted with map-side combining, so a line
 that every document holds is one row from each task. Distinct lines are then dealt out by *range* over (leaf,
 line), so a leaf with a third of all lines spans many tasks, and a task clusters at most ``node`` lines at a
-time; equal templates from different tasks are summed by key. What comes back to the documents is a list of line
+time. The templates of a leaf that was cut by that are then clustered again, all in one task, until nothing merges; so a
+leaf costs its slices' templates times those that remain. Equal templates are summed by key. What comes back to the documents is a list of line
 numbers; their texts are shuffled only once, for that join.
 
 Null text: no lines, stays null. Lines with fewer than ``min_words`` words are templates by themselves: only equal masked lines
@@ -72,37 +73,78 @@ def cluster(coded: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
 
 
 def parse(batches, similarity: float = SIMILARITY, node: int = NODE):
-    """Arrow: rows (leaf, codes, ...) sorted by leaf and codes; the same with each line's template for its codes."""
+    """Arrow: rows (leaf, codes, ...) sorted by leaf and codes; the same with each line's template for its codes, and ``cut``.
+
+    ``cut`` marks lines of a leaf that was clustered in more than one slice, or that may go on in another task.
+    """
     left: pa.Table | None = None
+    edges: set[int] | None = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         if left is not None:
             rows = pa.concat_tables([left, rows]).combine_chunks()
         leaf = rows.column("leaf").to_numpy()
         last = int(np.searchsorted(leaf == leaf[-1], True)) if len(leaf) else 0
+        if edges is None and len(leaf):
+            edges = {int(leaf[0])}
         # The last leaf may go on in the next batch, unless it fills a node by itself.
         done = last if len(leaf) - last < node else len(leaf)
+        if done == len(leaf) and done:
+            edges.add(int(leaf[-1]))
         if done:
-            yield from _fit(rows.slice(0, done), similarity, node)
+            yield from _fit(rows.slice(0, done), similarity, node, edges)
         left = rows.slice(done) if done < len(leaf) else None
     if left is not None and left.num_rows:
-        yield from _fit(left, similarity, node)
+        yield from _fit(left, similarity, node, edges | {left.column("leaf")[-1].as_py()})
 
 
-def _fit(rows: pa.Table, similarity: float, node: int):
+def _fit(rows: pa.Table, similarity: float, node: int, edges: set[int]):
     rows = rows.combine_chunks()
     leaf, codes = rows.column("leaf").to_numpy(), rows.column("codes").combine_chunks()
     ends = np.asarray(codes.offsets).astype(np.int64)
     flat = np.asarray(codes.values).copy()
     starts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+    cut = np.isin(leaf, np.array(sorted(edges), np.int64))
     for lo, hi in zip(starts, np.append(starts[1:], len(leaf)), strict=True):
+        cut[lo:hi] |= hi - lo > node
         for a in range(lo, hi, node):
             b = min(hi, a + node)
             if b - a > 1:
                 flat[ends[a] : ends[b]] = cluster(flat[ends[a] : ends[b]].reshape(b - a, -1), similarity).ravel()
     made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int16()))
     columns = [made if name == "codes" else rows.column(name).combine_chunks() for name in rows.column_names]
-    yield pa.RecordBatch.from_arrays(columns, names=rows.column_names)
+    yield pa.RecordBatch.from_arrays([*columns, pa.array(cut)], names=[*rows.column_names, "cut"])
+
+
+def merge(batches, similarity: float = SIMILARITY):
+    """Arrow: templates (leaf, codes, tid), each leaf whole and in order; (tid, codes) after clustering until nothing merges."""
+    left: pa.Table | None = None
+
+    def settled(rows: pa.Table):
+        rows = rows.combine_chunks()
+        leaf, codes = rows.column("leaf").to_numpy(), rows.column("codes").combine_chunks()
+        starts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+        for lo, hi in zip(starts, np.append(starts[1:], len(leaf)), strict=True):
+            now = np.array(codes.slice(lo, hi - lo).flatten()).reshape(hi - lo, -1)
+            while True:
+                lines, place = np.unique(now, axis=0, return_inverse=True)
+                then = cluster(lines, similarity)[place.ravel()]
+                if (then == now).all():
+                    break
+                now = then
+            made = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * now.shape[1], pa.int32()), pa.array(now.ravel(), pa.int16()))
+            yield pa.RecordBatch.from_arrays([rows.column("tid").slice(lo, hi - lo).combine_chunks(), made], names=["tid", "codes"])
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if left is None else pa.concat_tables([left, rows])
+        leaf = rows.column("leaf").to_numpy()
+        done = int(np.searchsorted(leaf == leaf[-1], True)) if len(leaf) else 0
+        if done:
+            yield from settled(rows.slice(0, done))
+        left = rows.slice(done)
+    if left is not None and left.num_rows:
+        yield from settled(left)
 
 
 def _codes(words: F.Column) -> F.Column:
@@ -125,9 +167,18 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WO
     distinct = distinct.select("leaf", "codes", "key", "docs", F.col("first.d").alias("d"), F.col("first.h").alias("h"))
     order = ["leaf", "codes"]
     spread = distinct.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = "leaf long, codes array<smallint>, key long, docs long, d long, h long"
+    schema = "leaf long, codes array<smallint>, key long, docs long, d long, h long, cut boolean"
     parsed = spread.mapInArrow(lambda batches: parse(batches, similarity, node), schema)
-    parsed = materialize(parsed.select(F.xxhash64("leaf", "codes").alias("tid"), "key", "docs", "d", "h"), "line-templates")
+    parts = (F.when(F.col("cut"), F.col(c)).alias(c) for c in order)
+    parsed = materialize(parsed.select(F.xxhash64("leaf", "codes").alias("tid"), "key", "docs", "d", "h", "cut", *parts), "line-slices")
+    # Templates of leaves that were cut meet again, a leaf in one task: by now they are few.
+    cut = parsed.where("cut").select("leaf", "codes", "tid").dropDuplicates(["tid"])
+    whole = cut.repartition("leaf").sortWithinPartitions("leaf", "codes")
+    moved = materialize(whole.mapInArrow(lambda batches: merge(batches, similarity), "tid long, codes array<smallint>"), "line-merged")
+    moved = cut.select("tid", "leaf").join(moved, "tid").select("tid", F.xxhash64("leaf", "codes").alias("to"))
+    lines_of = ["key", "docs", "d", "h"]
+    joined = parsed.where("cut").join(moved, "tid").select(F.col("to").alias("tid"), *lines_of)
+    parsed = parsed.where("NOT cut").select("tid", *lines_of).unionByName(materialize(joined, "line-templates"))
     recurring = parsed.groupBy("tid").agg(F.sum("docs").alias("docs"), F.min(F.struct("d", "h")).alias("first")).where(F.col("docs") >= min_docs)
     recurring = recurring.select("tid", F.col("first.d").alias("first_d"), F.col("first.h").alias("first_h"))
     return parsed.select("tid", "key").join(recurring, "tid").select("key", "tid", "first_d", "first_h")

@@ -58,3 +58,18 @@ def test_nodes_are_bounded_and_batches_may_cut_a_leaf(spark):
 def test_short_lines_recur_only_when_equal(spark):
     got = run(spark, [(1, "All rights reserved.\nPage 3\n\n17", 0, ""), (2, "All rights reserved.\nPage 4\n\n18", 0, ""), (3, "All rights waived.\n17\n", 0, "")])
     assert [got[k][0] for k in (1, 2, 3)] == ["All rights reserved.\nPage 3\n\n17", "\n18", "All rights waived.\n"]
+
+
+def test_slices_of_one_leaf_are_merged(spark):
+    # Sorted by codes, each slice of two lines generalises another word.
+    words = [f"{a} {b}" for a in ("k", "l", "m", "n", "o", "p") for b in ("q", "r", "s", "t")]
+    rows = [(k, f"one two three four five six {w}", 0, "") for k, w in enumerate(words)] + [(50, "one two three other words in here now", 0, "")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for parts in ("1", "4", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = run(spark, rows, node=2)
+            assert sorted(k for k, v in got.items() if v[2]) == [0, 50]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
