@@ -163,23 +163,28 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WO
     # A short line is a leaf of its own: only equal ones meet.
     leaf = F.when(F.size("w") < min_words, F.xxhash64(F.lit(-1), "key")).otherwise(F.xxhash64(F.size("w"), *[F.get("w", F.lit(k)) for k in range(depth)]))
     lines = lines.select(leaf.alias("leaf"), "key", _codes(F.col("w")).alias("codes"), "d", "h")
-    distinct = lines.groupBy("leaf", "key").agg(F.first("codes").alias("codes"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("d", "h")).alias("first"))
-    distinct = distinct.select("leaf", "codes", "key", "docs", F.col("first.d").alias("d"), F.col("first.h").alias("h"))
-    order = ["leaf", "codes"]
+    distinct = lines.groupBy("leaf", "key").agg(F.first("codes").alias("codes"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("d", "h")).alias("first"), F.max(F.struct("d", "h")).alias("last"))
+    distinct = distinct.select("leaf", "codes", "key", "docs", *[F.col(f"first.{c}").alias(c) for c in ("d", "h")], *[F.col(f"last.{c}").alias(f"last_{c}") for c in ("d", "h")])
+    order, lines_of = ["leaf", "codes"], ["key", "docs", "d", "h", "last_d", "last_h"]
     spread = distinct.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = "leaf long, codes array<smallint>, key long, docs long, d long, h long, cut boolean"
+    schema = "leaf long, codes array<smallint>, key long, docs long, d long, h long, last_d long, last_h long, cut boolean"
     parsed = spread.mapInArrow(lambda batches: parse(batches, similarity, node), schema)
     parts = (F.when(F.col("cut"), F.col(c)).alias(c) for c in order)
-    parsed = materialize(parsed.select(F.xxhash64("leaf", "codes").alias("tid"), "key", "docs", "d", "h", "cut", *parts), "line-slices")
+    parsed = materialize(parsed.select(F.xxhash64("leaf", "codes").alias("tid"), *lines_of, "cut", *parts), "line-slices")
     # Templates of leaves that were cut meet again, a leaf in one task: by now they are few.
     cut = parsed.where("cut").select("leaf", "codes", "tid").dropDuplicates(["tid"])
     whole = cut.repartition("leaf").sortWithinPartitions("leaf", "codes")
     moved = materialize(whole.mapInArrow(lambda batches: merge(batches, similarity), "tid long, codes array<smallint>"), "line-merged")
     moved = cut.select("tid", "leaf").join(moved, "tid").select("tid", F.xxhash64("leaf", "codes").alias("to"))
-    lines_of = ["key", "docs", "d", "h"]
     joined = parsed.where("cut").join(moved, "tid").select(F.col("to").alias("tid"), *lines_of)
     parsed = parsed.where("NOT cut").select("tid", *lines_of).unionByName(materialize(joined, "line-templates"))
-    recurring = parsed.groupBy("tid").agg(F.sum("docs").alias("docs"), F.min(F.struct("d", "h")).alias("first")).where(F.col("docs") >= min_docs)
+    recurring = parsed.groupBy("tid").agg(F.sum("docs").alias("docs"), F.min(F.struct("d", "h")).alias("first"), F.max(F.struct("last_d", "last_h")).alias("last")).where(F.col("docs") >= min_docs)
+    if min_docs > 1:
+        # Lines of a template may stand in one document, and rows may be one document: two at least must differ.
+        recurring = recurring.where("NOT (first.d <=> last.last_d AND first.h <=> last.last_h)")
+    if min_docs > 2:
+        held = lines.select("key", "d", "h").join(parsed.select("tid", "key"), "key").select("tid", "d", "h").distinct().groupBy("tid").agg(F.count(F.lit(1)).alias("held"))
+        recurring = recurring.join(held.where(F.col("held") >= min_docs), "tid")
     recurring = recurring.select("tid", F.col("first.d").alias("first_d"), F.col("first.h").alias("first_h"))
     return parsed.select("tid", "key").join(recurring, "tid").select("key", "tid", "first_d", "first_h")
 

@@ -73,3 +73,12 @@ def test_slices_of_one_leaf_are_merged(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_similar_lines_of_one_document_are_no_repeat(spark):
+    both = "job run went well on host alpha today\njob run went well on host beta today"
+    rows = [(1, both, 0, ""), (2, "own", 0, "")]
+    assert run(spark, rows)[1] == (both, 2, 2)
+    assert run(spark, [*rows, (1, both, 0, "")])[1] == (both, 2, 2)
+    rows += [(3, "job run went well on host gamma today", 0, "")]
+    assert run(spark, rows)[3][0] == "" and run(spark, rows, min_docs=3)[3][2] == 1
