@@ -4,9 +4,9 @@ The standard library's parser streams a page's events into lines, one for each b
 number of characters over the tags met in it; link text, and text in elements that never hold an article (menus, headers
 of the page, footers, sidebars, forms, notices, adverts, reader comments, scripts, styles), counts as tags. The ratios are
 smoothed with a Gaussian window, and lines above a threshold, ``spread`` standard deviations of the page's ratios, form
-clusters. The cluster with the most text names the content region: the innermost element that holds most of all
-clustered text, an ``article`` or ``main`` element before others. All lines of that region that are not boilerplate are the
-result, so a short paragraph between long ones stays. Without such an element, the clustered lines themselves are.
+clusters. They name the content region: the innermost element that holds every clustered line, an ``article`` or ``main``
+element before others. All lines of that region that are not boilerplate are the result, so a short paragraph between long
+ones stays. Without such an element, all lines of the page that are not boilerplate are.
 
 A page is a row and is parsed whole in its task: no shuffle, memory for one Arrow batch. Null or empty html, or no
 text: the empty text. Broken markup is read as browsers do where the parser allows. Null or repeated ids: each row by
@@ -127,18 +127,10 @@ def extract(html: str | None, sigma: float = SIGMA, spread: float = SPREAD) -> s
     chosen = (smoothed >= min(spread * ratio.std(), smoothed.max())) & (size > 0)
     if not chosen.any():
         chosen = size > 0
-    mass = np.where(chosen, size, 0)
-    held: dict[int, float] = {}
-    for (_, _, _, path), weight in zip(lines, mass, strict=True):
-        for node in path:
-            held[node] = held.get(node, 0) + weight
-    whole = mass.sum()
-    named = [n for n, w in held.items() if w > 0.5 * whole and page.names[n] in ("article", "main")]
-    inner = [n for n, w in held.items() if w >= 0.9 * whole and page.names[n] in ("div", "section", "td")]
-    region = max(named or inner, default=None)
-    if region is None:
-        return "\n".join(text for (text, *_), take in zip(lines, chosen, strict=True) if take)
-    return "\n".join(text for text, _, bad, path in lines if not bad and region in path)
+    # Elements are numbered as they open: the innermost shared one has the largest number.
+    shared = set.intersection(*(set(lines[i][3]) for i in np.flatnonzero(chosen)))
+    region = max([n for n in shared if page.names[n] in ("article", "main")] or shared, default=None)
+    return "\n".join(text for text, _, bad, path in lines if not bad and (region is None or region in path))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -37,3 +37,18 @@ def test_pages(spark):
     assert [g[:2] for g in got] == [("1", "u"), ("1", "u"), ("3", "v"), ("None", "")]
     assert got[2][2] == 499_999 and got[3][2] == 0
     assert H.extract_pages(df.where("false")).count() == 0
+
+
+def test_no_line_outside_boilerplate_is_lost():
+    long, other = LONG.strip(), LONG.strip().upper()
+    # Two articles in one main, of unequal size.
+    assert H.extract(f"<main><article><p>{long}</p><p>{long}</p></article><article><p>{other}</p></article></main>") == "\n".join([long, long, other])
+    # A tenth of the clustered text stands beside the element that holds the rest.
+    many = "".join(f"<p>{long}</p>" for _ in range(12))
+    assert H.extract(f"<body><div><div>{many}</div><p>{other}</p></div></body>") == "\n".join([long] * 12 + [other])
+    # Short paragraphs directly in body, and with no element around at all.
+    short = "".join("<p>Short.</p>" for _ in range(12))
+    want = "\n".join([long, *["Short."] * 12, long])
+    assert H.extract(f"<body><p>{long}</p>{short}<p>{long}</p></body>") == want
+    assert H.extract(f"<p>{long}</p>{short}<p>{long}</p>") == want
+    assert H.extract(f"Short.<p>{long}</p>") == f"Short.\n{long}"
