@@ -6,17 +6,23 @@ differ become fields. A template is recurring when its lines stand in at least `
 template the first occurrence stays, in the document with the smallest (id, text hash), and all others are dropped: so
 boilerplate goes, and the one text that is repeated is not lost.
 
-**At scale.** Documents give each distinct masked line once; lines are counted with map-side combining, so a line
-that every document holds is one row from each task. Distinct lines are then dealt out by *range* over (leaf,
-line), so a leaf with a third of all lines spans many tasks, and a task clusters at most ``node`` lines at a
-time. The templates of a leaf that was cut by that are then clustered again, all in one task, until nothing merges; so a
-leaf costs its slices' templates times those that remain. Equal templates are summed by key. What comes back to the documents is a list of line
-numbers; their texts are shuffled only once, for that join.
+**At scale.** A line is 40 bytes until it is known to matter: the hashes of its leaf and of itself, and its place. One
+aggregate of longs with map-side combining finds the leaves that hold two documents or more, a tenth of all in prose; lines
+of other leaves never move again. Only leaves with two different lines and two documents need words, so only their lines
+are read again, once for each different line, as 32-bit codes. Those leaves go to the texts by broadcast up to ``most_leaves``
+of them and by a shuffle join beyond. What comes back to the documents is a list of line numbers; texts are
+shuffled once, for that join.
+
+**The tree does not depend on partitions.** A leaf's lines are clustered in the order of their hashes. A leaf of more than
+``node`` different lines is dealt to slices of that size by a hash of the line, the slices' templates are dealt out and clustered
+again under another hash, and so on until a round merges nothing: a leaf with a third of all lines is so spread over many
+tasks, and what it becomes is decided by its lines alone.
 
 Null text: no lines, stays null. Lines with fewer than ``min_words`` words are templates by themselves: only equal masked lines
-recur, and of lines of fields alone only those whose numbers are equal too. Blank lines are never dropped. Null ids sort first. Rows equal
-in id and text are one document. A document may lose all its lines; its text is then empty. Empty table: no rows.
-Other columns pass through whatever their names.
+recur, and of lines of fields alone only those whose numbers are equal too. Of equally similar templates the first made
+wins. Blank lines are never dropped. Null ids sort first. Rows equal in id and text are one document. A document may lose all its
+lines; its text is then empty. Very long texts and lines: whole, one row each. Empty table: no rows. Other columns pass through
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,19 +38,29 @@ MIN_DOCS = 2
 MIN_WORDS = 4
 SIMILARITY = 0.7
 DEPTH = 3
-NODE = 512
+NODE = 1024
+#: Leaves whose lines are clustered go to the texts by broadcast up to this many (8 bytes each).
+MOST_LEAVES = 1_000_000
 FIELD = "<*>"
 #: A whole word that holds a digit; the look-behind and possessive loops keep it linear.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def masked_lines(text, min_words: int = MIN_WORDS) -> F.Column:
-    """Lines with variable fields masked and white space squeezed, in order; a short line of fields alone stays as it is."""
+def masked(line: F.Column, min_words: int = MIN_WORDS) -> F.Column:
+    """A line with variable fields masked and trimmed; a short line of fields alone stays as it is."""
     fields = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+){{1,{max(1, min_words - 1)}}}$"
-    short = lambda x: x.rlike(fields) if min_words > 1 else F.lit(False)
+    short = line.rlike(fields) if min_words > 1 else F.lit(False)
     # Most lines hold no digit; finding that out is far cheaper than masking.
-    masked = lambda x: F.when(~x.rlike("[0-9]") | short(x), x).otherwise(F.regexp_replace(x, VARIABLE, FIELD))
-    return F.transform(F.split(text, "\n"), lambda x: F.btrim(masked(x), F.lit(WS_CHARS)))
+    return F.btrim(F.when(~line.rlike("[0-9]") | short, line).otherwise(F.regexp_replace(line, VARIABLE, FIELD)), F.lit(WS_CHARS))
+
+
+def tree_lines(docs: DataFrame, min_words: int = MIN_WORDS, depth: int = DEPTH) -> DataFrame:
+    """(d, h, p, leaf, key, w) of every line of ``docs`` (d, h, text) that is not blank: its place, leaf, hash and words."""
+    lines = docs.select("d", "h", F.posexplode(F.split("text", "\n")).alias("p", "raw")).select("d", "h", "p", masked(F.col("raw"), min_words).alias("line")).where("line <> ''")
+    lines = lines.select("d", "h", "p", F.xxhash64("line").alias("key"), F.split("line", WS).alias("w"))
+    # A short line is a leaf of its own: only equal ones meet.
+    leaf = F.when(F.size("w") < min_words, F.xxhash64(F.lit(-1), "key")).otherwise(F.xxhash64(F.size("w"), *[F.get("w", F.lit(k)) for k in range(depth)]))
+    return lines.select("d", "h", "p", leaf.alias("leaf"), "key", "w")
 
 
 def cluster(coded: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -72,139 +88,106 @@ def cluster(coded: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     return templates[out]
 
 
-def parse(batches, similarity: float = SIMILARITY, node: int = NODE):
-    """Arrow: rows (leaf, codes, ...) sorted by leaf and codes; the same with each line's template for its codes, and ``cut``.
-
-    ``cut`` marks lines of a leaf that was clustered in more than one slice, or that may go on in another task.
-    """
-    left: pa.Table | None = None
-    edges: set[int] | None = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if left is not None:
-            rows = pa.concat_tables([left, rows]).combine_chunks()
-        leaf = rows.column("leaf").to_numpy()
-        last = int(np.searchsorted(leaf == leaf[-1], True)) if len(leaf) else 0
-        if edges is None and len(leaf):
-            edges = {int(leaf[0])}
-        # The last leaf may go on in the next batch, unless it fills a node by itself.
-        done = last if len(leaf) - last < node else len(leaf)
-        if done == len(leaf) and done:
-            edges.add(int(leaf[-1]))
-        if done:
-            yield from _fit(rows.slice(0, done), similarity, node, edges)
-        left = rows.slice(done) if done < len(leaf) else None
-    if left is not None and left.num_rows:
-        yield from _fit(left, similarity, node, edges | {left.column("leaf")[-1].as_py()})
-
-
-def _fit(rows: pa.Table, similarity: float, node: int, edges: set[int]):
-    rows = rows.combine_chunks()
-    leaf, codes = rows.column("leaf").to_numpy(), rows.column("codes").combine_chunks()
-    ends = np.asarray(codes.offsets).astype(np.int64)
-    flat = np.asarray(codes.values).copy()
-    starts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
-    cut = np.isin(leaf, np.array(sorted(edges), np.int64))
-    for lo, hi in zip(starts, np.append(starts[1:], len(leaf)), strict=True):
-        cut[lo:hi] |= hi - lo > node
-        for a in range(lo, hi, node):
-            b = min(hi, a + node)
-            if b - a > 1:
-                flat[ends[a] : ends[b]] = cluster(flat[ends[a] : ends[b]].reshape(b - a, -1), similarity).ravel()
-    made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int16()))
-    columns = [made if name == "codes" else rows.column(name).combine_chunks() for name in rows.column_names]
-    yield pa.RecordBatch.from_arrays([*columns, pa.array(cut)], names=[*rows.column_names, "cut"])
-
-
-def merge(batches, similarity: float = SIMILARITY):
-    """Arrow: templates (leaf, codes, tid), each leaf whole and in order; (tid, codes) after clustering until nothing merges."""
+def fit(batches, similarity: float = SIMILARITY):
+    """Arrow: rows (leaf, part, key, codes), each (leaf, part) whole and sorted by key; (key, codes) with the line's template for its codes."""
     left: pa.Table | None = None
 
-    def settled(rows: pa.Table):
+    def clustered(rows: pa.Table):
         rows = rows.combine_chunks()
-        leaf, codes = rows.column("leaf").to_numpy(), rows.column("codes").combine_chunks()
-        starts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
-        for lo, hi in zip(starts, np.append(starts[1:], len(leaf)), strict=True):
-            now = np.array(codes.slice(lo, hi - lo).flatten()).reshape(hi - lo, -1)
-            while True:
-                lines, place = np.unique(now, axis=0, return_inverse=True)
-                then = cluster(lines, similarity)[place.ravel()]
-                if (then == now).all():
-                    break
-                now = then
-            made = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * now.shape[1], pa.int32()), pa.array(now.ravel(), pa.int16()))
-            yield pa.RecordBatch.from_arrays([rows.column("tid").slice(lo, hi - lo).combine_chunks(), made], names=["tid", "codes"])
+        group, codes = _groups(rows), rows.column("codes").combine_chunks()
+        ends, flat = np.asarray(codes.offsets).astype(np.int64), np.array(codes.flatten())
+        ends -= ends[0]
+        starts = np.flatnonzero(np.append(True, group))
+        for lo, hi in zip(starts, np.append(starts[1:], rows.num_rows), strict=True):
+            if hi - lo > 1:
+                flat[ends[lo] : ends[hi]] = cluster(flat[ends[lo] : ends[hi]].reshape(hi - lo, -1), similarity).ravel()
+        made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        yield pa.RecordBatch.from_arrays([rows.column("key").combine_chunks(), made], names=["key", "codes"])
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         rows = pa.Table.from_batches([batch])
-        rows = rows if left is None else pa.concat_tables([left, rows])
-        leaf = rows.column("leaf").to_numpy()
-        done = int(np.searchsorted(leaf == leaf[-1], True)) if len(leaf) else 0
+        rows = (rows if left is None else pa.concat_tables([left, rows])).combine_chunks()
+        last = np.flatnonzero(_groups(rows))
+        done = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
         if done:
-            yield from settled(rows.slice(0, done))
+            yield from clustered(rows.slice(0, done))
         left = rows.slice(done)
     if left is not None and left.num_rows:
-        yield from settled(left)
-
-
-def _codes(words: F.Column) -> F.Column:
-    """Words as 15-bit codes, 0 for a field: enough to compare words at one place of a line, and a third of the bytes."""
-    return F.transform(words, lambda x: F.when(x == FIELD, F.lit(0)).otherwise(F.pmod(F.hash(x), F.lit(32767)) + 1).cast("smallint"))
-
-
-def templates(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, depth: int = DEPTH, node: int = NODE) -> DataFrame:
-    """Recurring templates of ``docs`` (d, h, text): (key, tid, first_d, first_h), a row for each masked line that fits one.
-
-    ``key`` is the hash of the masked line and ``tid`` that of the leaf and template; (first_d, first_h) is the document
-    that keeps the template's first occurrence.
-    """
-    lines = docs.select("d", "h", F.explode(F.array_distinct(masked_lines(F.col("text"), min_words))).alias("line"))
-    lines = lines.where("line <> ''").select("d", "h", F.xxhash64("line").alias("key"), F.split("line", WS).alias("w"))
-    # A short line is a leaf of its own: only equal ones meet.
-    leaf = F.when(F.size("w") < min_words, F.xxhash64(F.lit(-1), "key")).otherwise(F.xxhash64(F.size("w"), *[F.get("w", F.lit(k)) for k in range(depth)]))
-    lines = lines.select(leaf.alias("leaf"), "key", _codes(F.col("w")).alias("codes"), "d", "h")
-    distinct = lines.groupBy("leaf", "key").agg(F.first("codes").alias("codes"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("d", "h")).alias("first"), F.max(F.struct("d", "h")).alias("last"))
-    distinct = distinct.select("leaf", "codes", "key", "docs", *[F.col(f"first.{c}").alias(c) for c in ("d", "h")], *[F.col(f"last.{c}").alias(f"last_{c}") for c in ("d", "h")])
-    order, lines_of = ["leaf", "codes"], ["key", "docs", "d", "h", "last_d", "last_h"]
-    spread = distinct.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = "leaf long, codes array<smallint>, key long, docs long, d long, h long, last_d long, last_h long, cut boolean"
-    parsed = spread.mapInArrow(lambda batches: parse(batches, similarity, node), schema)
-    parts = (F.when(F.col("cut"), F.col(c)).alias(c) for c in order)
-    parsed = materialize(parsed.select(F.xxhash64("leaf", "codes").alias("tid"), *lines_of, "cut", *parts), "line-slices")
-    # Templates of leaves that were cut meet again, a leaf in one task: by now they are few.
-    cut = parsed.where("cut").select("leaf", "codes", "tid").dropDuplicates(["tid"])
-    whole = cut.repartition("leaf").sortWithinPartitions("leaf", "codes")
-    moved = materialize(whole.mapInArrow(lambda batches: merge(batches, similarity), "tid long, codes array<smallint>"), "line-merged")
-    moved = cut.select("tid", "leaf").join(moved, "tid").select("tid", F.xxhash64("leaf", "codes").alias("to"))
-    joined = parsed.where("cut").join(moved, "tid").select(F.col("to").alias("tid"), *lines_of)
-    parsed = parsed.where("NOT cut").select("tid", *lines_of).unionByName(materialize(joined, "line-templates"))
-    recurring = parsed.groupBy("tid").agg(F.sum("docs").alias("docs"), F.min(F.struct("d", "h")).alias("first"), F.max(F.struct("last_d", "last_h")).alias("last")).where(F.col("docs") >= min_docs)
-    if min_docs > 1:
-        # Lines of a template may stand in one document, and rows may be one document: two at least must differ.
-        recurring = recurring.where("NOT (first.d <=> last.last_d AND first.h <=> last.last_h)")
-    if min_docs > 2:
-        held = lines.select("key", "d", "h").join(parsed.select("tid", "key"), "key").select("tid", "d", "h").distinct().groupBy("tid").agg(F.count(F.lit(1)).alias("held"))
-        recurring = recurring.join(held.where(F.col("held") >= min_docs), "tid")
-    recurring = recurring.select("tid", F.col("first.d").alias("first_d"), F.col("first.h").alias("first_h"))
-    return parsed.select("tid", "key").join(recurring, "tid").select("key", "tid", "first_d", "first_h")
-
-
-def dedup_lines(
+        yield from clustered(left)
+
+
+def _groups(rows: pa.Table) -> np.ndarray:
+    """Whether each row but the first starts a new (leaf, part)."""
+    leaf, part = rows.column("leaf").to_numpy(), rows.column("part").to_numpy()
+    return (leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1])
+
+
+def _cluster_round(rows: DataFrame, similarity: float, node: int, seed: int) -> DataFrame:
+    """(leaf, key, big, tid, codes): each (leaf, key, codes) with its template; ``big``: the leaf had more than one slice."""
+    sizes = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).select(F.col("leaf").alias("__leaf"), F.ceil(F.col("n") / node).alias("slices"))
+    dealt = rows.join(sizes, F.col("leaf") == F.col("__leaf")).select("leaf", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("slices")).alias("part"), "key", "codes", (F.col("slices") > 1).alias("big"))
+    dealt = materialize(dealt, "line-slices")
+    whole = dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "key")
+    found = whole.select("leaf", "part", F.struct("leaf", "key", "big").alias("key"), "codes").mapInArrow(lambda batches: fit(batches, similarity), "key struct<leaf:long,key:long,big:boolean>, codes array<int>")
+    return found.select("key.*", F.xxhash64("key.leaf", "codes").alias("tid"), "codes")
+
+
+def cluster_leaves(lines: DataFrame, similarity: float = SIMILARITY, node: int = NODE) -> DataFrame:
+    """(key, tid) of distinct lines (leaf, key, codes), all lines of one leaf having one length; see the module's docstring."""
+    found = materialize(_cluster_round(lines, similarity, node, 0), "line-templates")
+    merged, seed = found.where("NOT big").select("key", "tid"), 0
+    open_ = found.where("big")  # each round reads what the one before wrote
+    moved = open_.select("key", "tid")
+    while not open_.isEmpty():
+        before = materialize(open_.groupBy("leaf", F.col("tid").alias("key")).agg(F.first("codes").alias("codes")), "line-before")
+        seed += 1
+        after = materialize(_cluster_round(before, similarity, node, seed), "line-after")
+        moved = materialize(moved.join(after.select(F.col("key").alias("tid"), F.col("tid").alias("to")), "tid", "left").select("key", F.coalesce("to", "tid").alias("tid")), "line-moved")
+        # A leaf goes on while a round merges some of its templates.
+        now = after.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tid").alias("m")).where("m < n").select("leaf")
+        open_ = materialize(after.join(now, "leaf", "left_semi"), "line-open")
+    return merged.unionByName(moved)
+
+
+def recurring_lines(
     docs: DataFrame,
     min_docs: int = MIN_DOCS,
     min_words: int = MIN_WORDS,
     similarity: float = SIMILARITY,
     depth: int = DEPTH,
     node: int = NODE,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+    most_leaves: int = MOST_LEAVES,
 ) -> DataFrame:
-    """``docs`` with ``text`` less its repeated lines, and the counts ``n_lines`` and ``n_kept``."""
+    """(d, h, p, tid, own) of every line of ``docs`` (d, h, text) that fits a recurring template; ``own``: its document has the first."""
+    lines = materialize(tree_lines(docs, min_words, depth).drop("w"), "lines")
+    who = F.xxhash64("d", "h")
+    leaves = lines.groupBy("leaf").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.min("key").alias("k"), F.max("key").alias("l"))
+    leaves = materialize(leaves.where("a <> b").select("leaf", (F.col("k") != F.col("l")).alias("mixed")), "line-leaves")
+    held = materialize(lines.join(leaves, "leaf").select("d", "h", "p", "leaf", "key", "mixed"), "line-held")
+    mixed = leaves.where("mixed").select("leaf")
+    few = mixed.limit(most_leaves + 1).count() <= most_leaves
+    codes = F.transform("w", lambda x: F.when(x == FIELD, F.lit(0)).otherwise(F.hash(x)))
+    words = tree_lines(docs, min_words, depth).join(F.broadcast(mixed) if few else mixed, "leaf", "left_semi").select("leaf", "key", codes.alias("codes"))
+    tids = cluster_leaves(materialize(words.groupBy("leaf", "key").agg(F.first("codes").alias("codes")), "line-codes"), similarity, node)
+    alike = held.where("mixed").join(tids, "key").select("d", "h", "p", "tid")
+    held = materialize(held.where("NOT mixed").select("d", "h", "p", F.col("leaf").alias("tid")).unionByName(alike), "line-fits")
+    found = held.groupBy("tid").agg(F.min(F.struct("d", "h")).alias("first"), F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b")
+    if min_docs < 2:
+        raise ValueError("a recurring template stands in two documents at least")
+    if min_docs > 2:
+        enough = held.groupBy("tid", "d", "h").agg(F.lit(1).alias("one")).groupBy("tid").agg(F.count("one").alias("n")).where(F.col("n") >= min_docs)
+        found = found.join(enough, "tid", "left_semi")
+    found = materialize(found.select("tid", F.col("first.d").alias("first_d"), F.col("first.h").alias("first_h")), "line-recurring")
+    return held.join(found, "tid").select("d", "h", "p", "tid", (F.col("d").eqNullSafe(F.col("first_d")) & F.col("h").eqNullSafe(F.col("first_h"))).alias("own"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **tree) -> DataFrame:
+    """``docs`` with ``text`` less its repeated lines, and the counts ``n_lines`` and ``n_kept``; ``tree`` as :func:`recurring_lines`."""
     keyed = docs.select(docs[id_col].cast("long").alias("d"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text"))
-    found = templates(keyed, min_docs, min_words, similarity, depth, node)
-    places = keyed.select("d", "h", F.posexplode(F.transform(masked_lines(F.col("text"), min_words), lambda x: F.xxhash64(x))).alias("p", "key"))
-    hits = places.join(found, "key").select("d", "h", F.struct("tid", "p", (F.col("d").eqNullSafe(F.col("first_d")) & (F.col("h") == F.col("first_h"))).alias("own")).alias("x"))
-    lists = hits.groupBy("d", "h").agg(F.sort_array(F.array_distinct(F.collect_list("x"))).alias("x"))
+    hits = recurring_lines(keyed, **tree).select("d", "h", F.struct("tid", "p", "own").alias("x"))
+    lists = hits.groupBy("d", "h").agg(F.sort_array(F.collect_set("x")).alias("x"))
     keep_one = lambda x, i: x["own"] & ((i == 0) | (F.get("x", i - 1)["tid"] != x["tid"]))
     drops = lists.select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.transform(F.filter("x", lambda x, i: ~keep_one(x, i)), lambda x: x["p"]).alias("__drop")).where(F.size("__drop") > 0)
     # Columns of the input travel in one struct, so none can clash with ours.
