@@ -4,12 +4,14 @@
 documents), ``n_docs``, ``n_ids``, ``ids_crc32`` (of the block's ids as little-endian 32-bit integers) and ``data``. Spark
 writes the rows, so a lost task leaves no half file and any store that Spark reaches will do. ``data`` is
 
-    magic "SSK1" | u32 lanes | u32 ids | u32 documents | u32 bytes of document table | document table (zlib: doc ids as
-    i64, one byte each for null, number of ids as u32) | u32 words in each lane | the lanes' 16-bit words
-
-**Model.** Every block starts from nothing. Its ids are dealt to lanes, as equal runs of the stream, and step t codes
-the t-th id of every lane, all under the model as step t-1 left it. Three predictors speak for the next id: order 2 (a
-candidate id by the two ids before, hashed), order 1 (a candidate by the id before), order 0 (counts of all ids). Each
+    magic "SSK2" | u32 steps | u32 lanes | u32 ids | u32 documents | u32 bytes of document table | document table (zlib: doc
+    ids as i64, one byte each for null, number of ids as u32) | u32 words in each lane | the lanes' 16-bit words
+
+**Model.** Every block starts from nothing and can be read without any other. Its ids are dealt to lanes of ``STEPS`` ids, as
+runs of the stream (the last lane is filled up with the last id), and step t codes the t-th id of every lane, all under the
+block's model as step t-1 left it: a full block has 1024 lanes, so its model learns in 2048 steps. A task codes several blocks
+side by side, each with tables of its own, only to give numpy longer rows. Three predictors speak for the next id: order
+2 (a candidate id by the two ids before, hashed), order 1 (a candidate by the id before), order 0 (counts of all ids). Each
 candidate has a confidence that rises when it was right and falls when it was wrong. How often a candidate was right at
 the present pair of confidences gives the weights, and the mixture
 
@@ -17,7 +19,8 @@ the present pair of confidences gives the weights, and the mixture
 
 goes to a carry-less range coder with 64-bit state. The decoder makes the same updates, so a block needs no table.
 
-Null or empty text: only the end id. Null or repeated ids: null sorts first, repeated rows are documents of their own.
+A block ends with the document that fills it, so a very long text makes one long block, with more lanes. Ties: documents with
+one id stand in the order of their texts' hashes. Null or empty text: only the end id. Null or repeated ids: null sorts first, repeated rows are documents of their own.
 Empty table: no blocks and no rows. Extra columns are not read. A damaged block raises an error that names it.
 """
 
@@ -35,9 +38,12 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .tokens import END_ID, encoder, with_end
 
-MAGIC = b"SSK1"
-LANES = 4096
-BLOCK_IDS = 1 << 19
+MAGIC = b"SSK2"
+#: Ids that a lane of a block holds, one after another.
+STEPS = 2048
+BLOCK_IDS = 1 << 21
+#: Blocks that are coded side by side.
+GROUP = 4
 BLOCKS = "part int, block int, n_docs long, n_ids long, ids_crc32 long, data binary"
 DOCS = "part int, block int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
@@ -45,60 +51,76 @@ U = np.uint64
 TOP, BOT, S16 = U(1) << U(48), U(1) << U(40), U(16)
 MIX_BITS = 17
 REFRESH = 8  # steps between two sums of the order-0 counts
+WEIGH = 2  # steps between two looks at how often candidates were right
 GAIN = 24  # what one sighting adds to an order-0 count
 RATIO = 255  # the most that a candidate may weigh against order 0
 SURE = 7  # the highest confidence
 
 
 class Model:
-    """What both sides know after each step."""
-
-    def __init__(self, lanes: int, alphabet: int):
-        self.alphabet = alphabet
-        self.count = np.ones(alphabet, np.int64)
-        self.cum = np.zeros(alphabet + 1, np.int64)
+    """What both sides know after each step, for several blocks side by side: each has tables of its own, at an offset."""
+
+    def __init__(self, lanes: list[int], alphabet: int):
+        n, self.alphabet = len(lanes), alphabet
+        block = np.repeat(np.arange(n), lanes)
+        self.at_id, self.at_cum, self.at_mix, self.at_cell = block * alphabet, block * (alphabet + 1), block << MIX_BITS, block << 6
+        self.block = block
+        self.count = np.ones((n, alphabet), np.int64)
+        self.freq = np.ones(n * alphabet, np.int64)
+        #: Running sums of a block's counts, on top of all blocks before it: so one search serves all lanes.
+        self.cum = np.zeros((n, alphabet + 1), np.int64)
         self.seen: list[np.ndarray] = []
         self.step = 0
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.last, self.before = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
         # A slot holds candidate << 3 | confidence.
-        self.slots1, self.slots2 = np.zeros(alphabet, np.int64), np.zeros(1 << MIX_BITS, np.int64)
-        self.hits2, self.hits1, self.miss = np.ones(64, np.int64), np.ones(64, np.int64), np.full(64, 2, np.int64)
+        self.slots1, self.slots2 = np.zeros(n * alphabet, np.int32), np.zeros(n << MIX_BITS, np.int32)
+        self.hits2, self.hits1, self.miss = np.ones(n << 6, np.int64), np.ones(n << 6, np.int64), np.full(n << 6, 2, np.int64)
+        self.sure2, self.sure1 = np.tile(np.arange(64) >= 8, n), np.tile(np.arange(64) % 8 > 0, n)
 
-    def predict(self, n: int):
-        """For the first n lanes: candidates (-1: none), their spikes and the order-0 total."""
+    def predict(self):
+        """Candidates (-1: none), their spikes and the order-0 totals of all lanes."""
         if self.step % REFRESH == 0:
             if self.seen:
-                self.count += GAIN * np.bincount(np.concatenate(self.seen), minlength=self.alphabet)
+                own = np.concatenate([x + self.at_id for x in self.seen])
+                self.count += GAIN * np.bincount(own, minlength=self.count.size).reshape(self.count.shape)
                 self.seen = []
-            np.cumsum(self.count, out=self.cum[1:])
-            self.freq = self.count.copy()
+            self.cum[:, 0] = 0
+            np.cumsum(self.count, axis=1, out=self.cum[:, 1:])
+            totals = self.cum[:, -1].copy()
+            self.base = np.cumsum(totals) - totals
+            self.cum += self.base[:, None]
+            self.flat = self.cum.ravel()
+            self.freq[:] = self.count.ravel()
+            self.totals, self.start = np.repeat(totals, 64), self.base[self.block]
+            self.total = totals[self.block]
+        if self.step % WEIGH == 0:
+            self.weight2 = np.minimum(self.totals * self.hits2 // self.miss, self.totals * RATIO) * self.sure2
+            self.weight1 = np.minimum(self.totals * self.hits1 // self.miss, self.totals * RATIO) * self.sure1
         self.step += 1
-        self.h1 = self.last[:n]
-        self.h2 = ((self.last[:n] * 0x9E3779B1 + self.before[:n] * 0x85EBCA77) >> 8) & ((1 << MIX_BITS) - 1)
+        self.h1 = self.at_id + self.last
+        self.h2 = self.at_mix + (((self.last * 0x9E3779B1 + self.before * 0x85EBCA77) >> 8) & ((1 << MIX_BITS) - 1))
         self.p1, self.p2 = self.slots1[self.h1], self.slots2[self.h2]
         self.c1, self.c2 = self.p1 >> 3, self.p2 >> 3
         self.k1, self.k2 = self.p1 & 7, self.p2 & 7
         same = (self.c1 == self.c2) & (self.k2 > 0)
-        self.cell = (self.k2 << 3) | np.where(same, 0, self.k1)
-        total = self.cum[-1]
-        miss = self.miss
-        weight2 = np.minimum(total * self.hits2 // miss, total * RATIO) * (np.arange(64) >= 8)
-        weight1 = np.minimum(total * self.hits1 // miss, total * RATIO) * (np.arange(64) % 8 > 0)
-        return self.c2, weight2[self.cell], np.where(same, -1, self.c1), weight1[self.cell], total
+        self.cell = self.at_cell + ((self.k2 << 3) | np.where(same, 0, self.k1))
+        return self.c2, self.weight2[self.cell], np.where(same, -1, self.c1), self.weight1[self.cell], self.total
+
+    def below(self, ids: np.ndarray) -> np.ndarray:
+        """Order-0 counts of all smaller ids of the lane's block."""
+        return self.flat[self.at_cum + ids] - self.start
 
     def update(self, ids: np.ndarray) -> None:
-        n = len(ids)
         hit2, hit1 = (ids == self.c2) & (self.k2 > 0), (ids == self.c1) & (self.k1 > 0)
-        cell = self.cell
-        self.hits2 += np.bincount(cell[hit2], minlength=64)
-        self.hits1 += np.bincount(cell[hit1 & ~hit2], minlength=64)
-        self.miss += np.bincount(cell[~(hit1 | hit2)], minlength=64)
-        fresh = ids << 3 | 1
+        cell, size = self.cell, len(self.miss)
+        self.hits2 += np.bincount(cell[hit2], minlength=size)
+        self.hits1 += np.bincount(cell[hit1 & ~hit2], minlength=size)
+        self.miss += np.bincount(cell[~(hit1 | hit2)], minlength=size)
+        fresh = (ids << 3 | 1).astype(np.int32)
         for hit, p, k, h, slots in ((hit1, self.p1, self.k1, self.h1, self.slots1), (hit2, self.p2, self.k2, self.h2, self.slots2)):
             slots[h] = np.where(hit, np.where(k < SURE, p + 1, p), np.where(k <= 1, fresh, p - k + (k >> 1)))
         self.seen.append(ids)
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        self.before, self.last = self.last, ids
 
 
 def _shift(low: np.ndarray, size: np.ndarray, lanes: np.ndarray | None = None) -> np.ndarray:
@@ -114,71 +136,85 @@ def _shift(low: np.ndarray, size: np.ndarray, lanes: np.ndarray | None = None) -
     return out
 
 
-def encode_ids(ids: np.ndarray, alphabet: int, lanes: int = LANES) -> list[np.ndarray]:
-    """The 16-bit words of each lane."""
-    steps = -(-len(ids) // lanes)
+def shape(count: int, steps: int = STEPS) -> tuple[int, int]:
+    """Steps and lanes of a block of so many ids."""
+    steps = max(1, min(steps, count))
+    return steps, -(-count // steps)
+
+
+def encode_ids(blocks: list[np.ndarray], alphabet: int, steps: int = STEPS) -> list[list[np.ndarray]]:
+    """The 16-bit words of each lane of each block. All blocks must have one number of steps."""
+    lanes = [shape(len(ids), steps)[1] for ids in blocks]
+    steps = shape(len(blocks[0]), steps)[0]
+    # Lane k of a block holds its ids k * steps to (k + 1) * steps; the last lane goes on with the last id.
+    grid = np.concatenate([np.append(ids, np.full(n * steps - len(ids), ids[-1], ids.dtype)).reshape(n, steps) for ids, n in zip(blocks, lanes, strict=True)])
+    grid = np.ascontiguousarray(grid.T)
+    total_lanes = sum(lanes)
     model = Model(lanes, alphabet)
-    low, size = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
+    low, size = np.zeros(total_lanes, U), np.full(total_lanes, 2**64 - 1, U)
     words, owners = [], []
     for t in range(steps):
-        x = ids[t::steps].astype(np.int64)  # lane k holds ids k * steps to (k + 1) * steps
-        n = len(x)
-        c2, s2, c1, s1, total = model.predict(n)
-        freq = model.freq[x] + s2 * (x == c2) + s1 * (x == c1)
-        start = model.cum[x] + s2 * ((c2 < x) & (c2 >= 0)) + s1 * ((c1 < x) & (c1 >= 0))
-        part = size[:n] // (total + s2 + s1).astype(U)
-        low[:n] += part * start.astype(U)
-        size[:n] = part * freq.astype(U)
+        x = grid[t].astype(np.int64)
+        c2, s2, c1, s1, total = model.predict()
+        freq = model.freq[model.at_id + x] + s2 * (x == c2) + s1 * (x == c1)
+        start = model.below(x) + s2 * ((c2 < x) & (c2 >= 0)) + s1 * ((c1 < x) & (c1 >= 0))
+        part = size // (total + s2 + s1).astype(U)
+        low += part * start.astype(U)
+        size = part * freq.astype(U)
         out = _shift(low, size)
         while len(out):
             words.append((low[out] >> U(48)).astype(np.uint16))
-            owners.append(out)
+            owners.append(out.astype(np.int32))
             low[out] <<= S16
             size[out] <<= S16
             out = _shift(low, size, out)
         model.update(x)
     for _ in range(4):
         words.append((low >> U(48)).astype(np.uint16))
-        owners.append(np.arange(lanes))
+        owners.append(np.arange(total_lanes, dtype=np.int32))
         low <<= S16
     owner, word = np.concatenate(owners), np.concatenate(words)
-    order = np.argsort(owner, kind="stable")
-    return np.split(word[order], np.cumsum(np.bincount(owner, minlength=lanes))[:-1])
+    streams = np.split(word[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=total_lanes))[:-1])
+    ends = np.cumsum(lanes)
+    return [streams[e - n : e] for n, e in zip(lanes, ends, strict=True)]
 
 
-def decode_ids(words: np.ndarray, sizes: np.ndarray, count: int, alphabet: int) -> np.ndarray:
-    lanes = len(sizes)
-    steps = -(-count // lanes)
+def decode_ids(blocks: list[tuple[np.ndarray, np.ndarray, int]], alphabet: int, steps: int = STEPS) -> list[np.ndarray]:
+    """The ids of blocks, each given as (words, words of each lane, number of ids); all must have one number of steps."""
+    lanes = [len(sizes) for _, sizes, _ in blocks]
+    steps = shape(blocks[0][2], steps)[0]
     model = Model(lanes, alphabet)
+    sizes = np.concatenate([x for _, x, _ in blocks])
     at = np.cumsum(sizes) - sizes
-    words = np.append(words, np.zeros(4, np.uint16)).astype(U)
+    words = np.concatenate([*[w for w, _, _ in blocks], np.zeros(4, np.uint16)])
     last = len(words) - 1
-    low, size, code = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U), np.zeros(lanes, U)
+    n = len(sizes)
+    low, size, code = np.zeros(n, U), np.full(n, 2**64 - 1, U), np.zeros(n, U)
     for _ in range(4):
         code = (code << S16) | words[np.minimum(at, last)]
         at += 1
-    out = np.zeros(count, np.uint32)
+    out = np.zeros((steps, n), np.uint32)
     for t in range(steps):
-        n = len(range(t, count, steps))
-        c2, s2, c1, s1, total = model.predict(n)
+        c2, s2, c1, s1, total = model.predict()
         all_ = total + s2 + s1
-        part = size[:n] // all_.astype(U)
-        v = np.minimum(((code[:n] - low[:n]) // part).astype(np.int64), all_ - 1)
-        at2 = model.cum[c2] + s1 * ((c1 < c2) & (c1 >= 0))
+        part = size // all_.astype(U)
+        v = np.minimum(((code - low) // part).astype(np.int64), all_ - 1)
+        at2 = model.below(c2) + s1 * ((c1 < c2) & (c1 >= 0))
         has1 = c1 >= 0
         safe1 = np.where(has1, c1, 0)
-        at1 = model.cum[safe1] + s2 * (c2 < safe1)
-        end2, end1 = at2 + model.freq[c2] + s2, at1 + model.freq[safe1] + s1
+        at1 = model.below(safe1) + s2 * (c2 < safe1)
+        end2, end1 = at2 + model.freq[model.at_id + c2] + s2, at1 + model.freq[model.at_id + safe1] + s1
         is2, is1 = (v >= at2) & (v < end2), has1 & (v >= at1) & (v < end1)
         x = np.where(is2, c2, safe1).astype(np.int64)
         rest = np.flatnonzero(~(is2 | is1))  # only what no candidate claims is looked up in order 0
         r = v[rest]
         plain = r - s2[rest] * (r >= end2[rest]) - s1[rest] * (has1[rest] & (r >= end1[rest]))
-        x[rest] = np.minimum(np.searchsorted(model.cum, plain, side="right") - 1, alphabet - 1)
-        freq = model.freq[x] + s2 * (x == c2) + s1 * (x == c1)
-        start = model.cum[x] + s2 * (c2 < x) + s1 * ((c1 < x) & has1)
-        low[:n] += part * start.astype(U)
-        size[:n] = part * freq.astype(U)
+        found = np.searchsorted(model.flat, plain + model.start[rest], side="right") - 1 - model.at_cum[rest]
+        x[rest] = np.minimum(found, alphabet - 1)
+        freq = model.freq[model.at_id + x] + s2 * (x == c2) + s1 * (x == c1)
+        start = model.below(x) + s2 * (c2 < x) + s1 * ((c1 < x) & has1)
+        low += part * start.astype(U)
+        size = part * freq.astype(U)
         need = _shift(low, size)
         while len(need):
             low[need] <<= S16
@@ -186,32 +222,49 @@ def decode_ids(words: np.ndarray, sizes: np.ndarray, count: int, alphabet: int)
             code[need] = (code[need] << S16) | words[np.minimum(at[need], last)]
             at[need] += 1
             need = _shift(low, size, need)
-        out[t::steps] = x
+        out[t] = x
         model.update(x)
+    out, ends = np.ascontiguousarray(out.T), np.cumsum(lanes)
+    return [out[e - k : e].ravel()[:count] for k, e, (_, _, count) in zip(lanes, ends, blocks, strict=True)]
+
+
+def encode_blocks(blocks: list[tuple[list, np.ndarray, np.ndarray]], alphabet: int, steps: int = STEPS) -> list[bytes]:
+    """The bytes of each block (doc ids, number of ids of each, all ids); those with one number of steps are coded side by side."""
+    out: list[bytes] = [b""] * len(blocks)
+    for some in _alike([shape(len(ids), steps)[0] if len(ids) else 0 for _, _, ids in blocks]):
+        coded = encode_ids([blocks[k][2] for k in some], alphabet, steps) if len(blocks[some[0]][2]) else [[] for _ in some]
+        for k, streams in zip(some, coded, strict=True):
+            doc_ids, sizes, ids = blocks[k]
+            keys = np.array([x or 0 for x in doc_ids], "<i8")
+            null = np.array([x is None for x in doc_ids], np.uint8)
+            docs = zlib.compress(keys.tobytes() + null.tobytes() + np.asarray(sizes).astype("<u4").tobytes())
+            head = MAGIC + struct.pack("<5I", shape(len(ids), steps)[0], len(streams), len(ids), len(doc_ids), len(docs))
+            out[k] = head + docs + np.array([len(s) for s in streams], "<u4").tobytes() + b"".join(s.astype("<u2").tobytes() for s in streams)
     return out
 
 
-def encode_block(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, alphabet: int, lanes: int = LANES) -> bytes:
-    lanes = max(1, min(lanes, len(ids) // 16))
-    keys = np.array([x or 0 for x in doc_ids], "<i8")
-    null = np.array([x is None for x in doc_ids], np.uint8)
-    docs = zlib.compress(keys.tobytes() + null.tobytes() + np.asarray(sizes).astype("<u4").tobytes())
-    streams = encode_ids(ids, alphabet, lanes) if len(ids) else [np.zeros(0, np.uint16)] * lanes
-    head = MAGIC + struct.pack("<4I", lanes, len(ids), len(doc_ids), len(docs))
-    return head + docs + np.array([len(s) for s in streams], "<u4").tobytes() + b"".join(s.astype("<u2").tobytes() for s in streams)
-
-
-def decode_block(data: bytes, alphabet: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """Doc ids, number of ids of each, all ids."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a block of token ids")
-    lanes, count, n, table = struct.unpack_from("<4I", data, 4)
-    raw = zlib.decompress(data[20 : 20 + table])
-    keys, null = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, np.uint8, n, 8 * n)
-    sizes = np.frombuffer(raw, "<u4", n, 9 * n).astype(np.int64)
-    streams = np.frombuffer(data, "<u4", lanes, 20 + table).astype(np.int64)
-    words = np.frombuffer(data, "<u2", int(streams.sum()), 20 + table + 4 * lanes)
-    return [None if e else int(k) for k, e in zip(keys, null, strict=True)], sizes, decode_ids(words, streams, count, alphabet)
+def _alike(kinds: list[int]) -> list[list[int]]:
+    return [[k for k, x in enumerate(kinds) if x == kind] for kind in dict.fromkeys(kinds)]
+
+
+def decode_blocks(datas: list[bytes], alphabet: int) -> list[tuple[list, np.ndarray, np.ndarray]]:
+    """Doc ids, number of ids of each and all ids, of each block."""
+    parts = []
+    for data in datas:
+        if data[:4] != MAGIC:
+            raise ValueError("not a block of token ids")
+        steps, lanes, count, n, table = struct.unpack_from("<5I", data, 4)
+        raw = zlib.decompress(data[24 : 24 + table])
+        keys, null = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, np.uint8, n, 8 * n)
+        streams = np.frombuffer(data, "<u4", lanes, 24 + table).astype(np.int64)
+        words = np.frombuffer(data, "<u2", int(streams.sum()), 24 + table + 4 * lanes)
+        parts.append((steps, [None if e else int(k) for k, e in zip(keys, null, strict=True)], np.frombuffer(raw, "<u4", n, 9 * n).astype(np.int64), (words, streams, count)))
+    out: list = [None] * len(parts)
+    for some in _alike([p[0] * bool(p[3][2]) for p in parts]):
+        coded = [parts[k][3] for k in some]
+        for k, ids in zip(some, decode_ids(coded, alphabet, parts[some[0]][0]) if coded[0][2] else [np.zeros(0, np.uint32) for _ in some], strict=True):
+            out[k] = (parts[k][1], parts[k][2], ids)
+    return out
 
 
 def write_ids(docs: DataFrame, tokenizer: str, alphabet: int, end_id: int = END_ID, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,31 +272,42 @@ def write_ids(docs: DataFrame, tokenizer: str, alphabet: int, end_id: int = END_
 
     def run(batches):
         part, block = TaskContext.get().partitionId(), 0
+        waiting: list[tuple[list, np.ndarray, np.ndarray]] = []
         keys: list = []
         held: list[np.ndarray] = []
         sizes: list[int] = []
         total = 0
 
+        def close():
+            nonlocal keys, held, sizes, total
+            waiting.append((keys, np.array(sizes), np.concatenate(held)))
+            keys, held, sizes, total = [], [], [], 0
+
         def flush():
-            nonlocal keys, held, sizes, total, block
-            ids = np.concatenate(held)
-            data = encode_block(keys, np.array(sizes), ids, alphabet)
-            row = [part, block, len(keys), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), data]
+            nonlocal block
+            coded = encode_blocks(waiting, alphabet)
+            rows = [(part, block + k, len(own), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), data) for k, ((own, _, ids), data) in enumerate(zip(waiting, coded, strict=True))]
+            block += len(rows)
+            waiting.clear()
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = [x.split()[0] for x in BLOCKS.split(", ")]
-            keys, held, sizes, total, block = [], [], [], 0, block + 1
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
-            ids, starts = with_end(*encoder(tokenizer).encode(batch.column(1)), end_id)
-            for k, key in enumerate(batch.column(0).to_pylist()):
-                keys.append(key)
-                held.append(ids[starts[k] : starts[k + 1]])
-                sizes.append(int(starts[k + 1] - starts[k]))
-                total += sizes[-1]
-                if total >= block_ids:
-                    yield flush()
+            texts, owners = batch.column(1), batch.column(0).to_pylist()
+            for lo in range(0, len(owners), 1000):
+                ids, starts = with_end(*encoder(tokenizer).encode(texts.slice(lo, 1000)), end_id)
+                for k, key in enumerate(owners[lo : lo + 1000]):
+                    keys.append(key)
+                    held.append(ids[starts[k] : starts[k + 1]])
+                    sizes.append(int(starts[k + 1] - starts[k]))
+                    total += sizes[-1]
+                    if total >= block_ids:
+                        close()
+                        if len(waiting) == GROUP:
+                            yield flush()
         if keys:
+            close()
+        if waiting:
             yield flush()
 
     text = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -256,16 +320,17 @@ def read_ids(blocks: DataFrame, alphabet: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                keys, sizes, ids = decode_block(row["data"], alphabet)
-                if zlib.crc32(ids.astype("<u4").tobytes()) != row["ids_crc32"]:
-                    raise ValueError(f"block {row['part']}.{row['block']} is damaged")
-                ends = np.cumsum(sizes)
-                raw = ids.astype("<u4")
-                sums = [zlib.crc32(raw[e - s : e].tobytes()) for s, e in zip(sizes, ends, strict=True)]
-                n = len(keys)
-                columns = [pa.array([row["part"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DOCS.split(", ")])
+            for lo in range(0, batch.num_rows, GROUP):
+                rows = batch.slice(lo, GROUP).to_pylist()
+                for row, (keys, sizes, ids) in zip(rows, decode_blocks([r["data"] for r in rows], alphabet), strict=True):
+                    raw = np.ascontiguousarray(ids, "<u4")
+                    if zlib.crc32(raw.tobytes()) != row["ids_crc32"]:
+                        raise ValueError(f"block {row['part']}.{row['block']} is damaged")
+                    ends = np.cumsum(sizes)
+                    sums = [zlib.crc32(raw[e - s : e].tobytes()) for s, e in zip(sizes, ends, strict=True)]
+                    n = len(keys)
+                    columns = [pa.array([row["part"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DOCS.split(", ")])
 
     docs = blocks.select("part", "block", "data", "ids_crc32").mapInArrow(run, DOCS)
     # Two levels of running sums: over the parts, of which there are as many as tasks wrote, and inside each part.

@@ -1,8 +1,9 @@
 """Encoding Arrow string columns with a public tokenizer, each distinct unit of text once.
 
 A text is cut before every single space or newline that stands between two other characters, and between a Latin
-letter and an ASCII sign other than the apostrophe. The pre-tokenizers in use never join what stands on the two
-sides of such a place, so the ids of a text are the ids of its units, one after another. Words repeat, so a batch has far fewer distinct units than units; a worker
+letter and an ASCII sign other than the apostrophe. The two known pre-tokenizers never join what stands on the two
+sides of such a place, so the ids of a text are the ids of its units, one after another; texts of any other tokenizer file
+are not cut and go to the library whole. Words repeat, so a batch has far fewer distinct units than units; a worker
 also remembers units from one batch to the next, up to ``memo`` units.
 """
 
@@ -48,6 +49,18 @@ PLAIN = re.compile(rf"[ \n]?[{LETTERS}0-9!-&(-/:-@\[-`{{-~]+\Z")
 #: Pre-tokens of plain units, for the two kinds of pre-tokenizer: byte level, and split by letters.
 BYTE_LEVEL = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s")
 BY_LETTERS = re.compile(rf"[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
+# The whole pre-tokenizer and normalizer entries that the two patterns stand for. Any other file takes the library's chain.
+BYTE_LEVEL_CHAIN = ({"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None)
+BY_LETTERS_CHAIN = (
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+)
 #: What a byte-level model calls each byte: printable ones themselves, the others from U+0100 on.
 _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_NAMES = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINT)}
@@ -73,11 +86,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         kind = json.loads(Path(path).read_text())
-        pre, norm = kind.get("pre_tokenizer") or {}, kind.get("normalizer")
+        chain = (kind.get("pre_tokenizer"), kind.get("normalizer"))
         self.split = None
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
+        if chain == BYTE_LEVEL_CHAIN:
             self.split, self.lower = BYTE_LEVEL, False
-        elif [x["type"] for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and [x["type"] for x in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+        elif chain == BY_LETTERS_CHAIN:
             self.split, self.lower = BY_LETTERS, True
         self.memo = memo
         self.bits = max(12, (2 * memo).bit_length())
@@ -97,7 +110,7 @@ class Encoder:
         out: list = [None] * len(units)
         rest, model = [], self.tokenizer.model
         for k, unit in enumerate(units):
-            if self.split is None or not PLAIN.match(unit):
+            if not PLAIN.match(unit):
                 rest.append(k)
                 continue
             found: list[int] = []
@@ -213,6 +226,9 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
+        if self.split is None:
+            found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
         column = column.cast(pa.large_string()).fill_null("")
         n = len(column)
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]

@@ -1,4 +1,6 @@
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +10,8 @@ from pyspark.sql import functions as F
 
 from statementspark.llm import packing, token_files, tokens
 
+from ..conftest import SF
+
 ODD = ["", "a  b\n\n c  d 　 x", "  lead", "trail \n", "x\ty z\r\nq", "é è \n ñ", "<|endoftext|> a", "I'm we're 's", "a  b", None, "ΑΣ ΑΣΑ", "a,́b é-x ×- a—b, c", "ab12-3c\nD'e", "x" * 200 + " y", "a" * 70, "İI ǅ ©® ½"]
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
@@ -23,19 +27,48 @@ def test_units_give_the_ids_of_whole_texts(name, memo, chunk, monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == whole
 
 
+def test_another_tokenizer_file_takes_the_whole_chain(tmp_path):
+    kind = json.loads(Path(public_tokenizers.path(FILES[1])).read_text())
+    kind["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "\\S+"}
+    (tmp_path / "other.json").write_text(json.dumps(kind))
+    coder = tokens.Encoder(str(tmp_path / "other.json"))
+    ids, starts = coder.encode(pa.array(ODD))
+    whole = [x.ids for x in coder.tokenizer.encode_batch([t or "" for t in ODD], add_special_tokens=False)]
+    assert coder.split is None and [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == whole
+
+
 @pytest.mark.parametrize("n", [0, 1, 17, 4000, 70_000])
 @pytest.mark.parametrize("kind", ["random", "same", "words"])
 def test_coder_round_trip(n, kind):
     rng = np.random.default_rng(n)
     ids = {"random": rng.integers(0, 50257, n), "same": np.full(n, 50256), "words": rng.zipf(1.3, n) % 50257}[kind].astype(np.uint32)
-    data = token_files.encode_block([3, None], np.array([n, 0]), ids, 50257, lanes=64)
-    keys, sizes, back = token_files.decode_block(data, 50257)
-    assert keys == [3, None] and sizes.tolist() == [n, 0] and (back == ids).all()
+    other = np.flip(ids)[: n // 3]
+    blocks = [([3, None], np.array([n, 0]), ids), ([4], np.array([len(other)]), other)]
+    data = token_files.encode_blocks(blocks, 50257, steps=64)
+    # Side by side, and each by itself.
+    for back in (token_files.decode_blocks(data, 50257), [token_files.decode_blocks([x], 50257)[0] for x in data]):
+        assert back[0][0] == [3, None] and back[0][1].tolist() == [n, 0] and (back[0][2] == ids).all()
+        assert back[1][0] == [4] and (back[1][2] == other).all()
+    assert data[1] == token_files.encode_blocks(blocks[1:], 50257, steps=64)[0]
+
+
+def bits(ids, **kw):
+    return 8 * len(token_files.encode_blocks([([1], np.array([len(ids)]), ids)], 50257, **kw)[0]) / len(ids)
 
 
 def test_coder_learns():
-    ids = np.tile(np.arange(100, dtype=np.uint32), 2000)
-    assert len(token_files.encode_block([1], np.array([len(ids)]), ids, 50257, lanes=64)) < len(ids) / 4
+    assert bits(np.tile(np.arange(100, dtype=np.uint32), 2000)) < 2
+
+
+def test_real_ids_take_less_than_order_0_and_zlib(spark):
+    texts = spark.read.parquet(SF.replace("0.001", "0.1") + "/documents.parquet").orderBy("doc_id").limit(3000).select("text").toPandas()["text"]
+    ids, _ = tokens.with_end(*tokens.Encoder(public_tokenizers.path(FILES[0])).encode(pa.array(texts)))
+    counts = np.bincount(ids)
+    share = counts[counts > 0] / len(ids)
+    found = bits(ids)
+    # What the two contexts add over order 0 of the whole, which knows all counts in advance.
+    assert found < 0.95 * -(share * np.log2(share)).sum()
+    assert found < 0.95 * 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
 
 
 DOCS = [(5, "hello there world"), (1, None), (None, "héllo"), (3, ""), (3, ""), (9, "word " * 6000), (2, "x")]
