@@ -1,9 +1,14 @@
+import re
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from statementspark.llm import html_text as H
 
+from ..conftest import SF
+
 LONG = "This paragraph is long enough to look like the text of an article and not like a menu at all. " * 3
 PAGE = f"""<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header><h2>Site</h2></header><nav><ul><li><a href=#>Home</a></li><li><a>About us</a></li></ul></nav>
 <div class="cookie-notice">We use cookies on this site, please accept them all before you go on reading.</div>
@@ -52,3 +57,67 @@ def test_no_line_outside_boilerplate_is_lost():
     assert H.extract(f"<body><p>{long}</p>{short}<p>{long}</p></body>") == want
     assert H.extract(f"<p>{long}</p>{short}<p>{long}</p>") == want
     assert H.extract(f"Short.<p>{long}</p>") == f"Short.\n{long}"
+
+
+@pytest.mark.parametrize("named", ["content has-sidebar", "post-header-large main", "no-comments entry", "ad", "sidebar"])
+def test_a_class_never_empties_a_page(named):
+    page = f"<body><div id=menu><a>Home</a> <a>About</a></div><div class='{named}'><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert H.extract(page) == "\n".join(["Head", LONG.strip(), LONG.strip()])
+    # Without a heading too, if there is no other text.
+    assert H.extract(f"<body><div class='{named}'><p>{LONG}</p></div></body>") == LONG.strip()
+
+
+def test_comments_that_are_articles_go():
+    comments = "".join(f"<article class='comment-body'><p>{LONG}</p></article>" for _ in range(5))
+    assert H.extract(f"<body><div id=post><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><section class=comments>{comments}</section></body>") == "\n".join(["Head", LONG.strip(), LONG.strip()])
+
+
+def score(got, want):
+    got, want = got.split("\n"), want.split("\n")
+    met = sum(min(got.count(x), want.count(x)) for x in set(want))
+    return 2 * met / (len(got) + len(want))
+
+
+def plain_pages():
+    """Pages of div and p alone: a block of short links around one longer line, then the text with short paragraphs in it."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        word = lambda k: " ".join(f"w{x}" for x in rng.integers(100, 999, k))
+        links = lambda k: "".join(f"<p><a href=x>{word(2)}</a></p>" for _ in range(k))
+        text = [word(int(k)) for k in rng.choice([4, 50, 70, 90], 14, p=[0.2, 0.3, 0.3, 0.2])]
+        text[0] = text[-1] = word(70)
+        yield f"<html><body><div>{links(8)}<p>{word(40)}</p>{links(8)}</div><div>{''.join(f'<p>{t}</p>' for t in text)}</div><div>{links(9)}</div></body></html>", "\n".join(text)
+
+
+def test_smoothed_ratios_select_the_region():
+    pages = list(plain_pages())
+    found = {sigma: np.mean([score(H.extract(html, sigma), want) for html, want in pages]) for sigma in (0, H.SIGMA)}
+    assert found[H.SIGMA] > 0.97 and found[0] < found[H.SIGMA] - 0.1
+    # Without a threshold the whole page is left.
+    assert np.mean([score(H.extract(html, spread=-9), want) for html, want in pages]) < 0.7
+
+
+def test_given_pages_without_their_elements_and_classes(spark):
+    rows = [r.html for r in spark.read.parquet(SF.replace("0.001", "0.01") + "/pages.parquet").select("html").collect()]
+    bare = lambda html: re.sub(r"<(/?)(?:li|h1)\b[^>]*>", r"<\1p>", re.sub(r"<(/?)(?:nav|article|footer|ul)\b[^>]*>", r"<\1div>", html)).replace(' class="ad"', "")
+    found = {spread: np.mean([score(H.extract(bare(html), spread=spread), H.extract(html)) for html in rows]) for spread in (H.SPREAD, -9)}
+    assert found[H.SPREAD] > 0.9 and found[-9] < 0.75
+
+
+@pytest.mark.parametrize("kind", ["<p>a b", "<div>a b", "<b>x</i>", "<td>x", "<li><ul>x"])
+def test_time_is_linear(kind):
+    took = {}
+    for n in (5_000, 100_000):
+        began = time.process_time()
+        assert len(H.extract("<html><body>" + kind * n)) >= n
+        took[n] = time.process_time() - began
+    assert took[100_000] < 60 * took[5_000] + 1
+
+
+def test_implied_end_tags():
+    page = H.Lines()
+    page.feed("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td><p>x<td>y<tr><td>z</table><p>e<p>f")
+    page.close()
+    assert [x[0] for x in page.lines] == ["a", "b", "c", "d", "x", "y", "z", "e", "f"]
+    depth = lambda k: 0 if k < 0 else 1 + depth(page.parents[k])
+    assert [depth(x[2]) for x in page.lines] == [2, 2, 4, 2, 4, 3, 3, 1, 1]
