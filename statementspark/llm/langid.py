@@ -1,8 +1,8 @@
 """Language identification of texts in several languages by mixture inference.
 
 **Model** (:func:`train`). For every language, smoothed frequencies of hashed byte trigrams of lower-cased words with
-blanks around, from a bounded sample of labelled documents: at most ``per_lang`` of each language, those with the smallest
-hash of their id. The model is a table of languages x ``1 << BITS`` numbers, of one size whatever the corpus.
+blanks around, from a bounded sample of labelled documents: about ``per_lang`` of each language at most, those with the smallest
+hash of their id and text (all below a limit that a histogram of the hashes gives, so no language is ranked in one task). The model is a table of languages x ``1 << BITS`` numbers, of one size whatever the corpus.
 
 **Inference** (:func:`predict`). The likelihood of a word in a language is the product of its trigrams'. A text is a mixture
 of languages with unknown proportions; expectation-maximisation over its words estimates them. Candidate sets are
@@ -14,8 +14,9 @@ Whole texts are read, in Arrow batches with one pass of numpy for all documents
 training counts.
 
 Null text, or one without a letter: ``und`` with score 0 and an empty set. No labelled rows: all ``und``. Null or
-repeated ids and repeated rows: each row is predicted by itself. A null id's fold is that of the empty string. Extra
-columns are not read.
+repeated ids and repeated rows: each row is predicted by itself, and for training repeated rows are one. A null id's fold is that
+of the empty string. Languages with equal shares: the first by name. Very long texts: whole. Empty table: no rows. Extra
+columns are not read; columns to ``keep`` may have any name but the four of the result.
 """
 
 from __future__ import annotations
@@ -66,10 +67,16 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """(languages, log-probabilities as float32 of shape bins x languages), from rows with a language."""
-    rows = docs.select(docs[id_col].cast("string").alias("i"), docs[text_col].alias("t"), docs[lang_col].cast("string").alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
-    chosen = rows.select("i", "l").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))).where(F.col("r") <= per_lang)
-    # The sample's ids are at most per_lang for each language: a bounded side for the join.
-    sample = rows.join(F.broadcast(chosen.select("i", "l").distinct()), ["i", "l"])
+    rows = docs.select(F.xxhash64(docs[id_col].cast("string"), docs[text_col]).alias("h"), docs[text_col].alias("t"), docs[lang_col].cast("string").alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
+    # A histogram of hashes, summed before it moves, gives each language a limit below which about ``per_lang`` of them lie. Bins widen
+    # with the hash, sixteen to each doubling, so it is as fine where millions are below the limit as where hundreds are.
+    rows = rows.withColumn("bin", F.floor(F.log2(F.shiftrightunsigned("h", 11) + 1) * 16))
+    bins = rows.groupBy("l", "bin").agg(F.approx_count_distinct("h").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy("l").orderBy("bin"))
+    limits = bins.withColumn("up_to", up_to).where(F.col("up_to") <= per_lang).groupBy("l").agg(F.max("bin").alias("limit"))
+    chosen = rows.join(limits.withColumnRenamed("l", "__l"), (F.col("l") == F.col("__l")) & (F.col("bin") <= F.col("limit")))
+    # Repeated rows are one: texts of the sample, of bounded number, meet by their hash.
+    sample = chosen.groupBy("l", "h").agg(F.first("t").alias("t"))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

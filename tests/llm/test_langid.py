@@ -57,3 +57,15 @@ def test_held_out_accuracy(spark):
     assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     held = [r for r in got if r.held and r.lang]
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+
+
+def test_sample_is_bounded_and_repeated_rows_are_one(spark):
+    rows = [(k, t, "aa") for k, t in enumerate(texts("aa", 300, 1))] + [(9, "kora kora", "bb")] * 200 + [(k, "mova", "bb") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    tables = [G.train(x, per_lang=100) for x in (docs, docs.coalesce(1))]
+    assert tables[0][0] == ["aa", "bb"] and (tables[0][1] == tables[1][1]).all()
+    mass = 1 / np.exp(tables[0][1].astype(float)).min(axis=0) / 2 - (1 << G.BITS) / 2  # trigrams counted, by language
+    assert 50 * 200 < mass[0] <= 105 * 200 and mass[1] < 22 * 10
+    assert G.train(docs.where("false"))[0] == [] and G.predict(docs.where("false"), *tables[0]).count() == 0
+    kept = docs.limit(3).withColumn("lang_pred", F.lit("clash"))
+    assert G.predict(kept, *tables[0]).columns == ["doc_id", "lang_pred", "score", "langs"] and G.predict(kept, *tables[0]).count() == 3
