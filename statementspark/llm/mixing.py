@@ -9,11 +9,13 @@ that a source takes differ from its target by less than one document.
 
 **At scale.** Documents meet in small groups by the bits of a hash; each group leaves at most one fraction, and these
 residuals meet in groups again, up a reduction tree with log32(documents) levels. A source with a third of all rows
-is so dealt to many groups from the start. Only ids and sizes are shuffled, never texts. Rows equal in source, id and
+is so dealt to many groups from the start. Only ids and sizes are rounded, never texts. Rows equal in source, id and
 size are rounded as one class first: whole copies are dealt at once, and one fraction of the class goes on, which
-is the same rounding with equal partners met first; so a repeated row is no hot key either.
+is the same rounding with equal partners met first; so a repeated row is no hot key either. Sources are few against documents
+and are ranked in one task, 24 bytes each.
 
-Sources sort by code point with null last. Null ids are ids. Size 0: the number of copies is the whole part, no words.
+Sources sort by code point with null last. Null ids are ids. Documents of one size meet in the order of their hashes. Very long texts
+count whole; a document larger than its source's target is taken or left by chance, as any other. Size 0: the number of copies is the whole part, no words.
 Empty table: no rows. Same rows, same seed: same result, in whatever order and partitions they come.
 """
 
@@ -89,10 +91,10 @@ def _meet(seed: int, level: int) -> str:
         (acc, x) -> IF(acc.cur.p IN (0D, 1D), {whole}, {met}))"""
 
 
-def round_classes(classes: DataFrame, seed: int = 17) -> DataFrame:
+def round_classes(classes: DataFrame, seed: int = 17, key: tuple = CLASS) -> DataFrame:
     """Adds ``low`` (copies of every row of the class) and ``more`` (rows of the class with one copy more).
 
-    ``classes``: distinct ``source, doc_id, size`` with the number of rows ``n`` and ``copies``, the fractional number
+    ``classes``: distinct ``key`` columns with the number of rows ``n`` and ``copies``, the fractional number
     of copies of each.
     """
     low = F.floor("copies")
@@ -100,7 +102,7 @@ def round_classes(classes: DataFrame, seed: int = 17) -> DataFrame:
     sure = F.floor(F.col("n") * fraction + F.lit(1e-9))
     left = F.greatest(F.lit(0.0), F.col("n") * fraction - sure)
     left = F.when((left < 1e-9) | (F.col("size") <= 0), F.lit(0.0)).otherwise(left)
-    units = classes.withColumns({"low": low.cast("long"), "more": F.when(F.col("size") <= 0, F.lit(0)).otherwise(sure).cast("long"), "p": left, "h": F.xxhash64(*CLASS, F.lit(seed))})
+    units = classes.withColumns({"low": low.cast("long"), "more": F.when(F.col("size") <= 0, F.lit(0)).otherwise(sure).cast("long"), "p": left, "h": F.xxhash64(*key, F.lit(seed))})
     units = materialize(units, "mix-classes")
     carried = [c for c in units.columns if c not in ("p", "h")]
     settled = units.where("p = 0").select(*carried)
@@ -127,14 +129,14 @@ def round_classes(classes: DataFrame, seed: int = 17) -> DataFrame:
     return settled.unionByName(last.select(*[F.col(c) if c != "more" else (F.col("more") + F.col("bit")).alias("more") for c in carried]))
 
 
-def mix_classes(rows: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """Classes of equal (source, doc_id, size) with n, low, more, source_size and target."""
-    classes = materialize(rows.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n")), "mix-rows")
+def mix_classes(rows: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, key: tuple = CLASS) -> DataFrame:
+    """Classes of rows equal in ``key`` (source, doc_id and size among it) with n, low, more, source_size and target."""
+    classes = materialize(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "mix-rows")
     sources = materialize(targets(classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most), "mix-targets")
     few = sources.count() <= SMALL
     side = (F.broadcast(sources) if few else sources).withColumnRenamed("source", "__s")
     joined = classes.join(side, classes["source"].eqNullSafe(F.col("__s"))).drop("__s")
-    return round_classes(joined.withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))), seed)
+    return round_classes(joined.withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))), seed, key)
 
 
 def expand(classes: DataFrame) -> DataFrame:
@@ -148,16 +150,22 @@ def expand(classes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, size: Column, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with every row as often as the mix takes it; its columns stay.
 
-    Rows of one class are alike in source, id and size; which of them get the extra copy is settled by their order
-    of text hash, so reruns agree.
+    Rows are told apart by a hash of all their columns, so rows of one class are equal, and it does not matter which of them
+    are taken once more: their copies come from one of them. Documents move once, to meet their number of copies.
     """
     names = docs.columns
-    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), docs[source_col].alias("__source"), docs[id_col].cast("long").alias("__id"), size.alias("__size"))
-    keys = keyed.select(F.col("__source").alias("source"), F.col("__id").alias("doc_id"), F.col("__size").alias("size"))
-    classes = mix_classes(keys, weights, share, most, seed).select("source", "doc_id", "size", "n", "low", "more")
-    joined = keyed.join(classes, keyed["__source"].eqNullSafe(classes["source"]) & keyed["__id"].eqNullSafe(classes["doc_id"]) & (keyed["__size"] == classes["size"]))
+    key = ("source", "doc_id", "size", "row")
+    row = F.struct(*[docs[c] for c in names])
+    keyed = docs.select(row.alias("__row"), docs[source_col].alias("__source"), docs[id_col].cast("long").alias("__id"), size.alias("__size"), F.xxhash64(*[docs[c] for c in names]).alias("__hash"))
+    keys = keyed.select(*[F.col(f"__{c}").alias(k) for c, k in zip(("source", "id", "size", "hash"), key, strict=True)])
+    classes = mix_classes(keys, weights, share, most, seed, key).select(*key, "n", "low", "more")
+    same = keyed["__source"].eqNullSafe(classes["source"]) & keyed["__id"].eqNullSafe(classes["doc_id"])
+    joined = keyed.join(classes, same & (keyed["__size"] == classes["size"]) & (keyed["__hash"] == classes["row"]))
     single = joined.where("n = 1").select("__row", (F.col("low") + F.col("more")).alias("copies"))
-    order = Window.partitionBy("source", "doc_id", "size").orderBy(F.xxhash64("__row"))
-    many = joined.where("n > 1").select("__row", (F.col("low") + (F.row_number().over(order) <= F.col("more")).cast("long")).alias("copies"))
+    # Equal rows become one before they move on; a row with very many copies is made by many tasks.
+    equal = joined.where("n > 1").groupBy(*key).agg(F.first("__row").alias("__row"), F.first(F.col("n") * F.col("low") + F.col("more")).alias("copies")).where("copies > 0")
+    chunk = 10_000
+    parts = equal.select("__row", "copies", F.explode(F.sequence(F.lit(0), ((F.col("copies") - 1) / chunk).cast("long"))).alias("__k")).repartition("__k", F.xxhash64("__row"))
+    many = parts.select("__row", F.least(F.lit(chunk), F.col("copies") - F.col("__k") * chunk).alias("copies"))
     taken = single.unionByName(many).where("copies > 0")
     return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select("__row.*")

@@ -1,7 +1,10 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from statementspark.llm import mixing as M
+from statementspark.llm.common import count_words
 
 
 def water(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
@@ -65,3 +68,15 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "x y", "a", "k"), (1, "x y", "a", "k"), (2, None, None, "z"), (3, "w", "b", "k")], "doc_id long, text string, source string, copies string")
     out = M.mix(docs, F.lit(2).cast("long"))
     assert out.columns == docs.columns and out.count() > 0
+
+
+def test_equal_rows_and_null_ids_are_mixed_whole(spark):
+    rows = [(None, f"text {k} of four", "a", "x") for k in range(40)] + [(1, "one and the same row", "b", "y")] * 30 + [(2, "alone here", "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string, source string")
+    size = count_words(F.col("text"))
+    found = [sorted((str(r.doc_id), r.text, r.n, str(r.source)) for r in M.mix(docs.repartition(k), size).collect()) for k in (1, 5)]
+    assert found[0] == found[1]
+    taken = {s: sum(len(x[1].split()) for x in found[0] if x[3] == s) for s in ("x", "y", "None")}
+    want = {str(r.source): r.target for r in M.targets(docs.groupBy("source").agg(F.sum(size).alias("source_size"))).collect()}
+    assert all(abs(taken[s] - want[s]) <= 5 for s in taken)
+    assert all(n <= 2 for n in Counter(x[1] for x in found[0] if x[0] == "None").values())
