@@ -35,12 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    ``instead_of``: earlier results of this function that nothing needs once this one is written, as the state of a loop; their
+    files are deleted then. All others stay until the cluster clears the folder, since results are read lazily.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    for frame in instead_of:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame.shared_path)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return out
 
 
 def words_of(text: Column) -> Column:

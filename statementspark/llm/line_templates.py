@@ -144,7 +144,8 @@ def cluster_leaves(lines: DataFrame, similarity: float = SIMILARITY, node: int =
         before = materialize(open_.groupBy("leaf", F.col("tid").alias("key")).agg(F.first("codes").alias("codes")), "line-before")
         seed += 1
         after = materialize(_cluster_round(before, similarity, node, seed), "line-after")
-        moved = materialize(moved.join(after.select(F.col("key").alias("tid"), F.col("tid").alias("to")), "tid", "left").select("key", F.coalesce("to", "tid").alias("tid")), "line-moved")
+        to = after.select(F.col("key").alias("tid"), F.col("tid").alias("to"))
+        moved = materialize(moved.join(to, "tid", "left").select("key", F.coalesce("to", "tid").alias("tid")), "line-moved", (moved,) if seed > 1 else ())
         # A leaf goes on while a round merges some of its templates.
         now = after.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tid").alias("m")).where("m < n").select("leaf")
         open_ = materialize(after.join(now, "leaf", "left_semi"), "line-open")

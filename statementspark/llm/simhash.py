@@ -5,8 +5,9 @@ document's hashes with numpy. Only (id, fingerprint) leaves the task.
 
 **Links** (:func:`links`). Fingerprints are made distinct first, so a third of all rows being one copy costs nothing.
 They form a binary trie, which is walked some levels at a time: a frontier row is a pair of nodes at the same
-depth with the number of bits that differ so far; one step joins the children of both, adds the bits that differ
-among the new ones and drops the pair once the budget is exceeded. A node is paired with itself only while
+depth with the number of bits that differ so far; one step brings together the children of both whose new bits differ in no more
+than is left of the budget. In the first half a child names the few it may pair with, so pairs grow with the fingerprints
+and not with the product of children; below, nodes hold few. A node is paired with itself only while
 it holds two fingerprints. Of ``d`` differing bits, one half of the 64 holds at most d // 2, so there are two walks,
 one with the halves exchanged, and each allows only d // 2 in its first half: that keeps the frontier in
 proportion to the fingerprints, with nothing lost. Where two nodes hold many fingerprints, their pairs are dealt out by
@@ -33,7 +34,7 @@ from .common import materialize, words_of
 DISTANCE = 3
 SHINGLE = 3
 #: Depths at which a walk stops to prune; the last is the whole fingerprint.
-DEPTHS = (16, 24, 32, 64)
+DEPTHS = (16, 24, 32, 40, 48, 64)
 
 
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
@@ -104,18 +105,28 @@ def _walk(fps: DataFrame, distance: int, half: int, swap: bool) -> DataFrame:
             left = nodes.select(F.col("at").alias("a"), F.col("n").alias("na"), F.explode(masks).alias("m"))
             left = left.select("a", "na", F.col("a").bitwiseXOR(F.col("m")).alias("b"), F.bit_count("m").alias("err")).where("a <= b AND (a < b OR na > 1)")
             frontier = left.join(nodes.select(F.col("at").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "err")
+        elif hi <= 32:
+            # Few bits may differ yet: each child of a names the children of b that it may pair with, and meets those alone.
+            a = nodes.select(F.col("up").alias("a"), F.col("at").alias("a2"), F.col("n").alias("na"))
+            b = nodes.select(F.col("up").alias("b"), F.col("at").alias("b2"))
+            flips = F.filter(F.array(*[F.lit(m).cast("long") for m in _masks(width, budget)]), lambda m: F.bit_count(m) + F.col("err") <= budget)
+            grown = frontier.join(a, "a").select("a", "b", "err", "a2", "na", F.explode(flips).alias("m"))
+            want = F.shiftleft("b", width).bitwiseOR(F.col("a2").bitwiseXOR(F.col("m")).bitwiseAND((1 << width) - 1))
+            # Of one parent, only in order; a node with itself only if it holds two.
+            grown = grown.select("b", "a2", want.alias("b2"), (F.col("err") + F.bit_count("m")).alias("err"), (F.col("a") != F.col("b")).alias("two"), "na")
+            grown = grown.where("two OR a2 < b2 OR (a2 = b2 AND na > 1)")
+            frontier = grown.join(b, ["b", "b2"]).select(F.col("a2").alias("a"), F.col("b2").alias("b"), "err")
         else:
             a = nodes.select(F.col("up").alias("a"), F.col("at").alias("a2"), F.col("n").alias("na"))
-            b = nodes.select(F.col("up").alias("b"), F.col("at").alias("b2"), F.col("n").alias("nb"))
+            b = nodes.select(F.col("up").alias("b"), F.col("at").alias("b2"))
             grown = frontier.join(a, "a").join(b, "b")
             diff = F.expr(f"bit_count((a2 ^ b2) & {(1 << width) - 1}L)")
-            kept = (F.col("a2") < F.col("b2")) | ((F.col("a2") == F.col("b2")) & (F.col("na") > 1))
-            if last:
-                kept = F.col("a2") < F.col("b2")
+            kept = (F.col("a2") < F.col("b2")) if last else (F.col("a2") < F.col("b2")) | ((F.col("a2") == F.col("b2")) & (F.col("na") > 1))
             # A pair of different parents is met once; of one parent, only in order.
-            kept = F.when(F.col("a") == F.col("b"), kept).otherwise(True)
-            frontier = grown.select(F.col("a2").alias("na_"), F.col("b2").alias("nb_"), (F.col("err") + diff).alias("err"), kept.alias("k"))
-            frontier = frontier.where(F.col("k") & (F.col("err") <= budget)).select(F.col("na_").alias("a"), F.col("nb_").alias("b"), "err")
+            grown = grown.where((F.col("a") != F.col("b")) | kept).select(F.col("a2").alias("a"), F.col("b2").alias("b"), (F.col("err") + diff).alias("err"))
+            frontier = grown.where(F.col("err") <= budget)
+        if hi == 32:
+            frontier = materialize(frontier, "simhash-frontier")
     back = lambda c: F.expr(f"shiftleft({c}, 32) | shiftrightunsigned({c}, 32)") if swap else F.col(c)
     return frontier.select(back("a").alias("a"), back("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -135,25 +146,26 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return walks[0].unionByName(walks[1]).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(v, root): the smallest vertex that each vertex of the links (a, b) reaches."""
+def components(edges: DataFrame) -> DataFrame:
+    """(v, root): the smallest vertex that each vertex of the links (a, b) reaches.
+
+    The smallest neighbours are written before links meet them, so that both sides of that join are plain tables, and Spark splits
+    the links of a vertex that very many share.
+    """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     stamp = None
-    for _ in range(rounds):
+    while True:
         # Large star: neighbours that are larger than u point to the smallest neighbour of u.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large", (least,))
         # Small star: smaller neighbours and u itself point to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = materialize(small, "cc")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low", (now,))
+        now = materialize(large.join(low, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc", (low, large))
         seen = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if stamp == tuple(seen):
             break
         stamp = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("v"), F.col("v").alias("root")).distinct())
 
 
