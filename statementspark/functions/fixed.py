@@ -25,27 +25,31 @@ CANONICAL = [
 ]
 
 # Words that are never a merchant by themselves.
-NOISE_WORDS = (
-    "UPI DR CR POS NEFT IMPS RTGS ACH NACH ECS SI EMI CHQ CLG MMT MOB TPT ATW ATM NWD EAW ECOM IPS VPS PAYMENT PAYMENTS PAY PMT"
-    " TXN TRANSACTION TRF TRANSFER REF REFNO RRN UTR COLLECT REQUEST SENT RECEIVED TO FROM BY THE AND FOR VIA INR RS AC ACC ACCT"
-    " ACCOUNT NO NA MERCHANT PURCHASE ONLINE MOBILE BANKING NETBANKING IB IMB SERVICE SERVICES LTD LIMITED PVT PRIVATE INDIA IN"
-    " OTHERS SUCCESS SUCCESSFUL DEBIT CREDIT WITHDRAWAL DEPOSIT AMT AMOUNT FOLIO MANDATE AUTOPAY AUTO BILL BILLDESK BBPS RECHARGE"
-    " YOU ARE PAYI PAYIN PAYING USING RECD REV REVERSAL EXECUTION MANDATEEXECU MANDATEEXEC SUBSCRIPTION SUBSCRIPTI COMPLAIN"
-    " COMPLAINT PAID SUP RAZO RAZORPAY MB"
-).split()
+NOISE_WORDS = [
+    "UPI", "DR", "CR", "POS", "NEFT", "IMPS", "RTGS", "ACH", "NACH", "ECS", "SI", "EMI", "CHQ", "CLG", "MMT", "MOB", "TPT", "ATW",
+    "ATM", "NWD", "EAW", "ECOM", "IPS", "VPS", "PAYMENT", "PAYMENTS", "PAY", "PMT", "TXN", "TRANSACTION", "TRF", "TRANSFER", "REF",
+    "REFNO", "RRN", "UTR", "COLLECT", "REQUEST", "SENT", "RECEIVED", "TO", "FROM", "BY", "THE", "AND", "FOR", "VIA", "INR", "RS", "AC",
+    "ACC", "ACCT", "ACCOUNT", "NO", "NA", "MERCHANT", "PURCHASE", "ONLINE", "MOBILE", "BANKING", "NETBANKING", "IB", "IMB", "SERVICE",
+    "SERVICES", "LTD", "LIMITED", "PVT", "PRIVATE", "INDIA", "IN", "OTHERS", "SUCCESS", "SUCCESSFUL", "DEBIT", "CREDIT", "WITHDRAWAL",
+    "DEPOSIT", "AMT", "AMOUNT", "FOLIO", "MANDATE", "AUTOPAY", "AUTO", "BILL", "BILLDESK", "BBPS", "RECHARGE", "YOU", "ARE", "PAYI",
+    "PAYIN", "PAYING", "USING", "RECD", "REV", "REVERSAL", "EXECUTION", "MANDATEEXECU", "MANDATEEXEC", "SUBSCRIPTION", "SUBSCRIPTI",
+    "COMPLAIN", "COMPLAINT", "PAID", "SUP", "RAZO", "RAZORPAY", "MB",
+]
 
 # Short names of banks and payment providers.
-BANK_CODES = (
-    "HDFC HDFCBANK ICIC ICICI SBI SBIN AXIS AXISBANK UTIB KOTAK KKBK YESB YES IDFC IDFB INDB INDUSIND PNB PUNB BARB BOB CNRB"
-    " CANARA UBIN UNION IOBA IDIB CITI CITIN SCBL HSBC DBSS RATN RBL AUBL FDRL FEDERAL KVBL TMBL PYTM PAYTMBANK APL IBL AXL OKAXIS"
-    " OKSBI OKHDFCBANK OKICICI YBL NPCI BANK"
-).split()
+BANK_CODES = [
+    "HDFC", "HDFCBANK", "ICIC", "ICICI", "SBI", "SBIN", "AXIS", "AXISBANK", "UTIB", "KOTAK", "KKBK", "YESB", "YES", "IDFC", "IDFB",
+    "INDB", "INDUSIND", "PNB", "PUNB", "BARB", "BOB", "CNRB", "CANARA", "UBIN", "UNION", "IOBA", "IDIB", "CITI", "CITIN", "SCBL",
+    "HSBC", "DBSS", "RATN", "RBL", "AUBL", "FDRL", "FEDERAL", "KVBL", "TMBL", "PYTM", "PAYTMBANK", "APL", "IBL", "AXL", "OKAXIS",
+    "OKSBI", "OKHDFCBANK", "OKICICI", "YBL", "NPCI", "BANK",
+]
 
 # Words that stay in capitals.
-ACRONYMS = (
-    "ATM UPI NEFT IMPS RTGS EMI SIP IRCTC PVR BSNL MTNL BESCOM MSEB BSES TATA HDFC ICICI SBI LIC HP BPCL HPCL IOCL KFC INOX OYO"
-    " IKEA GST TDS NSE BSE DTH OTT AC PG IT"
-).split()
+ACRONYMS = [
+    "ATM", "UPI", "NEFT", "IMPS", "RTGS", "EMI", "SIP", "IRCTC", "PVR", "BSNL", "MTNL", "BESCOM", "MSEB", "BSES", "TATA", "HDFC",
+    "ICICI", "SBI", "LIC", "HP", "BPCL", "HPCL", "IOCL", "KFC", "INOX", "OYO", "IKEA", "GST", "TDS", "NSE", "BSE", "DTH", "OTT", "AC",
+    "PG", "IT",
+]
 
 # Patterns of tokens and narrations.
 IFSC = r"^[A-Z]{4}0[A-Z0-9]{6}$"
@@ -56,6 +60,7 @@ VPA = r"\b([A-Za-z0-9_.\-]{2,})@([A-Za-z]{2,})\b"
 PREFIX = r"^\s*(?:REV[\s/-]*)?(?:UPI|POS|ECOM|NEFT|IMPS|RTGS|ACH\s*[DC]?|NACH\s*[DC]?|ECS|SI|MMT|TPT|IB)[\s/:-]+"
 CARD_INSIDE = r"\b\d{0,6}X{2,}\d{0,6}\b"
 LONG_NUMBER = r"\b\d{12,}\b"
+MONEY = r"(?:\d{1,3}(?:,\d{2,3})*\.\d{2}|\d+\.\d{2})"
 UPI_LAYOUT = r"(?i)^\s*(?:REV[\s/-]*)?UPI[/-]"
 SEPARATORS = r"[/|:;,\\-]+"
 REFUND = r"(?i)\brefund|\breversal|\breversed\b|\bcashback\b|\bchargeback\b|\bcredit\s+adj"
@@ -70,6 +75,9 @@ TRAILING_DATE = r"\s+(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})\s*$"
 # Date formats in the order of preference, as Spark writes them.
 DATE_FORMATS = ["d/M/yyyy", "d-M-yyyy", "d/M/yy", "d-M-yy", "d-MMM-yyyy", "d MMM yyyy", "d-MMM-yy", "d MMM yy", "d/MMM/yyyy", "yyyy-M-d", "d.M.yyyy", "d.M.yy"]
 
+#: Formats of our own that are tried row by row where no one format fits most of a file, after those above; day first.
+LOOSE_FORMATS = ["d MMMM yyyy", "d MMMM, yyyy", "d-MMMM-yyyy", "d MMM, yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "d/MMM/yy", "yyyy-MMM-d"]
+
 # Categories, Uncategorised last.
 CATEGORIES = [
     "Food & Dining", "Groceries", "Transport & Fuel", "Shopping", "Bills & Utilities", "Rent & Housing", "Health & Medical",
@@ -78,6 +86,9 @@ CATEGORIES = [
 ]
 UNCATEGORISED = "Uncategorised"
 NOT_SPENDING = ["Transfers", "Investments & SIP", "Income"]
+#: Families of models by the start of their name.
+MODEL_FAMILIES = {"claude": "Claude", "gpt": "OpenAI", "chatgpt": "OpenAI", "o1": "OpenAI", "o3": "OpenAI", "o4": "OpenAI", "o5": "OpenAI"}
+OTHER_MODEL = "AI"
 SOURCE_LABELS = {"override": "You tagged it", "cache": "Learned", "rule": "Rule", "heuristic": "Heuristic", "llm": "AI", "none": "Unresolved"}
 
 # Cadence windows in days, monthly factors, and limits.
@@ -97,4 +108,3 @@ HEADERS = {
     "drcr": ["dr / cr", "dr/cr", "cr/dr", "type", "indicator", "transaction type"],
 }
 NOT_HEADERS = r"(?i)cheque|chq|ref(?:erence)?\s*(?:no|number|num)|serial|sl\.?\s*no|s\.?\s*no\b|branch|instrument|utr"
-INDICATOR = r"(?i)(?:^|[^a-z])(?:dr\s*[/|-]\s*cr|cr\s*[/|-]\s*dr|debit\s*[/|-]\s*credit)(?:$|[^a-z])|indicator|(?:^|[^a-z])txn\s*type(?:$|[^a-z])"

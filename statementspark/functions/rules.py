@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from . import fixed
 
@@ -26,25 +27,75 @@ RULES = {
     "Transfers": "credit,card,payment self fund,transfer",
     "Income": "salary dividend",
 }
+RAW = "category string, pattern string, place int"
+#: A pattern of letters, digits and blanks alone, and what only a regular expression holds.
+PLAIN, SPECIAL = "^[A-Za-z0-9 ]+$", r"[.*+?\[\](){}|^$\\]"
+
+
+def rank_rules(raw: DataFrame) -> DataFrame:
+    """(pattern, category, specificity, priority, kind) from (category, pattern, place): longest first, then as listed.
+
+    Short plain patterns fit whole words only, other plain ones any text, all others are regular expressions. Blank patterns
+    are dropped; a category that does not exist, or an expression that Spark cannot read, is an error where it is met. A rule table is
+    a dictionary that people write, so one task ranks it.
+    """
+    text = F.trim("pattern")
+    known = F.when(F.col("category").isin(fixed.CATEGORIES), F.col("category")).otherwise(F.raise_error(F.concat(F.lit("no such category: "), F.coalesce("category", F.lit("null")))))
+    plain = text.rlike(PLAIN)
+    kind = F.when(plain & (F.length(text) <= 4), "word").when(plain | ~text.rlike(SPECIAL), "text").otherwise("regex")
+    rows = raw.where(text != "").select(F.lower(text).alias("pattern"), known.alias("category"), F.length(text).alias("specificity"), "place", kind.alias("kind"))
+    place = F.row_number().over(Window.orderBy(F.desc("specificity"), "place", "pattern")) - 1
+    return rows.select("pattern", "category", "specificity", place.alias("priority"), "kind")
+
+
+def load_rules(spark: SparkSession, table: dict[str, str] | None = None) -> DataFrame:
+    """The ranked rules of a dictionary in memory, of our own by default; a comma in a pattern is a space."""
+    return spark.createDataFrame(rows(RULES if table is None else table), SCHEMA)
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The ranked rules of a file in the shape ``Category:`` and, below it, lines ``- pattern``; ``#`` starts a comment line.
+
+    Patterns may stand in quotes. A file that names an unknown category, or holds an expression that cannot be read, is an error.
+    """
+    lines = [r.value for r in spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\r?\n")).alias("value")).collect()]
+    listed: list[tuple[str, str]] = []
+    category = None
+    for line in lines:
+        item, head = re.match(r"\s*-\s*(.*?)\s*$", line), re.match(r"(\S.*?)\s*:\s*$", line)
+        if item and category is None:
+            raise ValueError(f"a pattern before any category: {line!r}")
+        if item:
+            text = item[1]
+            quoted = len(text) > 1 and text[0] == text[-1] and text[0] in "'\""
+            listed.append((text[1:-1] if quoted else re.sub(r"\s+#.*$", "", text), category))
+        elif head and not line.lstrip().startswith("#"):
+            category = head[1].strip("'\"")
+    return spark.createDataFrame(_ranked(listed), SCHEMA)
+
+
 SCHEMA = "pattern string, category string, specificity int, priority int, kind string"
 
 
 def rows(table: dict[str, str]) -> list[tuple]:
-    """Patterns with their rank: longest first, then as listed. A comma in a pattern is a space."""
-    listed = [(p.replace(",", " "), c) for c, text in table.items() for p in text.split()]
+    """The ranked rows of a dictionary in memory."""
+    return _ranked([(p.replace(",", " "), c) for c, text in table.items() for p in text.split()])
+
+
+def _ranked(listed: list[tuple[str, str]]) -> list[tuple]:
+    """As :func:`rank_rules`, for a list on the driver, with its errors at once."""
+    listed = [(p.strip(), c) for p, c in listed if p.strip()]
     unknown = {c for _, c in listed} - set(fixed.CATEGORIES)
     if unknown:
         raise ValueError(f"no such category: {sorted(unknown)}")
     out = []
     for k, (pattern, category) in enumerate(sorted(listed, key=lambda x: -len(x[0]))):
-        plain = re.fullmatch(r"[A-Za-z0-9 ]+", pattern)
-        kind = "word" if plain and len(pattern) <= 4 else ("text" if plain or not re.search(r"[.*+?\[\](){}|^$\\]", pattern) else "regex")
+        plain = re.search(PLAIN, pattern)
+        kind = "word" if plain and len(pattern) <= 4 else ("text" if plain or not re.search(SPECIAL, pattern) else "regex")
         if kind == "regex":
-            re.compile(pattern)
+            try:
+                re.compile(pattern)
+            except re.error as error:
+                raise ValueError(f"bad pattern {pattern!r}: {error}") from error
         out.append((pattern.lower(), category, len(pattern), k, kind))
     return out
-
-
-def load_rules(spark: SparkSession, table: dict[str, str] | None = None) -> DataFrame:
-    """(pattern, category, specificity, priority, kind); the table is a few hundred rows by its nature."""
-    return spark.createDataFrame(rows(RULES if table is None else table), SCHEMA)

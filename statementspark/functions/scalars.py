@@ -43,11 +43,29 @@ def date_text(col: Column) -> Column:
 def parse_date(text: Column, fmt: str) -> Column:
     """``text`` in one format or null. Two-digit years from 69 on are of the last century."""
     short = fmt.endswith("yy") and not fmt.endswith("yyyy")
-    year = r"\d{2}$" if short else (r"\d{4}$" if not fmt.startswith("y") else r"^\d{4}-")
+    year = r"\d{2}$" if short else (r"\d{4}$" if not fmt.startswith("y") else r"^\d{4}")
     found = F.when(text.rlike(year) & (~text.rlike(r"\d{3}$") if short else F.lit(True)), F.try_to_date(text, fmt))
     return F.when(F.year(found) >= 2069, F.add_months(found, -1200)).otherwise(found) if short else found
 
 
+def without_references(col: Column) -> Column:
+    """A narration with zeros for its long numbers, but for those of a payment address: what names its merchant is left."""
+    return F.when(col.rlike("[0-9]{12}"), F.regexp_replace(col, fixed.LONG_NUMBER + r"(?![\w.\-]*@)", "0" * 12)).otherwise(col)
+
+
+def is_resolved(merchant_key: Column) -> Column:
+    """Whether a narration has a merchant that can be told from others."""
+    return F.coalesce((merchant_key != "") & (merchant_key != "unknown"), F.lit(False))
+
+
+def model_family(model: Column) -> Column:
+    """What a stored model name is shown as."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for start, name in fixed.MODEL_FAMILIES.items():
+        out = out.when(F.lower(model).startswith(start), F.lit(name))
+    return out.otherwise(F.lit(fixed.OTHER_MODEL))
+
+
 def make_key(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(col), "[^a-z0-9]+", " "))
 

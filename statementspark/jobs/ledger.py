@@ -5,6 +5,8 @@ Money is computed in whole paise and divided last. Narration templates and their
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: (kind, narration); {ref} is a 12-digit reference.
@@ -64,6 +66,32 @@ SELECT account_id, source_file, seq, date, o_orderkey, description, debit, credi
        o_orderkey % 5 = 0 AS ambiguous
 FROM {ledger}"""
 
+#: Letters of a number: names that no rule, channel or store knows.
+_LETTERS = "translate(CAST({} AS STRING), '0123456789', 'BCDFGHJKLM')"
+_VENDOR = _LETTERS.format("account_id % 997")
+#: The ledger with some hundreds of payees that nothing resolves, whose amounts often tie.
+STRANGERS = f"""
+SELECT account_id, source_file, seq, date, o_orderkey,
+       CASE WHEN o_orderkey % 24 IN (17, 18, 20) THEN 'CHQ PAID ' || lpad(CAST(o_orderkey AS STRING), 12, '0') || ' VENDOR QX' || {_VENDOR} ELSE description END AS description,
+       CASE WHEN o_orderkey % 24 IN (17, 18, 20) THEN 100E0 + floor(debit / 20000) * 20000 ELSE debit END AS debit, credit, balance
+FROM {{ledger}}"""
+#: Answers of a classifier on them: valid ones, categories that do not exist or say nothing, and keys that nobody asked for.
+ANSWERS = f"""
+SELECT 'vendor qx' || lower({_VENDOR}) AS merchant_key, CASE account_id % 997 % 4 WHEN 0 THEN 'Groceries' WHEN 1 THEN 'Travel' WHEN 2 THEN 'Imaginary' ELSE 'Uncategorised' END AS category,
+       CASE WHEN account_id % 2 = 0 THEN '' ELSE 'Vendor' END AS display, CAST(CASE WHEN account_id % 5 = 0 THEN NULL ELSE 0.81234 END AS DOUBLE) AS confidence,
+       CASE account_id % 3 WHEN 0 THEN 'Claude-y' WHEN 1 THEN 'o3-mini' ELSE '' END AS model
+FROM (SELECT DISTINCT account_id FROM {{ledger}} WHERE account_id < 997) AS a
+UNION ALL SELECT 'nobody asked ' || lower({_LETTERS.format("account_id")}), 'Travel', '', CAST(0.8 AS DOUBLE), '' FROM (SELECT DISTINCT account_id FROM {{ledger}} WHERE account_id < 997) AS a"""
+#: Stores that one person keeps: own tags, learned answers with a model each, own categories.
+OWN_TAGS = f"SELECT 'payee ' || lower({_LETTERS.format('account_id')}) AS merchant_key, CASE WHEN account_id % 3 = 0 THEN 'Travel' ELSE 'Own ' || CAST(account_id % 7 AS STRING) END AS category FROM (SELECT DISTINCT account_id FROM {{ledger}}) AS a"
+LEARNED = f"""SELECT 'payee ' || lower({_LETTERS.format('account_id')}) AS merchant_key, 'Shopping' AS category, 'Payee ' || CAST(account_id AS STRING) AS display, CAST(0.75 AS DOUBLE) AS confidence,
+ CASE account_id % 8 WHEN 0 THEN 'claude-y' WHEN 1 THEN 'GPT-x' WHEN 2 THEN 'chatgpt' WHEN 3 THEN 'o1' WHEN 4 THEN 'O3-mini' WHEN 5 THEN 'llama-z' WHEN 6 THEN 'my claude' ELSE '' END AS model
+ FROM (SELECT DISTINCT account_id FROM {{ledger}}) AS a"""
+OWN_CATEGORIES = "SELECT DISTINCT 'Own ' || CAST(account_id % 17 AS STRING) AS name FROM {ledger}"
+#: A rule file's content made of the words of all narrations: some short, some long, some with a sign of regular expressions.
+WORDS = """SELECT DISTINCT word FROM (SELECT explode(split(lower(description), '[^A-Za-z.]+')) AS word FROM {ledger}) AS w WHERE length(word) > 2"""
+DUCK_WORDS = WORDS.replace("explode(split(", "unnest(string_split_regex(")
+
 GAP = "CASE c_custkey % 8 WHEN 0 THEN 7 WHEN 1 THEN 14 WHEN 2 THEN 30 WHEN 3 THEN 91 WHEN 4 THEN 182 WHEN 5 THEN 365 WHEN 6 THEN 45 ELSE 30 END"
 JITTER = "CASE WHEN c_custkey % 8 = 7 THEN 20 * (k % 2) ELSE (7 * c_custkey + 3 * k + k * k) % 3 - 1 END"
 #: {days} turns a date and a number of days into a date in either dialect.
@@ -107,6 +135,24 @@ def recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RECURRING.replace("{day}", SPARK_DAY), customer=customer)
 
 
+def strangers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(STRANGERS, ledger=ledger(spark, sf_dir))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ANSWERS, ledger=ledger(spark, sf_dir))
+
+
+def of_ledger(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql, ledger=ledger(spark, sf_dir))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path that driver and executors share, for what a query writes and reads back."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def overrides(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(OVERRIDES, "merchant_key string, category string")
 
@@ -155,11 +201,11 @@ UNION ALL SELECT source_file, CAST(3 + CASE WHEN account_id % 5 = 0 AND n >= 3 T
 UNION ALL SELECT source_file, CAST(4 + n AS INT), '' FROM files
 UNION ALL SELECT source_file, CAST(5 + n AS INT), 'This is a computer generated statement' FROM files"""
 
-#: Statements as printed text; long narrations wrap, boilerplate stands between, some amounts have a suffix.
+#: Statements as printed text, every balance fifty million higher so that none is below zero; long narrations wrap, boilerplate stands between, some amounts have a suffix.
 TEXT_LINES = f"""
 WITH rows AS (SELECT *, {_DD} || '-' || {_MM} || '-' || {_YYYY} AS d FROM {{ledger}})
 SELECT source_file, CAST(seq * 3 AS INT) AS line_no,
-  d || ' ' || substr(description, 1, 40) || ' ' || {_money('(debit + credit)')} || CASE WHEN seq = 1 OR o_orderkey % 7 = 0 THEN CASE WHEN debit > 0 THEN ' DR' ELSE ' CR' END ELSE '' END || ' ' || {_money('abs(balance)')} AS line
+  d || ' ' || substr(description, 1, 40) || ' ' || {_money('(debit + credit)')} || CASE WHEN seq = 1 OR o_orderkey % 7 = 0 THEN CASE WHEN debit > 0 THEN ' DR' ELSE ' CR' END ELSE '' END || ' ' || {_money('(balance + 5E7)')} AS line
 FROM rows
 UNION ALL SELECT source_file, CAST(seq * 3 + 1 AS INT), substr(description, 41) FROM rows WHERE length(description) > 44
 UNION ALL SELECT source_file, CAST(seq * 3 + 2 AS INT), 'Page 1 of account number 0001' FROM rows WHERE o_orderkey % 30 = 0"""
@@ -171,3 +217,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TEXT_LINES, ledger=ledger(spark, sf_dir))
+
+
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of all accounts, every second one printed as text."""
+    even = "source_file IN (SELECT DISTINCT source_file FROM {ledger} WHERE account_id % 2 = 0)"
+    as_text, as_cells = text_lines(spark, sf_dir), lines(spark, sf_dir)
+    pick = lambda rows, where: spark.sql(f"SELECT * FROM {{rows}} WHERE {where}", rows=rows, ledger=ledger(spark, sf_dir))
+    return pick(as_text, even).unionByName(pick(as_cells, f"NOT ({even})"))

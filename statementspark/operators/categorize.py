@@ -6,25 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.scalars import is_refund, make_key
+from ..functions.scalars import is_refund, make_key, model_family, without_references
 from .merchant import annotate
 
 AMOUNT = "coalesce(debit, 0D) + coalesce(credit, 0D)"
 
 
+def _haystacks(pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """``pairs`` with ``__hay``, what rules are held against, and ``__words``, its words between blanks."""
+    hay = F.lower(F.concat(F.coalesce(key, F.lit("")), F.lit(" || "), F.coalesce(text, F.lit(""))))
+    return pairs.withColumn("__hay", hay).withColumn("__words", F.concat(F.lit(" "), F.regexp_replace("__hay", "[^a-z0-9_]", " "), F.lit(" ")))
+
+
 def match_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
     """(merchant_key, description, category, specificity) of distinct pairs that a rule fits: the first by priority.
 
-    The rule table is a dictionary of a few hundred rows, so it goes to all tasks; each distinct haystack meets it once
-    and the best rule is an aggregate with partial aggregation, not a sort.
+    Rules without a digit say nothing of long reference numbers, so they meet each distinct haystack with its numbers masked, of which
+    there are few; only those with a digit and regular expressions meet whole haystacks. Rules of one word meet the words of haystacks in
+    an equi-join. Texts within texts have no key: there each haystack meets each rule, the smaller side being sent to all if the planner
+    finds that it is small. The best rule is an aggregate with partial aggregation, not a sort.
     """
-    pairs = df.select("merchant_key", "description").distinct()
-    hay = F.lower(F.concat(F.coalesce("merchant_key", F.lit("")), F.lit(" || "), F.coalesce("description", F.lit(""))))
-    pairs = pairs.withColumn("__hay", hay).withColumn("__words", F.concat(F.lit(" "), F.regexp_replace("__hay", "[^a-z0-9_]", " "), F.lit(" ")))
+    pairs = df.select("merchant_key", "description", without_references(F.col("description")).alias("__masked")).distinct()
+    exact = (F.col("kind") == "regex") | F.col("pattern").rlike("[0-9]")
+    best = lambda rows, *keys: rows.groupBy(*keys).agg(F.min_by(F.struct("category", "specificity", "priority"), "priority").alias("r"))
+    short = _haystacks(pairs.select("merchant_key", "__masked").distinct(), "merchant_key", "__masked")
+    words = short.select("merchant_key", "__masked", F.explode(F.array_distinct(F.split(F.trim("__words"), " +"))).alias("__word"))
+    by_word = words.join(rules.where((F.col("kind") == "word") & ~F.col("pattern").contains(" ") & ~exact), F.col("__word") == F.col("pattern"))
+    spaced = F.expr("CASE kind WHEN 'word' THEN contains(__words, concat(' ', pattern, ' ')) ELSE contains(__hay, pattern) END")
+    by_text = short.join(rules.where(((F.col("kind") == "text") | F.col("pattern").contains(" ")) & ~exact), spaced)
+    columns = ("merchant_key", "__masked", "category", "specificity", "priority")
+    masked = best(by_word.select(*columns).unionByName(by_text.select(*columns)), "merchant_key", "__masked")
+    masked = masked.select(F.col("merchant_key").alias("__k"), F.col("__masked").alias("__m"), "r.*")
+    spread = pairs.join(masked, pairs["merchant_key"].eqNullSafe(masked["__k"]) & pairs["__masked"].eqNullSafe(masked["__m"]))
     fits = F.expr("CASE kind WHEN 'word' THEN contains(__words, concat(' ', pattern, ' ')) WHEN 'text' THEN contains(__hay, pattern) ELSE __hay RLIKE pattern END")
-    met = pairs.join(F.broadcast(rules), fits)
-    best = met.groupBy("merchant_key", "description").agg(F.min_by(F.struct("category", "specificity"), "priority").alias("r"))
-    return best.select("merchant_key", "description", F.col("r.category").alias("category"), F.col("r.specificity").alias("specificity"))
+    whole = _haystacks(pairs, "merchant_key", "description").join(rules.where(exact), fits)
+    columns = ("merchant_key", "description", "category", "specificity", "priority")
+    found = best(spread.select(*columns).unionByName(whole.select(*columns)), "merchant_key", "description")
+    return found.select("merchant_key", "description", F.col("r.category").alias("category"), F.col("r.specificity").alias("specificity"))
 
 
 def heuristic_category(channel: Column, is_credit: Column, narration: Column) -> Column:
@@ -114,6 +132,15 @@ def set_overrides(overrides: DataFrame, edits: DataFrame) -> DataFrame:
     return kept.unionByName(last.where(F.col("category") != fixed.UNCATEGORISED))
 
 
+def clear_overrides(overrides: DataFrame) -> DataFrame:
+    """The empty store, to be written in the place of the old one."""
+    return overrides.where(F.lit(False))
+
+
+def clear_cache(cache: DataFrame) -> DataFrame:
+    return cache.where(F.lit(False))
+
+
 def decided_by_labels(df: DataFrame, cache: DataFrame) -> DataFrame:
     """``df`` with decided_by: who decided, and for learned answers which model family did."""
     models = cache.select(F.col("merchant_key").alias("__k"), F.nullif("model", F.lit("")).alias("__m"))
@@ -121,7 +148,7 @@ def decided_by_labels(df: DataFrame, cache: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for pair in fixed.SOURCE_LABELS.items() for x in pair])
     label = F.coalesce(F.try_element_at(names, F.col("category_source")), F.col("category_source"))
     known = F.col("category_source").isin("cache", "llm") & F.col("__m").isNotNull()
-    family = F.substring_index("__m", "-", 1)
+    family = model_family(F.col("__m"))
     return rows.select(*[df[c] for c in df.columns], F.when(known, F.concat(label, F.lit(" ("), family, F.lit(")"))).otherwise(label).alias("decided_by"))
 
 

@@ -25,10 +25,13 @@ def income(df: DataFrame) -> DataFrame:
     return df.where(is_income())
 
 
+def _day(x: str | Column) -> Column:
+    return F.to_date(F.lit(x)) if isinstance(x, str) else x
+
+
 def filter_period(df: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
     """Rows of the days from start to end, both included."""
-    as_day = lambda x: F.to_date(F.lit(x)) if isinstance(x, str) else x
-    return df.where(F.to_date("date").between(as_day(start), as_day(end)))
+    return df.where(F.to_date("date").between(_day(start), _day(end)))
 
 
 def statement_span(df: DataFrame, keys: tuple = ()) -> DataFrame:
@@ -36,9 +39,15 @@ def statement_span(df: DataFrame, keys: tuple = ()) -> DataFrame:
     return out.withColumn("span_days", F.datediff("end", "start") + 1)
 
 
-def resolve_period(df: DataFrame, months: int | None = None, keys: tuple = ()) -> DataFrame:
-    """(start, end) of the last ``months`` before the last transaction; where the ledger is shorter, of all of it."""
+def resolve_period(df: DataFrame, months: int | None = None, keys: tuple = (), custom: tuple[str | Column, str | Column] | None = None) -> DataFrame:
+    """(start, end) of the last ``months`` before the last transaction; where the ledger is shorter, of all of it.
+
+    ``custom``: two days of choice, in either order, drawn into the ledger's own days.
+    """
     span = statement_span(df, keys)
+    if custom is not None:
+        days = [F.least(F.greatest(_day(x), F.col("start")), F.col("end")) for x in custom]
+        return span.select(*keys, F.least(*days).alias("start"), F.greatest(*days).alias("end"))
     if months is None:
         return span.select(*keys, "start", "end")
     first = F.greatest(F.date_add(F.add_months("end", -months), 1), F.col("start"))
@@ -97,59 +106,81 @@ def daily(df: DataFrame, include_transfers: bool = False, keys: tuple = ()) -> D
     return filled.withColumn("rolling", F.round(F.avg("amount").over(Window.partitionBy(*keys).orderBy("date").rowsBetween(-6, 0)), 4))
 
 
+def _figures(include_transfers: bool, inside: Column, order: tuple) -> list[Column]:
+    """Aggregates of the key figures over rows that are ``inside``."""
+    out_money = F.when(inside & is_spending(include_transfers), F.col("debit"))
+    spent = F.round(F.coalesce(F.sum(out_money), F.lit(0.0)), 2)
+    largest = F.min_by(F.struct("merchant", F.col("debit").alias("amount"), "date", "category"), F.when(out_money.isNotNull(), F.struct((-F.col("debit")).alias("o"), *order)))
+    here = lambda c: F.when(inside, c)
+    return [
+        F.round(F.coalesce(F.sum(F.when(inside & is_income(), F.col("credit"))), F.lit(0.0)), 2).alias("money_in"), spent.alias("money_out"),
+        F.round(F.coalesce(F.sum(here(F.col("debit"))), F.lit(0.0)) - F.coalesce(F.sum(out_money), F.lit(0.0)), 2).alias("excluded"),
+        F.count_if(inside).alias("transactions"), F.size(F.collect_set(here(F.trunc("date", "MM")))).cast("long").alias("months"),
+        F.min(here(F.col("date"))).alias("start"), F.max(here(F.col("date"))).alias("end"), largest.alias("l"),
+    ]
+
+
+HEADLINE = ("money_in", "money_out", "excluded", "transactions", "months", "start", "end")
+
+
+def _headline(out: DataFrame, per: Column) -> list[Column]:
+    """What follows from the figures, in order."""
+    made = [F.round(F.col("money_in") - F.col("money_out"), 2).alias("net"), F.round(F.col("money_out") / per, 2).alias("monthly_burn")]
+    return [*map(F.col, HEADLINE), *made, *[F.col(f"l.{c}").alias(f"largest_{c}") for c in ("merchant", "amount", "date", "category")]]
+
+
 def headline(df: DataFrame, include_transfers: bool = False, period_days: int | Column | None = None, keys: tuple = (), order: tuple = ("date", "seq")) -> DataFrame:
     """One row of key figures for each key, in one aggregate."""
-    out_money = F.when(is_spending(include_transfers), F.col("debit"))
-    largest = F.min_by(F.struct("merchant", F.col("debit").alias("amount"), "date", "category"), F.when(out_money.isNotNull(), F.struct((-F.col("debit")).alias("o"), *order)))
-    out = df.groupBy(*keys).agg(
-        F.round(F.coalesce(F.sum(F.when(is_income(), F.col("credit"))), F.lit(0.0)), 2).alias("money_in"),
-        F.round(F.coalesce(F.sum(out_money), F.lit(0.0)), 2).alias("money_out"),
-        F.round(F.coalesce(F.sum("debit"), F.lit(0.0)) - F.coalesce(F.sum(out_money), F.lit(0.0)), 2).alias("excluded"),
-        F.count(F.lit(1)).alias("transactions"), F.count_distinct(F.trunc("date", "MM")).alias("months"),
-        F.min("date").alias("start"), F.max("date").alias("end"), largest.alias("l"),
-    )
+    out = df.groupBy(*keys).agg(*_figures(include_transfers, F.lit(True), order))
     per = F.greatest(F.col("months"), F.lit(1)) if period_days is None else (F.lit(period_days) if isinstance(period_days, int) else period_days) / fixed.DAYS_PER_MONTH
-    out = out.withColumns({"net": F.round(F.col("money_in") - F.col("money_out"), 2), "monthly_burn": F.round(F.col("money_out") / per, 2)})
-    return out.select(*[c for c in out.columns if c != "l"], F.col("l.merchant").alias("largest_merchant"), F.col("l.amount").alias("largest_amount"), F.col("l.date").alias("largest_date"), F.col("l.category").alias("largest_category"))
-
+    return out.select(*keys, *_headline(out, per))
 
-def period_balances(df: DataFrame, start: str, end: str, keys: tuple = (), order: tuple = ("date", "seq")) -> DataFrame:
-    """Opening and closing balance of a period and the change; null where several files mix their balances.
 
-    An as-of lookup without a sort: the last and first balanced rows are max_by and min_by of one aggregate.
-    """
+def _balances(inside: Column, before: Column, order: tuple) -> list[Column]:
+    """Aggregates of a period's balances: as-of lookups without a sort, by max_by and min_by."""
     at = F.struct(*order)
     has = F.col("balance").isNotNull()
-    inside = F.to_date("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
-    before = F.to_date("date") < F.to_date(F.lit(start))
-    out = df.groupBy(*keys).agg(
-        F.count_distinct("source_file").alias("files"),
+    return [
+        (F.min("source_file") == F.max("source_file")).alias("one_file"),
         F.max_by("balance", F.when(has & inside, at)).alias("closing"),
         F.max_by("balance", F.when(has & before, at)).alias("earlier"),
         F.min_by(F.col("balance") - F.coalesce("credit", F.lit(0.0)) + F.coalesce("debit", F.lit(0.0)), F.when(has & inside, at)).alias("undone"),
-    )
-    good = (F.col("files") == 1) & F.col("closing").isNotNull()
+    ]
+
+
+def _balance_columns() -> list[Column]:
+    good = F.coalesce("one_file", F.lit(False)) & F.col("closing").isNotNull()
     opening = F.when(good, F.round(F.coalesce("earlier", "undone"), 2))
     closing = F.when(good, F.round("closing", 2))
-    return out.select(*keys, opening.alias("opening_balance"), closing.alias("closing_balance"), F.round(closing - opening, 2).alias("balance_change"))
+    return [opening.alias("opening_balance"), closing.alias("closing_balance"), F.round(closing - opening, 2).alias("balance_change")]
+
+
+def _inside(start: str | Column, end: str | Column) -> tuple[Column, Column]:
+    day = F.to_date("date")
+    return F.coalesce(day.between(_day(start), _day(end)), F.lit(False)), day < _day(start)
+
+
+def period_balances(df: DataFrame, start: str, end: str, keys: tuple = (), order: tuple = ("date", "seq")) -> DataFrame:
+    """Opening and closing balance of a period and the change; null where several files mix their balances."""
+    return df.groupBy(*keys).agg(*_balances(*_inside(start, end), order)).select(*keys, *_balance_columns())
 
 
 def period_summary(df: DataFrame, start: str, end: str, include_transfers: bool = False, keys: tuple = (), order: tuple = ("date", "seq")) -> DataFrame:
-    """Headline of a period with day, credit and debit counts, rows in all, and balances; keys without rows are absent."""
-    view = filter_period(df, start, end)
-    days = F.datediff(F.to_date(F.lit(end)), F.to_date(F.lit(start))) + 1
-    lines = headline(view, include_transfers, days, keys, order)
-    counts = view.groupBy(*keys).agg(F.count_if(F.col("credit") > 0).alias("credits"), F.count_if(F.col("debit") > 0).alias("debits"))
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    balances = period_balances(df, start, end, keys, order)
-    parts = [lines.withColumn("days", days), counts, total, balances]
-    if not keys:
-        parts = [p.withColumn("__one", F.lit(1)) for p in parts]
-    on = list(keys) or ["__one"]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, on)
-    return out.drop("__one")
+    """Headline of a period with day, credit and debit counts, rows in all, and balances; keys without rows in it are absent.
+
+    One aggregate over the ledger, with the period as a condition of each figure.
+    """
+    inside, before = _inside(start, end)
+    counts = [F.count_if(inside & (F.col("credit") > 0)).alias("credits"), F.count_if(inside & (F.col("debit") > 0)).alias("debits"), F.count(F.lit(1)).alias("total")]
+    out = df.groupBy(*keys).agg(*_figures(include_transfers, inside, order), *counts, *_balances(inside, before, order)).where("transactions > 0")
+    days = F.datediff(_day(end), _day(start)) + 1
+    return out.select(*keys, *_headline(out, days / fixed.DAYS_PER_MONTH), days.alias("days"), "credits", "debits", "total", *_balance_columns())
+
+
+def payment_gaps(df: DataFrame, keys: tuple = ()) -> DataFrame:
+    """Payments that may recur, each with its ``gap`` in days since the one before to the same merchant."""
+    rows = df.where((F.coalesce("debit", F.lit(0.0)) > 0) & (F.col("category") != "Cash Withdrawal"))
+    return rows.withColumn("gap", F.datediff("date", F.lag("date").over(Window.partitionBy(*keys, "merchant_key", "merchant").orderBy("date"))))
 
 
 def detect_recurring(df: DataFrame, min_occurrences: int = 3, amount_tolerance: float = 0.15, keys: tuple = ()) -> DataFrame:
@@ -158,9 +189,7 @@ def detect_recurring(df: DataFrame, min_occurrences: int = 3, amount_tolerance:
     Medians are exact, so a group's amounts meet in one task: with ``keys`` that is one account's payments to a merchant.
     """
     group = [*keys, "merchant_key", "merchant"]
-    rows = df.where((F.coalesce("debit", F.lit(0.0)) > 0) & (F.col("category") != "Cash Withdrawal"))
-    rows = rows.withColumn("gap", F.datediff("date", F.lag("date").over(Window.partitionBy(*group).orderBy("date"))))
-    out = rows.groupBy(*group).agg(
+    out = payment_gaps(df, keys).groupBy(*group).agg(
         F.count(F.lit(1)).alias("occurrences"), F.percentile("debit", F.lit(0.5)).alias("m"), F.min("debit").alias("lo"), F.max("debit").alias("hi"),
         F.percentile("gap", F.lit(0.5)).alias("g"), F.min("gap").alias("g0"), F.max("gap").alias("g1"), F.round(F.sum("debit"), 2).alias("total"),
         F.max("date").alias("last_paid"), F.mode("category", True).alias("category"),

@@ -72,10 +72,10 @@ def trust_summary(reports: DataFrame, keys: tuple = ()) -> DataFrame:
     )
 
 
-def pick_best_parse(reports: DataFrame, file_keys: tuple = FILE) -> DataFrame:
-    """The report of each file's best strategy (``strategy_no``): rate, then rows, then the earlier; two rows at least."""
+def pick_best_parse(reports: DataFrame, file_keys: tuple = FILE, least: int = 2) -> DataFrame:
+    """The report of each file's best strategy (``strategy_no``): rate, then rows, then the earlier; ``least`` rows at least."""
     order = Window.partitionBy(*file_keys).orderBy(F.desc("reconciliation_rate"), F.desc("rows_total"), "strategy_no")
-    return reports.where("rows_total >= 2").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return reports.where(F.col("rows_total") >= least).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
 def direction_from_balance(df: DataFrame, file_keys: tuple = FILE) -> DataFrame:

@@ -22,6 +22,18 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("m"))
 
 
+def write_store(rows: DataFrame, path: str, key: str | None = "merchant_key") -> None:
+    """One JSON object in one file at a new ``path``: of each key its other columns, or its one other column as it is; without a key
+    the one column as a list ``categories``. A store is what one person has said, so a task holds it."""
+    values = [c for c in rows.columns if c != key]
+    value = F.col(values[0]) if len(values) == 1 else F.struct(*values)
+    if key is None:
+        whole = F.to_json(F.struct(F.sort_array(F.collect_list(value)).alias("categories")))
+    else:
+        whole = F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key), value.alias("v"))))))
+    rows.agg(whole.alias("value")).write.text(path)
+
+
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """(merchant_key, category); entries that are no strings are dropped."""
     rows = _json(spark, path, "map<string,string>").select(F.explode("m").alias("merchant_key", "category"))

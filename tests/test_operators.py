@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from statementspark.functions import rules
+from statementspark.functions import rules, scalars
 from statementspark.operators import categorize, insights, proof, review
 from statementspark.sources import statements, stores
 
@@ -165,3 +165,84 @@ def test_text_statement(spark):
     got = [tuple(r)[2:] for r in statements.parse_text_statement(df).orderBy("line_no").collect()]
     assert got[0] == (dt.date(2024, 2, 1), "FIRST SHOP more of it", 0.0, 10.0, 110.0, False)
     assert got[1] == (dt.date(2024, 2, 2), "SECOND", 100000.0, 0.0, 99.0, True)
+
+
+def test_header_words_with_and_without_signs():
+    said = ["Txn Date", "Narration", "Withdrawal(Dr)", "Deposit_Amt.", "Closing-Balance", "Chq/Ref No."]
+    assert statements.map_header(said) == {"date": 0, "description": 1, "debit": 2, "credit": 3, "balance": 4}
+    assert statements.map_header(["Date", "Remarks", "Amount", "Dr / Cr", "Balance"])["drcr"] == 3
+    assert statements.map_header(["Date", "Remarks", "Amount", "Txn Type"])["drcr"] == 3
+    assert "debit" not in statements.map_header(["Date", "Withdrawn from", "indraw"])
+    assert statements.map_header([None, "", "DEBIT/CREDIT(INR)"]) == {"drcr": 2}
+
+
+def test_split_of_quoted_and_torn_lines(spark):
+    said = ['a,"b, ""c""",d', "a,,b", 'x,"y', '"q",', "", '"1,23,456.00","2"']
+    lines = spark.createDataFrame([("f", k, x) for k, x in enumerate(said)], "source_file string, line_no int, line string")
+    got = statements.split_cells(lines, spark.createDataFrame([("f", ",")], "source_file string, delimiter string"))
+    want = [["a", 'b, "c"', "d"], ["a", "", "b"], ['x,"y'], ["q", ""], [""], ["1,23,456.00", "2"]]
+    assert [r.cells for r in got.orderBy("line_no").collect()] == want
+    long = spark.createDataFrame([("f", 0, ",".join(['"a,b"'] * 100_000))], "source_file string, line_no int, line string")
+    assert statements.split_cells(long, spark.createDataFrame([("f", ",")], "source_file string, delimiter string")).selectExpr("size(cells)").first()[0] == 100_000
+
+
+def test_rule_files(spark, tmp_path):
+    text = "# mine\nTravel:\n  - irctc\n  - 'make my trip'  \n\nGroceries:\n  - \"big.*bazaar\"\n  - dmart # shop\n  - abc\n"
+    (tmp_path / "rules.yaml").write_text(text)
+    got = [(r.pattern, r.category, r.kind, r.priority) for r in rules.read_rules(spark, str(tmp_path / "rules.yaml")).orderBy("priority").collect()]
+    assert got == [("make my trip", "Travel", "text", 0), ("big.*bazaar", "Groceries", "regex", 1), ("irctc", "Travel", "text", 2), ("dmart", "Groceries", "text", 3), ("abc", "Groceries", "word", 4)]
+    for bad in ("Imaginary:\n  - x\n", "  - x\n", "Travel:\n  - (x\n"):
+        (tmp_path / "bad.yaml").write_text(bad)
+        with pytest.raises(ValueError):
+            rules.read_rules(spark, str(tmp_path / "bad.yaml"))
+    raw = spark.createDataFrame([("Travel", " b ", 1), ("Travel", "a", 0), ("Groceries", "", 2)], rules.RAW)
+    assert [(r.pattern, r.priority) for r in rules.rank_rules(raw).collect()] == [("a", 0), ("b", 1)]
+    with pytest.raises(Exception, match="no such category"):
+        rules.rank_rules(spark.createDataFrame([("Nope", "x", 0)], rules.RAW)).collect()
+
+
+def test_rules_with_digits_see_whole_narrations(spark):
+    df = spark.createDataFrame([("m", "PAID 123456789012 box8 shop"), ("m", "PAID 999999999999 shop"), (None, None)], "merchant_key string, description string")
+    table = spark.createDataFrame(rules._ranked([("456789", "Travel"), ("shop", "Shopping"), ("box8", "Groceries"), ("id 1\\d+", "Income")]), rules.SCHEMA)
+    got = {r.description: r.category for r in categorize.match_rules(df, table).collect()}
+    assert got == {"PAID 123456789012 box8 shop": "Income", "PAID 999999999999 shop": "Shopping"}
+
+
+def test_model_families(spark):
+    df = spark.createDataFrame([("claude-y",), ("CLAUDE",), ("gpt-x",), ("ChatGPT",), ("o1",), ("O4-mini",), ("llama",), ("my gpt",)], "m string")
+    assert [r.f for r in df.select(scalars.model_family(F.col("m")).alias("f")).collect()] == ["Claude", "Claude", "OpenAI", "OpenAI", "OpenAI", "OpenAI", "AI", "AI"]
+
+
+def test_masked_references_leave_addresses(spark):
+    df = spark.createDataFrame([("UPI/123456789012/x",), ("UPI/123456789012@ybl/9",), ("a 12345678901",), (None,)], "m string")
+    assert [r.f for r in df.select(scalars.without_references(F.col("m")).alias("f")).collect()] == ["UPI/000000000000/x", "UPI/123456789012@ybl/9", "a 12345678901", None]
+
+
+def test_files_of_both_kinds_through_ingest(spark, tmp_path):
+    (tmp_path / "cells.csv").write_text("Bank\n\nDate,Narration,Debit,Credit,Balance\n01/02/2024,tea,10.00,,90.00\n02/02/2024,pay,,5.00,95.00\n")
+    (tmp_path / "text.txt").write_text("My bank\n01-02-2024 tea stall 10.00 DR 90.00\nand more of it\n02-02-2024 pay 5.00 95.00\n03-02-2024 gift 20.00 75.00\n")
+    (tmp_path / "none.txt").write_text("nothing here\n01-02-2024 once 5.00 5.00\n")
+    found, reports, errors = statements.ingest(spark, str(tmp_path))
+    got = sorted((r.source_file, r.seq, r.description, r.debit, r.credit, r.balance, r.reconciled) for r in found.collect())
+    assert got == [
+        ("cells.csv", 1, "tea", 10.0, 0.0, 90.0, True), ("cells.csv", 2, "pay", 0.0, 5.0, 95.0, True),
+        ("text.txt", 1, "tea stall and more of it", 10.0, 0.0, 90.0, True), ("text.txt", 2, "pay", 0.0, 5.0, 95.0, True), ("text.txt", 3, "gift", 20.0, 0.0, 75.0, True),
+    ]
+    assert {(r.source_file, r.strategy_no, r.reconciliation_rate) for r in reports.collect()} == {("cells.csv", 1, 1.0), ("text.txt", 2, 1.0)}
+    assert [r.source_file for r in errors.collect()] == ["none.txt"]
+
+
+def test_stores_are_written_and_read(spark, tmp_path):
+    tags = spark.createDataFrame([("a b", "Travel"), ("c", 'Own "x"')], "merchant_key string, category string")
+    stores.write_store(tags, str(tmp_path / "tags"))
+    assert sorted(map(tuple, stores.read_overrides(spark, str(tmp_path / "tags")).collect())) == [("a b", "Travel"), ("c", 'Own "x"')]
+    stores.write_store(categorize.clear_overrides(tags), str(tmp_path / "none"))
+    assert stores.read_overrides(spark, str(tmp_path / "none")).count() == 0
+    assert stores.read_overrides(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_custom_period_is_swapped_and_kept_inside(spark):
+    df = rows(spark, line(1, 1.0, 0.0, 1.0, day=5), line(2, 1.0, 0.0, 1.0, day=20))
+    got = lambda *x: tuple(insights.resolve_period(df, custom=x).first())
+    day = lambda d: dt.date(2024, 1, d)
+    assert got("2024-01-12", "2024-01-07") == (day(7), day(12)) and got("2023-01-01", "2024-01-09") == (day(5), day(9))
