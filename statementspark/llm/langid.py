@@ -74,7 +74,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
     bins = rows.groupBy("l", "bin").agg(F.approx_count_distinct("h").alias("n"))
     up_to = F.sum("n").over(Window.partitionBy("l").orderBy("bin"))
     limits = bins.withColumn("up_to", up_to).where(F.col("up_to") <= per_lang).groupBy("l").agg(F.max("bin").alias("limit"))
-    chosen = rows.join(limits.withColumnRenamed("l", "__l"), (F.col("l") == F.col("__l")) & (F.col("bin") <= F.col("limit")))
+    # A row for each language, of which the model itself holds 65,536 numbers: a side of bounded size.
+    chosen = rows.join(F.broadcast(limits.withColumnRenamed("l", "__l")), (F.col("l") == F.col("__l")) & (F.col("bin") <= F.col("limit")))
     # Repeated rows are one: texts of the sample, of bounded number, meet by their hash.
     sample = chosen.groupBy("l", "h").agg(F.first("t").alias("t"))
 
