@@ -4,7 +4,9 @@ SimHash at a few bits is too narrow for such a bound, and its trie at a dozen bi
 the candidates and the whole sets decide: a pair at similarity 0.8 shares none of ``BANDS`` bands of ``ROWS`` minima with
 probability (1 - 0.8 ** ROWS) ** BANDS = 2e-5, and no pair below the bound is linked.
 
-**At scale.** Equal sets are one set, and a task gives each set's bands and shingles once. The members of a band's bucket are
+**At scale.** Equal sets are one set, and a task gives each set's bands once. Shingles are made again, from one text of each set, for
+those sets alone that share a band with another; their keys go to the texts by broadcast up to ``MOST_KEYS`` and by a shuffle join
+beyond. The members of a band's bucket are
 compared with its smallest member; only those that are not near it are compared with all others, so a large group
 of near copies costs its size, not its square.
 
@@ -26,6 +28,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 #: Smaller sets reach a similarity of 0.8 only if they are equal; any bound below takes all sets.
 LEAST = 4
+#: Keys of texts that are compared go to the texts by broadcast up to this many (8 bytes each).
+MOST_KEYS = 1_000_000
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -73,8 +77,14 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _sids(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set."""
+    with np.errstate(over="ignore"):
+        return np.array([_mix(s + np.uint64(len(s))).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+
+
 def set_rows(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(key, sid, bands, grams) of each row (key, text); bands and grams once for each set of a task, else null."""
+    """(key, sid, bands) of each row (key, text); bands once for each set of a task, else null."""
     least = LEAST if similarity >= SIMILARITY else 1
 
     def run(batches):
@@ -83,28 +93,43 @@ def set_rows(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sets = shingle_sets(part.column(1), shingle)
-                with np.errstate(over="ignore"):
-                    sids = np.array([_mix(s + np.uint64(len(s))).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                sids = _sids(sets)
                 new = []
                 for k, sid in enumerate(sids.tolist()):
                     if len(sets[k]) >= least and sid not in seen:
                         seen.add(sid)
                         new.append(k)
                 made: list = [None] * len(sets)
-                grams: list = [None] * len(sets)
                 if new:
                     for k, row in zip(new, bands([sets[k] for k in new]).view(np.int64), strict=True):
-                        made[k], grams[k] = row, sets[k].view(np.int64)
-                kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sids), pa.array(made, kind), pa.array(grams, kind)], names=["key", "sid", "bands", "grams"])
+                        made[k] = row
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sids), pa.array(made, pa.list_(pa.int64()))], names=["key", "sid", "bands"])
+
+    return docs.select("key", word_hashes(F.col("text")).alias("w")).mapInArrow(run, "key long, sid long, bands array<long>")
+
+
+def whole_sets(texts: DataFrame, owners: DataFrame, need: DataFrame, shingle: int) -> DataFrame:
+    """(sid, grams) of the sets ``need``, made again from one text of each: only sets that are compared are ever written."""
+    keys = materialize(owners.join(need, "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key")).select("key").distinct(), "near-keys")
+    few = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    chosen = texts.join(F.broadcast(keys) if few else keys, "key", "left_semi")
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                sets = shingle_sets(batch.column(0).slice(lo, 256), shingle)
+                sids = _sids(sets).tolist()
+                new = [k for k, sid in enumerate(sids) if sid not in seen and not seen.add(sid)]
+                yield pa.RecordBatch.from_arrays([pa.array([sids[k] for k in new], pa.int64()), pa.array([sets[k].view(np.int64) for k in new], pa.list_(pa.int64()))], names=["sid", "grams"])
 
-    return docs.select("key", word_hashes(F.col("text")).alias("w")).mapInArrow(run, "key long, sid long, bands array<long>, grams array<long>")
+    found = chosen.select(word_hashes(F.col("text")).alias("w")).mapInArrow(run, "sid long, grams array<long>")
+    return materialize(found.dropDuplicates(["sid"]), "near-whole")
 
 
-def _judge(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _judge(pairs: DataFrame, texts: DataFrame, owners: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(x, y, near) of pairs of sets (x, y)."""
-    need = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
-    whole = materialize(sets.where("grams IS NOT NULL").select("sid", "grams").join(need, "sid", "left_semi").dropDuplicates(["sid"]), "near-whole")
+    whole = whole_sets(texts, owners, pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), shingle)
     both = pairs.join(whole.select(F.col("sid").alias("x"), F.col("grams").alias("gx")), "x").join(whole.select(F.col("sid").alias("y"), F.col("grams").alias("gy")), "y")
 
     def run(batches):
@@ -123,18 +148,17 @@ def _judge(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def links(texts: DataFrame, vertices: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """Links (a, b) between the vertices ``fp`` of near copies. ``texts``: (key, text); ``vertices``: (key, fp), one for each key."""
     sets = materialize(set_rows(texts, shingle, similarity), "near-sets")
-    owners = sets.select("key", "sid").distinct().join(vertices.select("key", "fp").distinct(), "key").select("sid", "fp").distinct()
-    owners = materialize(owners, "near-owners")
+    owners = materialize(sets.select("key", "sid").distinct().join(vertices.select("key", "fp").distinct(), "key"), "near-owners")
     least = owners.groupBy("sid").agg(F.min("fp").alias("v"))
     buckets = sets.where("bands IS NOT NULL").select("sid", F.explode("bands").alias("band"))
     groups = buckets.groupBy("band").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("band", "lo")
     members = materialize(buckets.join(groups, "band").where("sid <> lo").select("band", F.col("lo").alias("x"), F.col("sid").alias("y")).distinct(), "near-members")
-    first = _judge(members.select("x", "y").distinct(), sets, similarity)
+    first = _judge(members.select("x", "y").distinct(), texts, owners, similarity, shingle)
     # Whoever is not near the smallest of a bucket meets all others in it.
     far = members.join(first.where("NOT near"), ["x", "y"]).select("band", F.col("y").alias("u"))
     rest = far.join(members.select("band", F.col("y").alias("w")), "band").where("u <> w").select(F.least("u", "w").alias("x"), F.greatest("u", "w").alias("y")).distinct()
     rest = materialize(rest.join(first, ["x", "y"], "left_anti"), "near-rest")
-    near = first.where("near") if rest.isEmpty() else first.where("near").unionByName(_judge(rest, sets, similarity).where("near"))
+    near = first.where("near") if rest.isEmpty() else first.where("near").unionByName(_judge(rest, texts, owners, similarity, shingle).where("near"))
     found = near.join(least.select(F.col("sid").alias("x"), F.col("v").alias("a")), "x").join(least.select(F.col("sid").alias("y"), F.col("v").alias("b")), "y")
     same = owners.join(least, "sid").select(F.col("fp").alias("a"), F.col("v").alias("b"))
     return materialize(found.select("a", "b").unionByName(same).where("a <> b").distinct(), "near-links")

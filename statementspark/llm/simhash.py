@@ -186,8 +186,8 @@ def keep_first(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE
 
     With ``similarity``, documents whose sets of word shingles are so similar are linked too, however many bits differ.
 
-    Texts do not move: documents join, by id and text hash, the few bytes that say which of them stay. Documents that are
-    equal in id and text are one document here and all stay; a component in which all ids are null keeps one text hash.
+    Rows that are equal in id and text are one document, of which one row stays: they become one before they move. A component in
+    which all ids are null keeps one text hash. Documents are shuffled once, to meet the few bytes that say which of them stay.
     """
     key = F.xxhash64(F.col(text_col))
     tagged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("__key", F.xxhash64("text"))
@@ -199,5 +199,7 @@ def keep_first(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE
         found = found.unionByName(near)
     roots = components(found)
     rooted = distinct.join(roots, distinct["fp"] == roots["v"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.__key").alias("__k"))
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__d")) & (key == F.col("__k")), "left_semi")
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.xxhash64("first.doc_id", "first.__key").alias("__who"), F.col("first.__key").alias("__key"))
+    # Columns travel in one struct, so none can clash with ours; both sides are dealt out by the same two columns.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), key.alias("__key")).withColumn("__who", F.xxhash64("__id", "__key"))
+    return rows.groupBy("__who", "__key").agg(F.first("__row").alias("__row")).join(stay, ["__who", "__key"], "left_semi").select("__row.*")

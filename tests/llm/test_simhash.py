@@ -70,5 +70,5 @@ def test_documents(spark):
     assert got == sorted([("5", 3), ("3", 3), ("9", 3), ("1", 1), ("8", 7), ("7", 7), ("None", 3), ("3", 3)])
     kept = S.keep_first(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 3, 7]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 7]
     assert S.near_duplicates(df.where("false")).count() == 0
