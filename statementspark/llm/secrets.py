@@ -4,21 +4,22 @@
 that are too short are dropped.
 
 **Models.** Two first-order character models, one of random strings and one of ordinary identifiers, are compared by
-the log-likelihood ratio of a token's character steps. Both are trained from labelled samples of bounded size: random
-strings are the values that the patterns found in ``sample`` documents with a match, identifiers are tokens that no
-pattern claims in ``sample`` documents; each time those with the smallest hash of their id. A token of ``least`` characters or
-more with letters and digits that overlaps no pattern's span becomes a span of kind ``random`` when its ratio is
-``margin`` or more. The model is 67 x 67 numbers whatever the corpus, a literal in the plan.
+the log-likelihood ratio of a token's character steps. There is a pair of them for each alphabet, that is for each set of kinds of
+characters (small and capital letters, digits, signs) that a token may hold, so no token is suspect for its alphabet alone. Both are trained
+from labelled samples of bounded size: random strings are the values that the patterns found in ``sample`` documents with a match,
+identifiers are tokens that no pattern claims in ``sample`` documents; each time those with the smallest hash of their id. Of random
+strings the steps from kind to kind are learned, within a kind all characters are alike; of identifiers every step is, backed off to
+all identifiers and to single characters. A token of 12 characters or more that overlaps no pattern's span becomes a span of kind
+``random`` when its ratio is ``margin`` or more; shorter ones can hardly reach it. The model is 15 x 67 x 67 numbers whatever the
+corpus, a literal in the plan.
 
 Everything is a built-in function; a row never meets another but in the training counts. Positions are code points, end
 exclusive. Null text: empty, no spans. No match at all in the sample: no model, so no ``random`` spans. Null or repeated
-ids, repeated rows: each row by itself. Empty table: no rows. Extra columns are not read.
+ids, repeated rows: each row by itself. Very long texts: whole. Ties of start: by kind. Empty table: no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +32,18 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 6
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Tokens that may be random: long, with a letter and a digit. The look-aheads are bounded by the token.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+#: The kinds of characters, as parts of ALPHABET.
+PARTS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/_=-")
+#: Tokens that may be random.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{8,}"
 SAMPLE = 4000
 MARGIN = 14.0
 BACK_OFF = 200.0
+#: The share of characters in identifiers that the sample says nothing of.
+UNSEEN = 0.1
+#: What the size of a kind counts against learned steps from kind to kind.
+PRIOR = 50.0
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 NONE = f"CAST(array() AS {SPAN})"
@@ -70,16 +77,51 @@ def _free(spans: Column, base: Column) -> Column:
     return F.filter(spans, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
 
-def _steps(tokens: DataFrame) -> dict[tuple[str, str], int]:
-    """Counts of character steps of a column ``token``."""
-    pairs = tokens.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, 2))).alias("pair"))
-    rows = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 67 x 67
-    return {(r["pair"][0], r["pair"][1]): r["n"] for r in rows if len(r["pair"]) == 2 and set(r["pair"]) <= set(ALPHABET)}
-
-
-def train(docs: DataFrame, sample: int = SAMPLE) -> list[float] | None:
-    """Log-likelihood ratios of all character steps, row by row of ALPHABET; None without a labelled secret."""
-    size = len(ALPHABET)
+def alphabet_of(token: Column) -> Column:
+    """The set of kinds in a token, as a number from 1 to 15."""
+    return sum((F.when(token.rlike(f"[{p.replace('-', chr(92) + '-')}]"), 1 << k).otherwise(0) for k, p in enumerate(PARTS)), F.lit(0))
+
+
+def _steps(tokens: DataFrame) -> dict[tuple[int, str, str], int]:
+    """Counts of character steps of a column ``token``, by the token's alphabet."""
+    rows = tokens.where(F.length("token") > 1).select(alphabet_of(F.col("token")).alias("s"), "token")
+    pairs = rows.select("s", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, 2))).alias("pair"))
+    found = pairs.groupBy("s", "pair").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 15 x 67 x 67
+    return {(r["s"], r["pair"][0], r["pair"][1]): r["n"] for r in found if len(r["pair"]) == 2 and set(r["pair"]) <= set(ALPHABET)}
+
+
+def _random_logs(counts: dict, s: int) -> np.ndarray:
+    """Log-probabilities of steps in random strings of the alphabet ``s``."""
+    kind = np.array([next(k for k, p in enumerate(PARTS) if c in p) for c in ALPHABET])
+    size = np.array([len(p) if s >> k & 1 else 0 for k, p in enumerate(PARTS)], float)
+    table = np.tile(PRIOR * size / size.sum(), (len(PARTS), 1))
+    for (own, a, b), n in counts.items():
+        if own == s:
+            table[kind[ALPHABET.index(a)], kind[ALPHABET.index(b)]] += n
+    table /= table.sum(axis=1, keepdims=True)
+    return np.log(np.maximum(table[kind][:, kind] / np.maximum(size[kind], 1), 1e-12))
+
+
+def _identifier_logs(counts: dict, s: int) -> np.ndarray:
+    """Log-probabilities of steps in identifiers of the alphabet ``s``; what it lacks backs off to all identifiers."""
+    pooled, own = np.zeros((len(ALPHABET),) * 2), np.zeros((len(ALPHABET),) * 2)
+    for (k, a, b), n in counts.items():
+        pooled[ALPHABET.index(a), ALPHABET.index(b)] += n
+        if k == s:
+            own[ALPHABET.index(a), ALPHABET.index(b)] += n
+    held = np.array([any(c in p and s >> k & 1 for k, p in enumerate(PARTS)) for c in ALPHABET], float)
+    single = pooled.sum(axis=0) * held
+    # A character that no identifier of the sample has is unlikely in others, but not unheard of.
+    single = (1 - UNSEEN) * single / max(single.sum(), 1) + UNSEEN * held / held.sum()
+    single /= single.sum()
+    pooled = pooled * held + BACK_OFF * single
+    pooled /= pooled.sum(axis=1, keepdims=True)
+    own += BACK_OFF * pooled
+    return np.log(np.maximum(own / own.sum(axis=1, keepdims=True), 1e-12))
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
+    """Log-likelihood ratios of all character steps: alphabets x ALPHABET x ALPHABET; None without a labelled secret."""
     rows = docs.select(F.col("doc_id"), F.col("text")).where("text IS NOT NULL")
     order = [F.xxhash64("doc_id"), F.xxhash64("text")]
     hit = F.col("text").rlike(ASSIGN) | F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX)
@@ -89,38 +131,29 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float] | None:
     secret = keyed.join(first(keyed.where(hit)), ["__a", "__b"], "left_semi").select(F.explode(base_spans(F.col("text"))).alias("s")).select(F.col("s.value").alias("token"))
     plain = keyed.join(first(keyed), ["__a", "__b"], "left_semi").select("text", base_spans(F.col("text")).alias("base"))
     plain = plain.select(F.explode(F.array_except(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)), F.transform("base", lambda b: b["value"]))).alias("token"))
-    good, bad = _steps(secret.where(F.length("token") > 1)), _steps(plain)
+    good, bad = _steps(secret), _steps(plain)
     if not good or not bad:
         return None
-
-    def logs(counts: dict) -> list[float]:
-        """Steps, backed off to how common the second character is, so that unseen steps are judged by that."""
-        single = [sum(counts.get((a, b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET]
-        single = [x / sum(single) for x in single]
-        out = []
-        for a in ALPHABET:
-            row = [counts.get((a, b), 0) + BACK_OFF * p for b, p in zip(ALPHABET, single, strict=True)]
-            out += [math.log(x / sum(row)) for x in row]
-        return out
-
-    assert len(logs(good)) == size * size
-    return [a - b for a, b in zip(logs(good), logs(bad), strict=True)]
+    return np.stack([_random_logs(good, s) - _identifier_logs(bad, s) for s in range(1, 1 << len(PARTS))])
 
 
 def ratio(token: Column, model: Column) -> Column:
     """Sum of the model's ratios over the token's character steps."""
+    size = len(ALPHABET)
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, 1)) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(model, at(i) * len(ALPHABET) + at(i + 1)))
+    first = (alphabet_of(token) - 1) * size * size
+    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(model, first + at(i) * size + at(i + 1)))
 
 
-def scan(docs: DataFrame, model: list[float] | None, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: np.ndarray | None, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, spans): arrays of (start, kind, end, value); ``kind`` numbers KINDS."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     # Each list of spans is a column of its own, so that what follows does not make it again.
-    rows = rows.select("doc_id", base_spans(F.col("text")).alias("base"), (_spans(F.col("text"), TOKEN, 3) if model else F.expr(NONE)).alias("tokens"))
-    if not model:
+    rows = rows.select("doc_id", base_spans(F.col("text")).alias("base"), (_spans(F.col("text"), TOKEN, 3) if model is not None else F.expr(NONE)).alias("tokens"))
+    if model is None:
         return rows.select("doc_id", "base", F.col("base").alias("spans"))
-    table = F.lit(np.array(model, np.float64))
+    # One literal: the optimizer turns the text into numbers once.
+    table = F.split(F.lit(",".join(f"{x:.4f}" for x in model.ravel())), ",").cast("array<double>")
     added = F.filter(_free(F.col("tokens"), F.col("base")), lambda c: ratio(c["value"], table) >= margin)
     return rows.select("doc_id", "base", F.when(F.size("tokens") > 0, F.array_sort(F.concat("base", added))).otherwise(F.col("base")).alias("spans"))
 

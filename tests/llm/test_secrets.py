@@ -58,3 +58,35 @@ def test_models_find_random_strings_and_leave_names(spark):
     assert got[101] == [] and got[102] == []
     assert all([s[1] for s in got[k]] == [0] for k in range(60))
     assert S.train(df.where("false")) is None
+
+
+def test_planted_secrets_in_held_out_documents(spark):
+    """Trained on three quarters of the given documents; the others get secrets that no pattern knows."""
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = S.train(docs.where(~held))
+    assert model.shape == (15, len(S.ALPHABET), len(S.ALPHABET))
+    rng = np.random.default_rng(6)
+    kinds = {"base64": S.ALPHABET[:64], "alnum": S.ALPHABET[:62], "letters": S.ALPHABET[:52], "small": S.PARTS[1]}
+    planted, rows = {}, []
+    for k, r in enumerate(docs.where(held).orderBy("doc_id").collect()):
+        name, size = list(kinds)[k % 4], (12, 16, 24, 40)[k // 4 % 4]
+        secret = "".join(rng.choice(list(kinds[name]), size))
+        words = [w for w in re.findall("[a-z]+", r.text or "") if len(w) > 5] or ["entionter", "aningth"]
+        text = f"{r.text or ''}\nsee {secret} and {words[0]}_{words[-1]} or {words[0]}{words[-1]}, 4929348385146306"
+        planted[k] = (len(text) - len(text.split("see ")[-1]), size, name)
+        rows.append((k, text))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    hits = {k: (at, at + size) in got[k] for k, (at, size, _) in planted.items()}
+    found = sum(map(len, got.values()))
+    assert len(planted) > 200 and sum(hits.values()) >= 0.97 * len(planted)
+    assert found - sum(hits.values()) <= 0.02 * found  # precision
+    # Without them nothing is found, and the plainer patterns alone find none of them.
+    assert S.scan(docs.where(held), model).where(F.exists("spans", lambda x: x["kind"] == 3)).count() == 0
+    assert all(not any(a <= at < b for a, _, b in base(rows[k][1])) for k, (at, _, _) in planted.items())
+
+
+def test_empty_table_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "token = abcdefgh"), (1, "token = abcdefgh"), (None, None)], "doc_id long, text string")
+    assert S.scan(df.where("false"), None).count() == 0
+    assert sorted((str(r.doc_id), len(r.spans)) for r in S.scan(df, None).collect()) == [("1", 1), ("1", 1), ("None", 0)]
