@@ -26,8 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BITS = 16
 PER_LANG = 4000
+#: The model has 65,536 numbers a language; more languages than this are refused.
+MOST_LANGS = 500
 ROUNDS = 8
 PENALTY = 2.0
 FOLDS, HELD = 4, 2
@@ -74,7 +78,10 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
     bins = rows.groupBy("l", "bin").agg(F.approx_count_distinct("h").alias("n"))
     up_to = F.sum("n").over(Window.partitionBy("l").orderBy("bin"))
     limits = bins.withColumn("up_to", up_to).where(F.col("up_to") <= per_lang).groupBy("l").agg(F.max("bin").alias("limit"))
-    # A row for each language, of which the model itself holds 65,536 numbers: a side of bounded size.
+    # A row for each language, written so that the texts are read for it once: a side of bounded size.
+    limits = materialize(limits, "lang-limits")
+    if limits.count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages are labelled")
     chosen = rows.join(F.broadcast(limits.withColumnRenamed("l", "__l")), (F.col("l") == F.col("__l")) & (F.col("bin") <= F.col("limit")))
     # Repeated rows are one: texts of the sample, of bounded number, meet by their hash.
     sample = chosen.groupBy("l", "h").agg(F.first("t").alias("t"))
@@ -82,12 +89,14 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            names = batch.column(1).to_pylist()
-            bins, begin, owner = _words(batch.column(0))
-            whose = np.repeat(owner, np.diff(np.append(begin, len(bins))))
-            for name in set(names):
-                mine = np.array([x == name for x in names])
-                sums[name] = sums.get(name, 0) + np.bincount(bins[mine[whose]], minlength=1 << BITS)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                names = part.column(1).to_pylist()
+                bins, begin, owner = _words(part.column(0))
+                whose = np.repeat(owner, np.diff(np.append(begin, len(bins))))
+                for name in set(names):
+                    mine = np.array([x == name for x in names])
+                    sums[name] = sums.get(name, 0) + np.bincount(bins[mine[whose]], minlength=1 << BITS)
         for name, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["l", "bin", "n"])

@@ -149,9 +149,10 @@ def links(texts: DataFrame, vertices: DataFrame, similarity: float = SIMILARITY,
     """Links (a, b) between the vertices ``fp`` of near copies. ``texts``: (key, text); ``vertices``: (key, fp), one for each key."""
     sets = materialize(set_rows(texts, shingle, similarity), "near-sets")
     owners = materialize(sets.select("key", "sid").distinct().join(vertices.select("key", "fp").distinct(), "key"), "near-owners")
-    least = owners.groupBy("sid").agg(F.min("fp").alias("v"))
+    least = materialize(owners.groupBy("sid").agg(F.min("fp").alias("v")), "near-least")
     buckets = sets.where("bands IS NOT NULL").select("sid", F.explode("bands").alias("band"))
-    groups = buckets.groupBy("band").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("band", "lo")
+    # Written before members meet them: of two plain tables Spark splits a band that very many sets share.
+    groups = materialize(buckets.groupBy("band").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("band", "lo"), "near-groups")
     members = materialize(buckets.join(groups, "band").where("sid <> lo").select("band", F.col("lo").alias("x"), F.col("sid").alias("y")).distinct(), "near-members")
     first = _judge(members.select("x", "y").distinct(), texts, owners, similarity, shingle)
     # Whoever is not near the smallest of a bucket meets all others in it.

@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     roots = components(links(distinct.select("fp"), distance))
     rooted = distinct.join(roots, distinct["fp"] == roots["v"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-groups")
     named = rooted.join(groups, "root").select(F.col("fp").alias("__fp"), "component_id")
     return marked.join(named, marked["fp"] == F.col("__fp")).select("doc_id", "fp", "component_id")
 

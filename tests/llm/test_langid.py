@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from statementspark.llm import langid as G
@@ -67,5 +68,8 @@ def test_sample_is_bounded_and_repeated_rows_are_one(spark):
     mass = 1 / np.exp(tables[0][1].astype(float)).min(axis=0) / 2 - (1 << G.BITS) / 2  # trigrams counted, by language
     assert 50 * 200 < mass[0] <= 105 * 200 and mass[1] < 22 * 10
     assert G.train(docs.where("false"))[0] == [] and G.predict(docs.where("false"), *tables[0]).count() == 0
+    many = spark.range(G.MOST_LANGS + 1).selectExpr("id AS doc_id", "'kora' AS text", "CAST(id AS STRING) AS lang")
+    with pytest.raises(ValueError, match="languages"):
+        G.train(many)
     kept = docs.limit(3).withColumn("lang_pred", F.lit("clash"))
     assert G.predict(kept, *tables[0]).columns == ["doc_id", "lang_pred", "score", "langs"] and G.predict(kept, *tables[0]).count() == 3
