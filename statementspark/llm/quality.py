@@ -10,11 +10,14 @@ stays only if it is right on at least ``precision`` of what it covers there. Cov
 rule is grown, up to ``rules``. Candidate thresholds are quantiles of each feature. The sample is counted by
 aggregates; only those counts reach the driver.
 
+Equal gains: the earlier feature of :data:`FEATURES`, then the lower threshold, then ``>`` before ``<=``. A document with several
+labels counts once, as bad if any says so; rows of one id all count.
+
 **Verdict.** Rules become one ordered conditional expression; the first that holds rejects, and the default keeps.
 
 Null text: no words, so base_failed. No labelled rows, or of one class only: an empty list, which keeps all that pass
-the fixed limits. Null or repeated ids, repeated rows: each row by itself. Empty table: no rows. Extra columns are not
-read.
+the fixed limits. Null or repeated ids, repeated rows: each row by itself; null ids have no label. Very long texts: whole. Empty
+table: no rows. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -92,5 +92,55 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op2_mix_pivotal, op3_token_files, op4_markov_secrets, op5_multi_index_hashing, op6_pack_bin_slack, op7_decision_list, op8_simhash_trie, op9_text_to_tag, op10_language_mixture)}
-SQL: dict[str, str] = {}
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets that op2 mixes to."""
+    from . import mixing
+
+    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(count_words(F.col("text"))).alias("source_size"))
+    return mixing.targets(sizes).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the patterns of op4 find, without its models."""
+    from . import secrets
+
+    found = secrets.scan(table(spark, sf_dir, "documents"), None)
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and fixed limits of op7, without its learned rules."""
+    from . import quality
+
+    stats = quality.counts(table(spark, sf_dir, "documents")).withColumn("base_failed", quality.base_failed())
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+_OPS = (op1_line_templates, op2_mix_pivotal, op3_token_files, op4_markov_secrets, op5_multi_index_hashing, op6_pack_bin_slack, op7_decision_list, op8_simhash_trie, op9_text_to_tag, op10_language_mixture)
+QUERIES = {f.__name__: f for f in (*_OPS, mix_targets, secret_counts, quality_counts)}
+
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: The parts of operators that SQL can express; trained models, seeded draws, XXH64, tokenizers and markup it cannot.
+SQL: dict[str, str] = {
+    "mix_targets": f"""
+WITH d AS (SELECT source, CAST(sum(len({_WORDS})) AS BIGINT) AS source_size FROM documents GROUP BY 1),
+w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, source_size * 2.0 AS cap FROM d),
+r AS (SELECT *, row_number() OVER o AS k, (sum(source_size) OVER () * 1.5 - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+f AS (SELECT arg_min(rate, k) FILTER (rate * w < cap) AS rate FROM r)
+SELECT source, source_size, round(CASE WHEN f.rate IS NULL THEN cap ELSE least(cap, f.rate * w) END, 3) AS target FROM r, f""",
+    "secret_counts": f"""
+SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 2), lambda v: length(v) >= 6)) AS n_assign,
+ len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20)) AS n_access,
+ len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 24)) AS n_hex FROM documents""",
+    "quality_counts": f"""
+WITH r AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM r),
+n AS (SELECT r, i, array_to_string(w[i:i + 4], chr(1)) AS five FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM r) AS x),
+again AS (SELECT r, i FROM n QUALIFY count(*) OVER (PARTITION BY r, five) >= 2),
+c AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM again, range(5) AS t(j) GROUP BY r),
+k AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+ CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n_repeat_words, 0) AS n_repeat_words FROM l LEFT JOIN c USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM k""",
+}
