@@ -66,3 +66,29 @@ def test_no_labels(spark):
     assert Q.learn(df, none) == []
     assert Q.judge(df, []).first().kept
     assert Q.judge(df.where("false"), []).count() == 0
+
+
+def test_learned_rules_are_right_on_rows_they_were_not_grown_on(spark):
+    folder = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    rules = Q.learn(docs, labels)
+    assert rules
+    part = docs.select("doc_id", (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), F.lit(3)) >= 2).alias("pruned")).toPandas()
+    judged = Q.judge(docs, rules).select("doc_id", "base_failed", "rule").toPandas()
+    rows = judged.merge(part, on="doc_id").merge(labels.toPandas(), on="doc_id")
+    rows = rows[rows["pruned"] & ~rows["base_failed"]]
+    for k in range(1, len(rules) + 1):
+        caught = rows[rows["rule"] == k]
+        assert len(caught) and (caught["quality"] == 0).mean() >= Q.PRECISION
+    assert rows[rows["quality"] == 1]["rule"].eq(0).mean() > 0.99
+
+
+def test_repeated_and_null_ids_and_ties(spark):
+    good, bad = "calm words that say one thing after another and no more 1 2 3", "LOUD WORDS # THAT SHOUT # ONE THING AFTER ANOTHER # AND MORE"
+    rows = [(k // 2, f"{good if k // 2 % 2 else bad} {k // 2}") for k in range(240)] + [(None, bad + " x"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 120, k % 2) for k in range(240)] + [(None, 0), (3, None)], "doc_id long, quality int")
+    rules = Q.learn(df, labels)
+    assert rules == Q.learn(df.repartition(7), labels.repartition(3))  # equal gains, one result
+    got = Q.judge(df, rules).select("doc_id", "kept").collect()
+    assert len(got) == 242 and all(r.kept == (r.doc_id % 2 == 1) for r in got if r.doc_id is not None)
