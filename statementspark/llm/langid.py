@@ -89,8 +89,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
                 names = part.column(1).to_pylist()
                 bins, begin, owner = _words(part.column(0))
                 whose = np.repeat(owner, np.diff(np.append(begin, len(bins))))
@@ -171,8 +171,8 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float
     def run(batches):
         langs, table = model.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
                 best, score, shares = infer(part.column(1), table, penalty)
                 named = pa.array([langs[k] if k >= 0 else "und" for k in best], pa.string())
                 sets = pa.array([[langs[j] for j in np.argsort(-row, kind="stable") if row[j] > 0.01] for row in shares], pa.list_(pa.string()))

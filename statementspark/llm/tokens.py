@@ -67,7 +67,7 @@ BYTE_NAMES = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in
 BLANK, NEWLINE = chr(BYTE_NAMES[32]), chr(BYTE_NAMES[10])
 #: Odd, so that its powers have inverses modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
-CHUNK = 1 << 21  # bytes of text that are looked at together
+CHUNK = 1 << 19  # bytes of text that are looked at together
 LONGEST = 64  # longer units are looked up by themselves and not by hash
 
 
@@ -79,7 +79,7 @@ class Encoder:
     whole chain; all others take the whole chain.
     """
 
-    def __init__(self, path: str, memo: int = 2_000_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
