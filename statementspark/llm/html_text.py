@@ -13,7 +13,7 @@ the content region (there such parts are cut), an element that holds the page's
 its class, nor is one that is also called content, and where all text is marked, marks do not weigh.
 
 A page is a row and is parsed whole in its task: no shuffle, memory for one Arrow batch. Time is linear in the page: open
-elements are kept with the place of each name's last one, end tags that browsers imply close ``p``, ``li``, ``td`` and the
+elements are kept with the place of each name's last one, end tags that browsers imply close ``p``, ``li``, ``td``, ``head`` and the
 like, and a line knows its element's number alone, elements being numbered as they open with the last number inside.
 
 Null or empty html, or no text: the empty text. Broken or very deep markup is read as browsers do where the parser allows. Very
@@ -39,6 +39,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no text of the page at all.
 NEVER = frozenset("head title script style noscript template button select textarea iframe svg canvas object".split())
+#: Elements that may stand in a head; any other start tag, and text, ends a head that was left open.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Elements that mark boilerplate by their name.
 MARKED = frozenset("nav footer aside form dialog menu".split())
 #: Words of class, id and role that mark boilerplate, and those that speak against it.
@@ -106,9 +108,18 @@ class Lines(HTMLParser):
         if places and (not self.scopes or places[-1] >= self.scopes[-1]):
             self._close(places[-1])
 
+    def _leave_head(self, whatever: bool = False) -> None:
+        """Ends a head whose end tag was left out; ``whatever`` stands open in it."""
+        head = self.places["head"]
+        if head and (whatever or len(self.open) == head[-1] + 1):
+            self._end_line()
+            self._close(head[-1])
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._end_line()
+        if tag == "body" or tag not in IN_HEAD:
+            self._leave_head(tag == "body")
         self.tags += 1
         if tag in ENDS_P:
             self._close_name("p")
@@ -151,6 +162,8 @@ class Lines(HTMLParser):
             self._close(places[-1])
 
     def handle_data(self, data):
+        if self.places["head"] and not data.isspace():
+            self._leave_head()
         self.text.append(data)
         if self.open and self.names[self.open[-1]] == "a":
             self.links += len(data.split())

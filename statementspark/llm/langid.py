@@ -16,7 +16,8 @@ training counts.
 Null text, or one without a letter: ``und`` with score 0 and an empty set. No labelled rows: all ``und``. Null or
 repeated ids and repeated rows: each row is predicted by itself, and for training repeated rows are one. A null id's fold is that
 of the empty string. Languages with equal shares: the first by name. Very long texts: whole. Empty table: no rows. Extra
-columns are not read; columns to ``keep`` may have any name but the four of the result.
+columns are not read; columns to ``keep`` may have any name but the four of the result. More than ``MOST_LANGS`` labels, as in a column that is
+no language: the most frequent ones are learned, and what has another label is told to be one of those.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
 BITS = 16
 PER_LANG = 4000
-#: The model has 65,536 numbers a language; more languages than this are refused.
+#: The model has 65,536 numbers a language. Of more labels than this the most frequent are learned, the first by name on ties.
 MOST_LANGS = 500
 ROUNDS = 8
 PENALTY = 2.0
@@ -77,11 +79,10 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
     rows = rows.withColumn("bin", F.floor(F.log2(F.shiftrightunsigned("h", 11) + 1) * 16))
     bins = rows.groupBy("l", "bin").agg(F.approx_count_distinct("h").alias("n"))
     up_to = F.sum("n").over(Window.partitionBy("l").orderBy("bin"))
-    limits = bins.withColumn("up_to", up_to).where(F.col("up_to") <= per_lang).groupBy("l").agg(F.max("bin").alias("limit"))
+    limits = bins.withColumn("up_to", up_to).groupBy("l").agg(F.max(F.when(F.col("up_to") <= per_lang, F.col("bin"))).alias("limit"), F.sum("n").alias("n"))
+    limits = limits.where("limit IS NOT NULL").orderBy(F.desc("n"), "l").limit(MOST_LANGS).drop("n")
     # A row for each language, written so that the texts are read for it once: a side of bounded size.
     limits = materialize(limits, "lang-limits")
-    if limits.count() > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages are labelled")
     chosen = rows.join(F.broadcast(limits.withColumnRenamed("l", "__l")), (F.col("l") == F.col("__l")) & (F.col("bin") <= F.col("limit")))
     # Repeated rows are one: texts of the sample, of bounded number, meet by their hash.
     sample = chosen.groupBy("l", "h").agg(F.first("t").alias("t"))
@@ -164,9 +165,9 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float
     """(doc_id, lang_pred, score, langs) for each row, and the columns ``keep``, which stay as they are."""
     model = docs.sparkSession.sparkContext.broadcast((langs, table))
     has = F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.when(has, F.lower(docs[text_col])).alias("__t"), *[docs[c] for c in keep])
-    names = [c for c in rows.columns if c != "__t"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.drop("__t").dtypes) + ", lang_pred string, score double, langs array<string>"
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.when(has, F.lower(docs[text_col])).alias("text"), *[docs[c] for c in keep])
+    names = ["doc_id", *keep]
+    schema = T.StructType([f for k, f in enumerate(rows.schema) if k != 1]).add("lang_pred", "string").add("score", "double").add("langs", T.ArrayType(T.StringType()))
 
     def run(batches):
         langs, table = model.value

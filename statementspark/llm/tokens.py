@@ -65,8 +65,8 @@ BY_LETTERS_CHAIN = (
 _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_NAMES = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINT)}
 BLANK, NEWLINE = chr(BYTE_NAMES[32]), chr(BYTE_NAMES[10])
-#: Odd, so that its powers have inverses modulo 2 ** 64.
-BASE = 0x9E3779B97F4A7C15
+#: Odd, so that their powers have inverses modulo 2 ** 64.
+BASE, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 CHUNK = 1 << 19  # bytes of text that are looked at together
 LONGEST = 64  # longer units are looked up by themselves and not by hash
 
@@ -74,7 +74,8 @@ LONGEST = 64  # longer units are looked up by themselves and not by hash
 class Encoder:
     """``encode(column)`` gives the ids of all texts (uint32, no end ids) and where each text starts in them.
 
-    Known units are found by a 64-bit hash of their bytes in an open table; new ones go to the tokenizer. Plain units
+    Known units are found by a 64-bit hash of their bytes in an open table, and are taken only if a second hash and the length
+    agree; new ones go to the tokenizer, and so does a unit that only the first hash takes for a known one. Plain units
     of the two known kinds of tokenizer go to its model at once, pre-token by pre-token, which is far cheaper than its
     whole chain; all others take the whole chain.
     """
@@ -95,15 +96,15 @@ class Encoder:
         self.memo = memo
         self.bits = max(12, (2 * memo).bit_length())
         self._reset()
-        powers = np.cumprod(np.full(CHUNK + 1, BASE, np.uint64))
-        self.powers = powers
-        self.inverse = np.cumprod(np.full(CHUNK + 1, pow(BASE, -1, 1 << 64), np.uint64))
+        self.powers = [np.cumprod(np.full(CHUNK + 1, base, np.uint64)) for base in (BASE, SECOND)]
+        self.inverses = [np.cumprod(np.full(CHUNK + 1, pow(base, -1, 1 << 64), np.uint64)) for base in (BASE, SECOND)]
 
     def _reset(self) -> None:
         self.known = 0
         self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.at, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        self.second, self.length = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64)  # of each known unit
 
     def _fresh(self, units: list[str]) -> list[list[int]]:
         """Ids of units by the tokenizer."""
@@ -127,18 +128,18 @@ class Encoder:
                 out[k] = x.ids
         return out
 
-    def _learn(self, units: list[str]) -> np.ndarray:
-        """Keeps the ids of new units; their numbers."""
+    def _learn(self, units: list[str], second: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Keeps the ids of new units, with a second hash and the length of each; their numbers."""
         found = self._fresh(units)
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while self.known + len(units) > len(self.at):
-            self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
+            self.at, self.size, self.second, self.length = (np.concatenate([x, x]) for x in (self.at, self.size, self.second, self.length))
         numbers = np.arange(self.known, self.known + len(units), dtype=np.int32)
         self.ids[self.used : self.used + len(flat)] = flat
-        self.size[numbers] = sizes
+        self.size[numbers], self.second[numbers], self.length[numbers] = sizes, second, length
         self.at[numbers] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
         self.known += len(units)
@@ -170,35 +171,40 @@ class Encoder:
             self.keys[slot[take]], self.place[slot[take]] = hashes[take], numbers[take]
             hashes, numbers, slot = hashes[~take], numbers[~take], (slot[~take] + 1) & ((1 << self.bits) - 1)
 
-    def _numbers(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """The number of each unit of a chunk, in order."""
-        ends = np.append(cuts[1:], len(data))
+    def _hashes(self, data: np.ndarray, cuts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
+        """A hash of each unit's bytes. One is added to each byte, as a zero would leave no trace."""
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(data * self.powers[: len(data)], out=sums[1:])
-        hashes = (sums[ends] - sums[cuts]) * self.inverse[cuts]
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[kind][: len(data)], out=sums[1:])
+        hashes = (sums[ends] - sums[cuts]) * self.inverses[kind][cuts]
         hashes ^= hashes >> np.uint64(29)
         hashes *= np.uint64(0xBF58476D1CE4E5B9)
-        hashes ^= hashes >> np.uint64(32)
-        hashes |= np.uint64(1)
-        long = np.flatnonzero(ends - cuts > LONGEST)
+        return hashes ^ (hashes >> np.uint64(32))
+
+    def _numbers(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The number of each unit of a chunk, in order."""
+        ends = np.append(cuts[1:], len(data))
+        hashes, second, length = self._hashes(data, cuts, ends, 0) | np.uint64(1), self._hashes(data, cuts, ends, 1), ends - cuts
+        alone = length > LONGEST
         out = self._find(hashes)
-        out[long] = -2
+        out[alone] = -2
         new = np.flatnonzero(out == -1)
         text = data.tobytes()
+        learn = lambda which: self._learn([text[a:b].decode() for a, b in zip(cuts[which].tolist(), ends[which].tolist(), strict=True)], second[which], length[which])
         if len(new):
             fresh, first = np.unique(hashes[new], return_index=True)
-            if self.known + len(fresh) + len(long) > self.memo and self.known:
+            if self.known + len(fresh) + alone.sum() > self.memo and self.known:
                 self._reset()
                 return self._numbers(data, cuts)
-            at = new[first]
-            numbers = self._learn([text[a:b].decode() for a, b in zip(cuts[at].tolist(), ends[at].tolist(), strict=True)])
+            numbers = learn(new[first])
             if len(fresh) < self.memo:
                 self._insert(fresh, numbers)
                 out[new] = self._find(hashes[new])
             else:  # one chunk holds more than the memo
                 out[new] = numbers[np.searchsorted(fresh, hashes[new])]
-        if len(long):
-            out[long] = self._learn([text[a:b].decode() for a, b in zip(cuts[long].tolist(), ends[long].tolist(), strict=True)])
+        known = np.maximum(out, 0)
+        alone |= (out >= 0) & ((self.second[known] != second) | (self.length[known] != length))
+        if alone.any():
+            out[alone] = learn(np.flatnonzero(alone))
         return out
 
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -121,3 +121,18 @@ def test_implied_end_tags():
     assert [x[0] for x in page.lines] == ["a", "b", "c", "d", "x", "y", "z", "e", "f"]
     depth = lambda k: 0 if k < 0 else 1 + depth(page.parents[k])
     assert [depth(x[2]) for x in page.lines] == [2, 2, 4, 2, 4, 3, 3, 1, 1]
+
+
+@pytest.mark.parametrize("gone", ["</head>", "<head>", "<body>", "</body>", "</html>", "<html>", "</p>", "</li>", "</head>|<body>", "<head>|</head>", "<html>|<head>|</head>|<body>|</body>|</html>"])
+def test_optional_tags_left_out(spark, gone):
+    """The given pages say the same without tags that HTML allows to leave out."""
+    pages = [r.html for r in spark.read.parquet(SF.replace("0.001", "0.01") + "/pages.parquet").collect()]
+    cut = re.compile("|".join(f"<{x.strip('<>')}(?: [^>]*)?>" for x in gone.split("|")), re.IGNORECASE)
+    assert sum(len(cut.sub("", p)) < len(p) for p in pages) > len(pages) // 2
+    assert [H.extract(cut.sub("", p)) for p in pages] == [H.extract(p) for p in pages]
+
+
+def test_a_head_ends_where_text_or_another_tag_begins():
+    assert H.extract("<html><head><title>T</title>Hello there") == "Hello there"
+    assert H.extract("<head><title>T</title><noscript><img src=x></noscript><meta name=a><p>Hello") == "Hello"
+    assert H.extract("<head><title>T<body><p>Hello") in ("", "Hello")

@@ -2,7 +2,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from statementspark.llm import langid as G
@@ -68,8 +67,25 @@ def test_sample_is_bounded_and_repeated_rows_are_one(spark):
     mass = 1 / np.exp(tables[0][1].astype(float)).min(axis=0) / 2 - (1 << G.BITS) / 2  # trigrams counted, by language
     assert 50 * 200 < mass[0] <= 105 * 200 and mass[1] < 22 * 10
     assert G.train(docs.where("false"))[0] == [] and G.predict(docs.where("false"), *tables[0]).count() == 0
-    many = spark.range(G.MOST_LANGS + 1).selectExpr("id AS doc_id", "'kora' AS text", "CAST(id AS STRING) AS lang")
-    with pytest.raises(ValueError, match="languages"):
-        G.train(many)
     kept = docs.limit(3).withColumn("lang_pred", F.lit("clash"))
     assert G.predict(kept, *tables[0]).columns == ["doc_id", "lang_pred", "score", "langs"] and G.predict(kept, *tables[0]).count() == 3
+
+
+def test_more_labels_than_the_model_holds(spark, monkeypatch):
+    """The most frequent labels are learned; a column of junk labels beside them stops nothing."""
+    rows = [(k * 10 + j, t, lang) for j, lang in enumerate(WORDS) for k, t in enumerate(texts(lang, 30, j))] + [(10_000 + k, f"junk {k}", f"x{k}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = G.train(docs)
+    assert len(langs) == G.MOST_LANGS and set(WORDS) <= set(langs) and table.shape == (1 << G.BITS, G.MOST_LANGS)
+    monkeypatch.setattr(G, "MOST_LANGS", 3)
+    langs, table = G.train(docs)
+    assert langs == ["aa", "bb", "cc"]
+    assert [r.lang_pred for r in G.predict(docs.where("doc_id < 300"), langs, table, keep=("lang",)).where("lang <> lang_pred").collect()] == []
+
+
+def test_kept_columns_of_any_name_and_kind(spark):
+    langs, table = model(spark)
+    df = spark.createDataFrame([(1, "kora tuno", "a", [1.5], {"k": 1})], "doc_id long, text string, t string, `odd name` array<double>, h map<string,int>")
+    row = df.select("doc_id", "text", F.struct(*df.columns).alias("row"))
+    got = G.predict(row, langs, table, keep=("row",)).first()
+    assert (got.lang_pred, got.row["text"], got.row["t"], got.row["odd name"], got.row["h"]) == ("aa", "kora tuno", "a", [1.5], {"k": 1})

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from statementspark.llm import queries
 from statementspark.llm.common import materialize
@@ -33,3 +35,28 @@ def test_empty_documents(spark):
 def test_run_and_names(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")] == list(range(1, 11))
+
+
+CLASHING = "t string, n_lines int, n_kept string, lang_pred array<int>, __doc_id long, h long, d long, row string, copies int, size long, __row string, component_id long, langs string"
+
+
+def test_extra_columns_of_clashing_names_pass_all_stages(spark):
+    """What the driver's documents give with and without further columns is the same, and the further ones stay as they were."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 20000")
+    extra = [F.lit("a"), F.lit(7), F.lit("b"), F.array(F.lit(3)), F.lit(-1), F.lit(-2), F.lit(-3), F.lit("r"), F.lit(4), F.lit(5), F.lit("s"), F.lit(6), F.lit("l")]
+    names = [c.split()[0] for c in CLASHING.split(", ")]
+    more = base.select("*", *[F.when(F.col("doc_id") % 3 > 0, x).alias(n) for n, x in zip(names, extra, strict=True)])
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "packing":
+            base = more.select(*base.columns)
+        plain, wide = materialize(stage(spark, base, SF), "t"), materialize(stage(spark, more, SF), "t")
+        if name == "packing":
+            assert plain.columns == wide.columns and plain.agg(F.sum("length")).first() == wide.agg(F.sum("length")).first()
+            assert plain.count() > 0
+            break
+        assert wide.columns == [*base.columns, *names]
+        if name != "mixing":  # its draws depend on all columns
+            assert sorted(map(repr, wide.select(*base.columns).collect())) == sorted(map(repr, plain.collect()))
+        for n, x in zip(names, extra, strict=True):
+            assert wide.where(~F.col(n).eqNullSafe(F.when(F.col("doc_id") % 3 > 0, x))).count() == 0
+        base, more = plain, wide

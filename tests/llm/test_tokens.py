@@ -27,6 +27,36 @@ def test_units_give_the_ids_of_whole_texts(name, memo, chunk, monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == whole
 
 
+PIECES = ["foo", "bar", "\x00", "\x00\x00", " ", "\n", "<|endoftext|>", "<|startoftext|>", "é", "\u3000", "😀", "x" * 70, "'s", "-", "12", "\u0301", "İ", "\u212a", "\ufeff"]
+
+
+@pytest.mark.parametrize("name", FILES)
+@pytest.mark.parametrize("memo", [1_000_000, 50])
+def test_random_texts_with_zeros_and_special_strings_in_any_order(name, memo):
+    rng = np.random.default_rng(memo)
+    texts = ["".join(rng.choice(PIECES, rng.integers(0, 9))) for _ in range(10_000)] + ["foo bar", "foo\x00 bar", "foo \x00bar", "\x00", ""]
+    coder = tokens.Encoder(public_tokenizers.path(name), memo)
+    whole = {t: x.ids for t, x in zip(texts, coder.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True)}
+    for _ in range(2):
+        rng.shuffle(texts)
+        at = 0
+        while at < len(texts):
+            part = texts[at : at + int(rng.integers(1, 3000))]
+            ids, starts = coder.encode(pa.array(part))
+            assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [whole[t] for t in part]
+            at += len(part)
+
+
+def test_equal_hashes_of_different_units_are_told_apart(monkeypatch):
+    """With a first hash that takes all units for one, the second hash and the length decide."""
+    plain = tokens.Encoder._hashes
+    monkeypatch.setattr(tokens.Encoder, "_hashes", lambda self, data, cuts, ends, kind: plain(self, data, cuts, ends, 1) * np.uint64(kind) + np.uint64(kind == 0))
+    coder = tokens.Encoder(public_tokenizers.path(FILES[0]))
+    ids, starts = coder.encode(pa.array(ODD))
+    whole = [x.ids for x in coder.tokenizer.encode_batch([t or "" for t in ODD], add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == whole
+
+
 def test_another_tokenizer_file_takes_the_whole_chain(tmp_path):
     kind = json.loads(Path(public_tokenizers.path(FILES[1])).read_text())
     kind["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "\\S+"}
