@@ -10,6 +10,10 @@ next stage's documents. All but the last return the columns of ``documents``.
   links between texts with a Jaccard similarity of 0.8 or more in their 5-word shingles.
 * mixing repeats or leaves out documents so that sources come near their target weights.
 * packing returns the pieces of all documents with their places in sequences.
+
+Every stage takes rows with a null in any column (a null text goes in the first stage; a null id or source is a value like any other),
+empty and very long texts (whole), repeated rows and ties (as the stage's operator says), empty tables (no rows), and further
+columns of any name, which come out of all stages but the last as they went in.
 """
 
 from __future__ import annotations
@@ -23,16 +27,22 @@ from statementspark.llm import langid, line_templates, mixing, near_copies, pack
 from statementspark.llm.common import count_words, materialize, table
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """Id and text beside the whole row in one column, so that no name of an input can clash with an operator's."""
+    return docs.select(docs["doc_id"], docs["text"], F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; their columns stay as they are."""
-    langs, model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.predict(docs.withColumns({"__" + c: F.col(c) for c in docs.columns}), langs, model, keep=tuple("__" + c for c in docs.columns))
-    return found.where("lang_pred <> 'und'").select(*[F.col("__" + c).alias(c) for c in docs.columns])
+    langs, model = langid.train(docs.where(~langid.held_out(docs["doc_id"])))
+    found = langid.predict(_wrapped(docs), langs, model, keep=("row",))
+    return found.where("lang_pred <> 'und'").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_templates.dedup_lines(docs)
-    return found.where("n_kept > 0 OR n_lines = 0").select(*docs.columns)
+    """Documents with their text less its repeated lines; those with no line left go."""
+    found = line_templates.dedup_lines(_wrapped(docs)).where("n_kept > 0 OR n_lines = 0")
+    return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
