@@ -34,7 +34,7 @@ def test_empty_documents(spark):
 
 def test_run_and_names(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")] == list(range(1, 14))
 
 
 CLASHING = "t string, n_lines int, n_kept string, lang_pred array<int>, __doc_id long, h long, d long, row string, copies int, size long, __row string, component_id long, langs string"
