@@ -13,7 +13,6 @@ import json
 import os
 import re
 from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +64,8 @@ BY_LETTERS_CHAIN = (
 _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_NAMES = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINT)}
 BLANK, NEWLINE = chr(BYTE_NAMES[32]), chr(BYTE_NAMES[10])
-#: Odd, so that their powers have inverses modulo 2 ** 64.
-BASE, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Odd, so that their powers have inverses modulo 2 ** 64 and 2 ** 32.
+BASE, SECOND = 0x9E3779B97F4A7C15, 0x85EBCA77
 CHUNK = 1 << 19  # bytes of text that are looked at together
 LONGEST = 64  # longer units are looked up by themselves and not by hash
 
@@ -74,7 +73,7 @@ LONGEST = 64  # longer units are looked up by themselves and not by hash
 class Encoder:
     """``encode(column)`` gives the ids of all texts (uint32, no end ids) and where each text starts in them.
 
-    Known units are found by a 64-bit hash of their bytes in an open table, and are taken only if a second hash and the length
+    Known units are found by a 64-bit hash of their bytes in an open table, and are taken only if a second hash of 32 bits and the length
     agree; new ones go to the tokenizer, and so does a unit that only the first hash takes for a known one. Plain units
     of the two known kinds of tokenizer go to its model at once, pre-token by pre-token, which is far cheaper than its
     whole chain; all others take the whole chain.
@@ -86,8 +85,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        kind = json.loads(Path(path).read_text())
-        chain = (kind.get("pre_tokenizer"), kind.get("normalizer"))
+        parts = (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer)
+        chain = tuple(part and json.loads(part.__getstate__()) for part in parts)
         self.split = None
         if chain == BYTE_LEVEL_CHAIN:
             self.split, self.lower = BYTE_LEVEL, False
@@ -96,15 +95,16 @@ class Encoder:
         self.memo = memo
         self.bits = max(12, (2 * memo).bit_length())
         self._reset()
-        self.powers = [np.cumprod(np.full(CHUNK + 1, base, np.uint64)) for base in (BASE, SECOND)]
-        self.inverses = [np.cumprod(np.full(CHUNK + 1, pow(base, -1, 1 << 64), np.uint64)) for base in (BASE, SECOND)]
+        kinds = ((BASE, np.uint64, 64), (SECOND, np.uint32, 32))
+        self.powers = [np.cumprod(np.full(CHUNK + 1, base, kind), dtype=kind) for base, kind, _ in kinds]
+        self.inverses = [np.cumprod(np.full(CHUNK + 1, pow(base, -1, 1 << bits), kind), dtype=kind) for base, kind, bits in kinds]
 
     def _reset(self) -> None:
         self.known = 0
         self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.at, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
-        self.second, self.length = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64)  # of each known unit
+        self.second, self.length = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.int32)  # of each known unit
 
     def _fresh(self, units: list[str]) -> list[list[int]]:
         """Ids of units by the tokenizer."""
@@ -173,9 +173,15 @@ class Encoder:
 
     def _hashes(self, data: np.ndarray, cuts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
         """A hash of each unit's bytes. One is added to each byte, as a zero would leave no trace."""
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[kind][: len(data)], out=sums[1:])
+        powers = self.powers[kind]
+        values = data.astype(powers.dtype)
+        values += powers.dtype.type(1)
+        values *= powers[: len(data)]
+        sums = np.zeros(len(data) + 1, powers.dtype)
+        np.cumsum(values, dtype=powers.dtype, out=sums[1:])
         hashes = (sums[ends] - sums[cuts]) * self.inverses[kind][cuts]
+        if kind:
+            return hashes
         hashes ^= hashes >> np.uint64(29)
         hashes *= np.uint64(0xBF58476D1CE4E5B9)
         return hashes ^ (hashes >> np.uint64(32))
