@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixed
+from .tables import small_table
 
 RULES = {
     "Food & Dining": "swiggy zomato restaurant dhaba bakery pizza cafe biryani",
@@ -50,7 +51,7 @@ def rank_rules(raw: DataFrame) -> DataFrame:
 
 def load_rules(spark: SparkSession, table: dict[str, str] | None = None) -> DataFrame:
     """The ranked rules of a dictionary in memory, of our own by default; a comma in a pattern is a space."""
-    return spark.createDataFrame(rows(RULES if table is None else table), SCHEMA)
+    return small_table(spark, rows(RULES if table is None else table), SCHEMA)
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -71,7 +72,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
             listed.append((text[1:-1] if quoted else re.sub(r"\s+#.*$", "", text), category))
         elif head and not line.lstrip().startswith("#"):
             category = head[1].strip("'\"")
-    return spark.createDataFrame(_ranked(listed), SCHEMA)
+    return small_table(spark, _ranked(listed), SCHEMA)
 
 
 SCHEMA = "pattern string, category string, specificity int, priority int, kind string"

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.tables import small_table
+
 #: (kind, narration); {ref} is a 12-digit reference.
 TEMPLATES = [
     ("debit", "UPI/DR/{ref}/SWIGGY/YESB/swiggy@ybl/Payment"),
@@ -75,19 +77,41 @@ SELECT account_id, source_file, seq, date, o_orderkey,
        CASE WHEN o_orderkey % 24 IN (17, 18, 20) THEN 'CHQ PAID ' || lpad(CAST(o_orderkey AS STRING), 12, '0') || ' VENDOR QX' || {_VENDOR} ELSE description END AS description,
        CASE WHEN o_orderkey % 24 IN (17, 18, 20) THEN 100E0 + floor(debit / 20000) * 20000 ELSE debit END AS debit, credit, balance
 FROM {{ledger}}"""
-#: Answers of a classifier on them: valid ones, categories that do not exist or say nothing, and keys that nobody asked for.
-ANSWERS = f"""
-SELECT 'vendor qx' || lower({_VENDOR}) AS merchant_key, CASE account_id % 997 % 4 WHEN 0 THEN 'Groceries' WHEN 1 THEN 'Travel' WHEN 2 THEN 'Imaginary' ELSE 'Uncategorised' END AS category,
+#: Answers of a classifier on them: valid ones, categories that do not exist or say nothing, keys that nobody asked for, and for many
+#: keys two or three answers in no order, some with the key written otherwise; ``seq`` numbers answers.
+_ANSWER = f"""
+SELECT {{key}} AS merchant_key, CASE ({{k}}) % 4 WHEN 0 THEN 'Groceries' WHEN 1 THEN 'Travel' WHEN 2 THEN 'Imaginary' ELSE 'Uncategorised' END AS category,
        CASE WHEN account_id % 2 = 0 THEN '' ELSE 'Vendor' END AS display, CAST(CASE WHEN account_id % 5 = 0 THEN NULL ELSE 0.81234 END AS DOUBLE) AS confidence,
-       CASE account_id % 3 WHEN 0 THEN 'Claude-y' WHEN 1 THEN 'o3-mini' ELSE '' END AS model
-FROM (SELECT DISTINCT account_id FROM {{ledger}} WHERE account_id < 997) AS a
-UNION ALL SELECT 'nobody asked ' || lower({_LETTERS.format("account_id")}), 'Travel', '', CAST(0.8 AS DOUBLE), '' FROM (SELECT DISTINCT account_id FROM {{ledger}} WHERE account_id < 997) AS a"""
-#: Stores that one person keeps: own tags, learned answers with a model each, own categories.
-OWN_TAGS = f"SELECT 'payee ' || lower({_LETTERS.format('account_id')}) AS merchant_key, CASE WHEN account_id % 3 = 0 THEN 'Travel' ELSE 'Own ' || CAST(account_id % 7 AS STRING) END AS category FROM (SELECT DISTINCT account_id FROM {{ledger}}) AS a"
-LEARNED = f"""SELECT 'payee ' || lower({_LETTERS.format('account_id')}) AS merchant_key, 'Shopping' AS category, 'Payee ' || CAST(account_id AS STRING) AS display, CAST(0.75 AS DOUBLE) AS confidence,
+       CASE account_id % 3 WHEN 0 THEN 'Claude-y' WHEN 1 THEN 'o3-mini' ELSE '' END AS model, CAST({{seq}} AS BIGINT) AS seq
+FROM (SELECT DISTINCT account_id FROM {{{{ledger}}}} WHERE account_id < 997) AS a WHERE {{where}}"""
+_KEY = f"'vendor qx' || lower({_VENDOR})"
+ANSWERS = " UNION ALL ".join(
+    _ANSWER.format(key=key, k=k, seq=seq, where=where)
+    for key, k, seq, where in (
+        (_KEY, "account_id", "account_id", "true"), (_KEY, "account_id + 1", "5000 - account_id", "account_id % 3 = 0"), (_KEY, "account_id / 2", "account_id + 7000", "account_id % 5 = 0"),
+        (f"'Vendor  QX' || {_VENDOR}", "account_id + 1", "account_id + 9000", "account_id % 7 = 0"), (f"'nobody asked ' || lower({_LETTERS.format('account_id')})", "1", "account_id", "true"),
+    )
+)
+ANSWERS = ANSWERS.replace("account_id / 2", "CAST(floor(account_id / 2) AS BIGINT)")
+#: Stores of accounts: own tags, some with names that look like something else, learned answers with a model each, own categories.
+OWN_TAGS = f"""
+SELECT account_id, 'payee ' || lower({_LETTERS.format('o_orderkey % 6')}) AS merchant_key,
+ max(CASE o_orderkey % 9 WHEN 0 THEN 'Travel' WHEN 1 THEN '2nd home' WHEN 2 THEN 'true' WHEN 3 THEN '[boats]' WHEN 4 THEN chr(123) || 'pets' || chr(125) WHEN 5 THEN 'null' WHEN 6 THEN '-7' ELSE 'Own "' || CAST(account_id % 7 AS STRING) || '"' END) AS category
+FROM {{ledger}} GROUP BY 1, 2"""
+#: Store documents as lines: strings beside numbers, lists, objects and nulls, and lines that are no JSON. ``<`` and ``>`` stand for braces.
+_TAG_NAME = f"'a ' || {_LETTERS.format('account_id')}"
+TAG_DOCUMENTS = f"""
+SELECT replace(replace(CASE WHEN account_id % 11 = 0 THEN 'broken ' ELSE '' END || '<"account_id": ' || CAST(account_id AS STRING) || ', "entries": <"' || {_TAG_NAME} || '": "2nd home", "b": ' || CAST(n AS STRING)
+ || ', "c": ["x"], "d": <"e": "f">, "g": "true", "h": true, "i": null, "j": "[k]", "l": "' || CASE account_id % 3 WHEN 0 THEN '<m>' WHEN 1 THEN '7' ELSE 'Own' END || '", "n": -1.5>>', '<', chr(123)), '>', chr(125)) AS value
+FROM (SELECT account_id, count(*) AS n FROM {{ledger}} GROUP BY 1) AS x"""
+LEARNED = f"""SELECT account_id, 'payee ' || lower({_LETTERS.format('account_id')}) AS merchant_key, 'Shopping' AS category, 'Payee ' || CAST(account_id AS STRING) AS display, CAST(0.75 AS DOUBLE) AS confidence,
  CASE account_id % 8 WHEN 0 THEN 'claude-y' WHEN 1 THEN 'GPT-x' WHEN 2 THEN 'chatgpt' WHEN 3 THEN 'o1' WHEN 4 THEN 'O3-mini' WHEN 5 THEN 'llama-z' WHEN 6 THEN 'my claude' ELSE '' END AS model
  FROM (SELECT DISTINCT account_id FROM {{ledger}}) AS a"""
-OWN_CATEGORIES = "SELECT DISTINCT 'Own ' || CAST(account_id % 17 AS STRING) AS name FROM {ledger}"
+OWN_CATEGORIES = "SELECT DISTINCT account_id, 'Own ' || CAST(seq % 17 AS STRING) AS name FROM {ledger}"
+#: Edits of tags: every transaction tags a payee, some delete, few empty the whole store; the later half is a second version.
+EDITS = f"""
+SELECT account_id, 'payee ' || lower({_LETTERS.format('o_orderkey % 4')}) AS merchant_key, CASE WHEN o_orderkey % 13 = 0 THEN 'clear' WHEN o_orderkey % 5 = 0 THEN 'delete' ELSE 'set' END AS op, seq,
+ 'Own ' || CAST(o_orderkey % 7 AS STRING) AS category, CASE WHEN seq <= 5 THEN 1 ELSE 2 END AS v FROM {{ledger}}"""
 #: A rule file's content made of the words of all narrations: some short, some long, some with a sign of regular expressions.
 WORDS = """SELECT DISTINCT word FROM (SELECT explode(split(lower(description), '[^A-Za-z.]+')) AS word FROM {ledger}) AS w WHERE length(word) > 2"""
 DUCK_WORDS = WORDS.replace("explode(split(", "unnest(string_split_regex(")
@@ -154,15 +178,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def overrides(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(OVERRIDES, "merchant_key string, category string")
+    return small_table(spark, OVERRIDES, "merchant_key string, category string")
 
 
 def cache(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CACHE, "merchant_key string, category string, display string, confidence double, model string")
+    return small_table(spark, CACHE, "merchant_key string, category string, display string, confidence double, model string")
 
 
 def labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LABELS, "merchant_key string, category string, display string, confidence double, model string")
+    return small_table(spark, LABELS, "merchant_key string, category string, display string, confidence double, model string")
 
 _MON = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', (month(date) - 1) * 3 + 1, 3)"
 _DD, _MM, _YYYY = "lpad(CAST(day(date) AS STRING), 2, '0')", "lpad(CAST(month(date) AS STRING), 2, '0')", "CAST(year(date) AS STRING)"

@@ -174,17 +174,21 @@ def batch_merchants(spark, sf_dir):
 
 
 def _by_length(batch):
-    """A stand-in for a classifier: a batch in, its answers out."""
+    """A stand-in for a classifier: a batch in, its answers out; one batch it cannot do."""
+    if (batch["batch"] == 3).any():
+        raise RuntimeError("no answer")
     even = batch["merchant_key"].str.len() % 2 == 0
     return batch.assign(category=even.map({True: "Travel", False: "Groceries"}), display=batch["merchant"].str.upper(), confidence=0.75, model="by-length")[["merchant_key", "category", "display", "confidence", "model"]]
 
 
-@query(f"{_PENDING}, b AS ({_BATCHES}) SELECT merchant_key, CASE WHEN length(merchant_key) % 2 = 0 THEN 'Travel' ELSE 'Groceries' END AS category, upper(merchant) AS display, CAST(0.75 AS DOUBLE) AS confidence, 'by-length' AS model FROM b")
+@query(f"{_PENDING}, b AS ({_BATCHES}) SELECT batch, merchant_key, CASE WHEN length(merchant_key) % 2 = 0 THEN 'Travel' ELSE 'Groceries' END AS category, upper(merchant) AS display, CAST(0.75 AS DOUBLE) AS confidence, 'by-length' AS model FROM b WHERE batch < 3")
 def classify(spark, sf_dir):
-    return C.classify(C.batch_merchants(C.pending_merchants(strange(spark, sf_dir))), _by_length)
+    """The fourth batch fails: the answers of the three before it stay."""
+    return C.classify(C.batch_merchants(C.pending_merchants(strange(spark, sf_dir))), _by_length).drop("seq")
 
 
-_VALID = f"{_PENDING}, valid AS (SELECT l.* FROM answers l WHERE category IN {O._in(fixed.CATEGORIES[:-1])} AND merchant_key IN (SELECT merchant_key FROM pending))"
+_NAMED = f"category IN {O._in(fixed.CATEGORIES[:-1])}"
+_VALID = f"{_PENDING}, valid AS (SELECT * FROM answers WHERE {_NAMED} AND merchant_key IN (SELECT merchant_key FROM pending) QUALIFY row_number() OVER (PARTITION BY merchant_key ORDER BY seq DESC) = 1)"
 
 
 def _valid(spark, sf_dir):
@@ -193,7 +197,7 @@ def _valid(spark, sf_dir):
 
 @query(f"{_VALID} SELECT merchant_key, category, display, confidence, model FROM valid")
 def validate_labels(spark, sf_dir):
-    return _valid(spark, sf_dir)
+    return _valid(spark, sf_dir).drop("seq")
 
 
 _LABELLED = "CASE WHEN c.category = 'Uncategorised' AND v.category IS NOT NULL THEN {} ELSE {} END"
@@ -201,15 +205,26 @@ _LABELLED = "CASE WHEN c.category = 'Uncategorised' AND v.category IS NOT NULL T
 
 @query(f"{_VALID} SELECT o_orderkey, {_LABELLED.format('v.category', 'c.category')} AS category, {_LABELLED.format(q('llm'), 'c.category_source')} AS category_source, {_LABELLED.format('coalesce(v.confidence, 0.8)', 'c.confidence')} AS confidence FROM categorized c LEFT JOIN valid v ON c.merchant_key = v.merchant_key")
 def apply_labels(spark, sf_dir):
-    return C.apply_labels(strange(spark, sf_dir), _valid(spark, sf_dir)).select("o_orderkey", "category", "category_source", "confidence")
+    """Answers that were asked for, several of them to many keys, on the transactions of the ledger: as many rows as before."""
+    asked = C.pending_merchants(strange(spark, sf_dir))
+    labels = L.answers(spark, sf_dir).where(F.col("category").isin(fixed.CATEGORIES[:-1])).join(asked.select("merchant_key"), "merchant_key", "left_semi")
+    return C.apply_labels(strange(spark, sf_dir), labels).select("o_orderkey", "category", "category_source", "confidence")
 
 
-@query(f"{_VALID}, new AS (SELECT {O.key('merchant_key')} AS merchant_key, category, coalesce(nullif(display, ''), merchant_key) AS display, round(coalesce(confidence, 0.8), 3) AS confidence, model FROM valid) SELECT * FROM new UNION ALL SELECT * FROM cache WHERE merchant_key NOT IN (SELECT merchant_key FROM new)")
+_ANSWERS = f"{BASE}, {O.TABLES}, answers AS ({L.ANSWERS.replace('{ledger}', 'ledger')})"
+
+
+@query(
+    f"{_ANSWERS}, new AS (SELECT {O.key('merchant_key')} AS k, category, coalesce(nullif(display, ''), merchant_key) AS display, round(coalesce(confidence, 0.8), 3) AS confidence, model FROM answers WHERE {_NAMED} QUALIFY row_number() OVER (PARTITION BY {O.key('merchant_key')} ORDER BY seq DESC) = 1)"
+    " SELECT k AS merchant_key, category, display, confidence, model FROM new UNION ALL SELECT * FROM cache WHERE merchant_key NOT IN (SELECT k FROM new)"
+)
 def remember(spark, sf_dir):
-    return C.remember(L.cache(spark), _valid(spark, sf_dir))
+    """Answers in no order, several to many keys, some written otherwise: the last of each stays."""
+    return C.remember(L.cache(spark), L.answers(spark, sf_dir))
 
 
-_EDITS = "SELECT merchant_key, CASE WHEN max(account_id) % 3 = 0 THEN 'Uncategorised' ELSE 'Shopping' END AS category, max(seq) AS seq FROM {} GROUP BY merchant_key"
+#: Every transaction edits its merchant's tag, so each key has many edits.
+_EDITS = "SELECT merchant_key, CASE o_orderkey % 7 WHEN 0 THEN 'Uncategorised' WHEN 1 THEN 'Shopping' ELSE 'Own ' || CAST(o_orderkey % 5 AS STRING) END AS category, o_orderkey AS seq FROM {}"
 
 
 @query(f"{ALL}, edits AS ({_EDITS.format('categorized')}), last AS (SELECT {O.key('merchant_key')} AS merchant_key, arg_max(category, seq) AS category FROM edits GROUP BY 1) SELECT merchant_key, category FROM overrides WHERE merchant_key NOT IN (SELECT merchant_key FROM last) UNION ALL SELECT merchant_key, category FROM last WHERE category <> 'Uncategorised'")
@@ -668,32 +683,84 @@ def read_rules(spark, sf_dir):
     return rules.read_rules(spark, path)
 
 
-@query(f"{BASE} {L.OWN_TAGS.replace('{ledger}', 'ledger')}")
+@query(
+    f"{BASE}, d AS (SELECT account_id, {L._TAG_NAME} AS a FROM (SELECT DISTINCT account_id FROM ledger) AS x WHERE account_id % 11 <> 0), e AS (SELECT account_id, a AS merchant_key, '2nd home' AS category FROM d UNION ALL SELECT account_id, 'g', 'true' FROM d UNION ALL SELECT account_id, 'j', '[k]' FROM d"
+    " UNION ALL SELECT account_id, 'l', CASE account_id % 3 WHEN 0 THEN chr(123) || 'm' || chr(125) WHEN 1 THEN '7' ELSE 'Own' END FROM d) SELECT * FROM e"
+)
 def read_overrides(spark, sf_dir):
-    stores.write_store(L.of_ledger(spark, sf_dir, L.OWN_TAGS), path := L.scratch(spark, "overrides"))
-    return stores.read_overrides(spark, path)
+    """Documents of all accounts, a line each: strings alone are tags, whatever they say, and broken lines are empty stores."""
+    L.of_ledger(spark, sf_dir, L.TAG_DOCUMENTS).write.text(path := L.scratch(spark, "tags"))
+    return stores.read_overrides(spark, path, ACCOUNT)
+
+
+@query(f"{BASE} {L.OWN_TAGS.replace('{ledger}', 'ledger')}")
+def write_store(spark, sf_dir):
+    """The tags of all accounts written as documents and read back."""
+    stores.write_store(L.of_ledger(spark, sf_dir, L.OWN_TAGS), path := L.scratch(spark, "overrides"), keys=ACCOUNT)
+    return stores.read_overrides(spark, path, ACCOUNT)
 
 
 @query(f"{BASE} {L.LEARNED.replace('{ledger}', 'ledger')}")
 def read_cache(spark, sf_dir):
-    stores.write_store(L.of_ledger(spark, sf_dir, L.LEARNED), path := L.scratch(spark, "cache"))
-    return stores.read_cache(spark, path)
+    stores.write_store(L.of_ledger(spark, sf_dir, L.LEARNED), path := L.scratch(spark, "cache"), keys=ACCOUNT)
+    return stores.read_cache(spark, path, ACCOUNT)
 
 
 @query(f"{BASE} {L.OWN_CATEGORIES.replace('{ledger}', 'ledger')}")
 def read_custom_categories(spark, sf_dir):
-    stores.write_store(L.of_ledger(spark, sf_dir, L.OWN_CATEGORIES), path := L.scratch(spark, "categories"), None)
-    return stores.read_custom_categories(spark, path)
+    documents = L.of_ledger(spark, sf_dir, L.OWN_CATEGORIES).groupBy("account_id").agg(F.struct(F.collect_list("name").alias("categories")).alias("entries"))
+    documents.select(F.to_json(F.struct("account_id", "entries")).alias("value")).write.text(path := L.scratch(spark, "categories"))
+    return stores.read_custom_categories(spark, path, ACCOUNT)
+
+
+def _log(spark, sf_dir) -> str:
+    edits = L.of_ledger(spark, sf_dir, L.EDITS)
+    path = L.scratch(spark, "edits")
+    for version in (1, 2):
+        stores.append_edits(edits.where(F.col("v") == version).drop("v"), path, version)
+    return path
 
 
-@query(f"{BASE} SELECT * FROM ({L.OWN_TAGS.replace('{ledger}', 'ledger')}) WHERE false")
+def _at(where: str, more: str = "") -> str:
+    return (
+        f"{BASE}, edits AS (SELECT account_id, merchant_key, op, seq, category, v FROM ({L.EDITS.replace('{ledger}', 'ledger')}) AS x WHERE {where}{more}), cleared AS (SELECT account_id, max((v, seq)) AS c FROM edits WHERE op = 'clear' GROUP BY 1),"
+        " kept AS (SELECT e.* FROM edits e LEFT JOIN cleared USING (account_id) WHERE op <> 'clear' AND (c IS NULL OR (v, seq) > c) QUALIFY row_number() OVER (PARTITION BY e.account_id, merchant_key ORDER BY v DESC, seq DESC) = 1)"
+        " SELECT account_id, merchant_key, category FROM kept WHERE op = 'set'"
+    )
+
+
+@query(_at("true"))
+def store_at(spark, sf_dir):
+    """The tags of all accounts after two versions of edits."""
+    return stores.store_at(stores.read_edits(spark, _log(spark, sf_dir)), ACCOUNT)
+
+
+@query(_at("v = 1"))
+def store_at_version(spark, sf_dir):
+    """The same as they were after the first version."""
+    return stores.store_at(stores.read_edits(spark, _log(spark, sf_dir), 1), ACCOUNT)
+
+
+_CLEARED = " UNION ALL SELECT DISTINCT account_id, CAST(NULL AS VARCHAR), 'clear', CAST(0 AS BIGINT), NULL, 3 FROM ledger WHERE account_id % 2 = 1"
+
+
+@query(_at("true", _CLEARED))
 def clear_overrides(spark, sf_dir):
-    return C.clear_overrides(L.of_ledger(spark, sf_dir, L.OWN_TAGS))
+    """The tags of all accounts, every second of which empties its store in a third version."""
+    path = _log(spark, sf_dir)
+    accounts = L.ledger(spark, sf_dir).where("account_id % 2 = 1").select("account_id").distinct()
+    stores.append_edits(stores.clear(accounts, ACCOUNT), path, 3)
+    return stores.store_at(stores.read_edits(spark, path), ACCOUNT)
 
 
-@query(f"{BASE} SELECT * FROM ({L.LEARNED.replace('{ledger}', 'ledger')}) WHERE false")
+@query(f"{BASE} SELECT account_id, merchant_key, display, model FROM ({L.LEARNED.replace('{ledger}', 'ledger')}) AS x WHERE account_id % 3 > 0")
 def clear_cache(spark, sf_dir):
-    return C.clear_cache(L.of_ledger(spark, sf_dir, L.LEARNED))
+    """Learned answers of all accounts as a log; every third account then forgets them."""
+    learned = L.of_ledger(spark, sf_dir, L.LEARNED).withColumns({"op": F.lit("set"), "seq": F.lit(1).cast("long")})
+    stores.append_edits(learned, path := L.scratch(spark, "answers"), 1)
+    stores.append_edits(stores.clear(learned.where("account_id % 3 = 0").select("account_id").distinct(), ACCOUNT), path, 2)
+    log = spark.read.option("mergeSchema", True).parquet(path)
+    return stores.store_at(log, ACCOUNT).select("account_id", "merchant_key", "display", "model")
 
 
 @query(f"{BASE}, {ANNOTATED} SELECT o_orderkey, merchant_key <> 'unknown' AS resolved FROM annotated")
@@ -710,12 +777,23 @@ def heuristic_category(spark, sf_dir):
     return annotated(spark, sf_dir).select("o_orderkey", F.when(guess.isNotNull(), F.concat_ws("|", guess["category"], guess["confidence"].cast("string"))).alias("guess"))
 
 
-@query(f"{ALL}, m AS (SELECT account_id, {_MONTH} AS month FROM categorized GROUP BY ALL) SELECT 'transactions' AS name, count(*) AS rows FROM categorized UNION ALL SELECT 'by_category', count(*) FROM (SELECT DISTINCT account_id, category FROM categorized WHERE {SPEND}) UNION ALL SELECT 'by_month', count(*) FROM m")
+@query(
+    f"{ALL}, s AS (SELECT CAST(account_id AS VARCHAR) AS account, category, round(sum(debit), 2) AS amount, count(*) AS rows FROM categorized WHERE {SPEND} GROUP BY ALL) SELECT 'transactions' AS name, source_file AS place, date AS at, merchant || '|' || category || '|' || channel AS what, debit AS amount, credit AS more FROM categorized"
+    f" UNION ALL SELECT 'by_category', account, CAST(NULL AS DATE), category, amount, CAST(rows AS DOUBLE) FROM s"
+    f" UNION ALL SELECT 'by_month', CAST(account_id AS VARCHAR), {_MONTH}, NULL, round(coalesce(sum(debit) FILTER ({SPEND}), 0), 2), round(coalesce(sum(credit) FILTER ({INCOME}), 0), 2) FROM categorized GROUP BY ALL"
+)
 def export_report_tables(spark, sf_dir):
+    """What was written, read back: the contents of the three tables that always have rows."""
     rows = C.decided_by_labels(categorized(spark, sf_dir), L.cache(spark))
     names = stores.export_report_tables(rows, path := L.scratch(spark, "report"), ACCOUNT)
-    counts = [spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n in names]
-    return functools.reduce(DataFrame.unionByName, counts)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    shown = {
+        "transactions": ["source_file", "date", F.concat_ws("|", "merchant", "category", "channel"), "debit", "credit"],
+        "by_category": [F.col("account_id").cast("string"), nothing("date"), "category", "amount", F.col("transactions").cast("double")],
+        "by_month": [F.col("account_id").cast("string"), "month", nothing("string"), "spend", "income"],
+    }
+    read = [spark.read.parquet(f"{path}/{n}").select(F.lit(n), *shown[n]).toDF("name", "place", "at", "what", "amount", "more") for n in names if n in shown]
+    return functools.reduce(DataFrame.unionByName, read)
 
 
 _CUSTOM = "SELECT DISTINCT 'Own ' || CAST(account_id % 5 AS STRING) AS name FROM {} UNION SELECT 'Travel'"
