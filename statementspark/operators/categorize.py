@@ -65,12 +65,13 @@ def _fitting(hays: DataFrame, filed: DataFrame, keys: tuple[str, str], digits: b
     """
     held = F.concat(F.split(F.trim("__words"), " +"), _grams("__hay"))
     held = F.array_distinct(F.filter(held, lambda g: g.rlike("[0-9]")) if digits else held)
+    # A haystack also holds the number of its block, behind a sign that no gram or word has, and a rule without a gram stands in every block.
+    block = lambda k: F.concat(F.lit("\u0000block "), k.cast("string"))
+    held = F.concat(held, F.array(block(F.pmod(F.xxhash64(*keys), F.lit(BLOCKS)))))
     keyed = hays.select(*keys, "__hay", "__words", F.explode(held).alias("__gram"))
-    near = keyed.join(filed.where("gram IS NOT NULL"), F.col("__gram") == F.col("gram"))
-    blocks = filed.where("gram IS NULL").withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    rest = hays.select(*keys, "__hay", "__words", F.pmod(F.xxhash64(*keys), F.lit(BLOCKS)).cast("int").alias("__b")).join(blocks, F.col("__b") == F.col("__block"))
-    columns = (*keys, "category", "specificity", "priority")
-    return near.where(F.expr(_FITS)).select(*columns).unionByName(rest.where(F.expr(_FITS)).select(*columns))
+    everywhere = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), block)
+    filed = filed.withColumn("gram", F.explode(F.when(F.col("gram").isNull(), everywhere).otherwise(F.array("gram"))))
+    return keyed.join(filed, F.col("__gram") == F.col("gram")).where(F.expr(_FITS)).select(*keys, "category", "specificity", "priority")
 
 
 def match_rules(df: DataFrame, rules: DataFrame) -> DataFrame:

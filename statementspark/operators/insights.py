@@ -63,16 +63,22 @@ def by_category(df: DataFrame, include_transfers: bool = False, keys: tuple = ()
 
 
 def by_month(df: DataFrame, include_transfers: bool = False, top_n: int = 7, keys: tuple = ()) -> DataFrame:
-    """(month, bucket, amount): the largest categories by name, the rest as Other; every month has every bucket."""
+    """(month, bucket, amount): the largest categories by name, the rest as Other; every month has every bucket.
+
+    One scan: sums of (key, month, category) become one list for each key, as long as its months times its categories, and the
+    ranking, the grid and its zeros are functions of that list.
+    """
     sums = spending(df, include_transfers).groupBy(*keys, F.trunc("date", "MM").alias("month"), "category").agg(F.sum("debit").alias("debit"))
-    # From here on there is one row for each key, month and category.
-    whole = sums.groupBy(*keys, "category").agg(F.round(F.sum("debit"), 2).alias("all"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("all"), "category"))
-    ranked = whole.select(*keys, "category", F.when(rank <= top_n, F.col("category")).otherwise("Other").alias("bucket"))
-    cells = sums.join(ranked, [*keys, "category"]).groupBy(*keys, "month", "bucket").agg(F.round(F.sum("debit"), 2).alias("amount"))
-    months, buckets = cells.select(*keys, "month").distinct(), cells.select(*keys, "bucket").distinct()
-    grid = months.join(buckets, list(keys)) if keys else months.withColumn("__one", F.lit(1)).join(buckets.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    return grid.join(cells, [*keys, "month", "bucket"], "left").withColumn("amount", F.coalesce("amount", F.lit(0.0)))
+    lists = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("month", "category", "debit"))).alias("__cells"))
+    total = lambda cells: F.round(F.aggregate(cells, F.lit(0.0), lambda a, x: a + x["debit"]), 2)
+    categories = F.array_distinct(F.transform("__cells", lambda x: x["category"]))
+    ranked = F.sort_array(F.transform(categories, lambda c: F.struct((-total(F.filter("__cells", lambda x: x["category"].eqNullSafe(c)))).alias("o"), c.alias("category"))))
+    lists = lists.filter(F.size("__cells") > 0).withColumn("__top", F.transform(F.slice(ranked, 1, top_n), lambda x: x["category"]))
+    lists = lists.withColumn("__cells", F.transform("__cells", lambda x: F.struct(x["month"].alias("month"), F.when(F.array_contains("__top", x["category"]), x["category"]).otherwise("Other").alias("bucket"), x["debit"].alias("debit"))))
+    grid = lists.select(*keys, "__cells", F.explode(F.array_distinct(F.transform("__cells", lambda x: x["month"]))).alias("month"))
+    buckets = F.array_distinct(F.transform("__cells", lambda x: x["bucket"]))
+    grid = grid.select(*keys, "month", F.filter("__cells", lambda x: x["month"] == F.col("month")).alias("__here"), F.explode(buckets).alias("bucket"))
+    return grid.select(*keys, "month", "bucket", total(F.filter("__here", lambda x: x["bucket"] == F.col("bucket"))).alias("amount"))
 
 
 def pivot_months(cells: DataFrame, buckets: list[str], keys: tuple = ()) -> DataFrame:
@@ -98,12 +104,20 @@ def top_merchants(df: DataFrame, limit: int = 15, include_transfers: bool = Fals
 
 
 def daily(df: DataFrame, include_transfers: bool = False, keys: tuple = ()) -> DataFrame:
-    """Spend of each day from first to last, zeros filled, with the mean of up to seven days. Days are summed first."""
-    sums = spending(df, include_transfers).groupBy(*keys, "date").agg(F.round(F.sum("debit"), 2).alias("amount"))
-    spine = sums.groupBy(*keys).agg(F.min("date").alias("a"), F.max("date").alias("b")).where("a IS NOT NULL")
-    spine = spine.select(*keys, F.explode(F.sequence("a", "b")).alias("date"))
-    filled = spine.join(sums, [*keys, "date"], "left").withColumn("amount", F.coalesce("amount", F.lit(0.0)))
-    return filled.withColumn("rolling", F.round(F.avg("amount").over(Window.partitionBy(*keys).orderBy("date").rowsBetween(-6, 0)), 4))
+    """Spend of each day from first to last, zeros filled, with the mean of up to seven days.
+
+    Only days with spending are sorted, in one window by key: each is followed by its run of days without, made from
+    it, and holds the sums of the six days before it (a frame in days), from which the means of the run follow.
+    """
+    sums = spending(df, include_transfers).where("date IS NOT NULL").groupBy(*keys, "date").agg(F.round(F.sum("debit"), 2).alias("amount"))
+    by = Window.partitionBy(*keys).orderBy(F.unix_date("date"))
+    near = F.collect_list(F.struct("date", "amount")).over(by.rangeBetween(-6, 0))
+    days = sums.select(*keys, "date", near.alias("__near"), F.min("date").over(by.rangeBetween(Window.unboundedPreceding, 0)).alias("__first"), F.lead("date").over(by).alias("__next"))
+    days = days.withColumnRenamed("date", "__on").select(*keys, "__on", "__near", "__first", F.explode(F.sequence("__on", F.coalesce(F.date_sub("__next", 1), F.col("__on")))).alias("date"))
+    spent = F.aggregate(F.filter("__near", lambda x: F.datediff("date", x["date"]) <= 6), F.lit(0.0), lambda a, x: a + x["amount"])
+    spent = F.when(F.datediff("date", "__on") > 6, 0.0).otherwise(spent)  # most days of a long run
+    amount = F.when(F.col("date") == F.col("__on"), F.element_at("__near", -1)["amount"]).otherwise(0.0)
+    return days.select(*keys, "date", amount.alias("amount"), F.round(spent / F.least(F.lit(7), F.datediff("date", "__first") + 1), 4).alias("rolling"))
 
 
 def _figures(include_transfers: bool, inside: Column, order: tuple) -> list[Column]:
