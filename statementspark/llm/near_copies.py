@@ -6,16 +6,21 @@ probability (1 - 0.8 ** ROWS) ** BANDS = 2e-5, and no pair below the bound is li
 
 **At scale.** Equal sets are one set, and a task gives each set's bands once. Shingles are made again, from one text of each set, for
 those sets alone that share a band with another; their keys go to the texts by broadcast up to ``MOST_KEYS`` and by a shuffle join
-beyond. The members of a band's bucket are
-compared with its smallest member; only those that are not near it are compared with all others, so a large group
-of near copies costs its size, not its square.
+beyond. A band's bucket is compared with its smallest member, its head. Who is near the head is done with; who is so far from it that
+no set near the head can be near both (1 - similarity is a metric, so below 2 * similarity - 1) meets none of those; who lies
+between meets them. All not near the head then are a smaller bucket with a head of their own, round by round, until buckets have at
+most ``PAIRWISE`` members, which meet each other, or ``HEADS`` rounds are over. So a large group of near copies costs its size
+and not its square, whatever its head is.
 
+Null id or key: as any other. Very long texts: whole. Extra columns are not read.
 Fewer words than a shingle: the whole sequence is the shingle. Null, empty or blank text: the empty set, equal only to
 itself. Words are compared by 64-bit hashes of their ASCII-lower-cased form. Empty table: no links.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +35,8 @@ BANDS, ROWS = 36, 6
 LEAST = 4
 #: Keys of texts that are compared go to the texts by broadcast up to this many (8 bytes each).
 MOST_KEYS = 1_000_000
+#: Rounds of heads, and the size of a bucket whose members simply meet; the links are the same with any.
+HEADS, PAIRWISE = 8, 16
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -127,22 +134,47 @@ def whole_sets(texts: DataFrame, owners: DataFrame, need: DataFrame, shingle: in
     return materialize(found.dropDuplicates(["sid"]), "near-whole")
 
 
-def _judge(pairs: DataFrame, texts: DataFrame, owners: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(x, y, near) of pairs of sets (x, y)."""
-    whole = whole_sets(texts, owners, pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), shingle)
+def _judge(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """(x, y, kind) of pairs of sets (x, y): 2 near, 1 neither near nor far, 0 far."""
     both = pairs.join(whole.select(F.col("sid").alias("x"), F.col("grams").alias("gx")), "x").join(whole.select(F.col("sid").alias("y"), F.col("grams").alias("gy")), "y")
 
     def run(batches):
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            near = []
+            kinds = []
             for k in range(batch.num_rows):
                 a, b = x[k].values.to_numpy(), y[k].values.to_numpy()
                 met = len(np.intersect1d(a, b, assume_unique=True))
-                near.append(met >= similarity * (len(a) + len(b) - met) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["x", "y", "near"])
-
-    return materialize(both.select("x", "y", "gx", "gy").mapInArrow(run, "x long, y long, near boolean"), "near-judged")
+                held = len(a) + len(b) - met
+                kinds.append(2 if met >= similarity * held - 1e-9 else 1 if met >= (2 * similarity - 1) * held - 1e-9 else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.int32())], names=["x", "y", "kind"])
+
+    return materialize(both.select("x", "y", "gx", "gy").mapInArrow(run, "x long, y long, kind int"), "near-judged")
+
+
+def compare(members: DataFrame, whole: DataFrame, similarity: float) -> tuple[list[DataFrame], int]:
+    """Tables (x, y) of near sets among those that share a bucket, (band, sid) each; and how many pairs were compared."""
+    near, between, compared, state = [], [], 0, members
+    ordered = (F.least("u", "w").alias("x"), F.greatest("u", "w").alias("y"))
+    for _ in range(HEADS):
+        # Written before members meet them: of two plain tables Spark splits a band that very many sets share.
+        heads = materialize(state.groupBy("band").agg(F.min("sid").alias("x"), F.max("sid").alias("hi")).where("x < hi").select("band", "x"), "near-heads")
+        pairs = materialize(state.join(heads, "band").where("sid <> x").select("band", "x", F.col("sid").alias("y")), "near-pairs")
+        judged = _judge(pairs.select("x", "y").distinct(), whole, similarity)
+        compared += judged.count()
+        seen = materialize(pairs.join(judged, ["x", "y"]), "near-seen")
+        near.append(judged.where("kind = 2").select("x", "y"))
+        between.append(seen.where("kind = 1").select("band", F.col("y").alias("u")).join(seen.where("kind = 2").select("band", F.col("y").alias("w")), "band").select(*ordered))
+        state = seen.where("kind < 2").select("band", F.col("y").alias("sid"))
+        if (state.groupBy("band").count().agg(F.max("count")).first()[0] or 0) <= PAIRWISE:
+            break
+    between.append(state.withColumnRenamed("sid", "u").join(state.withColumnRenamed("sid", "w"), "band").where("u < w").select(*ordered))
+    rest = materialize(functools.reduce(DataFrame.unionByName, between).distinct(), "near-rest")
+    if not rest.isEmpty():
+        judged = _judge(rest, whole, similarity)
+        compared += judged.count()
+        near.append(judged.where("kind = 2").select("x", "y"))
+    return near, compared
 
 
 def links(texts: DataFrame, vertices: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -151,15 +183,10 @@ def links(texts: DataFrame, vertices: DataFrame, similarity: float = SIMILARITY,
     owners = materialize(sets.select("key", "sid").distinct().join(vertices.select("key", "fp").distinct(), "key"), "near-owners")
     least = materialize(owners.groupBy("sid").agg(F.min("fp").alias("v")), "near-least")
     buckets = sets.where("bands IS NOT NULL").select("sid", F.explode("bands").alias("band"))
-    # Written before members meet them: of two plain tables Spark splits a band that very many sets share.
-    groups = materialize(buckets.groupBy("band").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("band", "lo"), "near-groups")
-    members = materialize(buckets.join(groups, "band").where("sid <> lo").select("band", F.col("lo").alias("x"), F.col("sid").alias("y")).distinct(), "near-members")
-    first = _judge(members.select("x", "y").distinct(), texts, owners, similarity, shingle)
-    # Whoever is not near the smallest of a bucket meets all others in it.
-    far = members.join(first.where("NOT near"), ["x", "y"]).select("band", F.col("y").alias("u"))
-    rest = far.join(members.select("band", F.col("y").alias("w")), "band").where("u <> w").select(F.least("u", "w").alias("x"), F.greatest("u", "w").alias("y")).distinct()
-    rest = materialize(rest.join(first, ["x", "y"], "left_anti"), "near-rest")
-    near = first.where("near") if rest.isEmpty() else first.where("near").unionByName(_judge(rest, texts, owners, similarity, shingle).where("near"))
+    groups = materialize(buckets.groupBy("band").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("band"), "near-groups")
+    members = materialize(buckets.join(groups, "band").select("band", "sid").distinct(), "near-members")
+    near, _ = compare(members, whole_sets(texts, owners, members.select("sid").distinct(), shingle), similarity)
+    near = functools.reduce(DataFrame.unionByName, near)
     found = near.join(least.select(F.col("sid").alias("x"), F.col("v").alias("a")), "x").join(least.select(F.col("sid").alias("y"), F.col("v").alias("b")), "y")
     same = owners.join(least, "sid").select(F.col("fp").alias("a"), F.col("v").alias("b"))
     return materialize(found.select("a", "b").unionByName(same).where("a <> b").distinct(), "near-links")
