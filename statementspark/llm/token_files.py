@@ -4,7 +4,7 @@
 documents), ``n_docs``, ``n_ids``, ``ids_crc32`` (of the block's ids as little-endian 32-bit integers) and ``data``. Spark
 writes the rows, so a lost task leaves no half file and any store that Spark reaches will do. ``data`` is
 
-    magic "SSK2" | u32 steps | u32 lanes | u32 ids | u32 documents | u32 bytes of document table | document table (zlib: doc
+    magic "SSK3" | u32 steps | u32 lanes | u32 ids | u32 documents | u32 bytes of document table | document table (zlib: doc
     ids as i64, one byte each for null, number of ids as u32) | u32 words in each lane | the lanes' 16-bit words
 
 **Model.** Every block starts from nothing and can be read without any other. Its ids are dealt to lanes of ``STEPS`` ids, as
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .tokens import END_ID, encoder, with_end
 
-MAGIC = b"SSK2"
+MAGIC = b"SSK3"
 #: Ids that a lane of a block holds, one after another.
 STEPS = 2048
 BLOCK_IDS = 1 << 21
@@ -50,7 +50,7 @@ DOCS = "part int, block int, doc_id long, before long, n_tokens long, ids_crc32
 U = np.uint64
 TOP, BOT, S16 = U(1) << U(48), U(1) << U(40), U(16)
 MIX_BITS = 17
-REFRESH = 8  # steps between two sums of the order-0 counts
+REFRESH, STALE = 8, 16  # steps between two sums of the order-0 counts: at least so many, and later this part of all steps so far
 WEIGH = 2  # steps between two looks at how often candidates were right
 GAIN = 24  # what one sighting adds to an order-0 count
 RATIO = 255  # the most that a candidate may weigh against order 0
@@ -70,7 +70,7 @@ class Model:
         #: Running sums of a block's counts, on top of all blocks before it: so one search serves all lanes.
         self.cum = np.zeros((n, alphabet + 1), np.int64)
         self.seen: list[np.ndarray] = []
-        self.step = 0
+        self.step, self.refresh = 0, 0
         self.last, self.before = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
         # A slot holds candidate << 3 | confidence.
         self.slots1, self.slots2 = np.zeros(n * alphabet, np.int32), np.zeros(n << MIX_BITS, np.int32)
@@ -79,7 +79,8 @@ class Model:
 
     def predict(self):
         """Candidates (-1: none), their spikes and the order-0 totals of all lanes."""
-        if self.step % REFRESH == 0:
+        if self.step == self.refresh:
+            self.refresh += max(REFRESH, self.step // STALE)
             if self.seen:
                 own = np.concatenate([x + self.at_id for x in self.seen])
                 self.count += GAIN * np.bincount(own, minlength=self.count.size).reshape(self.count.shape)
