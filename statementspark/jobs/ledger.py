@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.tables import small_table
 
@@ -177,6 +178,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back, as files that somebody else wrote: what follows plans from them alone."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def overrides(spark: SparkSession) -> DataFrame:
     return small_table(spark, OVERRIDES, "merchant_key string, category string")
 
@@ -235,17 +243,32 @@ UNION ALL SELECT source_file, CAST(seq * 3 + 1 AS INT), substr(description, 41)
 UNION ALL SELECT source_file, CAST(seq * 3 + 2 AS INT), 'Page 1 of account number 0001' FROM rows WHERE o_orderkey % 30 = 0"""
 
 
+#: Statements whose narrations hold line breaks, quotes and delimiters, all in quotes; ``part`` numbers what a line is broken into.
+_CUT = "substr(description, 1, 12) || chr(10) || substr(description, 13)"
+QUOTED = f"""
+SELECT source_file, CAST(0 AS BIGINT) AS n, 'Date;Narration;Withdrawal Amt.;Deposit Amt.;Closing Balance' AS record FROM {{ledger}} GROUP BY source_file
+UNION ALL SELECT source_file, seq, {_DD} || '/' || {_MM} || '/' || {_YYYY} || ';"' || CASE seq % 3 WHEN 0 THEN {_CUT} || chr(10) || chr(10) || '""x; y""' WHEN 1 THEN {_CUT} ELSE description END || '";' || {_money('debit')} || ';' || {_money('credit')} || ';"' || {_money('balance')} || '"' FROM {{ledger}}"""
+TORN = "SELECT source_file, CAST(1000000 AS BIGINT) AS n, 'x;y;\"torn' AS record FROM {ledger} WHERE account_id % 17 = 0 GROUP BY source_file"
+
+
+def quoted_lines(spark: SparkSession, sf_dir: str, torn: bool = False) -> DataFrame:
+    """The lines of such statements; with ``torn`` some end inside a quote."""
+    records = of_ledger(spark, sf_dir, QUOTED)
+    if torn:
+        records = records.unionByName(of_ledger(spark, sf_dir, TORN))
+    parts = records.select("source_file", "n", F.posexplode(F.split("record", "\n")).alias("part", "line"))
+    return stored(parts.select("source_file", (F.col("n") * 8 + F.col("part")).cast("int").alias("line_no"), "line"), "quoted-lines")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LINES, ledger=ledger(spark, sf_dir))
+    return stored(spark.sql(LINES, ledger=ledger(spark, sf_dir)), "lines")
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TEXT_LINES, ledger=ledger(spark, sf_dir))
+    return stored(spark.sql(TEXT_LINES, ledger=ledger(spark, sf_dir)), "text-lines")
 
 
 def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of all accounts, every second one printed as text."""
-    even = "source_file IN (SELECT DISTINCT source_file FROM {ledger} WHERE account_id % 2 = 0)"
-    as_text, as_cells = text_lines(spark, sf_dir), lines(spark, sf_dir)
-    pick = lambda rows, where: spark.sql(f"SELECT * FROM {{rows}} WHERE {where}", rows=rows, ledger=ledger(spark, sf_dir))
-    return pick(as_text, even).unionByName(pick(as_cells, f"NOT ({even})"))
+    even = F.substring("source_file", 6, 20).cast("long") % 2 == 0  # files are named by account
+    return text_lines(spark, sf_dir).where(even).unionByName(lines(spark, sf_dir).where(~even))

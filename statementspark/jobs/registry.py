@@ -553,6 +553,28 @@ def ingest_errors(spark, sf_dir):
     return errors.select("kind", "source_file")
 
 
+_BROKEN_UP = "CASE seq % 3 WHEN 0 THEN substr(description, 1, 12) || ' ' || substr(description, 13) || ' \"x; y\"' WHEN 1 THEN substr(description, 1, 12) || ' ' || substr(description, 13) ELSE description END"
+
+
+@query(f"{BASE} SELECT source_file, seq, date, trim(regexp_replace({_BROKEN_UP}, '\\s+', ' ', 'g')) AS description, debit, credit, balance FROM ledger")
+def ingest_quoted(spark, sf_dir):
+    """Statements whose narrations hold line breaks, quotes and delimiters."""
+    rows, _ = statements.ingest_lines(L.quoted_lines(spark, sf_dir))
+    return rows.select("source_file", "seq", "date", "description", "debit", "credit", "balance")
+
+
+@query(f"{BASE} SELECT DISTINCT 'quotes' AS kind, source_file, 'a quote that is never closed' AS message FROM ledger WHERE account_id % 17 = 0")
+def ingest_quoted_errors(spark, sf_dir):
+    """The same with some files that end inside a quote."""
+    return statements.ingest_lines(L.quoted_lines(spark, sf_dir, torn=True))[1]
+
+
+@query(f"{BASE}, q AS ({L.QUOTED.replace('{{ledger}}', 'ledger').replace('{ledger}', 'ledger')}) SELECT source_file, CAST(n * 8 AS INT) AS line_no, record AS line FROM q")
+def assemble_records(spark, sf_dir):
+    """Their lines put together again."""
+    return statements.assemble_records(L.quoted_lines(spark, sf_dir)).drop("torn")
+
+
 _WRAPPED = "CASE WHEN length(description) > 44 THEN substr(description, 1, 40) || ' ' || substr(description, 41) ELSE substr(description, 1, 40) END"
 _TEXT = _SQUEEZED.replace("description", _WRAPPED)
 _HIGH = "(CAST(round(balance * 100) AS BIGINT) + 5000000000) / 100.0"

@@ -77,7 +77,7 @@ def by_month(df: DataFrame, include_transfers: bool = False, top_n: int = 7, key
     lists = lists.withColumn("__cells", F.transform("__cells", lambda x: F.struct(x["month"].alias("month"), F.when(F.array_contains("__top", x["category"]), x["category"]).otherwise("Other").alias("bucket"), x["debit"].alias("debit"))))
     grid = lists.select(*keys, "__cells", F.explode(F.array_distinct(F.transform("__cells", lambda x: x["month"]))).alias("month"))
     buckets = F.array_distinct(F.transform("__cells", lambda x: x["bucket"]))
-    grid = grid.select(*keys, "month", F.filter("__cells", lambda x: x["month"] == F.col("month")).alias("__here"), F.explode(buckets).alias("bucket"))
+    grid = grid.select(*keys, "month", F.filter("__cells", lambda x: x["month"].eqNullSafe(F.col("month"))).alias("__here"), F.explode(buckets).alias("bucket"))
     return grid.select(*keys, "month", "bucket", total(F.filter("__here", lambda x: x["bucket"] == F.col("bucket"))).alias("amount"))
 
 
