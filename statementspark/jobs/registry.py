@@ -383,6 +383,20 @@ def detect_recurring(spark, sf_dir):
     return I.detect_recurring(L.recurring(spark, sf_dir), keys=ACCOUNT)
 
 
+def _shared_plans(spark, sf_dir):
+    return L.recurring(spark, sf_dir).withColumns({"merchant_key": F.concat(F.lit("plan "), (F.col("account_id") % 8).cast("string")), "merchant": F.lit("Plan")})
+
+
+@query(
+    f"{RECURRING}, s AS (SELECT 'plan ' || CAST(account_id % 8 AS VARCHAR) AS merchant_key, date, debit FROM recur WHERE debit > 0 AND category <> 'Cash Withdrawal'), g AS (SELECT *, date - lag(date) OVER (PARTITION BY merchant_key ORDER BY date) AS gap FROM s)"
+    " SELECT merchant_key, round(median(debit), 4) AS amount, round(median(gap), 4) AS gap, count(*) AS occurrences, round(sum(debit), 2) AS total, max(date) AS last_paid FROM g GROUP BY 1"
+)
+def recurring_counts(spark, sf_dir):
+    """All accounts as one ledger with eight merchants, each an eighth of all rows: exact medians from counts."""
+    out = I.recurring_counts(_shared_plans(spark, sf_dir))
+    return out.select("merchant_key", F.round("m", 4).alias("amount"), F.round("g", 4).alias("gap"), "occurrences", "total", "last_paid")
+
+
 _FACTOR = "CASE cadence " + " ".join(f"WHEN '{c}' THEN {x}" for c, x in fixed.PER_MONTH.items()) + " END"
 _NOT = O._in(fixed.NOT_SPENDING)
 
@@ -488,6 +502,35 @@ def direction_from_balance(spark, sf_dir):
     return proof.direction_from_balance(L.broken(spark, sf_dir)).select("o_orderkey", "debit", "credit")
 
 
+#: All accounts as one ledger in the order of their numbers, dealt out in segments.
+_ONE = f"{_BROKEN}, one AS (SELECT * REPLACE ('all' AS source_file, CAST(o_orderkey + 1 AS BIGINT) AS seq) FROM broken)"
+SEGMENT = 512
+
+
+def _one_ledger(spark, sf_dir):
+    return L.broken(spark, sf_dir).withColumns({"source_file": F.lit("all"), "seq": (F.col("o_orderkey") + 1).cast("long")})
+
+
+@query(f"{_ONE}, p AS (SELECT *, lag(balance) OVER w AS b, CAST(row_number() OVER w - 1 AS INT) AS row_no FROM one WINDOW w AS (ORDER BY seq)) SELECT o_orderkey, row_no, CASE WHEN row_no = 0 THEN balance IS NOT NULL ELSE coalesce(abs((balance - b) - (credit - debit)) <= 0.02, true) END AS reconciled FROM p")
+def reconcile_one_ledger(spark, sf_dir):
+    return proof.reconcile(_one_ledger(spark, sf_dir), segment=SEGMENT).select("o_orderkey", "row_no", "reconciled")
+
+
+@query(
+    f"{_ONE}, p AS (SELECT *, last_value(balance IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, debit + credit AS a FROM one),"
+    " k AS (SELECT *, ambiguous AND balance IS NOT NULL AND p IS NOT NULL AS known, CASE WHEN abs(balance - p + a) <= 0.02 THEN true WHEN abs(balance - p - a) <= 0.02 THEN false ELSE balance - p < 0 END AS out FROM p)"
+    " SELECT o_orderkey, CASE WHEN known THEN CASE WHEN out THEN a ELSE 0 END ELSE debit END AS debit, CASE WHEN known THEN CASE WHEN out THEN 0 ELSE a END ELSE credit END AS credit FROM k"
+)
+def direction_one_ledger(spark, sf_dir):
+    return proof.direction_from_balance(_one_ledger(spark, sf_dir), segment=SEGMENT).select("o_orderkey", "debit", "credit")
+
+
+@query(f"{_ONE}, s AS (SELECT *, date - lag(date) OVER (ORDER BY seq) AS s FROM one), c AS (SELECT count(*) AS n, count(*) FILTER (s < 0) AS back, count(*) FILTER (s > 0) AS ahead FROM s) SELECT o_orderkey, CAST(CASE WHEN n >= 3 AND back > ahead THEN n + 1 - seq ELSE seq END AS BIGINT) AS seq FROM s, c")
+def chronological_one_ledger(spark, sf_dir):
+    rows = _one_ledger(spark, sf_dir).withColumnRenamed("seq", "line_no")
+    return proof.ensure_chronological(rows, segment=SEGMENT).select("o_orderkey", "seq")
+
+
 @query(f"{BASE}, c AS (SELECT account_id, count(*) AS n, count(*) FILTER (s < 0) AS back, count(*) FILTER (s > 0) AS ahead FROM (SELECT account_id, date - lag(date) OVER (PARTITION BY account_id ORDER BY CASE WHEN account_id % 5 = 0 THEN -seq ELSE seq END) AS s FROM ledger) GROUP BY 1) SELECT o_orderkey, CASE WHEN (account_id % 5 = 0) = (n >= 3 AND back > ahead) THEN seq ELSE n + 1 - seq END AS seq FROM ledger JOIN c USING (account_id)")
 def ensure_chronological(spark, sf_dir):
     rows = L.ledger(spark, sf_dir).withColumn("line_no", F.when(F.col("account_id") % 5 == 0, -F.col("seq")).otherwise(F.col("seq"))).drop("seq")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,13 +199,15 @@ def payment_gaps(df: DataFrame, keys: tuple = ()) -> DataFrame:
     return rows.withColumn("gap", F.datediff("date", F.lag("date").over(Window.partitionBy(*keys, "merchant_key", "merchant").orderBy("date"))))
 
 
-def detect_recurring(df: DataFrame, min_occurrences: int = 3, amount_tolerance: float = 0.15, keys: tuple = ()) -> DataFrame:
-    """Merchants paid often, in like amounts and at like gaps. The window and the aggregate share one exchange.
+def detect_recurring(df: DataFrame, min_occurrences: int = 3, amount_tolerance: float = 0.15, keys: tuple = (), by_counts: bool | None = None) -> DataFrame:
+    """Merchants paid often, in like amounts and at like gaps.
 
-    Medians are exact, so a group's amounts meet in one task: with ``keys`` that is one account's payments to a merchant.
+    Medians are exact. With ``keys`` a group is one account's payments to a merchant, which meet in one task: the window and the
+    aggregate share one exchange. Without, a merchant may hold any part of all rows, and everything comes from counts
+    (:func:`recurring_counts`, the default there, or as ``by_counts`` says); the result is the same.
     """
     group = [*keys, "merchant_key", "merchant"]
-    out = payment_gaps(df, keys).groupBy(*group).agg(
+    out = recurring_counts(df, keys) if (not keys if by_counts is None else by_counts) else payment_gaps(df, keys).groupBy(*group).agg(
         F.count(F.lit(1)).alias("occurrences"), F.percentile("debit", F.lit(0.5)).alias("m"), F.min("debit").alias("lo"), F.max("debit").alias("hi"),
         F.percentile("gap", F.lit(0.5)).alias("g"), F.min("gap").alias("g0"), F.max("gap").alias("g1"), F.round(F.sum("debit"), 2).alias("total"),
         F.max("date").alias("last_paid"), F.mode("category", True).alias("category"),
@@ -219,6 +223,55 @@ def detect_recurring(df: DataFrame, min_occurrences: int = 3, amount_tolerance:
     return out.select(*group, "category", F.round("m", 2).alias("typical_amount"), "cadence", "occurrences", "total", "last_paid", next_.alias("next_expected"))
 
 
+def _bin(value: str) -> Column:
+    """A bin of a value of zero or more: 64 to each doubling, so an account's values fall into some hundreds."""
+    return F.when(F.col(value) > 0, F.floor(F.log2(value) * 64)).otherwise(F.lit(-1_000_000).cast("long"))
+
+
+def exact_median(counts: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, median) from (group, value, n): how often each value of zero or more stands there; as ``percentile(value, 0.5)`` gives it.
+
+    A histogram finds the bins that hold the two middle ranks, then the values of those bins alone are counted through. No task
+    sees a whole group: of its rows only counts of values move, and those of one or two bins are ordered.
+    """
+    coarse = counts.groupBy(*group, _bin(value).alias("__bin")).agg(F.sum("n").alias("n"))
+    by = Window.partitionBy(*group)
+    upto = F.sum("n").over(by.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0))
+    coarse = coarse.withColumns({"__all": F.sum("n").over(by), "__before": upto - F.col("n")})
+    low, high = F.floor((F.col("__all") - 1) / 2), F.ceil((F.col("__all") - 1) / 2)
+    holds = lambda rank: (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("n"))
+    middle = coarse.where(holds(low) | holds(high)).select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__bin").alias("__b"), "__before", "__all")
+    near = counts.withColumn("__bin", _bin(value)).join(middle, functools.reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group] + [F.col("__bin") == F.col("__b")]))
+    place = F.col("__before") + F.sum("n").over(Window.partitionBy(*group, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    near = near.withColumn("__before", place)
+    return near.groupBy(*group).agg(((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias("median"))
+
+
+def recurring_counts(df: DataFrame, keys: tuple = ()) -> DataFrame:
+    """What :func:`detect_recurring` judges, for ledgers where one merchant may have a third of all rows.
+
+    Rows are counted by amount, by day and by category before they move. Gaps follow from days: one to the day before with a
+    payment, and zeros for all but one payment of a day.
+    """
+    group = [*keys, "merchant_key", "merchant"]
+    rows = df.where((F.coalesce("debit", F.lit(0.0)) > 0) & (F.col("category") != "Cash Withdrawal"))
+    count = F.count(F.lit(1)).alias("n")
+    amounts = rows.groupBy(*group, "debit").agg(count)
+    days = rows.where("date IS NOT NULL").groupBy(*group, "date").agg(count)
+    days = days.withColumn("gap", F.datediff("date", F.lag("date").over(Window.partitionBy(*group).orderBy("date"))).cast("double"))
+    gaps = days.select(*group, F.explode(F.array(F.struct("gap", F.lit(1).cast("long").alias("n")), F.struct(F.lit(0.0).alias("gap"), (F.col("n") - 1).alias("n")))).alias("g"))
+    gaps = gaps.select(*group, "g.*").where("gap IS NOT NULL AND n > 0").groupBy(*group, "gap").agg(F.sum("n").alias("n"))
+    by_amount = amounts.groupBy(*group).agg(F.sum("n").alias("occurrences"), F.min("debit").alias("lo"), F.max("debit").alias("hi"), F.round(F.sum(F.col("debit") * F.col("n")), 2).alias("total"))
+    by_gap = gaps.groupBy(*group).agg(F.min("gap").alias("g0"), F.max("gap").alias("g1"))
+    by_day = rows.groupBy(*group).agg(F.max("date").alias("last_paid"))
+    common = rows.groupBy(*group, "category").agg(count).groupBy(*group).agg(F.min_by("category", F.struct((-F.col("n")).alias("o"), "category")).alias("category"))
+    out = by_amount
+    for part in (exact_median(amounts, group, "debit").withColumnRenamed("median", "m"), by_gap, exact_median(gaps, group, "gap").withColumnRenamed("median", "g"), by_day, common):
+        part = part.select(*[F.col(c).alias(f"__{c}") if c in group else F.col(c) for c in part.columns])
+        out = out.join(part, functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]), "left").drop(*[f"__{c}" for c in group])
+    return out
+
+
 def recurring_run_rate(recurring: DataFrame, keys: tuple = ()) -> DataFrame:
     """What recurring payments cost in a month and a year; those that are not spending are counted as committed."""
     factor = F.expr("CASE cadence " + " ".join(f"WHEN '{c}' THEN {x}D" if "/" not in x else f"WHEN '{c}' THEN {x.split('/')[0]}D / {x.split('/')[1]}D" for c, x in fixed.PER_MONTH.items()) + " END")

@@ -1,11 +1,13 @@
 """Proving transactions against the running balance: order, direction, reconciliation, reports, combining files.
 
-All windows are of one file, and all partition by ``file_keys``, so one exchange serves them.
+All windows are of one file, and all partition by ``file_keys``, so one exchange serves them. A ledger too long for one task is read in
+segments: with ``segment`` rows are dealt out by file and place, so many to a task, each segment's last row, last known value and counts are
+one row of a small table, and what lies before a segment is a window over that table alone. The results are the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -14,15 +16,58 @@ SAME = ("date", "description", "debit", "credit", "balance")
 FILE = ("source_file",)
 
 
-def ensure_chronological(df: DataFrame, line: str = "line_no", file_keys: tuple = FILE) -> DataFrame:
+def _with_before(df: DataFrame, file_keys: tuple, order: str, segment: int, columns: tuple[str, ...]) -> DataFrame:
+    """``df`` with ``__seg``; ``__rows``, how many rows lie before the segment; and of each column ``__last_c``, its value in the row right
+    before the segment, and ``__known_c``, the last one before it that is not null."""
+    rows = df.withColumn("__seg", F.floor(F.col(order) / segment))
+    keys = (*file_keys, "__seg")
+    small = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max_by(F.struct(*columns), order).alias("last"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"known_{c}") for c in columns]
+    )
+    by = Window.partitionBy(*file_keys).orderBy("__seg")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__rows"), F.lag("last").over(by).alias("__l")]
+    small = small.select(*keys, *carried, *[F.last(f"known_{c}", True).over(before).alias(f"__known_{c}") for c in columns])
+    small = small.select("*", *[F.col("__l")[c].alias(f"__last_{c}") for c in columns]).drop("__l")
+    return rows.join(small, list(keys))
+
+
+def _lag(name: str, file_keys: tuple, order: str, segment: int | None) -> Column:
+    """The value in the row before, also where that is in the segment before."""
+    if not segment:
+        return F.lag(name).over(Window.partitionBy(*file_keys).orderBy(order))
+    by = Window.partitionBy(*file_keys, "__seg").orderBy(order)
+    return F.when(F.row_number().over(by) == 1, F.col(f"__last_{name}")).otherwise(F.lag(name).over(by))
+
+
+def _place(file_keys: tuple, order: str, segment: int | None) -> Column:
+    """The number of a row in its file, from 1."""
+    if not segment:
+        return F.row_number().over(Window.partitionBy(*file_keys).orderBy(order))
+    return (F.row_number().over(Window.partitionBy(*file_keys, "__seg").orderBy(order)) + F.col("__rows")).cast("int")
+
+
+def _clean(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(("__seg", "__rows", "__last_", "__known_"))])
+
+
+def ensure_chronological(df: DataFrame, line: str = "line_no", file_keys: tuple = FILE, segment: int | None = None) -> DataFrame:
     """``seq`` from the order of lines, reversed for a file that runs from newest to oldest. No sort by date."""
-    by_file = Window.partitionBy(*file_keys)
-    step = F.datediff("date", F.lag("date").over(by_file.orderBy(line)))
-    rows = df.withColumns({"__step": step, "__n": F.row_number().over(by_file.orderBy(line))})
-    rows = rows.withColumns({"__back": F.count_if(F.col("__step") < 0).over(by_file), "__ahead": F.count_if(F.col("__step") > 0).over(by_file), "__all": F.count(F.lit(1)).over(by_file)})
+    rows = _with_before(df, file_keys, line, segment, ("date",)) if segment else df
+    rows = rows.withColumns({"__step": F.datediff("date", _lag("date", file_keys, line, segment)), "__n": _place(file_keys, line, segment)})
+    counts = {"__back": F.count_if(F.col("__step") < 0), "__ahead": F.count_if(F.col("__step") > 0), "__all": F.count(F.lit(1))}
+    if segment:
+        # One row a file, from partial sums; which of the two plans joins it is the planner's choice.
+        totals = rows.groupBy(*[F.col(k).alias(f"__t_{k}") for k in file_keys], F.lit(1).alias("__one")).agg(*[c.alias(n) for n, c in counts.items()])
+        same = F.lit(1) == F.col("__one")
+        for k in file_keys:
+            same = same & (F.col(k) == F.col(f"__t_{k}"))
+        rows = rows.join(totals, same).drop("__one", *[f"__t_{k}" for k in file_keys])
+    else:
+        rows = rows.withColumns({n: c.over(Window.partitionBy(*file_keys)) for n, c in counts.items()})
     turned = (F.col("__all") >= 3) & (F.col("__back") > F.col("__ahead"))
     rows = rows.withColumn("seq", F.when(turned, F.col("__all") + 1 - F.col("__n")).otherwise(F.col("__n")).cast("long"))
-    return rows.drop("__step", "__n", "__back", "__ahead", "__all")
+    return _clean(rows.drop("__step", "__n", "__back", "__ahead", "__all"))
 
 
 def drop_non_transactions(df: DataFrame) -> DataFrame:
@@ -38,14 +83,13 @@ def finalize(df: DataFrame, file_keys: tuple = FILE, order: tuple = ("seq",)) ->
     return rows.withColumn("__n", first).where("__n = 1").drop("__n")
 
 
-def reconcile(df: DataFrame, file_keys: tuple = FILE) -> DataFrame:
+def reconcile(df: DataFrame, file_keys: tuple = FILE, segment: int | None = None) -> DataFrame:
     """``reconciled``: whether the balance moved, from the row right before, by credit less debit."""
-    before = F.lag("balance").over(Window.partitionBy(*file_keys).orderBy("seq"))
-    number = F.row_number().over(Window.partitionBy(*file_keys).orderBy("seq"))
+    rows = _with_before(df, file_keys, "seq", segment, ("balance",)) if segment else df
     gap = F.abs((F.col("balance") - F.col("__b")) - (F.coalesce("credit", F.lit(0.0)) - F.coalesce("debit", F.lit(0.0))))
-    rows = df.withColumns({"__b": before, "__i": number})
+    rows = rows.withColumns({"__b": _lag("balance", file_keys, "seq", segment), "__i": _place(file_keys, "seq", segment)})
     good = F.when(F.col("__i") == 1, F.col("balance").isNotNull()).otherwise(F.coalesce(gap <= fixed.TOLERANCE, F.lit(True)))
-    return rows.withColumns({"reconciled": good, "row_no": F.col("__i") - 1}).drop("__b", "__i")
+    return _clean(rows.withColumns({"reconciled": good, "row_no": F.col("__i") - 1}).drop("__b", "__i"))
 
 
 def parse_report(df: DataFrame, file_keys: tuple = FILE) -> DataFrame:
@@ -78,15 +122,17 @@ def pick_best_parse(reports: DataFrame, file_keys: tuple = FILE, least: int = 2)
     return reports.where(F.col("rows_total") >= least).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
-def direction_from_balance(df: DataFrame, file_keys: tuple = FILE) -> DataFrame:
+def direction_from_balance(df: DataFrame, file_keys: tuple = FILE, segment: int | None = None) -> DataFrame:
     """Debit and credit of ``ambiguous`` rows from the move since the last known balance."""
-    rows = df.withColumns({"__p": F.last("balance", True).over(Window.partitionBy(*file_keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), "__a": F.coalesce("debit", F.lit(0.0)) + F.coalesce("credit", F.lit(0.0))})
+    rows = _with_before(df, file_keys, "seq", segment, ("balance",)) if segment else df
+    known = F.last("balance", True).over(Window.partitionBy(*file_keys, *(("__seg",) if segment else ())).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"__p": F.coalesce(known, "__known_balance") if segment else known, "__a": F.coalesce("debit", F.lit(0.0)) + F.coalesce("credit", F.lit(0.0))})
     delta = F.col("balance") - F.col("__p")
     known = F.col("ambiguous") & delta.isNotNull()
     out = (F.abs(delta + F.col("__a")) <= fixed.TOLERANCE) | ((F.abs(delta - F.col("__a")) > fixed.TOLERANCE) & (delta < 0))
     debit = F.when(known, F.when(out, F.col("__a")).otherwise(0.0)).otherwise(F.col("debit"))
     credit = F.when(known, F.when(out, 0.0).otherwise(F.col("__a"))).otherwise(F.col("credit"))
-    return rows.withColumns({"__d": debit, "__c": credit}).withColumns({"debit": F.col("__d"), "credit": F.col("__c")}).drop("__p", "__a", "__d", "__c")
+    return _clean(rows.withColumns({"__d": debit, "__c": credit}).withColumns({"debit": F.col("__d"), "credit": F.col("__c")}).drop("__p", "__a", "__d", "__c"))
 
 
 def combine(df: DataFrame, keys: tuple = (), order: tuple = ("source_file", "seq")) -> DataFrame:

@@ -5,11 +5,12 @@ import csv
 import datetime as dt
 import io
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from statementspark.operators import insights
+from statementspark.operators import insights, proof
 from statementspark.sources import statements
 
 LINE = "source_file string, line_no int, line string"
@@ -112,3 +113,44 @@ def test_daily_and_by_month_against_plain_python(spark, keys):
         assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
         assert made.where("false").count() == 0
     assert insights.daily(df.where("false"), keys=keys).count() == insights.by_month(df.where("false"), keys=keys).count() == 0
+
+
+PAID = "merchant_key string, merchant string, date date, debit double, credit double, category string"
+
+
+def test_medians_from_counts_are_those_of_the_rows(spark):
+    rng = random.Random(6)
+    start = dt.date(2023, 1, 1)
+    rows = []
+    for m in range(40):
+        step, amount = rng.choice([7, 14, 30, 91, 45]), rng.choice([5.0, 99.9, 1e6])
+        for k in range(rng.randint(1, 12)):
+            rows.append((f"m{m}", "M" if m % 7 else None, start + dt.timedelta(k * step + rng.randint(-1, 1)), round(amount * rng.choice([1, 1, 1.05, 0.95]), 2), 0.0, rng.choice(["Travel", "Insurance"])))
+    rows += [("hot", "H", start + dt.timedelta(30 * (k % 12)), 10.0 + k % 3, 0.0, "Travel") for k in range(3000)] + [("none", "N", None, 3.0, 0.0, "Travel")] * 3
+    df = spark.createDataFrame(rows, PAID)
+    plain, counted = (insights.detect_recurring(df, by_counts=x) for x in (False, True))
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, counted.collect()), key=repr) and plain.count() > 5
+    assert insights.detect_recurring(df.where("false"), by_counts=True).count() == 0
+    values = {g: [rng.choice([0.0, 0.5, 3.0, 1e9, rng.random()]) for _ in range(n)] for g, n in (("a", 1), ("b", 2), ("c", 101), ("d", 1000))}
+    counts = spark.createDataFrame([(g, v, n) for g, vs in values.items() for v, n in collections.Counter(vs).items()], "g string, v double, n long")
+    assert {r.g: r["median"] for r in insights.exact_median(counts, ["g"], "v").collect()} == {g: statistics.median(vs) for g, vs in values.items()}
+
+
+@pytest.mark.parametrize("segment", [1, 3, 1000])
+def test_segments_of_a_ledger_are_the_whole(spark, segment):
+    rng = random.Random(segment)
+    rows, files = [], [("a", 40), ("b", 1), ("c", 3), ("d", 0), ("e", 200)]
+    for f, n in files:
+        balance, day = 100.0, dt.date(2024, 1, 1)
+        for seq in range(1, n + 1):
+            debit = rng.choice([0.0, 5.0, 7.5])
+            credit = 0.0 if debit else 4.0
+            balance += credit - debit + rng.choice([0, 0, 0, 1])
+            day += dt.timedelta(rng.choice([0, 1, -1, -1]))
+            rows.append((f, seq, day, "x", debit, credit, None if rng.random() < 0.2 else balance, rng.random() < 0.5))
+    df = spark.createDataFrame(rows, "source_file string, seq long, date date, description string, debit double, credit double, balance double, ambiguous boolean").repartition(5)
+    whole = lambda d: sorted(map(tuple, d.select(sorted(d.columns)).collect()), key=repr)
+    for f in (proof.reconcile, proof.direction_from_balance):
+        assert whole(f(df, segment=segment)) == whole(f(df))
+    lines = df.withColumnRenamed("seq", "line_no")
+    assert whole(proof.ensure_chronological(lines, segment=segment)) == whole(proof.ensure_chronological(lines))
