@@ -75,9 +75,6 @@ TRAILING_DATE = r"\s+(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})\s*$"
 # Date formats in the order of preference, as Spark writes them.
 DATE_FORMATS = ["d/M/yyyy", "d-M-yyyy", "d/M/yy", "d-M-yy", "d-MMM-yyyy", "d MMM yyyy", "d-MMM-yy", "d MMM yy", "d/MMM/yyyy", "yyyy-M-d", "d.M.yyyy", "d.M.yy"]
 
-#: Formats of our own that are tried row by row where no one format fits most of a file, after those above; day first.
-LOOSE_FORMATS = ["d MMMM yyyy", "d MMMM, yyyy", "d-MMMM-yyyy", "d MMM, yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "d/MMM/yy", "yyyy-MMM-d"]
-
 # Categories, Uncategorised last.
 CATEGORIES = [
     "Food & Dining", "Groceries", "Transport & Fuel", "Shopping", "Bills & Utilities", "Rent & Housing", "Health & Medical",

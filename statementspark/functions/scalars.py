@@ -48,6 +48,44 @@ def parse_date(text: Column, fmt: str) -> Column:
     return F.when(F.year(found) >= 2069, F.add_months(found, -1200)).otherwise(found) if short else found
 
 
+MONTHS = "january february march april may june july august september october november december".split()
+_NO_WORDS = "^(mon|tues?|wed(nes)?|thu(rs?)?|fri|sat(ur)?|sun)(day)?$|^(of|the|on)$"
+
+
+def loose_date(text: Column) -> Column:
+    """A date of any common shape, by what its parts are, or null.
+
+    Parts are runs of digits or letters; names of weekdays and endings of ordinals say nothing. A part of four digits is the year, a
+    name of three letters or more, or its whole, is the month. Three parts are needed, or one of eight digits. With the year in front, month
+    and day follow. Else the day is before the month, unless only the other way can be: a second part over 12 is a day. A year of
+    two digits stands last, and is of the last century from 69 on.
+    """
+    clean = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"(?:[ ,]+|(?<=\d)t)\d{1,2}:\d{2}.*$", ""), r"(\d)(st|nd|rd|th)\b", "$1")
+    parts = F.filter(F.regexp_extract_all(clean, F.lit(r"(\d+|[a-z]+)"), F.lit(1)), lambda p: ~p.rlike(_NO_WORDS))
+    month = lambda p: F.array_position(F.transform(F.array(*map(F.lit, MONTHS)), lambda m: (F.length(p) >= 3) & m.startswith(p)), True).cast("int")
+    number = lambda p: p.try_cast("int")
+
+    def date(year: Column, month_: Column, day: Column, digits: Column) -> Column:
+        full = F.when(digits == 4, year).when((digits == 2) & (year >= 69), year + 1900).when(digits == 2, year + 2000)
+        return F.try_to_date(F.format_string("%04d-%02d-%02d", full, month_, day), "yyyy-MM-dd")
+
+    def of_three(p: Column) -> Column:
+        a, b, c = (F.get(p, F.lit(k)) for k in range(3))
+        x, y, z = number(a), number(b), number(c)
+        first = F.length(a) == 4
+        turned = (y > 12) & (x <= 12)
+        named = F.when(month(b) > 0, F.when(first, date(x, month(b), z, F.length(a))).otherwise(date(z, month(b), x, F.length(c))))
+        named = named.when(month(a) > 0, F.when(F.length(b) == 4, date(y, month(a), z, F.length(b))).otherwise(date(z, month(a), y, F.length(c)))).when(month(c) > 0, F.when(first, date(x, month(c), y, F.length(a))))
+        plain = F.when(first, F.when((y > 12) & (z <= 12), date(x, z, y, F.length(a))).otherwise(date(x, y, z, F.length(a))))
+        plain = plain.otherwise(F.when(turned, date(z, x, y, F.length(c))).otherwise(date(z, y, x, F.length(c))))
+        return F.when(F.array_join(p, "").rlike("[a-z]"), named).otherwise(plain)
+
+    def of_one(p: Column) -> Column:
+        return F.when(p.rlike(r"^(19|20)\d{6}$"), F.try_to_date(p, "yyyyMMdd")).when(p.rlike(r"^\d{8}$"), F.try_to_date(p, "ddMMyyyy"))
+
+    return let(parts, lambda p: F.when(F.size(p) == 3, of_three(p)).when(F.size(p) == 1, of_one(F.get(p, F.lit(0)))))
+
+
 def without_references(col: Column) -> Column:
     """A narration with zeros for its long numbers, but for those of a payment address: what names its merchant is left."""
     return F.when(col.rlike("[0-9]{12}"), F.regexp_replace(col, fixed.LONG_NUMBER + r"(?![\w.\-]*@)", "0" * 12)).otherwise(col)

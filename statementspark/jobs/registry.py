@@ -713,17 +713,23 @@ def assemble_transactions(spark, sf_dir):
     return statements.assemble_transactions(*_body(spark, sf_dir)).where("date IS NOT NULL")
 
 
-_LONG_MONTH = "CASE o_orderkey % 4 WHEN 0 THEN strftime(date, '%-d %B %Y') WHEN 1 THEN strftime(date, '%Y/%m/%d') WHEN 2 THEN strftime(date, '%B %-d, %Y') ELSE strftime(date, '%d.%m.%Y') END"
+_SHOWN = [
+    ("d MMMM yyyy", "%-d %B %Y"), ("yyyy/MM/dd", "%Y/%m/%d"), ("MMMM d, yyyy", "%B %-d, %Y"), ("dd.MM.yyyy", "%d.%m.%Y"), ("yyyyMMdd", "%Y%m%d"), ("EEE, dd MMM yyyy", "%a, %d %b %Y"),
+    ("MMM-dd-yyyy", "%b-%d-%Y"), ("d'th of' MMMM yyyy", "%-dth of %B %Y"), ("yyyy-MMM-d", "%Y-%b-%-d"), ("d MMM yy", "%-d %b %y"), ("MM/dd/yyyy", "%m/%d/%Y"),
+]
+_LONG_MONTH = f"CASE o_orderkey % {len(_SHOWN)} " + " ".join(f"WHEN {k} THEN strftime(date, {q(f)})" for k, (_, f) in enumerate(_SHOWN)) + " END"
+#: The last shape has the month first, which only a day over 12 tells: others are read day first.
+_READ = f"CASE WHEN o_orderkey % {len(_SHOWN)} = {len(_SHOWN) - 1} AND day(date) <= 12 THEN make_date(year(date), day(date), month(date)) ELSE date END"
 
 
-@query(f"{BASE} SELECT o_orderkey, {_LONG_MONTH} AS date_text, date FROM ledger")
+@query(f"{BASE} SELECT o_orderkey, {_LONG_MONTH} AS date_text, {_READ} AS date FROM ledger")
 def parse_loose_dates(spark, sf_dir):
-    """One file in which every row has a format of its own."""
-    shown = lambda f: F.date_format("date", f)
-    k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, shown("d MMMM yyyy")).when(k == 1, shown("yyyy/MM/dd")).when(k == 2, shown("MMMM d, yyyy")).otherwise(shown("dd.MM.yyyy"))
-    rows = L.ledger(spark, sf_dir).select("o_orderkey", "source_file", text.alias("date_text"), F.pmod(F.hash("o_orderkey"), F.lit(64)).alias("part"))
-    # Dealt to files of its own by the order's number, so that each holds all four formats.
+    """Files in which every row has a shape of its own."""
+    text = F.lit(None).cast("string")
+    for k, (shape, _) in enumerate(_SHOWN):
+        text = F.when(F.col("o_orderkey") % len(_SHOWN) == k, F.date_format("date", shape)).otherwise(text)
+    rows = L.ledger(spark, sf_dir).select("o_orderkey", "source_file", text.alias("date_text"), F.pmod(F.hash("o_orderkey"), F.lit(16)).alias("part"))
+    # Dealt to files of its own by the order's number, so that each holds all shapes.
     return statements.parse_dates(rows, file_keys=("part",)).select("o_orderkey", "date_text", "date")
 
 

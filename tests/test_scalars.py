@@ -72,3 +72,16 @@ def test_rules_rank_longest_first_and_refuse_unknown_categories():
     with pytest.raises(ValueError):
         rules.rows({"Nothing": "a"})
     assert fixed.CATEGORIES[-1] == fixed.UNCATEGORISED
+
+
+LOOSE = {
+    "5/6/2024": "2024-06-05", "5/13/2024": "2024-05-13", "13/5/2024": "2024-05-13", "13/13/2024": None, "31/04/2024": None, "2024/5/6": "2024-05-06", "2024/13/6": "2024-06-13", "2024.05.06": "2024-05-06",
+    "20240506": "2024-05-06", "06052024": "2024-05-06", "6 May 2024": "2024-05-06", "May 6, 2024": "2024-05-06", "6th of May, 2024": "2024-05-06", "Mon, 6 May 2024": "2024-05-06", "Thursday 2 May 2024": "2024-05-02",
+    "6-may-24": "2024-05-06", "6 Sept 69": "1969-09-06", "May 2024 6": "2024-05-06", "2024-May-6": "2024-05-06", "2024 6 May": "2024-05-06", "6 Mayo 2024": None, "May 2024": None, "6/5": None, "1 2 3 4": None, "": None, None: None,
+    "2024-05-06T10:11:12Z": "2024-05-06", "5 August 2024 10:30 AM": "2024-08-05", "5 Augu 2024": "2024-08-05", "5 ma 2024": None, "99/99/99": None, "1/1/123": None, "29 Feb 2023": None, "29 Feb 2024": "2024-02-29", "3\xa0May\xa02024": "2024-05-03",
+}
+
+
+def test_loose_dates(spark):
+    df = spark.createDataFrame([(k,) for k in LOOSE], "t string").select("t", scalars.loose_date(F.col("t")).cast("string").alias("d"))
+    assert {r.t: r.d for r in df.collect()} == LOOSE
