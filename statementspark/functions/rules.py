@@ -54,25 +54,42 @@ def load_rules(spark: SparkSession, table: dict[str, str] | None = None) -> Data
     return small_table(spark, rows(RULES if table is None else table), SCHEMA)
 
 
+def _unquoted(text):
+    inner = F.regexp_extract(text, r"""^(["'])(.*)\1$""", 2)
+    return F.when(text.rlike(r"""^(["']).*\1$"""), inner).otherwise(F.trim(F.regexp_replace(text, r"\s+#.*$", "")))
+
+
+def _bad_expressions(batches):
+    for frame in batches:
+        def reason(pattern):
+            try:
+                re.compile(pattern)
+            except re.error as error:
+                return f"bad pattern {pattern!r}: {error}"
+
+        yield frame.assign(problem=frame["pattern"].map(reason))[["problem"]].dropna()
+
+
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """The ranked rules of a file in the shape ``Category:`` and, below it, lines ``- pattern``; ``#`` starts a comment line.
+    """The ranked rules of files in the shape ``Category:`` and, below it, lines ``- pattern``, or ``Category: [pattern, pattern]``; ``#`` starts a comment.
 
-    Patterns may stand in quotes. A file that names an unknown category, or holds an expression that cannot be read, is an error.
+    Patterns may stand in quotes. Files are read side by side, in the order of their names for rules of one length. An unknown
+    category, a pattern before any, or an expression that cannot be read is an error at once.
     """
-    lines = [r.value for r in spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\r?\n")).alias("value")).collect()]
-    listed: list[tuple[str, str]] = []
-    category = None
-    for line in lines:
-        item, head = re.match(r"\s*-\s*(.*?)\s*$", line), re.match(r"(\S.*?)\s*:\s*$", line)
-        if item and category is None:
-            raise ValueError(f"a pattern before any category: {line!r}")
-        if item:
-            text = item[1]
-            quoted = len(text) > 1 and text[0] == text[-1] and text[0] in "'\""
-            listed.append((text[1:-1] if quoted else re.sub(r"\s+#.*$", "", text), category))
-        elif head and not line.lstrip().startswith("#"):
-            category = head[1].strip("'\"")
-    return small_table(spark, _ranked(listed), SCHEMA)
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    head = F.regexp_extract("line", r"^([^\s#-].*?)\s*:\s*(\[.*\])?\s*(#.*)?$", 1)
+    listed = F.regexp_extract("line", r"^[^\s#-].*?:\s*\[(.*)\]", 1)
+    item = F.regexp_extract("line", r"^\s*-\s*(.*?)\s*$", 1)
+    category = F.last(F.when(head != "", _unquoted(head)), True).over(Window.partitionBy("file").orderBy("line_no"))
+    items = F.when(item != "", F.array(item)).when(listed != "", F.regexp_extract_all(listed, F.lit(r"""\s*("[^"]*"|'[^']*'|[^,\s][^,]*)"""), F.lit(1)))
+    rows = lines.withColumn("category", category).select("category", "file", "line_no", F.posexplode(items).alias("k", "item"))
+    rows = rows.select("category", _unquoted(F.trim("item")).alias("pattern"), F.struct("file", "line_no", "k").alias("place"))
+    unknown = F.when(F.col("category").isNull(), F.concat(F.lit("a pattern before any category: "), "pattern")).when(~F.col("category").isin(fixed.CATEGORIES), F.concat(F.lit("no such category: "), "category"))
+    expressions = rows.where(F.col("pattern").rlike(SPECIAL)).select("pattern").mapInPandas(_bad_expressions, "problem string")
+    bad = rows.select(unknown.alias("problem")).where("problem IS NOT NULL").unionByName(expressions).first()
+    if bad:
+        raise ValueError(bad.problem)
+    return rank_rules(rows)
 
 
 SCHEMA = "pattern string, category string, specificity int, priority int, kind string"

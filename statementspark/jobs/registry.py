@@ -747,10 +747,12 @@ def load_rules(spark, sf_dir):
 
 @query(f"{BASE}, w AS ({L.DUCK_WORDS.replace('{ledger}', 'ledger')}) SELECT word AS pattern, 'Travel' AS category, CAST(length(word) AS INT) AS specificity, CAST(row_number() OVER (ORDER BY length(word) DESC, word) - 1 AS INT) AS priority, CASE WHEN word LIKE '%.%' THEN 'regex' WHEN length(word) <= 4 THEN 'word' ELSE 'text' END AS kind FROM w")
 def read_rules(spark, sf_dir):
-    """A rule file written from the words of all narrations and read back."""
+    """Rule files written from the words of all narrations, some as lists in a line, and read back."""
     path = L.scratch(spark, "rules")
-    lines = L.of_ledger(spark, sf_dir, L.WORDS).agg(F.array_join(F.transform(F.sort_array(F.collect_list("word")), lambda w: F.concat(F.lit("  - "), w)), "\n").alias("body"))
-    lines.select(F.concat(F.lit("# rules\nTravel:\n"), "body").alias("value")).coalesce(1).write.text(path)
+    words = L.of_ledger(spark, sf_dir, L.WORDS).groupBy(F.substring("word", 1, 2).alias("part")).agg(F.sort_array(F.collect_list("word")).alias("w"))
+    below = F.concat(F.lit("# rules\nTravel:\n"), F.array_join(F.transform("w", lambda w: F.concat(F.lit("  - "), w)), "\n"))
+    inside = F.concat(F.lit("Travel: ["), F.array_join(F.transform("w", lambda w: F.concat(F.lit("'"), w, F.lit("'"))), ", "), F.lit("]"))
+    words.repartitionByRange("part").sortWithinPartitions("part").select(F.when(F.size("w") % 2 == 0, below).otherwise(inside).alias("value")).write.text(path)
     return rules.read_rules(spark, path)
 
 

@@ -195,6 +195,9 @@ def test_rule_files(spark, tmp_path):
         (tmp_path / "bad.yaml").write_text(bad)
         with pytest.raises(ValueError):
             rules.read_rules(spark, str(tmp_path / "bad.yaml"))
+    (tmp_path / "lists.yaml").write_text("# own\nTravel: [irctc, 'make, trip', \"a b\"]  # three\nGroceries:\n- dmart\nShopping: []\n")
+    got = [(r.pattern, r.category) for r in rules.read_rules(spark, str(tmp_path / "lists.yaml")).orderBy("priority").collect()]
+    assert got == [("make, trip", "Travel"), ("irctc", "Travel"), ("dmart", "Groceries"), ("a b", "Travel")]
     raw = spark.createDataFrame([("Travel", " b ", 1), ("Travel", "a", 0), ("Groceries", "", 2)], rules.RAW)
     assert [(r.pattern, r.priority) for r in rules.rank_rules(raw).collect()] == [("a", 0), ("b", 1)]
     with pytest.raises(Exception, match="no such category"):
