@@ -55,6 +55,12 @@ class Template:
     def any_control(self) -> str:
         return "|".join(re.escape(m) for m in sorted(self.controls, key=len, reverse=True))
 
+    @property
+    def before_control(self) -> str:
+        """Pattern of the places before marks. Most characters begin none, which one look at a class of characters tells."""
+        firsts = "".join(re.escape(c) for c in sorted({m[0] for m in self.controls}))
+        return f"(?=[{firsts}])(?={self.any_control})"
+
     def escaped(self, slashes: str) -> str:
         """Pattern of all marks with ``slashes`` behind their first character: that one and the rest are two groups of each."""
         return "|".join(f"({re.escape(m[0])})({slashes}{re.escape(m[1:])})" for m in self.controls)
@@ -72,7 +78,7 @@ def _escape(text: Column, template: Template, slashes: str) -> Column:
 def unescape(text: Column, template: Template = DEFAULT) -> Column:
     """One backslash less in each escaped mark."""
     pattern = "|".join(f"(?<={re.escape(m[0])})\\\\(?=\\\\*{re.escape(m[1:])})" for m in template.controls)
-    return F.regexp_replace(text, pattern, "")
+    return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, pattern, "")).otherwise(text)
 
 
 def render(role: Column, text: Column, template: Template = DEFAULT, name: Column | None = None) -> Column:
@@ -89,7 +95,7 @@ def parse(formatted: Column, template: Template = DEFAULT) -> Column:
     kinds = {m: chr(ord("a") + k) for k, m in enumerate(template.controls)}
     control = template.any_control
     kind = lambda mark: F.coalesce(*[F.when(mark == m, F.lit(k)) for m, k in kinds.items()], F.lit("-"))
-    pieces = F.transform(F.split(formatted, f"(?={control})"), lambda p: F.struct(F.regexp_extract(p, f"^(?:{control})", 0).alias("mark"), p.alias("all")))
+    pieces = F.transform(F.split(formatted, template.before_control), lambda p: F.struct(F.regexp_extract(p, f"^(?:{control})", 0).alias("mark"), p.alias("all")))
     pieces = F.transform(pieces, lambda p: F.struct(kind(p["mark"]).alias("kind"), F.substring(p["all"], F.length(p["mark"]) + 1, F.length(p["all"])).alias("says")))
     one, two, three = (kinds[m] for m in template.other)
     pairs = "|".join([kinds[a] + kinds[b] for a, b in template.marks.values()] + [one + two + three])
