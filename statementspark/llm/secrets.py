@@ -7,8 +7,8 @@ that are too short are dropped.
 the log-likelihood ratio of a token's character steps. There is a pair of them for each alphabet, that is for each set of kinds of
 characters (small and capital letters, digits, signs) that a token may hold, so no token is suspect for its alphabet alone. Both are trained
 from labelled samples of bounded size: random strings are the values that the patterns found in ``sample`` documents with a match,
-identifiers are tokens that no pattern claims in ``sample`` documents; each time those with the smallest hash of their id. Of random
-strings the steps from kind to kind are learned, within a kind all characters are alike; of identifiers every step is, backed off to
+identifiers are tokens that no pattern claims in ``sample`` documents; each time those with the smallest hash of their id. Of both
+every step is learned; random strings back off to the steps from kind to kind, within a kind all characters alike, identifiers to
 all identifiers and to single characters. A token of 12 characters or more that overlaps no pattern's span becomes a span of kind
 ``random`` when its ratio is ``margin`` or more; shorter ones can hardly reach it. The model is 15 x 67 x 67 numbers whatever the
 corpus, a literal in the plan.
@@ -44,6 +44,8 @@ BACK_OFF = 200.0
 UNSEEN = 0.1
 #: What the size of a kind counts against learned steps from kind to kind.
 PRIOR = 50.0
+#: How many steps from a character the kinds of characters weigh in random strings.
+RANDOM_BACK_OFF = 1000.0
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 NONE = f"CAST(array() AS {SPAN})"
@@ -91,15 +93,22 @@ def _steps(tokens: DataFrame) -> dict[tuple[int, str, str], int]:
 
 
 def _random_logs(counts: dict, s: int) -> np.ndarray:
-    """Log-probabilities of steps in random strings of the alphabet ``s``."""
+    """Log-probabilities of steps in random strings of the alphabet ``s``, by character.
+
+    Where few were seen they back off to the steps between kinds of characters, spread evenly within a kind, which itself has the
+    uniform as its prior: what a random string is before any was seen.
+    """
     kind = np.array([next(k for k, p in enumerate(PARTS) if c in p) for c in ALPHABET])
     size = np.array([len(p) if s >> k & 1 else 0 for k, p in enumerate(PARTS)], float)
-    table = np.tile(PRIOR * size / size.sum(), (len(PARTS), 1))
-    for (own, a, b), n in counts.items():
-        if own == s:
-            table[kind[ALPHABET.index(a)], kind[ALPHABET.index(b)]] += n
-    table /= table.sum(axis=1, keepdims=True)
-    return np.log(np.maximum(table[kind][:, kind] / np.maximum(size[kind], 1), 1e-12))
+    kinds = np.tile(PRIOR * size / size.sum(), (len(PARTS), 1))
+    own = np.zeros((len(ALPHABET),) * 2)
+    for (alphabet, a, b), n in counts.items():
+        if alphabet == s:
+            own[ALPHABET.index(a), ALPHABET.index(b)] += n
+            kinds[kind[ALPHABET.index(a)], kind[ALPHABET.index(b)]] += n
+    kinds /= kinds.sum(axis=1, keepdims=True)
+    own += RANDOM_BACK_OFF * kinds[kind][:, kind] / np.maximum(size[kind], 1)
+    return np.log(np.maximum(own / own.sum(axis=1, keepdims=True), 1e-12))
 
 
 def _identifier_logs(counts: dict, s: int) -> np.ndarray:
