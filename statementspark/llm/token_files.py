@@ -60,13 +60,15 @@ SURE = 7  # the highest confidence
 class Model:
     """What both sides know after each step, for several blocks side by side: each has tables of its own, at an offset."""
 
-    def __init__(self, lanes: list[int], alphabet: int):
+    def __init__(self, lanes: list[int], alphabet: int, steps: int):
         n, self.alphabet = len(lanes), alphabet
+        #: Of the sums that every lane looks into: half the size, and so half the cache, wherever they fit.
+        self.kind = np.int32 if GAIN * steps * sum(lanes) + n * alphabet < 1 << 31 else np.int64
         block = np.repeat(np.arange(n), lanes)
         self.at_id, self.at_cum, self.at_mix, self.at_cell = block * alphabet, block * (alphabet + 1), block << MIX_BITS, block << 6
         self.block = block
         self.count = np.ones((n, alphabet), np.int64)
-        self.freq = np.ones(n * alphabet, np.int64)
+        self.freq = np.ones(n * alphabet, self.kind)
         #: Running sums of a block's counts, on top of all blocks before it: so one search serves all lanes.
         self.cum = np.zeros((n, alphabet + 1), np.int64)
         self.seen: list[np.ndarray] = []
@@ -90,7 +92,7 @@ class Model:
             totals = self.cum[:, -1].copy()
             self.base = np.cumsum(totals) - totals
             self.cum += self.base[:, None]
-            self.flat = self.cum.ravel()
+            self.flat = self.cum.ravel().astype(self.kind)
             self.freq[:] = self.count.ravel()
             self.totals, self.start = np.repeat(totals, 64), self.base[self.block]
             self.total = totals[self.block]
@@ -151,7 +153,7 @@ def encode_ids(blocks: list[np.ndarray], alphabet: int, steps: int = STEPS) -> l
     grid = np.concatenate([np.append(ids, np.full(n * steps - len(ids), ids[-1], ids.dtype)).reshape(n, steps) for ids, n in zip(blocks, lanes, strict=True)])
     grid = np.ascontiguousarray(grid.T)
     total_lanes = sum(lanes)
-    model = Model(lanes, alphabet)
+    model = Model(lanes, alphabet, steps)
     low, size = np.zeros(total_lanes, U), np.full(total_lanes, 2**64 - 1, U)
     words, owners = [], []
     for t in range(steps):
@@ -184,7 +186,7 @@ def decode_ids(blocks: list[tuple[np.ndarray, np.ndarray, int]], alphabet: int,
     """The ids of blocks, each given as (words, words of each lane, number of ids); all must have one number of steps."""
     lanes = [len(sizes) for _, sizes, _ in blocks]
     steps = shape(blocks[0][2], steps)[0]
-    model = Model(lanes, alphabet)
+    model = Model(lanes, alphabet, steps)
     sizes = np.concatenate([x for _, x, _ in blocks])
     at = np.cumsum(sizes) - sizes
     words = np.concatenate([*[w for w, _, _ in blocks], np.zeros(4, np.uint16)])
@@ -210,7 +212,7 @@ def decode_ids(blocks: list[tuple[np.ndarray, np.ndarray, int]], alphabet: int,
         rest = np.flatnonzero(~(is2 | is1))  # only what no candidate claims is looked up in order 0
         r = v[rest]
         plain = r - s2[rest] * (r >= end2[rest]) - s1[rest] * (has1[rest] & (r >= end1[rest]))
-        found = np.searchsorted(model.flat, plain + model.start[rest], side="right") - 1 - model.at_cum[rest]
+        found = np.searchsorted(model.flat, (plain + model.start[rest]).astype(model.kind), side="right") - 1 - model.at_cum[rest]
         x[rest] = np.minimum(found, alphabet - 1)
         freq = model.freq[model.at_id + x] + s2 * (x == c2) + s1 * (x == c1)
         start = model.below(x) + s2 * (c2 < x) + s1 * ((c1 < x) & has1)
