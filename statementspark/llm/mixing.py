@@ -16,7 +16,7 @@ and are ranked in one task, 24 bytes each.
 
 Sources sort by code point with null last. Null ids are ids. Documents of one size meet in the order of their hashes. Very long texts
 count whole; a document larger than its source's target is taken or left by chance, as any other. Size 0: the number of copies is the whole part, no words.
-Empty table: no rows. Same rows, same seed: same result, in whatever order and partitions they come.
+Empty table: no rows. Extra columns of any name stay as they are, and tell rows apart. Same rows, same seed: same result, in whatever order and partitions they come.
 """
 
 from __future__ import annotations
