@@ -832,8 +832,7 @@ def clear_cache(spark, sf_dir):
     learned = L.of_ledger(spark, sf_dir, L.LEARNED).withColumns({"op": F.lit("set"), "seq": F.lit(1).cast("long")})
     stores.append_edits(learned, path := L.scratch(spark, "answers"), 1)
     stores.append_edits(stores.clear(learned.where("account_id % 3 = 0").select("account_id").distinct(), ACCOUNT), path, 2)
-    log = spark.read.option("mergeSchema", True).parquet(path)
-    return stores.store_at(log, ACCOUNT).select("account_id", "merchant_key", "display", "model")
+    return stores.store_at(stores.read_edits(spark, path), ACCOUNT).select("account_id", "merchant_key", "display", "model")
 
 
 @query(f"{BASE}, {ANNOTATED} SELECT o_orderkey, merchant_key <> 'unknown' AS resolved FROM annotated")

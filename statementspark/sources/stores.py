@@ -87,8 +87,8 @@ def append_edits(edits: DataFrame, path: str, version: int) -> None:
 
 
 def read_edits(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The log, up to ``version``: later versions' files are not read."""
-    log = spark.read.parquet(path)
+    """The log, up to ``version``: later versions' files are not read. Versions may lack columns, as clearings do."""
+    log = spark.read.option("mergeSchema", True).parquet(path)
     return log if version is None else log.where(F.col("version") <= version)
 
 
