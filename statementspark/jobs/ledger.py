@@ -94,6 +94,8 @@ ANSWERS = " UNION ALL ".join(
     )
 )
 ANSWERS = ANSWERS.replace("account_id / 2", "CAST(floor(account_id / 2) AS BIGINT)")
+#: The same of every account, so most keys have answers of many accounts; ``seq`` and ``account_id`` number those of a key.
+EVERY_ANSWER = ANSWERS.replace(" WHERE account_id < 997", "").replace("AS BIGINT) AS seq", "AS BIGINT) AS seq, account_id")
 #: Stores of accounts: own tags, some with names that look like something else, learned answers with a model each, own categories.
 OWN_TAGS = f"""
 SELECT account_id, 'payee ' || lower({_LETTERS.format('o_orderkey % 6')}) AS merchant_key,

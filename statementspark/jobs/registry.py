@@ -211,16 +211,24 @@ def apply_labels(spark, sf_dir):
     return C.apply_labels(strange(spark, sf_dir), labels).select("o_orderkey", "category", "category_source", "confidence")
 
 
-_ANSWERS = f"{BASE}, {O.TABLES}, answers AS ({L.ANSWERS.replace('{ledger}', 'ledger')})"
+_EVERY = _PENDING.replace(L.ANSWERS.replace("{ledger}", "base"), L.EVERY_ANSWER.replace("{ledger}", "base"), 1)
+_LAST = "QUALIFY row_number() OVER (PARTITION BY {} ORDER BY seq DESC, account_id DESC) = 1"
+_KEPT = "coalesce(nullif(display, ''), merchant_key) AS display, round(coalesce(confidence, 0.8), 3) AS confidence, model"
 
 
 @query(
-    f"{_ANSWERS}, new AS (SELECT {O.key('merchant_key')} AS k, category, coalesce(nullif(display, ''), merchant_key) AS display, round(coalesce(confidence, 0.8), 3) AS confidence, model FROM answers WHERE {_NAMED} QUALIFY row_number() OVER (PARTITION BY {O.key('merchant_key')} ORDER BY seq DESC) = 1)"
+    f"{_EVERY}, heard AS (SELECT {O.key('merchant_key')} AS k, category, {_KEPT} FROM answers WHERE {_NAMED} {_LAST.format(O.key('merchant_key'))}),"
+    f" valid AS (SELECT {O.key('merchant_key')} AS k, category, {_KEPT} FROM answers WHERE {_NAMED} AND merchant_key IN (SELECT merchant_key FROM pending) {_LAST.format('merchant_key')}),"
+    " new AS (SELECT * FROM valid UNION ALL SELECT * FROM heard WHERE k NOT IN (SELECT k FROM valid))"
     " SELECT k AS merchant_key, category, display, confidence, model FROM new UNION ALL SELECT * FROM cache WHERE merchant_key NOT IN (SELECT k FROM new)"
 )
 def remember(spark, sf_dir):
-    """Answers in no order, several to many keys, some written otherwise: the last of each stays."""
-    return C.remember(L.cache(spark), L.answers(spark, sf_dir))
+    """Answers of every account in no order, many to a key, some written otherwise: the last of each stays. Then those to what the whole
+    ledger asks, of which the last valid one of a key replaces what was heard."""
+    order = ("seq", "account_id")
+    answers = L.of_ledger(spark, sf_dir, L.EVERY_ANSWER)
+    valid = C.validate_labels(answers, C.pending_merchants(strange(spark, sf_dir)), order=order)
+    return C.remember(C.remember(L.cache(spark), answers, order=order), valid, order=order)
 
 
 #: Every transaction edits its merchant's tag, so each key has many edits.

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statementspark.functions import rules
+from statementspark.jobs import registry
 from statementspark.operators import categorize as C
 from statementspark.sources import stores
 
@@ -155,3 +156,13 @@ def test_a_log_of_edits(spark, tmp_path):
     assert at(2) == at(None) == [("b", "E")]
     with pytest.raises(Exception, match="(?i)exists"):
         stores.append_edits(spark.createDataFrame([("a", "set", 5, "A")], EDIT), path, 2)
+
+
+def test_remember_hears_every_account_and_what_the_whole_ledger_asks(spark, tmp_path):
+    """Accounts from 997 on count too, and the last valid answer to a question replaces a later one whose key is written otherwise."""
+    orders = [(24 * a + k, a, 100.0 * a, "1995-01-01") for a, k in ((2023, 17), (2044, 17), (2128, 0))]  # 17: a payee that nothing resolves
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.merchant_key: r.category for r in registry.QUERIES["remember"](spark, str(tmp_path)).collect()}
+    assert {k: c for k, c in got.items() if k.startswith("nobody")} == {f"nobody asked {x}": "Travel" for x in ("dbdf", "dbgg", "dcdl")}
+    # Only heard; asked, with Groceries by its own key and Travel written otherwise; the same, but nobody asked.
+    assert {k: c for k, c in got.items() if k.startswith("vendor qx")} == {"vendor qxdm": "Groceries", "vendor qxhb": "Groceries", "vendor qxcfg": "Travel"}
