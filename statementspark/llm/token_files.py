@@ -44,6 +44,7 @@ STEPS = 2048
 BLOCK_IDS = 1 << 21
 #: Blocks that are coded side by side.
 GROUP = 4
+SLAB = 64  # steps whose ids are turned from runs to rows, or back, at a time
 BLOCKS = "part int, block int, n_docs long, n_ids long, ids_crc32 long, data binary"
 DOCS = "part int, block int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
@@ -55,6 +56,7 @@ WEIGH = 2  # steps between two looks at how often candidates were right
 GAIN = 24  # what one sighting adds to an order-0 count
 RATIO = 255  # the most that a candidate may weigh against order 0
 SURE = 7  # the highest confidence
+NEAR_BITS = 16  # first bits of a running sum that a search looks at first
 
 
 class Model:
@@ -65,27 +67,27 @@ class Model:
         #: Of the sums that every lane looks into: half the size, and so half the cache, wherever they fit.
         self.kind = np.int32 if GAIN * steps * sum(lanes) + n * alphabet < 1 << 31 else np.int64
         block = np.repeat(np.arange(n), lanes)
-        self.at_id, self.at_cum, self.at_mix, self.at_cell = block * alphabet, block * (alphabet + 1), block << MIX_BITS, block << 6
+        self.at_id, self.at_cum, self.at_mix, self.at_cell = block * alphabet, block * (alphabet + 1), n * alphabet + (block << MIX_BITS), block << 6
         self.block = block
         self.count = np.ones((n, alphabet), np.int64)
-        self.freq = np.ones(n * alphabet, self.kind)
         #: Running sums of a block's counts, on top of all blocks before it: so one search serves all lanes.
         self.cum = np.zeros((n, alphabet + 1), np.int64)
         self.seen: list[np.ndarray] = []
         self.step, self.refresh = 0, 0
-        self.last, self.before = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
-        # A slot holds candidate << 3 | confidence.
-        self.slots1, self.slots2 = np.zeros(n * alphabet, np.int32), np.zeros(n << MIX_BITS, np.int32)
-        self.hits2, self.hits1, self.miss = np.ones(n << 6, np.int64), np.ones(n << 6, np.int64), np.full(n << 6, 2, np.int64)
+        #: Where the last id stands among the counts, and the last two ids.
+        self.at_last, self.last, self.before = self.at_id, np.zeros(len(block), np.uint32), np.zeros(len(block), np.uint32)
+        # A slot holds candidate << 3 | confidence. Those of order 1 come first, then those of order 2; so do the two rows of ``h``, ``p``, ``c`` and ``k``.
+        self.slots, self.h = np.zeros(n * alphabet + (n << MIX_BITS), np.int32), np.zeros((2, len(block)), np.int64)
+        #: How often no candidate was right, only that of order 1, and that of order 2, in each cell.
+        self.tally = np.concatenate([np.full(n << 6, 2, np.int64), np.ones(n << 7, np.int64)])
         self.sure2, self.sure1 = np.tile(np.arange(64) >= 8, n), np.tile(np.arange(64) % 8 > 0, n)
 
     def predict(self):
-        """Candidates (-1: none), their spikes and the order-0 totals of all lanes."""
+        """Candidates, their spikes (0 where there is none, and of order 1 where both are one) and the order-0 totals of all lanes."""
         if self.step == self.refresh:
             self.refresh += max(REFRESH, self.step // STALE)
             if self.seen:
-                own = np.concatenate([x + self.at_id for x in self.seen])
-                self.count += GAIN * np.bincount(own, minlength=self.count.size).reshape(self.count.shape)
+                self.count += GAIN * np.bincount(np.concatenate(self.seen), minlength=self.count.size).reshape(self.count.shape)
                 self.seen = []
             self.cum[:, 0] = 0
             np.cumsum(self.count, axis=1, out=self.cum[:, 1:])
@@ -93,50 +95,71 @@ class Model:
             self.base = np.cumsum(totals) - totals
             self.cum += self.base[:, None]
             self.flat = self.cum.ravel().astype(self.kind)
-            self.freq[:] = self.count.ravel()
-            self.totals, self.start = np.repeat(totals, 64), self.base[self.block]
+            self.near = None
+            self.totals, self.start = np.repeat(totals, 64), self.base[self.block].astype(self.kind)
             self.total = totals[self.block]
         if self.step % WEIGH == 0:
-            self.weight2 = np.minimum(self.totals * self.hits2 // self.miss, self.totals * RATIO) * self.sure2
-            self.weight1 = np.minimum(self.totals * self.hits1 // self.miss, self.totals * RATIO) * self.sure1
+            miss, hits1, hits2 = self.tally.reshape(3, -1)
+            self.weight2 = np.minimum(self.totals * hits2 // miss, self.totals * RATIO) * self.sure2
+            self.weight1 = np.minimum(self.totals * hits1 // miss, self.totals * RATIO) * self.sure1
         self.step += 1
-        self.h1 = self.at_id + self.last
-        self.h2 = self.at_mix + (((self.last * 0x9E3779B1 + self.before * 0x85EBCA77) >> 8) & ((1 << MIX_BITS) - 1))
-        self.p1, self.p2 = self.slots1[self.h1], self.slots2[self.h2]
-        self.c1, self.c2 = self.p1 >> 3, self.p2 >> 3
-        self.k1, self.k2 = self.p1 & 7, self.p2 & 7
-        same = (self.c1 == self.c2) & (self.k2 > 0)
-        self.cell = self.at_cell + ((self.k2 << 3) | np.where(same, 0, self.k1))
-        return self.c2, self.weight2[self.cell], np.where(same, -1, self.c1), self.weight1[self.cell], self.total
-
-    def below(self, ids: np.ndarray) -> np.ndarray:
-        """Order-0 counts of all smaller ids of the lane's block."""
-        return self.flat[self.at_cum + ids] - self.start
+        # Only bits 8 to 24 of the sum count, so it may overflow.
+        mixed = self.last * np.uint32(0x9E3779B1)
+        mixed += self.before * np.uint32(0x85EBCA77)
+        mixed >>= np.uint32(8)
+        mixed &= np.uint32((1 << MIX_BITS) - 1)
+        self.h[0] = self.at_last
+        np.add(self.at_mix, mixed, out=self.h[1])
+        self.p = self.slots.take(self.h)
+        self.c, self.k = self.p >> 3, self.p & 7
+        self.sure = self.k > 0
+        (c1, c2), (k1, k2) = self.c, self.k
+        self.same = (c1 == c2) & self.sure[1]
+        self.cell = self.at_cell + ((k2 << 3) | np.where(self.same, 0, k1))
+        return c2, self.weight2.take(self.cell), c1, self.weight1.take(self.cell), self.total
+
+    def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order-0 counts of all smaller ids of the lane's block, and of the ids themselves."""
+        at = self.at_cum + ids
+        low = self.flat.take(at)
+        at += 1
+        return low - self.start, self.flat.take(at) - low
+
+    def find(self, sums: np.ndarray) -> np.ndarray:
+        """Where the last running sum that is not above each of ``sums`` stands. Most are told by their first bits alone."""
+        if self.near is None:
+            self.bits = max(0, int(self.flat[-1]).bit_length() - NEAR_BITS)
+            self.near = np.cumsum(np.bincount((self.flat >> self.bits) + 1, minlength=(1 << NEAR_BITS) + 1)) - 1
+        head = sums >> self.bits
+        found = self.near.take(head + 1)
+        rest = np.flatnonzero(self.near.take(head) != found)
+        # In ascending order, as a search that follows a smaller one is near it.
+        key = sums[rest].astype(self.kind)
+        order = np.argsort(key)
+        found[rest[order]] = np.searchsorted(self.flat, key[order], side="right") - 1
+        return found
 
     def update(self, ids: np.ndarray) -> None:
-        hit2, hit1 = (ids == self.c2) & (self.k2 > 0), (ids == self.c1) & (self.k1 > 0)
-        cell, size = self.cell, len(self.miss)
-        self.hits2 += np.bincount(cell[hit2], minlength=size)
-        self.hits1 += np.bincount(cell[hit1 & ~hit2], minlength=size)
-        self.miss += np.bincount(cell[~(hit1 | hit2)], minlength=size)
-        fresh = (ids << 3 | 1).astype(np.int32)
-        for hit, p, k, h, slots in ((hit1, self.p1, self.k1, self.h1, self.slots1), (hit2, self.p2, self.k2, self.h2, self.slots2)):
-            slots[h] = np.where(hit, np.where(k < SURE, p + 1, p), np.where(k <= 1, fresh, p - k + (k >> 1)))
-        self.seen.append(ids)
-        self.before, self.last = self.last, ids
-
-
-def _shift(low: np.ndarray, size: np.ndarray, lanes: np.ndarray | None = None) -> np.ndarray:
-    """Which lanes (of ``lanes``) must put out or take in a word now; ranges that lie across a border are cut."""
-    a, b = (low, size) if lanes is None else (low[lanes], size[lanes])
-    near = (a ^ (a + b)) < TOP
-    small = b < BOT
-    now = np.flatnonzero(near | small)
-    out = now if lanes is None else lanes[now]
-    cut = out[small[now] & ~near[now]]
-    if len(cut):
-        size[cut] = (~low[cut] + U(1)) & (BOT - U(1))
-    return out
+        """``ids``: of 32 bits."""
+        hit = (ids == self.c) & self.sure
+        kind = (hit[1].view(np.int8) << 1) | (hit[0] > hit[1])
+        self.tally += np.bincount(self.cell + kind * np.int64(len(self.tally) // 3), minlength=len(self.tally))
+        moved = self.p + np.where(hit, self.k < SURE, -((self.k + 1) >> 1))
+        self.slots[self.h] = np.where(hit | (self.k > 1), moved, (ids << 3) | 1)
+        self.at_last = self.at_id + ids
+        self.seen.append(self.at_last)
+        self.before, self.last = self.last, ids.view(np.uint32)
+
+
+def _shift(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lanes must put out or take in a word now, as places and as bits to shift by; ranges that lie across a border are cut."""
+    near = (low ^ (low + size)) < TOP
+    small = size < BOT
+    across = np.flatnonzero(small & ~near)
+    if len(across):
+        size[across] = (~low[across] + U(1)) & (BOT - U(1))
+    now = near | small
+    return np.flatnonzero(now), now * S16
 
 
 def shape(count: int, steps: int = STEPS) -> tuple[int, int]:
@@ -151,30 +174,39 @@ def encode_ids(blocks: list[np.ndarray], alphabet: int, steps: int = STEPS) -> l
     steps = shape(len(blocks[0]), steps)[0]
     # Lane k of a block holds its ids k * steps to (k + 1) * steps; the last lane goes on with the last id.
     grid = np.concatenate([np.append(ids, np.full(n * steps - len(ids), ids[-1], ids.dtype)).reshape(n, steps) for ids, n in zip(blocks, lanes, strict=True)])
-    grid = np.ascontiguousarray(grid.T)
     total_lanes = sum(lanes)
     model = Model(lanes, alphabet, steps)
     low, size = np.zeros(total_lanes, U), np.full(total_lanes, 2**64 - 1, U)
     words, owners = [], []
+    owner_kind = np.uint16 if total_lanes <= 1 << 16 else np.int32  # a stable sort of 16 bits is by digits
     for t in range(steps):
-        x = grid[t].astype(np.int64)
+        if t % SLAB == 0:
+            rows = np.ascontiguousarray(grid[:, t : t + SLAB].T).astype(np.int32)
+        x = rows[t % SLAB]
         c2, s2, c1, s1, total = model.predict()
-        freq = model.freq[model.at_id + x] + s2 * (x == c2) + s1 * (x == c1)
-        start = model.below(x) + s2 * ((c2 < x) & (c2 >= 0)) + s1 * ((c1 < x) & (c1 >= 0))
-        part = size // (total + s2 + s1).astype(U)
-        low += part * start.astype(U)
-        size = part * freq.astype(U)
-        out = _shift(low, size)
-        while len(out):
-            words.append((low[out] >> U(48)).astype(np.uint16))
-            owners.append(out.astype(np.int32))
-            low[out] <<= S16
-            size[out] <<= S16
-            out = _shift(low, size, out)
+        start, freq = model.span(x)
+        freq = freq + s2 * (x == c2) + s1 * (x == c1)
+        start = start + s2 * (c2 < x) + s1 * (c1 < x)
+        part = size // (total + s2 + s1).view(U)
+        low += part * start.view(U)
+        np.multiply(part, freq.view(U), out=size)
+        out, by = _shift(low, size)
+        words.append((low >> U(48)).astype(np.uint16)[out])
+        owners.append(out.astype(owner_kind))
+        low <<= by
+        size <<= by
+        more = out
+        while len(more):
+            a, b = low[more], size[more]
+            out, by = _shift(a, b)
+            words.append((a[out] >> U(48)).astype(np.uint16))
+            owners.append(more[out].astype(owner_kind))
+            low[more], size[more] = a << by, b << by
+            more = more[out]
         model.update(x)
     for _ in range(4):
         words.append((low >> U(48)).astype(np.uint16))
-        owners.append(np.arange(total_lanes, dtype=np.int32))
+        owners.append(np.arange(total_lanes, dtype=owner_kind))
         low <<= S16
     owner, word = np.concatenate(owners), np.concatenate(words)
     streams = np.split(word[np.argsort(owner, kind="stable")], np.cumsum(np.bincount(owner, minlength=total_lanes))[:-1])
@@ -190,45 +222,54 @@ def decode_ids(blocks: list[tuple[np.ndarray, np.ndarray, int]], alphabet: int,
     sizes = np.concatenate([x for _, x, _ in blocks])
     at = np.cumsum(sizes) - sizes
     words = np.concatenate([*[w for w, _, _ in blocks], np.zeros(4, np.uint16)])
-    last = len(words) - 1
     n = len(sizes)
     low, size, code = np.zeros(n, U), np.full(n, 2**64 - 1, U), np.zeros(n, U)
     for _ in range(4):
-        code = (code << S16) | words[np.minimum(at, last)]
+        code = (code << S16) | words.take(at, mode="clip")
         at += 1
-    out = np.zeros((steps, n), np.uint32)
+    rows, out = np.empty((SLAB, n), np.int32), np.empty((n, steps), np.int32)
     for t in range(steps):
         c2, s2, c1, s1, total = model.predict()
         all_ = total + s2 + s1
-        part = size // all_.astype(U)
-        v = np.minimum(((code - low) // part).astype(np.int64), all_ - 1)
-        at2 = model.below(c2) + s1 * ((c1 < c2) & (c1 >= 0))
-        has1 = c1 >= 0
-        safe1 = np.where(has1, c1, 0)
-        at1 = model.below(safe1) + s2 * (c2 < safe1)
-        end2, end1 = at2 + model.freq[model.at_id + c2] + s2, at1 + model.freq[model.at_id + safe1] + s1
-        is2, is1 = (v >= at2) & (v < end2), has1 & (v >= at1) & (v < end1)
-        x = np.where(is2, c2, safe1).astype(np.int64)
+        part = size // all_.view(U)
+        v = np.minimum(((code - low) // part).view(np.int64), all_ - 1)
+        (at1, at2), (freq1, freq2) = model.span(model.c)
+        at2, at1 = at2 + s1 * (c1 < c2), at1 + s2 * (c2 < c1)
+        freq2, freq1 = freq2 + s2, freq1 + s1
+        end2, end1 = at2 + freq2, at1 + freq1
+        is2, is1 = (v >= at2) & (v < end2), (v >= at1) & (v < end1)
         rest = np.flatnonzero(~(is2 | is1))  # only what no candidate claims is looked up in order 0
-        r = v[rest]
-        plain = r - s2[rest] * (r >= end2[rest]) - s1[rest] * (has1[rest] & (r >= end1[rest]))
-        found = np.searchsorted(model.flat, (plain + model.start[rest]).astype(model.kind), side="right") - 1 - model.at_cum[rest]
-        x[rest] = np.minimum(found, alphabet - 1)
-        freq = model.freq[model.at_id + x] + s2 * (x == c2) + s1 * (x == c1)
-        start = model.below(x) + s2 * (c2 < x) + s1 * ((c1 < x) & has1)
-        low += part * start.astype(U)
-        size = part * freq.astype(U)
-        need = _shift(low, size)
+        is1 &= ~model.same
+        x, start, freq = np.where(is1, c1, c2), np.where(is1, at1, at2), np.where(is1, freq1, freq2)
+        if len(rest):
+            r = v[rest]
+            plain = r - s2[rest] * (r >= end2[rest]) - s1[rest] * (r >= end1[rest])
+            base = model.start[rest]
+            found = model.find(plain + base)
+            below = model.flat.take(found)
+            x[rest] = np.minimum(found - model.at_cum[rest], alphabet - 1)
+            start[rest] = below - base + (r - plain)
+            freq[rest] = model.flat.take(found + 1) - below
+        low += part * start.view(U)
+        np.multiply(part, freq.view(U), out=size)
+        need, by = _shift(low, size)
+        low <<= by
+        size <<= by
+        code <<= by
         while len(need):
-            low[need] <<= S16
-            size[need] <<= S16
-            code[need] = (code[need] << S16) | words[np.minimum(at[need], last)]
+            code[need] |= words.take(at[need], mode="clip")
             at[need] += 1
-            need = _shift(low, size, need)
-        out[t] = x
+            a, b = low[need], size[need]
+            again, by = _shift(a, b)
+            low[need], size[need] = a << by, b << by
+            need = need[again]
+            code[need] <<= S16
+        rows[t % SLAB] = x
+        if (t + 1) % SLAB == 0 or t + 1 == steps:
+            out[:, t - t % SLAB : t + 1] = rows[: t % SLAB + 1].T
         model.update(x)
-    out, ends = np.ascontiguousarray(out.T), np.cumsum(lanes)
-    return [out[e - k : e].ravel()[:count] for k, e, (_, _, count) in zip(lanes, ends, blocks, strict=True)]
+    ends = np.cumsum(lanes)
+    return [out[e - k : e].ravel()[:count].view(np.uint32) for k, e, (_, _, count) in zip(lanes, ends, blocks, strict=True)]
 
 
 def encode_blocks(blocks: list[tuple[list, np.ndarray, np.ndarray]], alphabet: int, steps: int = STEPS) -> list[bytes]:

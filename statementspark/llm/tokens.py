@@ -9,6 +9,7 @@ also remembers units from one batch to the next, up to ``memo`` units.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -46,8 +47,9 @@ LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 #: Units that only hold Latin letters, digits, ASCII signs but the apostrophe, and at most one blank, in front.
 PLAIN = re.compile(rf"[ \n]?[{LETTERS}0-9!-&(-/:-@\[-`{{-~]+\Z")
 #: Pre-tokens of plain units, for the two kinds of pre-tokenizer: byte level, and split by letters.
+# A carriage return stands in no plain unit, so it may stand between two of them.
 BYTE_LEVEL = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s")
-BY_LETTERS = re.compile(rf"[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
+BY_LETTERS = re.compile(rf"[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+|\r")
 # The whole pre-tokenizer and normalizer entries that the two patterns stand for. Any other file takes the library's chain.
 BYTE_LEVEL_CHAIN = ({"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None)
 BY_LETTERS_CHAIN = (
@@ -63,7 +65,7 @@ BY_LETTERS_CHAIN = (
 #: What a byte-level model calls each byte: printable ones themselves, the others from U+0100 on.
 _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_NAMES = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINT)}
-BLANK, NEWLINE = chr(BYTE_NAMES[32]), chr(BYTE_NAMES[10])
+NAMES = "".join(chr(BYTE_NAMES.get(b, b)) for b in range(256))
 #: Odd, so that their powers have inverses modulo 2 ** 64 and 2 ** 32.
 BASE, SECOND = 0x9E3779B97F4A7C15, 0x85EBCA77
 CHUNK = 1 << 19  # bytes of text that are looked at together
@@ -103,54 +105,78 @@ class Encoder:
         self.known = 0
         self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.at, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
-        self.second, self.length = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.int32)  # of each known unit
+        # Of each known unit: where its ids are and how many, second hash and length (32 bits each), and whether it came again in a later chunk.
+        self.span, self.check, self.again = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, bool)
 
-    def _fresh(self, units: list[str]) -> list[list[int]]:
-        """Ids of units by the tokenizer."""
-        out: list = [None] * len(units)
-        rest, model = [], self.tokenizer.model
-        for k, unit in enumerate(units):
-            if not PLAIN.match(unit):
-                rest.append(k)
-                continue
-            found: list[int] = []
-            for piece in self.split.findall(unit.lower() if self.lower else unit):
-                if piece.isascii():
-                    named = piece.replace(" ", BLANK).replace("\n", NEWLINE)
+    def _forget(self) -> None:
+        """Makes room: units that came again stay, unless they are more than half of what may be kept."""
+        slot = np.flatnonzero(self.keys)
+        slot = slot[self.again[self.place[slot]]]
+        if 0 < len(slot) <= self.memo // 2:
+            hashes, number = self.keys[slot], self.place[slot]
+            sizes, check, flat = self.span[number] & 0xFFFFFFFF, self.check[number], self._ids_of(number)
+            self._reset()
+            self._insert(hashes, self._keep(flat, sizes, check))
+        else:
+            self._reset()
+
+    def _ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of units, one after another."""
+        span = self.span.take(numbers)
+        sizes = span & 0xFFFFFFFF
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat((span >> 32) - ends + sizes, sizes) + np.arange(int(ends[-1]))]
+
+    def _fresh(self, units: list[str]) -> tuple[list[int], np.ndarray, list[int]]:
+        """Ids of units by the tokenizer, one after another, how many each has, and the places of the units in this order."""
+        fits = PLAIN.match
+        plain = [k for k, unit in enumerate(units) if fits(unit)]
+        ids: list[int] = []
+        ends: list[int] = [0]
+        if plain:
+            text = "\r".join([units[k] for k in plain]) + "\r"
+            pieces = self.split.findall(text.lower() if self.lower else text)
+            tokenize, stop = self.tokenizer.model.tokenize, NAMES[13]
+            for named in codecs.charmap_decode("\x00".join(pieces).encode(), "strict", NAMES)[0].split(NAMES[0]):
+                if named == stop:
+                    ends.append(len(ids))
                 else:
-                    named = piece.encode().decode("latin-1").translate(BYTE_NAMES)
-                found += [x.id for x in model.tokenize(named)]
-            out[k] = found
+                    ids += [x.id for x in tokenize(named)]
+        rest = sorted(set(range(len(units))).difference(plain)) if len(plain) < len(units) else []
         for i in range(0, len(rest), 1024):
-            part = rest[i : i + 1024]
-            for k, x in zip(part, self.tokenizer.encode_batch_fast([units[k] for k in part], add_special_tokens=False), strict=True):
-                out[k] = x.ids
-        return out
+            for x in self.tokenizer.encode_batch_fast([units[k] for k in rest[i : i + 1024]], add_special_tokens=False):
+                ids += x.ids
+                ends.append(len(ids))
+        return ids, np.diff(ends), plain + rest
 
-    def _learn(self, units: list[str], second: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def _learn(self, units: list[str], check: np.ndarray) -> np.ndarray:
         """Keeps the ids of new units, with a second hash and the length of each; their numbers."""
-        found = self._fresh(units)
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
+        flat, sizes, order = self._fresh(units)
+        numbers = np.empty(len(units), np.int32)
+        numbers[order] = self._keep(np.array(flat, np.uint32), sizes, check[order])
+        return numbers
+
+    def _keep(self, flat: np.ndarray, sizes: np.ndarray, check: np.ndarray) -> np.ndarray:
+        n = len(sizes)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while self.known + len(units) > len(self.at):
-            self.at, self.size, self.second, self.length = (np.concatenate([x, x]) for x in (self.at, self.size, self.second, self.length))
-        numbers = np.arange(self.known, self.known + len(units), dtype=np.int32)
+        while self.known + n > len(self.span):
+            self.span, self.check, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.span, self.check, self.again))
+        new = slice(self.known, self.known + n)
         self.ids[self.used : self.used + len(flat)] = flat
-        self.size[numbers], self.second[numbers], self.length[numbers] = sizes, second, length
-        self.at[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.check[new] = check
+        self.span[new] = (self.used + np.cumsum(sizes) - sizes) << 32 | sizes
         self.used += len(flat)
-        self.known += len(units)
-        return numbers
+        self.known += n
+        return np.arange(new.start, new.stop, dtype=np.int32)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each unit, or -1."""
         mask = np.uint64((1 << self.bits) - 1)
         slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.where(self.keys[slot] == hashes, self.place[slot], -1)
-        open_ = np.flatnonzero((out < 0) & (self.keys[slot] != 0))
+        key = self.keys.take(slot)
+        out = np.where(key == hashes, self.place.take(slot), -1)
+        open_ = np.flatnonzero((out < 0) & (key != 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & int(mask)
             key = self.keys[slot[open_]]
@@ -174,12 +200,12 @@ class Encoder:
     def _hashes(self, data: np.ndarray, cuts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
         """A hash of each unit's bytes. One is added to each byte, as a zero would leave no trace."""
         powers = self.powers[kind]
-        values = data.astype(powers.dtype)
-        values += powers.dtype.type(1)
+        values = np.add(data, powers.dtype.type(1), dtype=powers.dtype)
         values *= powers[: len(data)]
         sums = np.zeros(len(data) + 1, powers.dtype)
         np.cumsum(values, dtype=powers.dtype, out=sums[1:])
-        hashes = (sums[ends] - sums[cuts]) * self.inverses[kind][cuts]
+        # Units follow one another, so each ends where the next one starts.
+        hashes = np.diff(sums.take(cuts), append=sums[-1:]) * self.inverses[kind].take(cuts)
         if kind:
             return hashes
         hashes ^= hashes >> np.uint64(29)
@@ -189,28 +215,32 @@ class Encoder:
     def _numbers(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """The number of each unit of a chunk, in order."""
         ends = np.append(cuts[1:], len(data))
-        hashes, second, length = self._hashes(data, cuts, ends, 0) | np.uint64(1), self._hashes(data, cuts, ends, 1), ends - cuts
+        hashes, length = self._hashes(data, cuts, ends, 0) | np.uint64(1), ends - cuts
+        check = self._hashes(data, cuts, ends, 1).astype(np.uint64) << np.uint64(32) | length.view(np.uint64)
         alone = length > LONGEST
         out = self._find(hashes)
         out[alone] = -2
         new = np.flatnonzero(out == -1)
         text = data.tobytes()
-        learn = lambda which: self._learn([text[a:b].decode() for a, b in zip(cuts[which].tolist(), ends[which].tolist(), strict=True)], second[which], length[which])
+        units = lambda which: [text[a:b].decode() for a, b in zip(cuts[which].tolist(), ends[which].tolist(), strict=True)]
         if len(new):
             fresh, first = np.unique(hashes[new], return_index=True)
             if self.known + len(fresh) + alone.sum() > self.memo and self.known:
-                self._reset()
+                self._forget()
+                if self.known + len(fresh) + alone.sum() > self.memo:
+                    self._reset()
                 return self._numbers(data, cuts)
-            numbers = learn(new[first])
+            self.again[out[out >= 0]] = True
+            numbers = self._learn(units(new[first]), check[new[first]])
             if len(fresh) < self.memo:
                 self._insert(fresh, numbers)
                 out[new] = self._find(hashes[new])
             else:  # one chunk holds more than the memo
                 out[new] = numbers[np.searchsorted(fresh, hashes[new])]
-        known = np.maximum(out, 0)
-        alone |= (out >= 0) & ((self.second[known] != second) | (self.length[known] != length))
+        alone |= (out >= 0) & (self.check.take(np.maximum(out, 0)) != check)
         if alone.any():
-            out[alone] = learn(np.flatnonzero(alone))
+            odd = np.flatnonzero(alone)
+            out[odd] = self._learn(units(odd), check[odd])
         return out
 
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,10 +250,8 @@ class Encoder:
         # A single text longer than a chunk is hashed in parts, between units.
         if len(data) <= CHUNK:
             number = self._numbers(data, cuts)
-            sizes, at = self.size[number].astype(np.int64), self.at[number]
-            ends = np.cumsum(sizes)
-            ids = self.ids[np.repeat(at - ends + sizes, sizes) + np.arange(int(ends[-1]))]
-            return ids, np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)]
+            ends = np.cumsum(self.span.take(number) & 0xFFFFFFFF)
+            return self._ids_of(number), np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)]
         half = cuts[len(cuts) // 2] if len(cuts) > 1 else 0
         if not half:
             ids = np.array(self.tokenizer.encode(data.tobytes().decode(), add_special_tokens=False).ids, np.uint32)
@@ -265,6 +293,6 @@ def with_end(ids: np.ndarray, starts: np.ndarray, end_id: int = END_ID) -> tuple
     """The same ids with ``end_id`` after each document."""
     n = len(starts) - 1
     out = np.full(len(ids) + n, end_id, np.uint32)
-    gap = np.repeat(np.arange(n), np.diff(starts))
-    out[np.arange(len(ids)) + gap] = ids
+    for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+        out[a + k : b + k] = ids[a:b]
     return out, starts + np.arange(n + 1)

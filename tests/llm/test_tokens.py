@@ -57,6 +57,29 @@ def test_equal_hashes_of_different_units_are_told_apart(monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == whole
 
 
+def test_units_that_come_again_are_learned_once(monkeypatch):
+    asked = []
+    plain = tokens.Encoder._fresh
+    monkeypatch.setattr(tokens.Encoder, "_fresh", lambda self, units: asked.extend(units) or plain(self, units))
+    coder = tokens.Encoder(public_tokenizers.path(FILES[0]), 300)
+    common = " ".join(f"common{k}" for k in range(50))
+    for n in range(30):
+        text = f"start {common} " + " ".join(f"rare{n}x{k}" for k in range(60))
+        ids, _ = coder.encode(pa.array([text]))
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert coder.known <= 300 and sum("common" in x for x in asked) == 50
+
+
+def test_places_among_running_sums_by_brute_force():
+    rng = np.random.default_rng(3)
+    for n, alphabet in ((1, 1), (1, 7), (3, 50), (4, 50257)):
+        model = token_files.Model([2] * n, alphabet, 2048)
+        model.count += rng.zipf(1.2, model.count.shape).clip(max=1 << 16)
+        model.predict()
+        sums = np.append(rng.integers(0, int(model.flat[-1]), 3000), [0, int(model.flat[-1]) - 1])
+        assert (model.find(sums) == np.searchsorted(model.flat, sums, side="right") - 1).all()
+
+
 def test_another_tokenizer_file_takes_the_whole_chain(tmp_path):
     kind = json.loads(Path(public_tokenizers.path(FILES[1])).read_text())
     kind["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "\\S+"}
@@ -86,6 +109,12 @@ def bits(ids, **kw):
     return 8 * len(token_files.encode_blocks([([1], np.array([len(ids)]), ids)], 50257, **kw)[0]) / len(ids)
 
 
+def test_bytes_of_the_format_stay():
+    ids = (np.random.default_rng(8).zipf(1.2, 150_000) % 50257).astype(np.uint32)
+    data = token_files.encode_blocks([([1], np.array([len(x)]), x) for x in (ids, ids[:70_000])], 50257, steps=256)
+    assert [zlib.crc32(x) for x in data] == [3294967955, 58997342]  # as the coder wrote them before it was made faster
+
+
 def test_coder_learns():
     assert bits(np.tile(np.arange(100, dtype=np.uint32), 2000)) < 2
 
