@@ -112,6 +112,7 @@ class Encoder:
         """Makes room: units that came again stay, unless they are more than half of what may be kept."""
         slot = np.flatnonzero(self.keys)
         slot = slot[self.again[self.place[slot]]]
+        slot = slot[np.argsort(self.place[slot])]  # frequent units come early, so they stay side by side
         if 0 < len(slot) <= self.memo // 2:
             hashes, number = self.keys[slot], self.place[slot]
             sizes, check, flat = self.span[number] & 0xFFFFFFFF, self.check[number], self._ids_of(number)
